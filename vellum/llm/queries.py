@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import mixing, sharding
+from vellum.llm import merkle, mixing, sharding
 from vellum.llm.common import table
 
 
@@ -17,9 +17,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.compare_with_edited(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_sharding, op5_mixing)}
+    return {f.__name__: f for f in (op4_sharding, op5_mixing, op10_merkle)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op10_merkle": merkle.oracle()}
