@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontaminate, merkle, mixing, sharding
+from vellum.llm import decontaminate, language, merkle, mixing, sharding, tokens
 from vellum.llm.common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, docs.filter(~language.held_out()))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "n_letters")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
     return placed.selectExpr("doc_id", "size", "text_crc32", "law", "shard", "slot", "CAST(NULL AS INT) AS grown_shard")
@@ -27,7 +37,7 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontaminate, op4_sharding, op5_mixing, op10_merkle)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_language, op4_sharding, op5_mixing, op10_merkle)}
 
 
 def oracle_sql() -> dict:
