@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontaminate, language, merkle, mixing, sharding, tokens
+from vellum.llm import decontaminate, language, merkle, mixing, sharding, surrogates, tokens
 from vellum.llm.common import table
 
 
@@ -36,8 +36,12 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_language, op4_sharding, op5_mixing, op10_merkle)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_language, op4_sharding, op5_mixing, op6_surrogates, op10_merkle)}
 
 
 def oracle_sql() -> dict:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import os
 import re
+from array import array
 from collections import Counter
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ BLANK = "▁"
 WORDS = re.compile(r"[^ \t\n\v\f\r]+")
 SHIFT = 3.0
 #: Nodes of a worker's trie at most; a full trie is dropped and grown anew, which changes no count.
-NODES = 1_500_000
+NODES = 1_000_000
 #: Pre-tokens longer than this are segmented on their own and not kept.
 LONGEST_KEPT = 64
 VOCABULARY = "piece_bpe_32k.model"
@@ -60,8 +61,8 @@ class PreTokenTrie:
         self.clear()
 
     def clear(self) -> None:
-        self.edges: dict[tuple[int, str], int] = {}
-        self.score, self.pieces = [0.0], [0]
+        self.edges: dict[int, int] = {}  # by node and letter
+        self.score, self.pieces = array("d", [0.0]), array("q", [0])
         self.terminal: dict[str, int] = {}
 
     def _forward(self, text: str, path: list[int]) -> tuple[float, int]:
@@ -93,13 +94,14 @@ class PreTokenTrie:
             self.clear()
         path, node = [0], 0
         for i, c in enumerate(text):
-            to = self.edges.get((node, c))
+            edge = node << 21 | ord(c)
+            to = self.edges.get(edge)
             if to is None:
                 best, count = self._forward(text[: i + 1], path)
                 to = len(self.score)
                 self.score.append(best)
                 self.pieces.append(count)
-                self.edges[node, c] = to
+                self.edges[edge] = to
             node = to
             path.append(node)
         self.terminal[word] = self.pieces[node]
