@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontaminate, language, merkle, mixing, sharding, surrogates, tokens
+from vellum.llm import decontaminate, html_text, language, merkle, mixing, sharding, surrogates, tokens
 from vellum.llm.common import table
 
 
@@ -40,8 +40,12 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_entities(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_language, op4_sharding, op5_mixing, op6_surrogates, op10_merkle)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_language, op4_sharding, op5_mixing, op6_surrogates, op7_html_text, op10_merkle)}
 
 
 def oracle_sql() -> dict:
