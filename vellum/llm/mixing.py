@@ -99,7 +99,8 @@ def draws(targets: DataFrame, shards: int = SHARDS, block: int = BLOCK, most: in
 def slots(drawn: DataFrame, key: str = KEY) -> DataFrame:
     """One row per slot: (src, shard, slot, block), block by the permutation of the slot's pass."""
     pieces = drawn.filter("drawn > 0").withColumn("_from", F.explode(F.sequence("start", F.col("start") + F.col("drawn") - 1, F.lit(STRETCH).cast("long"))))
-    pieces = pieces.repartition(F.col("src"), F.col("_from"))
+    # A given number of partitions: stretches are few bytes but much work, so they must not be coalesced by size.
+    pieces = pieces.repartition(int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "_from")
     last = F.least(F.col("_from") + STRETCH, F.col("start") + F.col("drawn")) - 1
     every = pieces.withColumn("slot", F.explode(F.sequence(F.col("_from"), last)))
     turn = F.floor(F.col("slot") / F.col("n_blocks")).cast("string")
