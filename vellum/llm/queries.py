@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontaminate, html_text, language, merkle, mixing, sharding, surrogates, tokens
+from vellum.llm import decontaminate, html_text, language, merkle, mixing, sharding, substring_dedup, surrogates, tokens
 from vellum.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.compare_with_edited(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -45,7 +49,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_language, op4_sharding, op5_mixing, op6_surrogates, op7_html_text, op10_merkle)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_language, op4_sharding, op5_mixing, op6_surrogates, op7_html_text, op8_substring_dedup, op10_merkle)}
 
 
 def oracle_sql() -> dict:
