@@ -154,6 +154,20 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_letters long")
 
 
+def identified_documents(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> DataFrame:
+    """The rows of docs, all columns as they are, whose language can be told; the others (`und`) go."""
+    texts = tuple(training_text(labelled, id_col, text_col, lang_col, sample_docs, sample_chars, languages))
+    shared = docs.sparkSession.sparkContext.broadcast(texts)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        langs, automata, cache = _model(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([classify(t.as_py(), langs, automata, cache)[0] != UNDETERMINED for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """True for the fold that is never learned from: CRC-32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(column(id_col).cast("string")) % 4 == 2, F.lit(False))

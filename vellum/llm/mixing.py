@@ -143,12 +143,13 @@ def mix_documents(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, mos
     """
     rows = laid_out(docs, id_col, text_col, source_col)
     targets = settle(source_targets(rows, weights, most))
-    pieces = pieces_of(offsets(rows), block).filter("n > 0").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("src", "block", "from_word", "n", "first")).alias("_pieces"))
+    pieces = pieces_of(offsets(rows), block).filter("n > 0").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("src", "block", "from_word", "n")).alias("_pieces"))
     text = column(text_col)
     full = docs.select(column(id_col).alias("_id"), F.xxhash64(text).alias("_tie"), F.regexp_extract_all(text, F.lit(f"({WORD})")).alias("_words"), *[column(c).alias(f"_keep_{i}") for i, c in enumerate(keep or [])])
     # Rows that repeat whole meet the pieces of all their repetitions, so one of them stands for all.
     full = full.dropDuplicates(["_id", "_tie"])
-    cut = full.join(pieces, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie"))).withColumn("_p", F.explode("_pieces"))
-    cut = cut.select("doc_id", F.col("_p.src").alias("src"), F.col("_p.block").alias("block"), F.col("_p.from_word").alias("from_word"), F.array_join(F.slice("_words", (F.col("_p.from_word") + 1).cast("int"), F.col("_p.n").cast("int")), " ").alias("text"), *[f"_keep_{i}" for i, _ in enumerate(keep or [])])
+    each = F.transform("_pieces", lambda p: F.struct(p["src"].alias("src"), p["block"].alias("block"), p["from_word"].alias("from_word"), F.array_join(F.slice("_words", (p["from_word"] + 1).cast("int"), p["n"].cast("int")), " ").alias("text")))
+    cut = full.join(pieces, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie"))).withColumn("_p", F.explode(each))
+    cut = cut.select("doc_id", "_p.src", "_p.block", "_p.from_word", "_p.text", *[f"_keep_{i}" for i, _ in enumerate(keep or [])])
     mixed = cut.join(slots(draws(targets, shards, block, most, key), key), ["src", "block"])
     return mixed.select(F.col("shard").alias("mix_shard"), "slot", "block", "doc_id", "from_word", "text", F.when(F.col("src") != "", F.substring("src", 2, 2**30)).alias("source"), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep or [])])

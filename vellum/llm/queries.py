@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontaminate, html_text, language, merkle, mixing, sharding, substring_dedup, surrogates, tokens
+from vellum.llm import decontaminate, html_text, jaccard_join, language, merkle, mixing, sharding, substring_dedup, surrogates, tokens
 from vellum.llm.common import table
 
 
@@ -35,6 +35,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.compare_with_edited(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -49,7 +59,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_language, op4_sharding, op5_mixing, op6_surrogates, op7_html_text, op8_substring_dedup, op10_merkle)}
+    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_language, op4_sharding, op5_mixing, op6_surrogates, op7_html_text, op8_substring_dedup, op9_jaccard_join, op10_merkle, pipeline)}
 
 
 def oracle_sql() -> dict:
