@@ -11,10 +11,12 @@ n2 - k2 parts are enumerated, each is a signature, and the pair shares one. Sign
 shared by chance; a set leaves its smallest ones out where enough partitions without any such remain for
 the guarantee to hold (see signatures()).
 
-Plan. Signatures travel as 32-bit keys in packed payloads to parts of the bands; each part reports which
-documents meet. Equal sets count once, as the smallest id. Where many meet, they are not paired: each is
-compared with one centre, and only where links have not joined all are the rest compared. What
-meets is verified on the texts' whole sets. Links are never gathered; components come from joins.
+Plan. Equal sets count once, as the smallest id. Sets that cannot link with any other are ruled out first by
+an exact bound (see needed()), so that a passage which many documents share does not make them meet; the
+others sign. Signatures travel as 32-bit keys in packed payloads to parts of the bands; each part reports
+which documents meet. Where many meet, they are not paired: each is compared with one centre, and only
+where links have not joined all are the rest compared. What meets is verified on the texts' whole
+sets. Links are never gathered; components come from joins.
 """
 
 from __future__ import annotations
@@ -29,14 +31,14 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import column, settle, small_or_not
 from vellum.llm.components import connected_components
-from vellum.llm.hashing import deal, mix, window_hashes, word_hashes
+from vellum.llm.hashing import deal, mix, window_hashes, words_at
 
 SHINGLE = 5
 PERCENT = 75
 #: Sizes up to here are bands of their own; above, a band's upper end is BAND times its lower end.
 SINGLE_BANDS, BAND = 13, 1.15
 #: Signature entries that a part reads, on the average, and signatures a word on the average.
-PART_ENTRIES, ENTRIES_A_WORD = 1_500_000, 1.9
+PART_ENTRIES, ENTRIES_A_WORD = 1_500_000, 2.3
 #: In a part's groups up to this size all pairs are listed; larger ones are listed as groups.
 SMALL_GROUP = 8
 BROADCAST_ROWS = 1_000_000
@@ -44,14 +46,40 @@ BROADCAST_ROWS = 1_000_000
 SLICE_BYTES = 2_000_000
 
 
+def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarray]:
+    """For each text the ascending hashes of its different shingles; A-Z count as a-z. All words are hashed at once."""
+    raw = [b"" if not t else t.encode("utf-8", "surrogatepass") for t in texts]
+    words, where = words_at(b"\n".join(raw), lower=True)
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    cut = np.searchsorted(where, ends).tolist()
+    runs = window_hashes(words, width)
+    out, start = [], 0
+    for end in cut:
+        n = end - start
+        if n >= width:
+            own = runs[start : end - width + 1].copy()
+            own.sort()
+            if len(own) > 1:
+                own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            out.append(own)
+        else:
+            out.append(mix(window_hashes(words[start:end], n), 100 + n) if n else np.zeros(0, np.uint64))
+        start = end
+    return out
+
+
 def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
-    """Ascending hashes of the different shingles of a text; A-Z count as a-z."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    words = word_hashes(text.encode("utf-8", "surrogatepass"), lower=True)
-    if len(words) >= width:
-        return np.unique(window_hashes(words, width))
-    return mix(window_hashes(words, len(words)), 100 + len(words)) if len(words) else words
+    return shingle_sets([text], width)[0]
+
+
+def needed(n: int, percent: int = PERCENT) -> tuple[int, int]:
+    """(length, shared): of a set of n features the `length` smallest hashes, of which a set that links with another shares `shared` at least.
+
+    Partners share o = ceil(percent * max / 100) features at least. With l(n) = n / 4 (1 at least) and a prefix of n - o + l
+    features, the first l(m) common features, m being the smaller size, are in both prefixes; m is o at least.
+    """
+    o = -(-n * percent // 100)
+    return min(n, n - o + max(1, n // 4)), max(1, o // 4)
 
 
 def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -135,53 +163,103 @@ def _slices(texts: pa.Array):
         yield start, len(texts)
 
 
+def _digest(s: np.ndarray, k: int) -> int:
+    return int(mix(s, k).sum(dtype=np.uint64))
+
+
 def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(doc_id, n_shingles, d1, d2): the set's size and a 128-bit digest; no text leaves the task."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
-            digests = [np.array([mix(s, k).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for k in (11, 12)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, digests)], schema=schema)
+            for a, b in _slices(batch.column(1)):
+                sets = shingle_sets(batch.column(1)[a:b].to_pylist(), width)
+                digests = [np.array([_digest(s, k) for s in sets], np.uint64).view(np.int64) for k in (11, 12)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, digests)], schema=schema)
 
     return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
 
 
+def _payloads(keys: list[np.ndarray], parts: list[np.ndarray], names: np.ndarray, schema: pa.Schema):
+    """One row a part: its 32-bit keys in order of their owner, the owners' names and how many keys each has."""
+    owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    order, stretches = deal(np.concatenate(parts))
+    key, owner = np.concatenate(keys)[order], owner[order]
+    out = []
+    for p, s in stretches:
+        mine = owner[s]
+        first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+        out.append((p, key[s].tobytes(), names[mine[first]].tobytes(), np.diff(first, append=len(mine)).astype(np.int32).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=schema.types[i]) for i in range(4)], schema=schema)
+
+
+PAYLOAD = "part int, keys binary, names binary, counts binary"
+_PAYLOAD = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("names", pa.binary()), ("counts", pa.binary())])
+
+
+def _prefixes(width: int, percent: int, parts: int):
+    """Payloads of the sets' prefixes, owners named by their digest; equal sets of a slice count once."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in _slices(batch.column(0)):
+                own = {_digest(s, 11): s for s in shingle_sets(batch.column(0)[a:b].to_pylist(), width) if len(s)}
+                if own:
+                    h = [mix(s[: needed(len(s), percent)[0]], 41) for s in own.values()]
+                    yield _payloads([(x & np.uint64(0xFFFFFFFF)).astype(np.uint32) for x in h], [(x >> np.uint64(40)).astype(np.int64) % parts for x in h], np.array(list(own), np.uint64), _PAYLOAD)
+
+    return run
+
+
+def _read(rows: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in rows.column(name)), kind)
+
+
+def _entries(rows: pa.Table, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, key, place in names) of the different pairs in which the key is not alone."""
+    name, which = np.unique(names, return_inverse=True)
+    entry = _read(rows, "keys", np.uint32).astype(np.uint64) << np.uint64(32) | np.repeat(which.astype(np.uint64), _read(rows, "counts", np.int32))
+    entry.sort()
+    if len(entry):
+        entry = entry[np.concatenate([[True], entry[1:] != entry[:-1]])]
+    key, member = (entry >> np.uint64(32)).astype(np.uint32), (entry & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    again = np.zeros(len(key), bool)
+    same = key[1:] == key[:-1]
+    again[1:] |= same
+    again[:-1] |= same
+    return name, key[again], member[again]
+
+
+def _shared():
+    """(d1, n): how many of a set's prefix features in this part other sets have in theirs."""
+    schema = pa.schema([("d1", pa.int64()), ("n", pa.int64())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        name, _, member = _entries(rows, _read(rows, "names", np.uint64))
+        n = np.bincount(member, minlength=len(name))
+        return pa.Table.from_arrays([pa.array(name[n > 0].view(np.int64)), pa.array(n[n > 0].astype(np.int64))], schema=schema)
+
+    return run, "d1 long, n long"
+
+
 def _sign(width: int, percent: int, subparts: int):
-    schema = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("digests", pa.binary()), ("counts", pa.binary())])
+    """Payloads of the signatures, owners named by their id."""
 
     def run(batches):
         for batch in batches:
             for a, b in _slices(batch.column(1)):
-                best: dict[int, tuple[int, np.ndarray]] = {}
-                for i, t in zip(batch.column(0)[a:b].to_pylist(), batch.column(1)[a:b]):
-                    s = shingle_set(t.as_py(), width)
+                ids, keys, parts = [], [], []
+                for i, s in zip(batch.column(0)[a:b].to_pylist(), shingle_sets(batch.column(1)[a:b].to_pylist(), width)):
                     if i is not None and len(s):
-                        d = int(mix(s, 11).sum(dtype=np.uint64))
-                        if d not in best or i < best[d][0]:
-                            best[d] = (i, s)
-                docs = sorted((i, d) for d, (i, _) in best.items())
-                ids, digests = np.array([i for i, _ in docs], np.int64), np.array([d for _, d in docs], np.uint64)
-                keys, owner, part = [], [], []
-                for row, (_, d) in enumerate(docs):
-                    for band, sig in signatures(best[d][1], percent):
-                        keys.append((sig & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-                        part.append((sig >> np.uint64(40)).astype(np.int64) % subparts + band * subparts)
-                        owner.append(np.full(len(sig), row, np.int32))
-                if not keys:
-                    continue
-                keys, owner, part = np.concatenate(keys), np.concatenate(owner), np.concatenate(part)
-                order, stretches = deal(part)  # stable: by part, then document
-                keys, owner = keys[order], owner[order]
-                out = []
-                for p, s in stretches:
-                    own, first = np.unique(owner[s], return_index=True)
-                    counts = np.diff(first, append=s.stop - s.start).astype(np.int32)
-                    out.append((p, keys[s].tobytes(), ids[own].tobytes(), digests[own].tobytes(), counts.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=schema.types[i]) for i in range(5)], schema=schema)
-
-    return run, "part int, keys binary, ids binary, digests binary, counts binary"
+                        made = list(signatures(s, percent))
+                        ids.append(i)
+                        keys.append(np.concatenate([(x & np.uint64(0xFFFFFFFF)).astype(np.uint32) for _, x in made]))
+                        parts.append(np.concatenate([(x >> np.uint64(40)).astype(np.int64) % subparts + band * subparts for band, x in made]))
+                if ids:
+                    yield _payloads(keys, parts, np.array(ids, np.int64), _PAYLOAD)
+
+    return run
 
 
 STAR, PAIR, GROUP = 0, 1, 2
@@ -192,20 +270,7 @@ def _meet():
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(rows: pa.Table) -> pa.Table:
-        def read(name, kind):
-            return np.frombuffer(b"".join(x.as_py() for x in rows.column(name)), kind)
-
-        keys, counts = read("keys", np.uint32), read("counts", np.int32)
-        digest, which = np.unique(read("digests", np.uint64), return_inverse=True)  # equal sets are one
-        ids = np.full(len(digest), 2**63 - 1, np.int64)
-        np.minimum.at(ids, which, read("ids", np.int64))
-        entry = np.unique(keys.astype(np.uint64) << np.uint64(32) | np.repeat(which, counts).astype(np.uint64))
-        key, member = (entry >> np.uint64(32)).astype(np.uint32), (entry & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        again = np.zeros(len(key), bool)
-        same = key[1:] == key[:-1]
-        again[1:] |= same
-        again[:-1] |= same
-        key, member = key[again], member[again]
+        ids, key, member = _entries(rows, _read(rows, "names", np.int64))
         out: list[tuple[int, np.ndarray, np.ndarray]] = []
         if len(key):
             # The centre is the one that meets others most often, in a group of near copies most likely their source.
@@ -254,14 +319,20 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        known = (None, None)
         for batch in batches:
             yes = []
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                if known[0] != a:
-                    known = (a, shingle_set(x.as_py(), width))
-                if links(known[1], shingle_set(y.as_py(), width), percent):
-                    yes.append((a, b))
+            for start, end in _slices(batch.column(3)):
+                a, b = batch.column(0)[start:end].to_pylist(), batch.column(1)[start:end].to_pylist()
+                x = batch.column(2)[start:end].to_pylist()
+                # Rows of one centre follow one another; it is hashed once.
+                new = [k for k in range(len(a)) if k == 0 or a[k] != a[k - 1] or x[k] != x[k - 1]]
+                centres = iter(shingle_sets([x[k] for k in new], width))
+                fresh, centre = set(new), None
+                for k, other in enumerate(shingle_sets(batch.column(3)[start:end].to_pylist(), width)):
+                    if k in fresh:
+                        centre = next(centres)
+                    if links(centre, other, percent):
+                        yes.append((a[k], b[k]))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in yes], pa.int64()) for i in range(2)], schema=schema)
 
     one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_y")), "b")
@@ -279,14 +350,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     """
     sets = settle(document_sets(docs, id_col, text_col, width))
     classes = settle(sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")))
-    entries = (sets.agg(F.sum("n_shingles")).first()[0] or 0) * ENTRIES_A_WORD
-    f, schema = _sign(width, percent, max(1, int(entries / part_entries / 16)))
-    signed = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(f, schema)
+    n = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    f, schema = _shared()
+    prefixes = docs.select(column(text_col).alias("text")).mapInArrow(_prefixes(width, percent, max(1, int(n / 2 / part_entries))), PAYLOAD)
+    shared = prefixes.groupBy("part").applyInArrow(f, schema).groupBy("d1").agg(F.sum("n").alias("n"))
+    o = F.floor((F.col("n_shingles") * percent + 99) / 100)
+    able = settle(classes.join(shared, "d1").filter(F.col("n") >= F.greatest(F.lit(1), F.floor(o / 4))).select(F.col("rep").alias("doc_id"), "n_shingles").distinct())
+    n = able.agg(F.sum("n_shingles")).first()[0] or 0
+    ids, _ = small_or_not(able.select("doc_id").distinct(), BROADCAST_ROWS)
+    texts = settle(docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).join(ids, "doc_id", "left_semi"))
     f, schema = _meet()
+    signed = texts.mapInArrow(_sign(width, percent, max(1, int(n * ENTRIES_A_WORD / part_entries / 16))), PAYLOAD)
     met = settle(signed.groupBy("part").applyInArrow(f, schema).distinct())
     star = settle(met.filter(F.col("kind") == STAR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids, _ = small_or_not(settle(met.filter(F.col("kind") != GROUP).select(F.explode(F.array("a", "b")).alias("doc_id")).union(met.filter(F.col("kind") == GROUP).select("b")).distinct()), BROADCAST_ROWS)
-    texts = settle(docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).join(ids, "doc_id", "left_semi"))
     found = settle(verified(star, texts, width, percent))
     component = connected_components(found)
 
