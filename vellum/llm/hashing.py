@@ -43,7 +43,12 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 def word_hashes(data: bytes, lower: bool = False) -> np.ndarray:
     """Hashes of the words of UTF-8 text: maximal runs of bytes other than ASCII white space. lower: A-Z count as a-z."""
-    out, at, n = [], 0, len(data)
+    return words_at(data, lower)[0]
+
+
+def words_at(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and the bytes where they start."""
+    out, where, at, n = [], [], 0, len(data)
     while at < n:
         end = min(n, at + CHUNK)
         if end < n:
@@ -62,8 +67,9 @@ def word_hashes(data: bytes, lower: bool = False) -> np.ndarray:
             total = np.zeros(len(raw) + 1, np.uint64)
             np.cumsum(_BYTES[raw] * power[: len(raw)], out=total[1:])
             out.append(mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)))
+            where.append(starts + at)
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return (np.concatenate(out), np.concatenate(where)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def window_hashes(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
