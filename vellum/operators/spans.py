@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import lexicon as L
@@ -22,21 +22,21 @@ def clip_to_text(spans: DataFrame, texts: DataFrame) -> DataFrame:
     return s.withColumn("text", F.regexp_replace(slice_text(F.col("full"), F.col("start"), F.col("end")), r"(?U)^\s+|\s+$", "")).select(*SPAN)
 
 
-def _not_inside(spans: DataFrame, inside) -> DataFrame:
-    """Anti join of the spans with those of the same document and label that hold them."""
-    a, b = spans.alias("a"), spans.select("doc_id", "label", "start", "end").distinct().alias("b")
-    same = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.label") == F.col("b.label")) & (F.col("b.start") <= F.col("a.start")) & (F.col("b.end") >= F.col("a.end"))
-    return a.join(b, same & inside, "left_anti")
+def _reach(spans: DataFrame) -> DataFrame:
+    """spans with _before, the furthest end of those of the same document and label that start earlier, and _level, of those that start there."""
+    line = Window.partitionBy("doc_id", "label").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    return spans.withColumns({"_before": F.max("end").over(line), "_level": F.max("end").over(Window.partitionBy("doc_id", "label", "start"))})
 
 
 def drop_contained(spans: DataFrame) -> DataFrame:
     """Without spans inside a longer one of the same label; equal spans both stay."""
-    return _not_inside(spans, (F.col("b.end") - F.col("b.start")) > (F.col("a.end") - F.col("a.start")))
+    inside = (F.col("_before") >= F.col("end")) | (F.col("_level") > F.col("end"))
+    return _reach(spans).filter(~F.coalesce(inside, F.lit(False))).drop("_before", "_level")
 
 
 def drop_contained_later(spans: DataFrame) -> DataFrame:
     """Without spans inside one of the same label that starts earlier; of one start all stay."""
-    return _not_inside(spans, F.col("b.start") < F.col("a.start"))
+    return _reach(spans).filter(~F.coalesce(F.col("_before") >= F.col("end"), F.lit(False))).drop("_before", "_level")
 
 
 def looks_like_token(token: Column, label: Column) -> Column:
@@ -87,7 +87,7 @@ def merge_adjacent(spans: DataFrame, texts: DataFrame | None = None, labels=LABE
     kind = "array<struct<start:int,end:int,label:string,text:string,score:double>>"
     mine = spans.filter(F.col("label").isin(*labels))
     other = spans.filter(~F.coalesce(F.col("label").isin(*labels), F.lit(False))).select(*SPAN)
-    packed = mine.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int"), F.col("end").cast("int"), "label", "text", F.col("score").cast("double")))).alias("_s"))
+    packed = mine.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label", "text", F.col("score").cast("double").alias("score")))).alias("_s"))
     packed = packed.join(texts.select("doc_id", "full"), "doc_id", "left") if texts is not None else packed.withColumn("full", F.lit(None).cast("string"))
 
     def step(done: Column, e: Column) -> Column:

@@ -18,7 +18,7 @@ from vellum.operators.chunk import chunks
 MIN_SCORE = 0.5
 TAGGERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 SPAN = ["doc_id", "text", "label", "score", "start", "end"]
-CAPITALS = r"\b([A-Z][a-z]+(?: [A-Z][a-z]+)*)"
+CAPITALS = r"([A-Z][a-z]+(?: [A-Z][a-z]+)*)"
 
 LOC_PREFIX = r"(?iU)^\s*(?:county\s+of|province\s+of|city\s+of|citty\s+of|town\s+of|towne\s+of|kingdom\s+of|kingdome\s+of|proportion\s+of|of)\s+"
 PER_PREFIX = r"(?iU)^\s*(?:the\s+)?(?:said\s+)+"
@@ -80,7 +80,7 @@ def trim_affixes(spans: DataFrame, texts: DataFrame, min_score: float = MIN_SCOR
 def merge_wordpieces(spans: DataFrame) -> DataFrame:
     """Join each `##x` to the span of its label just before it; the score is the running mean of neighbours."""
     kind = "array<struct<start:int,end:int,text:string,label:string,score:double>>"
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("start").cast("int"), F.col("end").cast("int"), "text", "label", F.col("score").cast("double"))))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "text", "label", F.col("score").cast("double").alias("score"))))
 
     def step(done: Column, e: Column) -> Column:
         last = F.try_element_at(done, F.lit(-1))
