@@ -1 +1,104 @@
-"""Registered queries; filled in module by module."""
+"""Evaluation queries: span scores, ranking and retrieval metrics, weight sweep, baseline."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vellum.functions.strings import sequence_ratio
+from vellum.operators import evaluate, score
+from vellum.plans.link_queries import SQL_FEATURES, scored_places
+from vellum.plans.registry import query
+from vellum.plans.span_queries import SQL_SPANS, star_sql, tagged
+
+_SQL_PRED = f"""{SQL_SPANS},
+gold AS (SELECT DISTINCT doc_id, start, "end", label FROM spans WHERE length(text) > 3),
+pred AS (SELECT DISTINCT doc_id, CASE WHEN start % 7 = 0 THEN start + 1 ELSE start END AS start, "end", CASE WHEN start % 11 = 0 THEN 'LOC' ELSE label END AS label FROM spans WHERE score >= 0.6 AND start % 5 <> 0 AND length(text) > 2),
+j AS (SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, g.doc_id IS NOT NULL AS g, p.doc_id IS NOT NULL AS p FROM gold g FULL OUTER JOIN pred p ON g.doc_id = p.doc_id AND g.start = p.start AND g."end" = p."end" AND g.label = p.label)"""
+
+
+def _sides(spark, sf_dir):
+    s = tagged(spark, sf_dir)
+    gold = s.filter(F.length("text") > 3)
+    pred = s.filter((F.col("score") >= 0.6) & (F.col("start") % 5 != 0) & (F.length("text") > 2))
+    pred = pred.withColumns({"label": F.when(F.col("start") % 11 == 0, "LOC").otherwise(F.col("label")), "start": F.when(F.col("start") % 7 == 0, F.col("start") + 1).otherwise(F.col("start"))})
+    return gold, pred
+
+
+@query("span_prf", f"""
+WITH {_SQL_PRED}, c AS (SELECT doc_id, count(*) FILTER (WHERE g) AS gold_count, count(*) FILTER (WHERE p) AS pred_count, count(*) FILTER (WHERE g AND p) AS tp_count, count(*) FILTER (WHERE NOT g) AS fp_count, count(*) FILTER (WHERE NOT p) AS fn_count FROM j GROUP BY GROUPING SETS ((doc_id), ())),
+r AS (SELECT *, CASE WHEN pred_count = 0 THEN 0.0 ELSE tp_count / pred_count END AS precision, CASE WHEN gold_count = 0 THEN 0.0 ELSE tp_count / gold_count END AS recall FROM c)
+SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM r
+""")
+def span_prf(spark, sf_dir):
+    return evaluate.span_scores(*_sides(spark, sf_dir), ["doc_id"])
+
+
+@query("span_difference", f"""
+WITH {_SQL_PRED}, d AS (SELECT * FROM (SELECT doc_id, start, "end", label FROM gold EXCEPT SELECT * FROM pred) a, (SELECT 'a' AS side) s UNION ALL SELECT * FROM (SELECT * FROM pred EXCEPT SELECT doc_id, start, "end", label FROM gold) b, (SELECT 'b' AS side) s)
+SELECT doc_id, side, count(*) AS n, CAST(sum(start) AS BIGINT) AS sum_start FROM d GROUP BY doc_id, side
+""")
+def span_difference(spark, sf_dir):
+    return evaluate.span_difference(*_sides(spark, sf_dir), ["doc_id"]).groupBy("doc_id", "side").agg(F.count("*").alias("n"), F.sum(F.col("start").cast("long")).alias("sum_start"))
+
+
+#: The gold place of a mention: the nation with that very number, in mixed case for some mentions a wrong one.
+_GOLD = "CASE WHEN substr(mention, 1, 1) = 'n' THEN 10 ELSE CAST(substr(mention, 8) AS INT) END"
+_SQL_LISTS = f"""{SQL_FEATURES}, lists AS (SELECT doc_id, mention, 'LOC' AS label, any_value({_GOLD}) AS gold, list(place ORDER BY rank) FILTER (WHERE rank <= 5) AS uris FROM ranked GROUP BY doc_id, mention),
+m AS (SELECT *, CASE WHEN list_contains(uris, gold) THEN 1.0 / list_position(uris, gold) ELSE 0 END AS rr, CAST(list_contains(list_slice(uris, 1, 1), gold) AS INT) AS h1, CAST(list_contains(list_slice(uris, 1, 3), gold) AS INT) AS h3, CAST(list_contains(uris, gold) AS INT) AS h5, len(uris) AS n_c FROM lists)"""
+
+
+def _metrics(spark, sf_dir):
+    top = score.top_k(scored_places(spark, sf_dir), ["doc_id", "mention"], 5, order="place")
+    lists = evaluate.ranked_uris(top, ["doc_id", "mention"], "place").withColumns({"label": F.lit("LOC"), "ranked_uris": F.transform("ranked_uris", lambda x: x.cast("string")), "gold_uri": F.expr(_GOLD).cast("string")})
+    return evaluate.mention_metrics(lists)
+
+
+@query("eval_ranking", f"WITH {_SQL_LISTS} SELECT label, count(*) AS n, avg(h5) AS coverage, avg(h1) AS acc_1, avg(rr) AS mrr, avg(h1) AS recall_1, avg(h3) AS recall_3, avg(h5) AS recall_5 FROM m GROUP BY GROUPING SETS ((label), ())")
+def eval_ranking(spark, sf_dir):
+    return evaluate.ranking_summary(_metrics(spark, sf_dir))
+
+
+@query("retrieval_coverage", f"WITH {_SQL_LISTS} SELECT label, count(*) AS n, avg(h5) AS set_recall, avg(n_c) AS avg_candidates, coalesce(avg(n_c) FILTER (WHERE h5 = 1), 0) AS avg_when_hit, coalesce(avg(n_c) FILTER (WHERE h5 = 0), 0) AS avg_when_miss FROM m GROUP BY GROUPING SETS ((label), ())")
+def retrieval_coverage(spark, sf_dir):
+    return evaluate.retrieval_summary(_metrics(spark, sf_dir))
+
+
+_FEATURES = ("name", "hierarchy", "type_match", "historical", "neural")
+_CONFIGS = ", ".join(f"('{n}', {', '.join(repr(loc[f]) + 'e0' for f in _FEATURES)})" for n, _, loc in evaluate.sweep_configs())
+
+
+@query("weight_sweep", f"""
+WITH {SQL_FEATURES}, cfg AS (SELECT * FROM (VALUES {_CONFIGS}) v(config, w1, w2, w3, w4, w5)),
+s AS (SELECT config, doc_id, mention, place, row_number() OVER (PARTITION BY config, doc_id, mention ORDER BY round(name * w1 + hierarchy * w2 + type_match * w3 + historical * w4 + 0.5 * w5, 9) DESC, place) AS rank FROM feat, cfg),
+l AS (SELECT config, doc_id, mention, 'LOC' AS label, any_value({_GOLD}) AS gold, list(place ORDER BY rank) FILTER (WHERE rank <= 5) AS uris FROM s GROUP BY config, doc_id, mention),
+m AS (SELECT *, CASE WHEN list_contains(uris, gold) THEN 1.0 / list_position(uris, gold) ELSE 0 END AS rr, CAST(list_contains(list_slice(uris, 1, 1), gold) AS INT) AS h1, CAST(list_contains(list_slice(uris, 1, 3), gold) AS INT) AS h3 FROM l)
+SELECT config, label, count(*) AS n, avg(h1) AS acc_1, avg(rr) AS mrr, avg(h3) AS recall_3 FROM m GROUP BY GROUPING SETS ((config, label), (config))
+""")
+def weight_sweep(spark, sf_dir):
+    f = scored_places(spark, sf_dir)
+    feats = f.select("doc_id", "mention", F.lit("LOC").alias("label"), F.expr(_GOLD).cast("string").alias("gold_uri"), F.col("place").cast("string").alias("uri"), F.col("place").alias("ord"), F.create_map(*[x for k in _FEATURES for x in (F.lit(k), F.col(k).cast("double"))]).alias("features"))
+    return evaluate.weight_sweep(feats, ["doc_id", "mention"])
+
+
+@query("baseline_rank")
+def baseline_rank(spark, sf_dir):
+    """Sequence matching has no SQL; tests hold it against the standard library."""
+    p = star_sql(spark, sf_dir, "SELECT p_partkey AS k, p_name AS c, m.mention FROM part JOIN (SELECT DISTINCT p_name AS mention FROM part WHERE p_partkey <= 20) m ON substr(p_name, 1, 1) = substr(mention, 1, 1)")
+    s = p.withColumn("score", F.round(evaluate.baseline_score(F.col("mention"), F.col("c"), sequence_ratio), 6))
+    return score.top_k(s, ["mention"], 5, order="k").select("mention", "k", "score", "rank")
+
+
+_MENTIONS = "(SELECT conv_id AS doc_id, turn AS ord, 'PER' AS label, split_part(text, ' ', 1) AS mention FROM conversations)"
+
+
+@query("assign_spans", f"""
+WITH g AS (SELECT * FROM {_MENTIONS} z WHERE mention <> ''), t AS (SELECT conv_id AS doc_id, string_agg(text, ' ' ORDER BY turn, role, text) AS "full" FROM conversations GROUP BY conv_id),
+n AS (SELECT g.*, lower("full") AS l, row_number() OVER (PARTITION BY doc_id, label, mention ORDER BY ord) - 1 AS nth, string_split(lower("full"), lower(mention)) AS ps FROM g JOIN t USING (doc_id)),
+k AS (SELECT *, CASE WHEN nth < len(ps) - 1 THEN nth ELSE 0 END AS k FROM n)
+SELECT doc_id, ord, mention, CAST(list_sum(list_transform(list_slice(ps, 1, k + 1), lambda p: length(p))) + k * length(mention) AS INT) AS start, CAST(list_sum(list_transform(list_slice(ps, 1, k + 1), lambda p: length(p))) + (k + 1) * length(mention) AS INT) AS "end" FROM k
+""")
+def assign_spans(spark, sf_dir):
+    gold = star_sql(spark, sf_dir, f"SELECT * FROM {_MENTIONS} z WHERE mention <> ''")
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    full = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: x["text"]), " ").alias("full"))
+    return evaluate.assign_spans(gold, full).select("doc_id", "ord", "mention", "start", "end")
