@@ -89,12 +89,15 @@ def training_text(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
     """
     rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     known = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
+    # Ids are drawn first, without texts: at most sample_docs for each language, whose texts a second scan picks out.
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    drawn = rows.filter(F.col("lang").isin(known)).select("lang", "id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_docs)
+    picked = rows.join(F.broadcast(drawn.distinct()), ["lang", "id"])
     # No more than the sample's letters can be used of a text, with room for what is not a letter.
-    drawn = rows.filter(F.col("lang").isin(known)).withColumn("text", F.substring("text", 1, 4 * sample_chars)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_docs)
+    drawn = picked.select("lang", "rank", F.substring("text", 1, 4 * sample_chars).alias("text")).orderBy("lang", "rank", F.xxhash64("text"))
     out: dict[str, list[str]] = {}
     left: Counter = Counter()
-    for r in drawn.orderBy("lang", "rank").toLocalIterator():
+    for r in drawn.toLocalIterator():
         if left.setdefault(r.lang, sample_chars) > 0:
             words = " ".join(WORDS.findall(r.text.lower()))[: left[r.lang]]
             out.setdefault(r.lang, []).append(words)
