@@ -1,0 +1,321 @@
+"""Token counts, language, surrogates, page text, substring dedup and the Jaccard join against brute force."""
+
+import hashlib
+import itertools
+import math
+import re
+from collections import Counter
+
+import pytest
+
+from tests.llm import fixtures
+from vellum.llm import hashing, html_text, jaccard_join, language, substring_dedup, surrogates, tokens
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SF = "/root/testdata/sf0.001"
+
+
+# ---- token counts
+
+
+def best_segmentation(text, scores, byte):
+    """Every segmentation, tried."""
+    best = (-math.inf, 0)
+    for cuts in itertools.product([0, 1], repeat=len(text) - 1):
+        parts, start = [], 0
+        for i, c in enumerate(cuts, 1):
+            if c:
+                parts.append(text[start:i])
+                start = i
+        parts.append(text[start:])
+        total, n = 0.0, 0
+        for p in parts:
+            b = len(p.encode())
+            s = scores.get(p)
+            if s is None or (len(p) == 1 and b * byte > s):
+                if len(p) > 1:
+                    break
+                total, n = total + b * byte, n + b
+            else:
+                total, n = total + s, n + 1
+        else:
+            best = max(best, (total, -n))
+    return -best[1]
+
+
+def test_trie_counts_are_the_best_segmentations():
+    scores = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.2, "▁a": -3.5, "ba": -4.0, "aba": -5.0, "▁ab": -5.1}
+    trie = tokens.PreTokenTrie(scores, -9.0)
+    for word in ("a", "ab", "aba", "abab", "bbabé", "éab", "ababab"):
+        assert trie.count(word) == best_segmentation("▁" + word, scores, -9.0) == trie._long("▁" + word), word
+        assert trie.count(word) == trie.count(word)
+
+
+def test_a_full_trie_changes_no_count(monkeypatch):
+    trie = tokens.PreTokenTrie(*tokens.unigram_scores(tokens.vocabulary_path()))
+    words = [f"word{i}ing" for i in range(500)] + ["x" * 500]
+    want = [trie.count(w) for w in words]
+    monkeypatch.setattr(tokens, "NODES", 60)
+    trie.clear()
+    assert [trie.count(w) for w in words] == want
+
+
+def test_token_counts_of_awkward_rows(spark):
+    got = sorted(((r.doc_id or -1, r.n_pretokens, r.n_tokens) for r in tokens.count_tokens(fixtures.docs(spark)).collect()))
+    trie = tokens.PreTokenTrie(*tokens.unigram_scores(tokens.vocabulary_path()))
+    want = sorted((i or -1, len(WORD.findall(t or "")), sum(trie._long("▁" + w) for w in WORD.findall(t or ""))) for i, t, *_ in fixtures.rows())
+    assert got == want
+    assert tokens.count_tokens(fixtures.empty(spark)).count() == 0
+
+
+# ---- language
+
+
+def test_longest_match_and_phrases():
+    text = "abracadabra"
+    a = language.SuffixAutomaton(text)
+    subs = {text[i:j] for i in range(len(text)) for j in range(i, len(text) + 1)}
+    for probe in ("abra", "cadx", "xbra", "racadabrab", ""):
+        for i in range(len(probe)):
+            assert a.longest_match(probe, i) == max(j for j in range(len(probe) - i + 1) if probe[i : i + j] in subs)
+        n = i = 0
+        while i < len(probe):  # longest match and one letter, again and again
+            i += a.longest_match(probe, i) + 1
+            n += 1
+        assert a.phrases(probe) == n
+
+
+def test_language_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, docs.filter(~language.held_out())).collect()}
+    held = docs.filter(language.held_out()).select("doc_id", "lang").collect()
+    assert sum(got[r.doc_id] == r.lang for r in held) / len(held) > 0.98
+
+
+def test_language_of_awkward_rows(spark):
+    docs = fixtures.docs(spark)
+    got = language.identify(docs, docs.filter(~language.held_out())).collect()
+    assert len(got) == len(fixtures.rows()) and all(0 <= r.score <= 1 for r in got)
+    by = {r.doc_id: r.lang_pred for r in got}
+    assert by[4] == by[5] == by[6] == "und" and by[1] == by[2]
+    kept = language.identified_documents(docs, docs)
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(i for i, t, *_ in fixtures.rows() if i not in (4, 5, 6))
+    assert language.identify(fixtures.empty(spark), fixtures.empty(spark)).count() == 0
+    assert {r.lang_pred for r in language.identify(docs, fixtures.empty(spark)).collect()} == {"und"}
+
+
+# ---- surrogates
+
+
+def test_surrogates_are_a_permutation_without_fixed_points():
+    for n in (2, 3, 10, 100, 257):
+        got = [surrogates.another(v, n, b"k", "x") for v in range(n)]
+        assert sorted(got) == list(range(n)) and all(g != v for v, g in enumerate(got))
+
+
+def test_surrogates_keep_format_gender_and_identity():
+    text = 'Mail und.34@mail7.example.com, UND.34@mail7.example.com; +1 (017) 555-7713, 017 555-7713; 4111111111111111, 4111-1111-1111-1111, 9807915762804490; 97.51.17.173; token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"; Mr. John Smith met Mrs. Mary Smith and Herr Weiß.'
+    new, n, distinct, kinds = surrogates.replace_text(text)
+    assert n == 12 and kinds == "card:3,email:2,ip:1,person:3,phone:2,secret:1"
+    for old in ("und.34@mail7", "555-7713", "4111", "9807915762804490", "97.51.17.173", "b44e15e0", "John", "Smith", "Mary", "Weiß"):
+        assert old not in new
+    mails = re.findall(r"[\w.]+@[\w.]+", new)
+    assert mails[0] != mails[1] and mails[0].lower() == mails[1].lower()
+    cards = re.findall(r"\b\d{4}-\d{4}-\d{4}-\d{4}\b|\b\d{16}\b", new)
+    assert surrogates.luhn(cards[0]) and cards[1].replace("-", "") == cards[0] and not surrogates.luhn(cards[2])
+    phones = re.findall(r"\+1 \((\d{3})\) (\d{3})-(\d{4}), (\d{3}) (\d{3})-(\d{4})", new)[0]
+    assert phones[:3] == phones[3:]
+    he, she = re.search(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+)", new).group(1, 2), re.search(r"Mrs\. (\w+) (\w+)", new).groups()
+    assert he[0] in surrogates.GIVEN_M and she[0] in surrogates.GIVEN_F and he[1] == she[1]
+    assert surrogates.replace_text(text)[0] == new
+
+
+def test_surrogates_of_different_entities_differ():
+    seen = {surrogates.surrogate("ip", f"10.0.{i % 256}.{i // 256}") for i in range(2000)}
+    assert len(seen) == 2000
+    assert len({surrogates.surrogate("email", f"a{i}@b.org") for i in range(100)}) == len({f"a{i}@b.org" for i in range(100)})
+
+
+def test_surrogates_of_awkward_rows(spark):
+    got = surrogates.replace_entities(fixtures.docs(spark)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t, *_ in fixtures.rows())
+    assert surrogates.replace_entities(fixtures.empty(spark)).count() == 0
+
+
+# ---- page text
+
+
+def test_min_cut_is_least(spark):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randint(1, 7)
+        unary = [rng.randint(-9, 9) for _ in range(n)]
+        pairs = [(i, j, rng.randint(0, 6)) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5]
+        cost = lambda labels: sum(max(0, -u) if x else max(0, u) for x, u in zip(labels, unary)) + sum(c for i, j, c in pairs if labels[i] != labels[j])
+        assert cost(html_text.min_cut(unary, pairs)) == min(cost(x) for x in itertools.product([False, True], repeat=n))
+
+
+def test_page_text():
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="sidebar-left"><header><div>Site</div></header><nav><ul><li><a href=x>Home</a></ul></nav>
+    <div class="ad">Buy this now please</div><article><h1>The &amp; title</h1><p>First   paragraph<br>goes <b>on</b> here, with words enough.<p>Second&nbsp;one.</p><!-- <p>no</p> --><script>var t="</p>";</script>
+    <blockquote>Quoted.</blockquote><ul><li>item</li></ul><aside>Aside</aside></article><section id="comments"><p>Nice text, thank you very much for writing all of it down here!</p></section><form>Name <input></form><footer>&copy; 2020</footer></body></html>"""
+    assert html_text.extract(page)[0] == "The & title\n\nFirst paragraph goes on here, with words enough.\n\nSecond one.\n\nQuoted.\n\nitem"
+    for broken in ("", None, "<", "<p", "<!-- never closed", "<script>x", "plain < text > here", "<p>a<p>b", "</p></div>", "<a href='x>y"):
+        html_text.extract(broken)
+
+
+def test_pages_of_a_table(spark):
+    pages = spark.createDataFrame([(1, "u", "<article><p>Hello there</p></article>", 1), (1, "u", "<article><p>Hello there</p></article>", 1), (2, None, None, 2), (None, "v", "", 3)], "page_id long, url string, html string, text int")
+    got = html_text.extract_pages(pages).collect()
+    assert Counter((r.page_id, r.url, r.text, r.n_chars) for r in got) == Counter({(1, "u", "Hello there", 11): 2, (2, None, "", 0): 1, (None, "v", "", 0): 1})
+    assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
+# ---- hashes
+
+
+def test_word_hashes_split_like_words(monkeypatch):
+    text = "a b\tc  d\x0bé " + "x" * 5000 + " tail  \n"
+    words = WORD.findall(text)
+    whole = hashing.word_hashes(text.encode())
+    assert len(whole) == len(words) and len(set(whole.tolist())) == len(set(words))
+    monkeypatch.setattr(hashing, "CHUNK", 16)
+    assert hashing.word_hashes(text.encode()).tolist() == whole.tolist()
+    assert [int(hashing.word_hashes(w.encode())[0]) for w in words] == whole.tolist()
+    assert hashing.word_hashes("ABé".encode(), lower=True).tolist() == hashing.word_hashes("abé".encode()).tolist()
+    import numpy as np
+
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**32, 999, dtype=np.uint32))
+    assert hashing.unpack(hashing.pack(keys)).tolist() == keys.tolist()
+
+
+# ---- substring dedup
+
+
+def removed(rows, window=20):
+    """(n_words, n_removed, sha) by the rule as it is written."""
+    seen, out = set(), []
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for k in range(len(w) - window + 1):
+            run = tuple(w[k : k + window])
+            if run in seen:
+                gone[k : k + window] = [True] * window
+            seen.add(run)
+        out.append((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("bucket_bytes", [500, 12_000_000])
+def test_substring_dedup_against_brute_force(spark, bucket_bytes):
+    passage = " ".join(f"p{i}" for i in range(33))
+    extra = [(40, f"intro words {passage} outro"), (41, passage), (42, f"x {passage} y {passage}"), (43, " ".join(passage.split()[5:25])), (44, " ".join(passage.split()[5:24])), (45, "the same few words " * 30)]
+    rows = sorted([(i, t) for i, t, *_ in fixtures.rows() if i is not None and i != 13] + extra, key=lambda r: r[0])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.remove_repeats(df, bucket_bytes=bucket_bytes, part_entries=50).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter(removed(rows))
+
+
+def test_substring_dedup_of_awkward_rows(spark):
+    got = substring_dedup.remove_repeats(fixtures.docs(spark), with_text=True).collect()
+    assert len(got) == len(fixtures.rows())
+    by = {r.doc_id: r for r in got}
+    assert by[1].n_removed == 0 and by[2].n_removed == 60 and by[2].text == "" and by[4].n_words == 0
+    assert by[None].text == "text without an id"
+    assert substring_dedup.remove_repeats(fixtures.empty(spark)).count() == 0
+    with pytest.raises(ValueError):
+        substring_dedup.remove_repeats(fixtures.docs(spark), window=10, anchor=10)
+
+
+# ---- Jaccard join
+
+
+def components(rows, percent=75):
+    low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    sets = []
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(low))
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())))
+    up = {i: i for i, _ in rows}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        if a and b and 100 * len(a & b) >= percent * len(a | b):
+            x, y = find(i), find(j)
+            up[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in sets}
+
+
+def mutated(rng, words, n):
+    w = list(words)
+    for _ in range(n):
+        k = rng.randrange(len(w))
+        op = rng.random()
+        if op < 0.5:
+            w[k] = f"m{rng.randrange(10**6)}"
+        elif op < 0.75:
+            del w[k]
+        else:
+            w.insert(k, f"i{rng.randrange(10**6)}")
+    return " ".join(w)
+
+
+def test_jaccard_join_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for size in (1, 3, 5, 6, 8, 12, 20, 40, 90, 200):
+        words = [f"s{size}w{i}" for i in range(size)]
+        for _ in range(12):
+            rows.append((len(rows), mutated(rng, words, rng.randint(0, max(1, size // 16))) if size > 4 else " ".join(words)))
+    line = " ".join(f"line{i}" for i in range(15))
+    rows += [(len(rows) + k, f"{line} " + " ".join(f"u{k}_{i}" for i in range(30))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df, part_entries=500).collect()}
+    assert got == components(rows)
+
+
+def test_signatures_meet_for_every_similar_pair():
+    """The guarantee itself: sets at the very bound share a signature in some band."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 4, 7, 8, 11, 15, 19, 30, 60, 150, 700):
+        for _ in range(15):
+            common = -(-75 * 2 * n // 175)  # |r| = |s| = n and 100 c >= 75 (2n - c)
+            pool = rng.integers(1, 2**63, 2 * n, dtype=np.uint64)
+            r, s = np.unique(pool[:n]), np.unique(np.concatenate([pool[:common], pool[n : 2 * n - common]]))
+            assert jaccard_join.links(r, s)
+            a = {(b, int(x)) for b, sig in jaccard_join.signatures(r) for x in sig}
+            assert a & {(b, int(x)) for b, sig in jaccard_join.signatures(s) for x in sig}, n
+            # A subset of three quarters is at the bound too.
+            t = r[: -(-75 * len(r) // 100)]
+            assert a & {(b, int(x)) for b, sig in jaccard_join.signatures(t) for x in sig}, n
+
+
+def test_jaccard_join_of_awkward_rows(spark):
+    got = jaccard_join.near_duplicates(fixtures.docs(spark)).collect()
+    assert len(got) == len(fixtures.rows())
+    by = {r.doc_id: r.component_id for r in got}
+    assert by[1] == by[2] == by[3] == by[11] == 1 and by[8] == by[9] == by[20] == 8 and by[None] is None
+    assert by[4] == 4 and {r.n_shingles for r in got if r.doc_id in (4, 5, 6)} == {0}
+    assert jaccard_join.near_duplicates(fixtures.empty(spark)).count() == 0
+    kept = jaccard_join.one_of_each(fixtures.docs(spark))
+    assert kept.columns == fixtures.docs(spark).columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, *_ in fixtures.rows()} - {2, 3, 11, 9, 20}
+
+
+def test_components_of_long_chains(spark):
+    from vellum.llm.components import connected_components
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95)], "a long, b long")
+    got = {r.id: r.component for r in connected_components(links).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, 90: 90, 95: 90, 100: 90}
