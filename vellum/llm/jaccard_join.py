@@ -13,10 +13,11 @@ the guarantee to hold (see signatures()).
 
 Plan. Equal sets count once, as the smallest id. Sets that cannot link with any other are ruled out first by
 an exact bound (see needed()), so that a passage which many documents share does not make them meet; the
-others sign. Signatures travel as 32-bit keys in packed payloads to parts of the bands; each part reports
-which documents meet. Where many meet, they are not paired: each is compared with one centre, and only
-where links have not joined all are the rest compared. What meets is verified on the texts' whole
-sets. Links are never gathered; components come from joins.
+others sign. Signatures travel as 32-bit keys in packed payloads to parts of the bands. Where documents meet,
+they are not paired: first each is compared with one centre of its meeting. When the links found have been
+joined to components, the sets sign again, and a part reports only pairs of different components.
+A pair is reported only if its parity sketches differ in k bits or fewer, which linked sets always do. What is
+reported is verified on the texts' whole sets. Links are never gathered; components come from joins.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ PERCENT = 75
 SINGLE_BANDS, BAND = 13, 1.15
 #: Signature entries that a part reads, on the average, and signatures a word on the average.
 PART_ENTRIES, ENTRIES_A_WORD = 1_500_000, 2.3
-#: In a part's groups up to this size all pairs are listed; larger ones are listed as groups.
-SMALL_GROUP = 8
+#: Features for each 512 bits of a band's sketches, and 64-bit words of a sketch at most.
+SKETCH_FEATURES, SKETCH_WORDS = 300, 256
 BROADCAST_ROWS = 1_000_000
 #: Texts hashed at a time.
 SLICE_BYTES = 2_000_000
@@ -181,8 +182,8 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Da
     return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
 
 
-def _payloads(keys: list[np.ndarray], parts: list[np.ndarray], names: np.ndarray, schema: pa.Schema):
-    """One row a part: its 32-bit keys in order of their owner, the owners' names and how many keys each has."""
+def _payloads(keys: list[np.ndarray], parts: list[np.ndarray], records: list[bytes], schema: pa.Schema):
+    """One row a part: its 32-bit keys in order of their owner, the owners' records and how many keys each has."""
     owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
     order, stretches = deal(np.concatenate(parts))
     key, owner = np.concatenate(keys)[order], owner[order]
@@ -190,16 +191,16 @@ def _payloads(keys: list[np.ndarray], parts: list[np.ndarray], names: np.ndarray
     for p, s in stretches:
         mine = owner[s]
         first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-        out.append((p, key[s].tobytes(), names[mine[first]].tobytes(), np.diff(first, append=len(mine)).astype(np.int32).tobytes()))
+        out.append((p, key[s].tobytes(), b"".join([records[o] for o in mine[first].tolist()]), np.diff(first, append=len(mine)).astype(np.int32).tobytes()))
     return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=schema.types[i]) for i in range(4)], schema=schema)
 
 
-PAYLOAD = "part int, keys binary, names binary, counts binary"
-_PAYLOAD = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("names", pa.binary()), ("counts", pa.binary())])
+PAYLOAD = "part int, keys binary, records binary, counts binary"
+_PAYLOAD = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("records", pa.binary()), ("counts", pa.binary())])
 
 
 def _prefixes(width: int, percent: int, parts: int):
-    """Payloads of the sets' prefixes, owners named by their digest; equal sets of a slice count once."""
+    """Payloads of the sets' prefixes, an owner's record being its digest; equal sets of a slice count once."""
 
     def run(batches):
         for batch in batches:
@@ -207,7 +208,7 @@ def _prefixes(width: int, percent: int, parts: int):
                 own = {_digest(s, 11): s for s in shingle_sets(batch.column(0)[a:b].to_pylist(), width) if len(s)}
                 if own:
                     h = [mix(s[: needed(len(s), percent)[0]], 41) for s in own.values()]
-                    yield _payloads([(x & np.uint64(0xFFFFFFFF)).astype(np.uint32) for x in h], [(x >> np.uint64(40)).astype(np.int64) % parts for x in h], np.array(list(own), np.uint64), _PAYLOAD)
+                    yield _payloads([(x & np.uint64(0xFFFFFFFF)).astype(np.uint32) for x in h], [(x >> np.uint64(40)).astype(np.int64) % parts for x in h], [d.to_bytes(8, "little") for d in own], _PAYLOAD)
 
     return run
 
@@ -216,9 +217,9 @@ def _read(rows: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in rows.column(name)), kind)
 
 
-def _entries(rows: pa.Table, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names, key, place in names) of the different pairs in which the key is not alone."""
-    name, which = np.unique(names, return_inverse=True)
+def _entries(rows: pa.Table, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(different names, where each is first, keys, places in names) of the different pairs of key and name in which the key is not alone."""
+    name, first, which = np.unique(names, return_index=True, return_inverse=True)
     entry = _read(rows, "keys", np.uint32).astype(np.uint64) << np.uint64(32) | np.repeat(which.astype(np.uint64), _read(rows, "counts", np.int32))
     entry.sort()
     if len(entry):
@@ -228,7 +229,7 @@ def _entries(rows: pa.Table, names: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     same = key[1:] == key[:-1]
     again[1:] |= same
     again[:-1] |= same
-    return name, key[again], member[again]
+    return name, first, key[again], member[again]
 
 
 def _shared():
@@ -236,82 +237,105 @@ def _shared():
     schema = pa.schema([("d1", pa.int64()), ("n", pa.int64())])
 
     def run(rows: pa.Table) -> pa.Table:
-        name, _, member = _entries(rows, _read(rows, "names", np.uint64))
+        name, _, _, member = _entries(rows, _read(rows, "records", np.uint64))
         n = np.bincount(member, minlength=len(name))
         return pa.Table.from_arrays([pa.array(name[n > 0].view(np.int64)), pa.array(n[n > 0].astype(np.int64))], schema=schema)
 
     return run, "d1 long, n long"
 
 
+def sketch_words(band: int) -> int:
+    return min(SKETCH_WORDS, 8 * -(-int(band_ends()[band]) // SKETCH_FEATURES))
+
+
+def parity_sketch(features: np.ndarray, words: int) -> np.ndarray:
+    """Parities of the numbers of features that fall to each of 64 * words bits. Each feature that only one of two sets has
+    changes one bit, so sketches differ in no more bits than sets in features."""
+    bits = np.bincount((mix(features, 51) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _sign(width: int, percent: int, subparts: int):
-    """Payloads of the signatures, owners named by their id."""
+    """Payloads of the signatures of (doc_id, text, label). A record has id, label, size and the band's sketch."""
 
     def run(batches):
         for batch in batches:
             for a, b in _slices(batch.column(1)):
-                ids, keys, parts = [], [], []
-                for i, s in zip(batch.column(0)[a:b].to_pylist(), shingle_sets(batch.column(1)[a:b].to_pylist(), width)):
-                    if i is not None and len(s):
-                        made = list(signatures(s, percent))
-                        ids.append(i)
-                        keys.append(np.concatenate([(x & np.uint64(0xFFFFFFFF)).astype(np.uint32) for _, x in made]))
-                        parts.append(np.concatenate([(x >> np.uint64(40)).astype(np.int64) % subparts + band * subparts for band, x in made]))
-                if ids:
-                    yield _payloads(keys, parts, np.array(ids, np.int64), _PAYLOAD)
+                keys, parts, records = [], [], []
+                for i, label, s in zip(batch.column(0)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(), shingle_sets(batch.column(1)[a:b].to_pylist(), width)):
+                    if i is None or not len(s):
+                        continue
+                    head = np.array([i, label, len(s)], np.int64).tobytes()
+                    for band, x in signatures(s, percent):
+                        keys.append((x & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+                        parts.append((x >> np.uint64(40)).astype(np.int64) % subparts + band * subparts)
+                        records.append(head + parity_sketch(s, sketch_words(band)).tobytes())
+                if keys:
+                    yield _payloads(keys, parts, records, _PAYLOAD)
 
     return run
 
 
-STAR, PAIR, GROUP = 0, 1, 2
-
+def _meet(percent: int, subparts: int, across: bool):
+    """(a, b), a < b, of documents that meet in a part and whose sketches allow a link.
 
-def _meet():
-    """Who meets in a part. Rows (kind, a, b): STAR centre and member, PAIR two members, GROUP group and member."""
-    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+    Not across: each document with the centre of its meetings, the one that meets others most often, in a group of near
+    copies most likely their source. Across: all pairs with different labels.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(rows: pa.Table) -> pa.Table:
-        ids, key, member = _entries(rows, _read(rows, "names", np.int64))
-        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        words = sketch_words(rows.column("part")[0].as_py() // subparts)
+        record = _read(rows, "records", np.int64).reshape(-1, 3 + words)
+        # Rows with equal ids but different texts are told apart.
+        _, first, key, member = _entries(rows, mix(record[:, 0].view(np.uint64)) ^ record[:, 3].view(np.uint64))
+        record = record[first]
+        ids, label, size, sketch = record[:, 0], record[:, 1], record[:, 2], record[:, 3:].view(np.uint64)
+        pairs: list[np.ndarray] = []
+
+        def allowed(x: np.ndarray, y: np.ndarray) -> None:
+            """Keep the different pairs (x, y) with sketches near enough."""
+            both = np.unique(np.minimum(x, y).astype(np.uint64) << np.uint64(32) | np.maximum(x, y).astype(np.uint64))
+            x, y = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            for at in range(0, len(x), step := max(1, 2_000_000 // words)):
+                p, q = x[at : at + step], y[at : at + step]
+                apart = np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64)
+                ok = (apart <= (size[p] + size[q]) * (100 - percent) // (100 + percent)) & (ids[p] != ids[q])
+                pairs.append(both[at : at + step][ok])
+
         if len(key):
-            # The centre is the one that meets others most often, in a group of near copies most likely their source.
             meets = np.bincount(member, minlength=len(ids))
-            rank_to_doc = np.lexsort((ids, -meets))
+            by_rank = np.lexsort((ids, -meets))
             rank = np.empty(len(ids), np.int64)
-            rank[rank_to_doc] = np.arange(len(ids))
+            rank[by_rank] = np.arange(len(ids))
             order = np.lexsort((rank[member], key))
-            key, member = key[order], rank[member[order]]
+            key, member = key[order], member[order]
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(starts, append=len(key))
-            centre = np.repeat(member[starts], sizes)
-
-            def pairs(x, y):
-                both = np.unique(x.astype(np.uint64) << np.uint64(32) | y.astype(np.uint64))
-                return ids[rank_to_doc[(both >> np.uint64(32)).astype(np.int64)]], ids[rank_to_doc[(both & np.uint64(0xFFFFFFFF)).astype(np.int64)]]
-
-            other = centre != member
-            out.append((STAR, *pairs(centre[other], member[other])))
-            rest: list[tuple[np.ndarray, np.ndarray]] = []
-            for g in range(3, SMALL_GROUP + 1):
-                block = starts[sizes == g][:, None] + np.arange(g)
-                if len(block):
-                    members = member[block]
-                    rest += [(members[:, i], members[:, j]) for i, j in combinations(range(1, g), 2)]
-            if rest:
-                out.append((PAIR, *pairs(np.concatenate([x for x, _ in rest]), np.concatenate([y for _, y in rest]))))
-            large = sizes > SMALL_GROUP
-            if large.any():
-                # Signatures that the same documents share are one group, named by its members.
-                doc = ids[rank_to_doc[member]]
-                name = np.add.reduceat(mix(doc.view(np.uint64), 31), starts)
-                _, one = np.unique(name[large], return_index=True)
-                chosen = np.flatnonzero(large)[one]
-                at = np.concatenate([np.arange(starts[c], starts[c] + sizes[c]) for c in chosen])
-                out.append((GROUP, np.repeat(name[chosen], sizes[chosen]).view(np.int64), doc[at]))
-        kinds = [np.full(len(a), k, np.int32) for k, a, _ in out]
-        cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-        return pa.Table.from_arrays([pa.array(cat(kinds, np.int32)), pa.array(cat([a for _, a, _ in out], np.int64)), pa.array(cat([b for _, _, b in out], np.int64))], schema=schema)
-
-    return run, "kind int, a long, b long"
+            if not across:
+                centre = np.repeat(member[starts], sizes)
+                other = centre != member
+                allowed(centre[other], member[other])
+            else:
+                # Meetings in which all have one label are done with; equal meetings are looked at once.
+                own = label[member]
+                mixed = np.minimum.reduceat(own, starts) < np.maximum.reduceat(own, starts)
+                _, one = np.unique(np.add.reduceat(mix(member.astype(np.uint64), 31), starts), return_index=True)
+                chosen = one[mixed[one]]
+                for g in np.unique(sizes[chosen]).tolist():
+                    block = member[starts[chosen[sizes[chosen] == g]][:, None] + np.arange(g)]
+                    for row in np.array_split(block, max(1, block.size * g // 4_000_000)):
+                        for i in range(0, g, step := max(1, 4_000_000 // max(1, row.shape[0] * g))):
+                            x, y = row[:, i : i + step, None], row[:, None, :]
+                            differ = (label[x] != label[y]) & (np.arange(g)[None, i : i + step, None] < np.arange(g)[None, None, :])
+                            k, u, v = np.nonzero(differ)
+                            if len(k):
+                                allowed(row[k, i + u], row[k, v])
+        both = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
+        x, y = ids[(both >> np.uint64(32)).astype(np.int64)], ids[(both & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        return pa.Table.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
+
+    return run, "a long, b long"
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -359,30 +383,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     n = able.agg(F.sum("n_shingles")).first()[0] or 0
     ids, _ = small_or_not(able.select("doc_id").distinct(), BROADCAST_ROWS)
     texts = settle(docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).join(ids, "doc_id", "left_semi"))
-    f, schema = _meet()
-    signed = texts.mapInArrow(_sign(width, percent, max(1, int(n * ENTRIES_A_WORD / part_entries / 16))), PAYLOAD)
-    met = settle(signed.groupBy("part").applyInArrow(f, schema).distinct())
-    star = settle(met.filter(F.col("kind") == STAR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    subparts = max(1, int(n * ENTRIES_A_WORD / part_entries / 16))
+
+    def met(labelled: DataFrame, across: bool) -> DataFrame:
+        f, schema = _meet(percent, subparts, across)
+        signed = labelled.select("doc_id", "text", "label").mapInArrow(_sign(width, percent, subparts), PAYLOAD)
+        return signed.groupBy("part").applyInArrow(f, schema).distinct()
+
+    star = settle(met(texts.withColumn("label", F.col("doc_id")), False))
     found = settle(verified(star, texts, width, percent))
     component = connected_components(found)
-
-    def labelled(frame: DataFrame, name: str) -> DataFrame:
-        own = component.select(F.col("id").alias(name), F.col("component").alias(f"_of_{name}"))
-        return frame.join(own, name, "left").withColumn(f"_of_{name}", F.coalesce(f"_of_{name}", name))
-
-    # What is left: pairs that met, in different components still, and not compared yet.
-    listed = labelled(labelled(met.filter(F.col("kind") == PAIR).select("a", "b"), "a"), "b").filter("_of_a <> _of_b")
-    group = labelled(met.filter(F.col("kind") == GROUP).select(F.col("a").alias("g"), F.col("b").alias("a")), "a")
-    mixed = group.groupBy("g").agg(F.min("_of_a").alias("_low"), F.max("_of_a").alias("_high")).filter("_low <> _high").select("g")
-    group = settle(group.join(mixed, "g", "left_semi"))
-    across = group.join(group.select("g", F.col("a").alias("b"), F.col("_of_a").alias("_of_b")), "g").filter("_of_a < _of_b")
-    rest = listed.select("a", "b").union(across.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = settle(rest.join(star, ["a", "b"], "left_anti"))
+    labels, _ = small_or_not(component, BROADCAST_ROWS)
+    labelled = texts.join(labels.select(F.col("id").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    rest = settle(met(labelled, True).join(star, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = settle(verified(rest, texts, width, percent))
         if not more.isEmpty():
             component = connected_components(found.union(more))
-    # Equal ids with different texts tie their classes together.
     whole = classes.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(whole, ["n_shingles", "d1", "d2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
