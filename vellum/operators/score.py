@@ -147,7 +147,8 @@ def query_text(mention: Column, full_text: Column) -> Column:
 
 def neural_score(a: Column, b: Column) -> Column:
     """(cosine + 1) / 2 within 0..1; .5 where an embedding is missing."""
-    return F.coalesce(F.least(F.greatest((cosine(a, b) + 1) / 2, _d(0)), _d(1)), _d(0.5))
+    c = cosine(a, b)
+    return F.when(c.isNull(), _d(0.5)).otherwise(F.least(F.greatest((c + 1) / 2, _d(0)), _d(1)))
 
 
 def hashed_ngrams(text: Column, size: int = 64, n: int = 3) -> Column:

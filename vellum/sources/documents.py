@@ -23,7 +23,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, kind, visual, error): files of any kind; empty and undecodable ones have an error and no text."""
+    """(doc_id, kind, visual, error): files of any kind; undecodable ones have an error and no text. Spark's reader passes over files of no bytes."""
     raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc_id"), "content")
     text = F.try_validate_utf8(F.col("content").cast("string"))
     rows = raw.select("doc_id", text.alias("content"), F.length("content").alias("_n")).withColumn("kind", F.when(F.col("_n") == 0, "empty").otherwise(kind_of(F.col("doc_id"), F.col("content"))))
