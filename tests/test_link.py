@@ -124,7 +124,7 @@ def test_explanations(spark):
     c = {"eras": F.lit("e"), "residencesLabels": strings("Bray"), "ancestorLabels": strings("Wicklow"), "floruitEarliest": F.lit("1646"), "floruitLatest": F.lit("1650")}
     got = value(spark, explain.explain_person(F.lit("Ann"), F.lit(0.71234), f, c, strings("wicklow")))
     assert got == (
-        "Ann scores 0.712 as their name closely matches the mention, their VRTI era (e) aligns with the document era (early-modern-1500-1749), they reside in Bray, whose parent geography includes Wicklow, which is mentioned in the document, "
+        "Ann scores 0.712 as their name closely matches the mention, their KG era (e) aligns with the document era (early-modern-1500-1749), they reside in Bray, whose parent geography includes Wicklow, which is mentioned in the document, "
         "their floruit period (1646 to 1650) is very close to the document year (1641), and the semantic context provides limited support for this candidate."
     )
     f = {k: F.lit(x) for k, x in {"name": 0.3, "hierarchy": 0.8, "type_match": 1.0, "historical": 0.3, "neural": 0.8}.items()}

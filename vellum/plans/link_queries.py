@@ -160,7 +160,7 @@ WITH {SQL_FEATURES}, x AS (SELECT *, printf('%s scores %.3f', mention, score + 0
   CASE kind WHEN 0 THEN 'county' WHEN 1 THEN 'town, parish' WHEN 2 THEN 'townland' END AS kinds FROM (SELECT r.*, t."full" AS full2 FROM ranked r JOIN texts t ON t.doc_id = r.doc_id) y),
 y AS (SELECT *, CASE WHEN contains(enear, 'county') THEN 'county' WHEN contains(enear, 'town') THEN 'town' END AS word,
   CASE WHEN hierarchy = 1 THEN 'it is directly mentioned elsewhere in the document' WHEN hierarchy >= 0.75 THEN 'its parent place (' || parent || ') is mentioned in the document' WHEN hierarchy = 0 THEN 'it has no geographic overlap with other locations mentioned in the document' END AS h,
-  CASE WHEN historical = 1 THEN 'it has an early-modern historical approximation in VRTI' WHEN historical >= 0.7 THEN 'it has historical approximation links in VRTI' ELSE 'it has no historical approximation link' END AS p FROM x),
+  CASE WHEN historical = 1 THEN 'it has an early-modern historical approximation in KG' WHEN historical >= 0.7 THEN 'it has historical approximation links in KG' ELSE 'it has no historical approximation link' END AS p FROM x),
 z AS (SELECT *, CASE WHEN type_match = 1 THEN CASE WHEN word IS NOT NULL THEN 'its type (' || kinds || ') aligns with the document context mentioning ''' || word || '''' END WHEN type_match < 0.5 THEN 'its type (' || coalesce(kinds, 'unknown') || ') does not match the document context' END AS t FROM y)
 SELECT doc_id, mention, place, a || ' as ' || array_to_string(list_filter([b, t, h, p], lambda q: q IS NOT NULL), ', ') || ', and its contextual semantic match to the mention is weak.' AS explanation FROM z WHERE rank <= 5
 """)
