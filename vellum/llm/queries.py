@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontaminate, html_text, jaccard_join, language, merkle, mixing, sharding, substring_dedup, surrogates, tokens
+from vellum.llm import decontaminate, html_text, jaccard_join, language, merkle, mixing, oracles, sharding, substring_dedup, surrogates, tokens
 from vellum.llm.common import table
 
 
@@ -63,4 +63,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op10_merkle": merkle.oracle()}
+    return {"op2_decontaminate": oracles.DECONTAMINATE, "op8_substring_dedup": oracles.SUBSTRINGS, "op9_jaccard_join": oracles.JACCARD, "op10_merkle": merkle.oracle()}
