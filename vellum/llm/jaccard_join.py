@@ -232,14 +232,29 @@ def _entries(rows: pa.Table, names: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return name, first, key[again], member[again]
 
 
-def _shared():
-    """(d1, n): how many of a set's prefix features in this part other sets have in theirs."""
-    schema = pa.schema([("d1", pa.int64()), ("n", pa.int64())])
+def _shared(parts: int):
+    """How many of a set's prefix features in this part other sets have in theirs: packed pairs of digest and number, dealt by digest."""
+    schema = pa.schema([("part", pa.int32()), ("d1", pa.binary()), ("n", pa.binary())])
 
     def run(rows: pa.Table) -> pa.Table:
         name, _, _, member = _entries(rows, _read(rows, "records", np.uint64))
-        n = np.bincount(member, minlength=len(name))
-        return pa.Table.from_arrays([pa.array(name[n > 0].view(np.int64)), pa.array(n[n > 0].astype(np.int64))], schema=schema)
+        n = np.bincount(member, minlength=len(name)).astype(np.int32)
+        name, n = name[n > 0], n[n > 0]
+        order, stretches = deal((name % np.uint64(parts)).astype(np.int64)) if len(name) else (None, [])
+        out = [(p, name[order[s]].tobytes(), n[order[s]].tobytes()) for p, s in stretches]
+        return pa.Table.from_arrays([pa.array([o[i] for o in out], type=schema.types[i]) for i in range(3)], schema=schema)
+
+    return run, "part int, d1 binary, n binary"
+
+
+def _summed():
+    """(d1, n): the parts' numbers of each set summed up."""
+    schema = pa.schema([("d1", pa.int64()), ("n", pa.int64())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        name, which = np.unique(_read(rows, "d1", np.int64), return_inverse=True)
+        n = np.bincount(which, weights=_read(rows, "n", np.int32)).astype(np.int64)
+        return pa.Table.from_arrays([pa.array(name), pa.array(n)], schema=schema)
 
     return run, "d1 long, n long"
 
@@ -375,9 +390,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     sets = settle(document_sets(docs, id_col, text_col, width))
     classes = settle(sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")))
     n = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    f, schema = _shared()
-    prefixes = docs.select(column(text_col).alias("text")).mapInArrow(_prefixes(width, percent, max(1, int(n / 2 / part_entries))), PAYLOAD)
-    shared = prefixes.groupBy("part").applyInArrow(f, schema).groupBy("d1").agg(F.sum("n").alias("n"))
+    parts = max(1, int(n / 2 / part_entries))
+    f, schema = _shared(parts)
+    prefixes = docs.select(column(text_col).alias("text")).mapInArrow(_prefixes(width, percent, parts), PAYLOAD)
+    counted = prefixes.groupBy("part").applyInArrow(f, schema)
+    f, schema = _summed()
+    shared = counted.groupBy("part").applyInArrow(f, schema)
     o = F.floor((F.col("n_shingles") * percent + 99) / 100)
     able = settle(classes.join(shared, "d1").filter(F.col("n") >= F.greatest(F.lit(1), F.floor(o / 4))).select(F.col("rep").alias("doc_id"), "n_shingles").distinct())
     n = able.agg(F.sum("n_shingles")).first()[0] or 0
