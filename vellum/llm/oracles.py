@@ -41,3 +41,28 @@ e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
 r AS (SELECT x AS doc_id, y AS other FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.other)
 SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, least(t.doc_id, coalesce((SELECT min(other) FROM r WHERE r.doc_id = t.doc_id), t.doc_id)) AS component_id FROM t LEFT JOIN n ON n.doc_id = t.doc_id
 """
+
+
+def _permuted(source: str, v: str, rounds: int, key: str) -> str:
+    """Rows of source with p, the Feistel rounds applied to v once; source has a and b."""
+    sql = f"SELECT *, {v} // b AS l, {v} % b AS r FROM {source}"
+    for i in range(rounds):
+        own, other, size = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+        sql = f"SELECT * REPLACE (({own} + CAST('0x' || substr(md5('{key}:{i}:' || {other}), 1, 8) AS BIGINT) % {size}) % {size} AS {own}) FROM ({sql}) q{i}"
+    return f"SELECT * EXCLUDE (l, r), l * b + r AS p FROM ({sql}) q"
+
+
+def sharding(shards: int, key: str) -> str:
+    """Row numbers by hash bucket, the walk as a recursion, and CRC-32 by its table."""
+    first = _permuted("numbered", "row", 6, key)
+    again = _permuted("(SELECT * EXCLUDE (p), p AS v FROM walk WHERE p >= n) w", "v", 6, key).replace("SELECT * EXCLUDE (l, r), ", "SELECT * EXCLUDE (l, r, v), ", 1)
+    return f"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(0, 256), lambda k: list_reduce(list_prepend(k, range(0, 8)), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size,
+  list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes, substr(md5(CAST(doc_id AS VARCHAR)), 1, 3) AS bucket FROM documents),
+c AS (SELECT doc_id, size, bucket, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda s, x: xor(s // 256, t[(xor(s, x) & 255) + 1])), 4294967295) AS crc FROM d, tab),
+total AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM documents),
+numbered AS (SELECT doc_id, size, crc, row_number() OVER (ORDER BY bucket, doc_id) - 1 AS row, n, a, (n + a - 1) // a AS b FROM c, total),
+walk AS ({first} UNION ALL {again})
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(p % {shards} AS INT) AS shard, p // {shards} AS slot, CAST(NULL AS INT) AS grown_shard FROM walk WHERE p < n
+"""

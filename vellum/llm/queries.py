@@ -63,4 +63,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_decontaminate": oracles.DECONTAMINATE, "op8_substring_dedup": oracles.SUBSTRINGS, "op9_jaccard_join": oracles.JACCARD, "op10_merkle": merkle.oracle()}
+    return {"op2_decontaminate": oracles.DECONTAMINATE, "op4_sharding": oracles.sharding(8, sharding.KEY), "op8_substring_dedup": oracles.SUBSTRINGS, "op9_jaccard_join": oracles.JACCARD, "op10_merkle": merkle.oracle()}
