@@ -145,10 +145,13 @@ def mix_documents(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, mos
     targets = settle(source_targets(rows, weights, most))
     pieces = pieces_of(offsets(rows), block).filter("n > 0").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("src", "block", "from_word", "n")).alias("_pieces"))
     text = column(text_col)
-    full = docs.select(column(id_col).alias("_id"), F.xxhash64(text).alias("_tie"), F.regexp_extract_all(text, F.lit(f"({WORD})")).alias("_words"), *[column(c).alias(f"_keep_{i}") for i, c in enumerate(keep or [])])
+    # Texts travel as texts: as arrays of words they would take several times the room.
+    full = docs.select(column(id_col).alias("_id"), F.xxhash64(text).alias("_tie"), text.alias("_text"), *[column(c).alias(f"_keep_{i}") for i, c in enumerate(keep or [])])
     # Rows that repeat whole meet the pieces of all their repetitions, so one of them stands for all.
     full = full.dropDuplicates(["_id", "_tie"])
-    each = F.transform("_pieces", lambda p: F.struct(p["src"].alias("src"), p["block"].alias("block"), p["from_word"].alias("from_word"), F.array_join(F.slice("_words", (p["from_word"] + 1).cast("int"), p["n"].cast("int")), " ").alias("text")))
+    piece = lambda words: lambda p: F.struct(p["src"].alias("src"), p["block"].alias("block"), p["from_word"].alias("from_word"), F.array_join(F.slice(words, (p["from_word"] + 1).cast("int"), p["n"].cast("int")), " ").alias("text"))
+    # The outer transform, over one array of words, binds it, so a text is cut into words once.
+    each = F.get(F.transform(F.array(F.regexp_extract_all("_text", F.lit(f"({WORD})"))), lambda words: F.transform("_pieces", piece(words))), F.lit(0))
     cut = full.join(pieces, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie"))).withColumn("_p", F.explode(each))
     cut = cut.select("doc_id", "_p.src", "_p.block", "_p.from_word", "_p.text", *[f"_keep_{i}" for i, _ in enumerate(keep or [])])
     mixed = cut.join(slots(draws(targets, shards, block, most, key), key), ["src", "block"])
