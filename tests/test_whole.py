@@ -23,3 +23,13 @@ def test_retrieve_blocked_looks_up_every_customer(run):
     got = run("retrieve_blocked", customer=(customers, "c_custkey long, c_name string"), supplier=(suppliers, "s_suppkey long, s_name string"))
     want = [(c[9:].lower(), k) for _, c in customers for k, s in suppliers if c[13:].lower() in s.lower()]
     assert sorted((r.mention, r.supplier) for r in got) == sorted(want) and {"000000401", "000001500"} <= {m for m, _ in want}
+
+
+def test_semantic_filter_takes_the_whole_table(run):
+    parts = [(k, f"brand{k % 3}" if k <= 900 else "late", "red widget") for k in range(1, 908)]
+    got = run("semantic_filter", part=(parts, "p_partkey long, p_brand string, p_name string"))
+    want = []
+    for b in ("brand0", "brand1", "brand2", "late"):
+        group = sorted((-round(k % 21 * 5.0, 1), k) for k, x, _ in parts if x == b)
+        want += [(b, k, -h) for h, k in (group if len(group) <= 10 else [x for x in group if x[0] <= -70][:8])]
+    assert sorted((r.b, r.k, r.hybrid) for r in got) == sorted(want) and max(k for _, k, _ in want) == 907
