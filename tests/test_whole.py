@@ -1,5 +1,7 @@
 """Registered queries on small tables that reach past the ids they once stopped at, against brute force."""
 
+import difflib
+
 import pytest
 
 from vellum.plans import registry
@@ -33,3 +35,21 @@ def test_semantic_filter_takes_the_whole_table(run):
         group = sorted((-round(k % 21 * 5.0, 1), k) for k, x, _ in parts if x == b)
         want += [(b, k, -h) for h, k in (group if len(group) <= 10 else [x for x in group if x[0] <= -70][:8])]
     assert sorted((r.b, r.k, r.hybrid) for r in got) == sorted(want) and max(k for _, k, _ in want) == 907
+
+
+def test_every_part_name_is_retrieved_and_ranked(run):
+    names = ["red widget", "old widget", "Widget", "blue gear", "pale gearbox", "x"]
+    parts = [(k, names[k % 4] if k <= 200 else names[4 + k % 2]) for k in range(1, 210)]
+    table = {"part": (parts, "p_partkey long, p_name string")}
+    met = {m: sorted((k, n) for k, n in parts if m.split()[-1].lower() in n.lower()) for m in names}
+    got = run("retrieve_person", **table)
+    assert sorted((r.mention, r.person, r.full_name) for r in got) == sorted((m, k, n) for m in names for k, n in met[m][:30])
+
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    order = lambda s: " ".join(sorted(s.split()))
+    by_hand = lambda a, b: round(0.5 * (a == b) + 0.3 * ratio(a, b) + 0.2 * ratio(order(a), order(b)), 6)
+    want = []
+    for m in names:
+        best = sorted((-by_hand(m.lower(), n.lower()), k) for k, n in met[m])[:5]
+        want += [(m, k, -s, i + 1) for i, (s, k) in enumerate(best)]
+    assert sorted((r.mention, r.k, r.score, r.rank) for r in run("baseline_rank", **table)) == [(m, k, pytest.approx(s), i) for m, k, s, i in sorted(want)]

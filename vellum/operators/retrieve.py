@@ -49,7 +49,11 @@ def limit_per(pairs: DataFrame, by: list[str], order: list[str], most: int) -> D
 
 
 def retrieve_persons(mentions: DataFrame, persons: DataFrame, by: list[str], key: str = "mention", name: str = "full_name", uri: str = "person", most: int = PERSON_LIMIT) -> DataFrame:
-    """Persons whose name contains the mention's last word, the first `most` by URI for each mention."""
+    """Persons whose name contains the mention's last word, the first `most` by URI for each mention.
+
+    Persons of one name meet the same mentions, so only the first `most` of each name can be among a mention's first.
+    """
+    persons = limit_per(persons, [name], [uri], most)
     return limit_per(contains_join(mentions.withColumn("_last", last_token(F.col(key))), persons, "_last", name).drop("_last"), by, [uri], most)
 
 

@@ -93,7 +93,7 @@ WITH m AS (SELECT DISTINCT p_name AS mention FROM part WHERE p_partkey <= 60), k
 r AS (SELECT mention, p_partkey AS person, p_name AS full_name, row_number() OVER (PARTITION BY mention ORDER BY p_partkey) AS n FROM k JOIN part ON contains(lower(p_name), last)) SELECT mention, person, full_name FROM r WHERE n <= 30
 """)
 def retrieve_person(spark, sf_dir):
-    mentions = star_sql(spark, sf_dir, "SELECT DISTINCT p_name AS mention FROM part WHERE p_partkey <= 60")
+    mentions = star_sql(spark, sf_dir, "SELECT DISTINCT p_name AS mention FROM part")
     persons = star_sql(spark, sf_dir, "SELECT p_partkey AS person, p_name AS full_name FROM part")
     return retrieve.retrieve_persons(mentions, persons, ["mention"]).select("mention", "person", "full_name")
 
