@@ -1,6 +1,8 @@
 """Registered queries on small tables that reach past the ids they once stopped at, against brute force."""
 
 import difflib
+import math
+import random
 
 import pytest
 
@@ -53,3 +55,17 @@ def test_every_part_name_is_retrieved_and_ranked(run):
         best = sorted((-by_hand(m.lower(), n.lower()), k) for k, n in met[m])[:5]
         want += [(m, k, -s, i + 1) for i, (s, k) in enumerate(best)]
     assert sorted((r.mention, r.k, r.score, r.rank) for r in run("baseline_rank", **table)) == [(m, k, pytest.approx(s), i) for m, k, s, i in sorted(want)]
+
+
+def test_cosine_rank_asks_every_hundredth_vector(run):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(302)]
+    rows[3] = (3, list(rows[0][1]))
+    got = run("cosine_rank", embeddings=(rows, "vec_id long, embedding array<float>"))
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    want = []
+    for q in (0, 100, 200, 300):
+        best = sorted((-(cos(e, rows[q][1]) + 1) / 2, i) for i, e in rows if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted((r.q, r["rank"], r.vec_id, r.neural) for r in got) == [(q, k, i, pytest.approx(s, abs=1e-4)) for q, k, i, s in sorted(want)]
+    assert {r.vec_id for r in got if r.q == 0} & {3}
