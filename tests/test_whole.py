@@ -69,3 +69,10 @@ def test_cosine_rank_asks_every_hundredth_vector(run):
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted((r.q, r["rank"], r.vec_id, r.neural) for r in got) == [(q, k, i, pytest.approx(s, abs=1e-4)) for q, k, i, s in sorted(want)]
     assert {r.vec_id for r in got if r.q == 0} & {3}
+
+
+def test_xml_paragraphs_keeps_markup_characters(run):
+    texts = ["a < b & c > d\n\n&amp; stays &lt;p&gt;", "<p>x</p>\n  <!-- y -->", "]]> & <![CDATA[z]]>", "plain\ntext", "&"]
+    got = run("xml_paragraphs", documents=(list(enumerate(texts)), "doc_id long, text string"))
+    lines = [[x for x in t.split("\n") if x.strip()] for t in texts]
+    assert sorted((r.doc_id, r.n_paragraphs, r.text) for r in got) == [(i, len(x), "\n".join(x)) for i, x in enumerate(lines)]

@@ -185,13 +185,19 @@ def markup_detect(spark, sf_dir):
     return p.select("page_id", sources.kind_of(F.col("url"), F.col("html")).alias("kind"), F.length("html").cast("long").alias("n_chars"))
 
 
+def _escaped(text):
+    for c, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(c), F.lit(entity))
+    return text
+
+
 @query("xml_paragraphs", r"""
 SELECT doc_id, CAST(len(l) AS BIGINT) AS n_paragraphs, array_to_string(l, chr(10)) AS text FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents WHERE NOT regexp_matches(text, '[<>&]'))
 """)
 def xml_paragraphs(spark, sf_dir):
-    """Documents written as TEI, one paragraph a line, and read again by the extractor; those with markup characters are left to tests."""
-    d = docs(spark, sf_dir).filter(~F.col("text").rlike("[<>&]"))
-    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    """Documents written as TEI, one paragraph a line with its markup characters escaped, and read again by the extractor."""
+    d = docs(spark, sf_dir)
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("<p>"), _escaped(x), F.lit("</p>")))
     tei = d.select("doc_id", F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body>'), F.array_join(lines, ""), F.lit("</body></text></TEI>")).alias("content"))
     got = sources.extract_tei(tei)
     return got.select("doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.col("visual").alias("text"))
