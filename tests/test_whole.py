@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from vellum.operators import retrieve
 from vellum.plans import registry
 
 
@@ -76,3 +77,18 @@ def test_xml_paragraphs_keeps_markup_characters(run):
     got = run("xml_paragraphs", documents=(list(enumerate(texts)), "doc_id long, text string"))
     lines = [[x for x in t.split("\n") if x.strip()] for t in texts]
     assert sorted((r.doc_id, r.n_paragraphs, r.text) for r in got) == [(i, len(x), "\n".join(x)) for i, x in enumerate(lines)]
+
+
+def test_retrieve_place_keeps_all_candidates(run):
+    nations = [(i, f"NATION_{i}", i % 5) for i in range(25)]
+    regions = [(i, f"R{i}") for i in range(5)]
+    got = run("retrieve_place", nation=(nations, "n_nationkey long, n_name string, n_regionkey long"), region=(regions, "r_regionkey long, r_name string"))
+    of_one = sorted(r.place for r in got if r.doc_id == 0 and r.mention == "nation_1")
+    assert of_one == [1, *range(10, 20)]
+
+
+def test_small_place_limit(spark):
+    places = spark.createDataFrame([(f"u{i}", "Cork") for i in range(9)], "place string, name string")
+    mentions = spark.createDataFrame([("cork",)], "mention string")
+    assert sorted(r.place for r in retrieve.retrieve_places(mentions, places, ["mention"], most=7).collect()) == [f"u{i}" for i in range(7)]
+    assert retrieve.retrieve_places(mentions, places, ["mention"]).count() == 9

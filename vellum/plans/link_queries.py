@@ -85,7 +85,7 @@ SELECT doc_id, mention, place, english FROM r WHERE n <= 7
 def retrieve_place(spark, sf_dir):
     mentions = star_sql(spark, sf_dir, f"SELECT DISTINCT doc_id, mention FROM {MENTIONS} m")
     places = star_sql(spark, sf_dir, "SELECT n_nationkey AS place, n_name AS english FROM nation")
-    return retrieve.retrieve_places(mentions, places, ["doc_id", "mention"], name="english", most=7).select("doc_id", "mention", "place", "english")
+    return retrieve.retrieve_places(mentions, places, ["doc_id", "mention"], name="english").select("doc_id", "mention", "place", "english")
 
 
 @query("retrieve_person", """
