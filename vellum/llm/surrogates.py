@@ -11,6 +11,10 @@ stay vowels; given names on the lists are replaced from the list of the same gen
 and never by a listed name. Card numbers keep their Luhn state, phone numbers their country code,
 addresses of the internet stay dotted quads, secrets keep their alphabet. check() states the collision
 checks that every document's replacements must pass.
+
+A person is found by a title or a listed given name in front of a capitalised name; the names so found are
+replaced wherever else the same document has them, before or after, alone or in a row. A person whom a
+document names only otherwise is not found.
 """
 
 from __future__ import annotations
@@ -42,7 +46,9 @@ VOWELS = frozenset(ALPHABETS[0] + ALPHABETS[2] + ALPHABETS[4] + ALPHABETS[6])
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 
 _NAME = r"[^\W\d_][^\W\d_]+(?:['’-][^\W\d_]+)*"
-HINT = re.compile(r"[@0-9]|\b(?:" + "|".join(TITLES_F + TITLES_M + TITLES_N) + r")\b")
+_UPPER = "[" + "".join(c for c in map(chr, range(0x530)) if c.isupper()) + "]"  # Latin, Greek and Cyrillic
+_GIVEN = r"\b(?:" + "|".join(x for n in GIVEN_F + GIVEN_M for x in (n, n.upper())) + r")(?: (?=" + _UPPER + ")" + _NAME + r"){1,2}"
+HINT = re.compile(r"[@0-9]|\b(?:" + "|".join(TITLES_F + TITLES_M + TITLES_N + GIVEN_F + GIVEN_M + tuple(n.upper() for n in GIVEN_F + GIVEN_M)) + r")\b")
 ENTITY = re.compile(
     r"(?P<email>[\w.+%-]+@[\w-]+(?:\.[\w-]+)+)"
     r"|(?P<secret>(?<![0-9A-Za-z])(?=[0-9A-Za-z_-]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|AKIA)[-_]?[0-9A-Za-z]{16,64})(?![0-9A-Za-z]))"
@@ -51,7 +57,7 @@ ENTITY = re.compile(
     r"|(?P<card>(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\d))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z]))"
     r"|(?P<phone>(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?!\d)|\+\d{8,14}(?!\d))"
-    r"|(?P<person>\b(?P<title>" + "|".join(TITLES_F + TITLES_M + TITLES_N) + r")\b\.? (?=[^\W\d_a-z])" + _NAME + r"(?: (?=[^\W\d_a-z])" + _NAME + r"){0,2})"
+    r"|(?P<person>" + _GIVEN + r"|\b(?P<title>" + "|".join(TITLES_F + TITLES_M + TITLES_N) + r")\b\.? (?=[^\W\d_a-z])" + _NAME + r"(?: (?=[^\W\d_a-z])" + _NAME + r"){0,2})"
 )
 OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_entities", pa.int64()), ("n_distinct", pa.int64()), ("kinds", pa.string())])
 
@@ -165,18 +171,40 @@ def _surname(word: str, key: bytes) -> str:
     return new
 
 
+def _bare(word: str) -> tuple[str, str]:
+    """A name and its possessive ending, which is no part of it."""
+    n = len(word) - 2 * (len(word) > 3 and word[-2] in "'’" and word[-1] in "sS")
+    return word[:n], word[n:]
+
+
+def _again(text: str, found: list[re.Match]) -> re.Pattern | None:
+    """Other mentions of the persons that are found in text: up to three of their names in a row."""
+    names = set()
+    for m in found:
+        if m.lastgroup in ("person", "title"):
+            name = text[m.end("title") if m["title"] else m.start() : m.end()].removeprefix(".")
+            names |= {_bare(w)[0] for w in name.split()}
+    names = {x for n in names if not n[0].islower() for x in (n, n.capitalize(), n.upper())}
+    if not names:
+        return None
+    one = "(?:" + "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n))) + r")(?:['’][sS])?(?!\w|['’-]\w)"
+    return re.compile(rf"(?<!\w)(?<!\w['’-]){one}(?: {one}){{0,2}}")
+
+
 def _person(text: str, title: str, key: bytes) -> str:
     gender = "f" if title in TITLES_F else "m" if title in TITLES_M else ""
-    head = re.match(re.escape(title) + r"\.? ", text).end()
+    head = re.match(re.escape(title) + r"\.? ", text).end() if title else 0
     words = text[head:].split(" ")
     out = []
     for i, w in enumerate(words):
+        w, own = _bare(w)
         low = unicodedata.normalize("NFC", w).lower()
         if len(low) != len(w):
             low = w  # a letter whose lower case is longer stays as it is
         listed = low.capitalize() in GIVEN_F or low.capitalize() in GIVEN_M
         new = _given(low, gender, key) if listed or i < len(words) - 1 else _surname(low, key)
         out.append(cased(new, w) if len(new) == len(w) else new.upper() if w.isupper() and len(w) > 1 else new.capitalize())
+        out[-1] += own
     return text[:head] + " ".join(out)
 
 
@@ -223,15 +251,29 @@ def replace_text(text: str | None, key: bytes = KEY) -> tuple[str | None, int, i
     made: dict[tuple[str, str], str] = {}
     kinds: dict[str, int] = {}
 
-    def put(m: re.Match) -> str:
-        kind = "person" if m.lastgroup in ("person", "title") else m.lastgroup
-        old = m.group(0)
+    def put(kind: str, old: str, title: str | None = None) -> str:
         if (kind, old) not in made:
-            made[kind, old] = surrogate(kind, old, m.group("title"), key)
+            made[kind, old] = surrogate(kind, old, title, key)
         kinds[kind] = kinds.get(kind, 0) + 1
         return made[kind, old]
 
-    new = ENTITY.sub(put, text)
+    found = list(ENTITY.finditer(text))
+    again, parts, at = _again(text, found), [], 0
+
+    def between(end: int) -> None:
+        """Text outside the entities, up to end."""
+        start = at
+        for m in again.finditer(text, at, end) if again else ():
+            parts.extend((text[start : m.start()], put("person", m[0])))
+            start = m.end()
+        parts.append(text[start:end])
+
+    for m in found:
+        between(m.start())
+        parts.append(put("person" if m.lastgroup in ("person", "title") else m.lastgroup, m[0], m["title"]))
+        at = m.end()
+    between(len(text))
+    new = "".join(parts)
     check(made)
     return new, sum(kinds.values()), len(made), ",".join(f"{k}:{n}" for k, n in sorted(kinds.items()))
 
