@@ -43,15 +43,17 @@ NEAR, KIN = 300, 200
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)>", re.S)
 NAMES = re.compile(r"""(?:\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))""", re.I)
 HIDES = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true)|display\s*:\s*none""", re.I)
+HAS_MAIN = re.compile(r"<main(?=[\s/>])", re.I)
 SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_blocks", pa.int64()), ("n_kept", pa.int64())])
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "never", "hard", "main", "header", "names")
+    __slots__ = ("tag", "parent", "depth", "never", "hard", "form", "begun", "main", "header", "names")
 
-    def __init__(self, tag: str, parent: "Element | None", attrs: str) -> None:
+    def __init__(self, tag: str, parent: "Element | None", attrs: str, starts: frozenset[str] = MAIN) -> None:
+        """starts: the elements that begin the page's main part."""
         words: set[str] = set()
         if attrs:
             for m in NAMES.finditer(attrs):
@@ -60,14 +62,20 @@ class Element:
         self.depth = parent.depth + 1 if parent else 0
         self.never = tag in NEVER or bool(parent and parent.never)
         outer = tag in ("html", "body")
-        hard = not outer and tag in BOILER or bool(attrs and not outer and HIDES.search(attrs)) or bool(words & {"navigation", "contentinfo", "complementary", "search", "banner"} and "role" in attrs.lower())
+        # What is around the main part says nothing of it: a form or a name there ends where the outermost main part begins.
+        begins = tag in starts and not (parent and parent.begun)
+        self.begun = begins or bool(parent and parent.begun)
+        hard = tag in BOILER and tag != "form" or bool(attrs and not outer and HIDES.search(attrs)) or bool(words & {"navigation", "contentinfo", "complementary", "search", "banner"} and "role" in attrs.lower())
         self.hard = hard or bool(parent and parent.hard)
+        self.form = tag == "form" or bool(parent and parent.form) and not begins
         self.main = bool(parent and parent.main) or tag in MAIN or "articlebody" in words
         self.header = bool(parent and parent.header) or tag == "header" and not (parent and parent.main)
         # The innermost name that says something counts; boilerplate inside the main part is boilerplate.
         own = 0 if outer else -1 if words & BOILER_WORDS else 1 if words & MAIN_WORDS else 0
-        self.names = own or (parent.names if parent else 0)
-        if parent and parent.names < 0:
+        if tag == "main" and begins:
+            own = max(own, 0)
+        self.names = own or (parent.names if parent and not begins else 0)
+        if parent and parent.names < 0 and not begins:
             self.names = -1
 
 
@@ -81,6 +89,7 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; text of scripts, styles, controls and comments is in none."""
     found: list[Block] = []
+    starts = frozenset({"main"}) if HAS_MAIN.search(page) else MAIN  # articles beside a main element are teasers
     root = Element("", None, "")
     stack = [root]
     parts: list[str] = []
@@ -164,7 +173,7 @@ def blocks(page: str) -> list[Block]:
                 continue
         if attrs.rstrip().endswith("/") and tag in VOID:
             continue
-        stack.append(Element(tag, stack[-1], attrs))
+        stack.append(Element(tag, stack[-1], attrs, starts))
     flush()
     return found
 
@@ -174,7 +183,7 @@ def evidence(block: Block) -> int:
     e, words = block.element, block.text.count(" ") + 1
     own = next((x for x in _up(e) if x.tag in HEADING or x.tag in ("p", "li", "td", "th", "blockquote", "pre")), None)
     v = BIAS + (IN_MAIN if e.main else 0)
-    if e.hard:
+    if e.hard or e.form:
         v -= HARD
     if e.header:
         v -= HEADER
