@@ -8,8 +8,17 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint df in the folder named by spark.checkpoint.dir, or in one of our own where that is unset."""
+    """Checkpoint df in the shared folder that spark.checkpoint.dir names.
+
+    Where that is unset a local session gets a folder of its own; on a cluster it is an error, as a folder
+    of one machine cannot be read by the others.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vellum-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="vellum-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

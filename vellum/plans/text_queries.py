@@ -192,7 +192,7 @@ def _escaped(text):
 
 
 @query("xml_paragraphs", r"""
-SELECT doc_id, CAST(len(l) AS BIGINT) AS n_paragraphs, array_to_string(l, chr(10)) AS text FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents WHERE NOT regexp_matches(text, '[<>&]'))
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_paragraphs, array_to_string(l, chr(10)) AS text FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)
 """)
 def xml_paragraphs(spark, sf_dir):
     """Documents written as TEI, one paragraph a line with its markup characters escaped, and read again by the extractor."""
