@@ -71,18 +71,45 @@ def test_token_counts_of_awkward_rows(spark):
 # ---- language
 
 
-def test_longest_match_and_phrases():
-    text = "abracadabra"
-    a = language.SuffixAutomaton(text)
-    subs = {text[i:j] for i in range(len(text)) for j in range(i, len(text) + 1)}
-    for probe in ("abra", "cadx", "xbra", "racadabrab", ""):
-        for i in range(len(probe)):
-            assert a.longest_match(probe, i) == max(j for j in range(len(probe) - i + 1) if probe[i : i + j] in subs)
-        n = i = 0
-        while i < len(probe):  # longest match and one letter, again and again
-            i += a.longest_match(probe, i) + 1
-            n += 1
-        assert a.phrases(probe) == n
+def naive_phrases(text, subs, piece):
+    """Longest match and one letter, again and again, over each stretch of `piece` letters."""
+    plain = " ".join(re.findall(r"[^\W\d_]+", text.lower()))
+    plain, total = plain + " " * bool(plain), 0
+    for at in range(0, len(plain), piece):
+        own, i = plain[at : at + piece], 0
+        while i < len(own):
+            i += max(j for j in range(len(own) - i + 1) if own[i : i + j] in subs) + 1
+            total += 1
+    return total
+
+
+@pytest.mark.parametrize("cells", [10**6, 0])
+@pytest.mark.parametrize("piece", [7, 4096])
+def test_phrases_of_the_cross_parsing(monkeypatch, piece, cells):
+    monkeypatch.setattr(language, "PIECE", piece)
+    monkeypatch.setattr(language, "CELLS", cells)  # 0: sorted edges instead of tables
+    samples = (("x", " abra cadabra bra "), ("y", " ein zwei drei "))
+    model = language.Model(samples)
+    probes = ["Abra cadx", "xbra; RACA dabra.b", None, "", "12 !?", "zwei drei vier fünf", "a", "Ein  ZWEI\n\ndrei " * 40]
+    found, letters = model.phrases(probes)
+    for k, (_, text) in enumerate(samples):
+        subs = {text[i:j] for i in range(len(text)) for j in range(i, len(text) + 1)}
+        a = language.SuffixAutomaton(text)
+        assert all(a.longest_match(p, 1) == max(j for j in range(len(p)) if p[1 : 1 + j] in subs) for p in ("zabra", "eein zw"))
+        assert found[:, k].tolist() == [naive_phrases(p or "", subs, piece) for p in probes]
+    assert letters.tolist() == [sum(c.isalpha() for c in p or "") for p in probes]
+
+
+def test_a_language_is_learned_from_each_id_once(spark):
+    texts = [f"alpha beta gamma w{chr(97 + i % 26)}{chr(97 + i // 26)} delta" for i in range(60)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    df = lambda rs: spark.createDataFrame(rs, "doc_id long, text string, lang string")
+    learn = lambda rs, **k: language.training_text(df(rs), "doc_id", "text", "lang", **{"sample_docs": 20, "sample_chars": 400} | k)
+    once = learn(rows)
+    assert once == learn(rows * 50) and 0 < len(once[0][1]) <= 400 + 40
+    assert learn([(None, "no id", "en"), (1, None, "en"), (2, "no label", None)]) == ()
+    with pytest.raises(ValueError):
+        learn([(i, "x", f"l{i}") for i in range(language.LANGUAGES + 1)])
 
 
 def test_language_on_held_out_rows(spark):
@@ -99,7 +126,12 @@ def test_language_of_awkward_rows(spark):
     by = {r.doc_id: r.lang_pred for r in got}
     assert by[4] == by[5] == by[6] == "und" and by[1] == by[2]
     kept = language.identified_documents(docs, docs)
-    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(i for i, t, *_ in fixtures.rows() if i not in (4, 5, 6))
+    scores = {(r.doc_id, r.n_letters): r for r in language.identify(docs, docs).collect()}
+    told = {i for (i, _), r in scores.items() if r.lang_pred != "und" and r.score > 0}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == told and not told & {4, 5, 6}
+    assert all(r.lang for r in kept.collect()) and {r.lang for r in kept.collect() if r.doc_id == 1} == {"en"}
+    only = language.identified_documents(docs, docs, languages=("de",)).collect()
+    assert {r.doc_id for r in only} == {i for (i, _), r in scores.items() if r.lang_pred == "de" and r.score > 0}
     assert language.identify(fixtures.empty(spark), fixtures.empty(spark)).count() == 0
     assert {r.lang_pred for r in language.identify(docs, fixtures.empty(spark)).collect()} == {"und"}
 

@@ -1,18 +1,23 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton is built over a bounded sample of labelled text. A text is parsed
-against every automaton: from left to right, each phrase is the longest stretch that the language's text
-holds, plus one letter. The language that needs the fewest phrases a letter wins.
-
-Texts are lower-cased and reduced to words of letters (marks included), each parsed on its own between
-two blanks; a phrase never runs past its word. So a word's phrase counts are a property of the word, and
-a worker keeps the counts of words seen before (CACHE of them at most).
+against every automaton from its first letter to its last: each phrase is the longest stretch that the
+language's text holds, plus one letter, and runs over word ends as it likes. The language that needs the
+fewest phrases a letter wins.
+
+Texts are lower-cased and reduced to words of letters (marks included) with one blank between them. The
+automata become tables of next states, and the texts of a batch are parsed side by side, a letter of each
+at a step. A phrase ends at PIECE letters' ends only, where a long text is cut so that it is parsed side
+by side with itself; so time and memory follow the number of letters, whatever their distribution.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import sys
+import unicodedata
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -22,18 +27,21 @@ from vellum.llm.common import column
 
 #: Letters of training text for each language; the automata hold at most twice as many states.
 SAMPLE_CHARS = 60_000
-#: Documents of each language from which the training text is taken, the first ones by a hash of their id.
+#: Documents of each language that the training text is taken from.
 SAMPLE_DOCS = 400
-#: Languages learned at most, the most frequent ones.
-LANGUAGES = 200
-CACHE = 300_000
+#: More languages than this are an error: each costs an automaton in every worker.
+LANGUAGES = 500
+#: Letters of a text that are parsed in one go, and bytes of text that are parsed side by side.
+PIECE, SLICE_BYTES = 4096, 8_000_000
+#: Cells of all tables of next states together (4 bytes each); larger alphabets are searched in sorted edges.
+CELLS = 60_000_000
 WORDS = regex.compile(r"[\p{L}\p{M}]+")
 UNDETERMINED = "und"
 OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_letters", pa.int64())])
 
 
 class SuffixAutomaton:
-    """Accepts every substring of a text; states are numbers, edges one dictionary keyed by state and letter."""
+    """Accepts every substring of a text; states are numbers, the first one is 0, and no edge leads there."""
 
     def __init__(self, text: str) -> None:
         length, link, edges = [0], [-1], [{}]
@@ -61,112 +69,206 @@ class SuffixAutomaton:
                         at = link[at]
                     link[to] = link[new] = copy
             last = new
-        self.edges = {(s << 21) | ord(c): t for s, own in enumerate(edges) for c, t in own.items()}
+        self.edges = edges
 
     def longest_match(self, text: str, start: int = 0) -> int:
         """Length of the longest stretch of text from start that the automaton accepts."""
-        get, state, at = self.edges.get, 0, start
-        while at < len(text) and (to := get((state << 21) | ord(text[at]))) is not None:
+        state, at = 0, start
+        while at < len(text) and (to := self.edges[state].get(text[at])) is not None:
             state = to
             at += 1
         return at - start
 
-    def phrases(self, text: str) -> int:
-        """Phrases of the cross-parsing of text: longest match plus one letter each, a last match without one."""
-        get, n, state = self.edges.get, 0, 0
-        for c in text:
-            state = get((state << 21) | ord(c), -1)
-            if state < 0:
-                n += 1
-                state = 0
-        return n + (state > 0)
-
 
-def training_text(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, sample_chars: int, languages: int) -> list[tuple[str, str]]:
-    """(language, text) for the model, the most frequent language first: bounded by sample_docs, sample_chars and languages, whatever the table's size.
-
-    The sample is the documents with the smallest hashes of their id, whole as long as the letters last.
+class NextStates:
+    """An automaton's edges by state and letter number; 0 where there is none."""
+
+    def __init__(self, automaton: SuffixAutomaton, number: dict[str, int], width: int, dense: bool) -> None:
+        self.width = width
+        keys = np.array([s * width + number[c] for s, own in enumerate(automaton.edges) for c in own], np.int64)
+        to = np.array([t for own in automaton.edges for t in own.values()], np.int32)
+        if dense:
+            self.table = np.zeros(len(automaton.edges) * width, np.int32)
+            self.table[keys] = to
+        else:
+            self.table, order = None, np.argsort(keys)
+            self.keys, self.to = np.append(keys[order], np.int64(2**62)), np.append(to[order], np.int32(0))
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.width + letter
+        if self.table is not None:
+            return self.table[key]
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.to[at], 0).astype(np.int32)
+
+
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """For each character its lower-case form if it is a letter or a mark, else 0; forms of several characters count as their first."""
+    low = np.zeros(sys.maxunicode + 1, np.uint32)
+    for i in range(sys.maxunicode + 1):
+        if unicodedata.category(c := chr(i))[0] in "LM":
+            low[i] = ord(c.lower()[0])
+    return low
+
+
+class Model:
+    """The automata of all languages over one numbering of letters: 0 is the blank, 1 a letter that no language has."""
+
+    def __init__(self, texts: tuple[tuple[str, str], ...]) -> None:
+        self.langs = [lang for lang, _ in texts]
+        known = sorted({c for _, t in texts for c in t} - {" "})
+        number = {" ": 0} | {c: i + 2 for i, c in enumerate(known)}
+        low = _letters()
+        self.number = np.where(low > 0, 1, 0).astype(np.int32)
+        by_form = np.ones(len(low), np.int32)
+        by_form[[ord(c) for c in known]] = np.arange(2, len(known) + 2)
+        self.number = np.where(low > 0, by_form[low], 0).astype(np.uint16 if len(known) < 65_000 else np.int32)
+        automata = [SuffixAutomaton(t) for _, t in texts]
+        width = len(known) + 2
+        dense = width * sum(len(a.edges) for a in automata) <= CELLS
+        self.tables = [NextStates(a, number, width, dense) for a in automata]
+
+    def letters(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(letter numbers of all texts end to end, where each text starts and ends, its letters without blanks)."""
+        raw = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) if t else np.zeros(0, np.uint32) for t in texts]
+        cuts = np.cumsum([0] + [len(r) + 1 for r in raw])
+        every = np.zeros(cuts[-1], self.number.dtype)  # a blank after each text
+        for a, r in zip(cuts, raw):
+            every[a : a + len(r)] = self.number[r]
+        some = every != 0
+        upto = np.concatenate([[0], np.cumsum(some)])
+        keep = some.copy()
+        keep[1:] |= some[:-1]  # the first blank after a letter
+        at = np.concatenate([[0], np.cumsum(keep)])
+        return every[keep], at[cuts], upto[cuts[1:]] - upto[cuts[:-1]]
+
+    def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases by text and language, letters by text)."""
+        every, cuts, letters = self.letters(texts)
+        pieces = -(-np.diff(cuts) // PIECE)
+        owner = np.repeat(np.arange(len(texts)), pieces)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = cuts[owner] + nth * PIECE
+        size = np.minimum(cuts[owner + 1] - start, PIECE)
+        order = np.argsort(-size, kind="stable")
+        owner, start, size = owner[order], start[order], size[order]
+        active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right").tolist() if len(size) else []
+        found = np.zeros((len(texts), len(self.tables)), np.int64)
+        for k, table in enumerate(self.tables):
+            state, n = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64)
+            for t, m in enumerate(active):
+                state[:m] = new = table.step(state[:m], every[start[:m] + t])
+                n[:m] += new == 0
+            found[:, k] = np.bincount(owner, weights=n + (state > 0), minlength=len(texts)) if len(size) else 0
+        return found, letters
+
+    def classify(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
+        """(language, score, letters) of each text; score is 1 - phrases of the winner / phrases of the next one, ties go to the most frequent language."""
+        out: list[tuple[str, float, int]] = []
+        for a, b in _slices(texts):
+            found, letters = self.phrases(texts[a:b])
+            for row, n in zip(found, letters.tolist()):
+                if not n or not self.langs:
+                    out.append((UNDETERMINED, 0.0, n))
+                    continue
+                best = int(row.argmin())
+                others = np.delete(row, best)
+                out.append((self.langs[best], 1.0 - float(row[best]) / float(others.min()) if len(others) else 1.0, n))
+        return out
+
+
+def _slices(texts: list[str | None]):
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= SLICE_BYTES:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def training_text(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, sample_chars: int) -> tuple[tuple[str, str], ...]:
+    """(language, text) for the model, the most frequent language first: bounded by sample_docs and sample_chars, whatever the table's size.
+
+    The sample is the documents with the smallest hashes of their id, each id once; each gives an equal share of the letters, from a
+    place that its hash names. Rows without an id, a language or a text are not learned from.
     """
-    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    known = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    # Ids are drawn first, without texts: at most sample_docs for each language, whose texts a second scan picks out.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    drawn = rows.filter(F.col("lang").isin(known)).select("lang", "id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_docs)
-    picked = rows.join(F.broadcast(drawn.distinct()), ["lang", "id"])
-    # No more than the sample's letters can be used of a text, with room for what is not a letter.
-    drawn = picked.select("lang", "rank", F.substring("text", 1, 4 * sample_chars).alias("text")).orderBy("lang", "rank", F.xxhash64("text"))
-    out: dict[str, list[str]] = {}
-    left: Counter = Counter()
-    for r in drawn.toLocalIterator():
-        if left.setdefault(r.lang, sample_chars) > 0:
-            words = " ".join(WORDS.findall(r.text.lower()))[: left[r.lang]]
-            out.setdefault(r.lang, []).append(words)
-            left[r.lang] -= len(words) + 1
-    return [(lang, " " + " ".join(out[lang]) + " ") for lang in known if lang in out]
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang")).filter("lang IS NOT NULL AND id IS NOT NULL AND text IS NOT NULL")
+    rows = rows.withColumn("hash", F.xxhash64("id"))
+    known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("id").alias("ids")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
+    if len(known) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages in {lang_col}")
+    if not known:
+        return ()
+    # Ids are drawn without their texts. A bound on the hash leaves a few times sample_docs of a language's ids, so no
+    # task ranks more than that, however many there are.
+    spark = docs.sparkSession
+    bounds = spark.createDataFrame([(r.lang, int(min(1.0, (4 * sample_docs + 100) / max(1, r.ids)) * (2**64 - 2**12)) - 2**63) for r in known], "lang string, most long")
+    few = rows.select("lang", "id", "hash").join(F.broadcast(bounds), "lang").filter("hash <= most").select("lang", "id", "hash").distinct()
+    drawn = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))).filter(F.col("rank") <= sample_docs)
+    drawn = drawn.withColumn("share", F.ceil(F.lit(sample_chars) / F.count("*").over(Window.partitionBy("lang"))).cast("int"))
+    picked = rows.join(F.broadcast(drawn.select("lang", "id", "rank", "share")), ["lang", "id"])
+    # Twice the share has room for what is not a letter.
+    room = F.greatest(F.length("text") - 2 * F.col("share"), F.lit(0)) + 1
+    some = F.substring(F.col("text"), (F.pmod(F.xxhash64("id", F.lit(1)), room) + 1).cast("int"), 2 * F.col("share"))
+    taken: dict[str, list[str]] = {}
+    for r in picked.groupBy("lang", "rank", "share").agg(F.min(some).alias("some")).orderBy("lang", "rank").collect():  # at most sample_docs rows a language
+        taken.setdefault(r.lang, []).append(" ".join(WORDS.findall(r.some))[: r.share])
+    low = _letters()
+    plain = lambda text: "".join(chr(low[ord(c)]) if c != " " else c for c in text)
+    return tuple((r.lang, " " + plain(" ".join(x for x in taken[r.lang] if x)) + " ") for r in known if any(taken.get(r.lang, ())))
 
 
 _MODELS: dict = {}
 
 
-def _model(texts: tuple) -> tuple:
-    """Automata and word cache of this worker, built once for each model."""
+def _model(texts: tuple) -> Model:
+    """This worker's model, built once for each training text."""
     key = hash(texts)
     if key not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = ([lang for lang, _ in texts], [SuffixAutomaton(t) for _, t in texts], {})
+        _MODELS[key] = Model(texts)
     return _MODELS[key]
 
 
-def classify(text: str | None, langs: list[str], automata: list, cache: dict) -> tuple[str, float, int]:
-    """(language, score, letters); score is 1 - phrases of the winner / phrases of the next one, ties go to the most frequent language."""
-    words = Counter(WORDS.findall(text.lower())) if text else {}
-    if not words or not langs:
-        return UNDETERMINED, 0.0, sum(len(w) * k for w, k in words.items())
-    totals, letters = [0] * len(langs), 0
-    for word, k in words.items():
-        counts = cache.get(word)
-        if counts is None:
-            counts = tuple(a.phrases(f" {word} ") for a in automata)
-            if len(cache) >= CACHE:
-                cache.clear()
-            if len(word) <= 40:
-                cache[word] = counts
-        letters += len(word) * k
-        for i, c in enumerate(counts):
-            totals[i] += c * k
-    best = min(range(len(langs)), key=totals.__getitem__)
-    others = [t for i, t in enumerate(totals) if i != best]
-    return langs[best], 1.0 - totals[best] / min(others) if others else 1.0, letters
-
-
-def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """Per row of docs: doc_id, lang_pred, score, n_letters, learned from the rows of `labelled`.
 
     Null texts and texts without letters, and any text if nothing is labelled, are `und` with score 0.
     The whole text is parsed, rows that repeat get the same answer, and an empty table gives no rows.
     """
-    texts = tuple(training_text(labelled, id_col, text_col, lang_col, sample_docs, sample_chars, languages))
-    shared = docs.sparkSession.sparkContext.broadcast(texts)
+    shared = docs.sparkSession.sparkContext.broadcast(training_text(labelled, id_col, text_col, lang_col, sample_docs, sample_chars))
 
     def run(batches):
-        langs, automata, cache = _model(shared.value)
+        model = _model(shared.value)
         for batch in batches:
-            found = [classify(t.as_py(), langs, automata, cache) for t in batch.column(1)]
+            found = model.classify(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], type=OUT.types[i + 1]) for i in range(3))], schema=OUT)
 
     return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_letters long")
 
 
-def identified_documents(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> DataFrame:
-    """The rows of docs, all columns as they are, whose language can be told; the others (`und`) go."""
-    texts = tuple(training_text(labelled, id_col, text_col, lang_col, sample_docs, sample_chars, languages))
-    shared = docs.sparkSession.sparkContext.broadcast(texts)
-    at = docs.columns.index(text_col)
+def identified_documents(docs: DataFrame, labelled: DataFrame, min_score: float = 0.0, languages: tuple[str, ...] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """The rows of docs whose language is told, with the prediction in lang where that is null or blank; other columns as they are.
+
+    Rejected are texts without letters, those whose best language needs no fewer phrases than the next one (score of
+    min_score or less, of texts in which two languages are tried at least) and, if `languages` names any, those of other languages. Rows that
+    repeat share their fate; an empty table gives no rows, and a table without labels loses all.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(training_text(labelled, id_col, text_col, lang_col, sample_docs, sample_chars))
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches):
-        langs, automata, cache = _model(shared.value)
+        model = _model(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array([classify(t.as_py(), langs, automata, cache)[0] != UNDETERMINED for t in batch.column(at)], pa.bool_()))
+            found = model.classify(batch.column(text_at).to_pylist())
+            told = [lang != UNDETERMINED and score > min_score and (languages is None or lang in languages) for lang, score, _ in found]
+            labels = [old if old and old.strip() else new for old, (new, _, _) in zip(batch.column(lang_at).to_pylist(), found)]
+            arrays = list(batch.columns)
+            arrays[lang_at] = pa.array(labels, batch.schema.types[lang_at])
+            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array(told, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
