@@ -1,10 +1,14 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into text blocks at block elements. A linear classifier over a block's surroundings (its
-elements, class and id words, links, length) gives evidence for content or boilerplate, which becomes the
+A page is cut into text blocks at block elements. A linear classifier over a block's own tag, length, links and
+the boilerplate names and elements around it gives evidence for content or boilerplate, which becomes the
 capacity from the source or to the sink. Neighbours in the page and blocks of one container are joined by
-smoothness edges, stronger the closer they are in the document tree. The minimum cut, by max-flow, is the
-labelling of least total cost; the blocks on the source's side are the text.
+smoothness edges, stronger the closer they are in the document tree, and every block of the page's main part by
+an edge to a node that stands for that part and has evidence of its own. The minimum cut, by max-flow, is the
+labelling of least total cost; the blocks on the source's side are the text. So a block that says little of itself (a
+heading, a short line, a list of links) goes with its surroundings, and boilerplate within the main part is cut off.
+
+Parsing takes time in proportion to the page's length, however broken or deep its markup.
 """
 
 from __future__ import annotations
@@ -35,22 +39,29 @@ BOILER_WORDS = frozenset(
 MAIN_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
 PHRASES = re.compile(r"©|\ball rights reserved\b|\bcookies?\b.{0,60}\b(?:accept|policy|agree)|\bsubscribe\b|\bsign (?:in|up)\b", re.I)
 
-# Weights of the classifier, in hundredths.
-HARD, IN_MAIN, MAIN_NAME, BOILER_NAME, HEADER, LONG, SHORT, LINKS, PARAGRAPH, HEAD_TAG, ITEM, PHRASE, BIAS = 6000, 600, 200, 2500, 2500, 300, -50, -400, 150, 150, 0, -200, -50
+# Weights of the classifier, in hundredths. None is beyond what the edges around a block can outweigh together, but for OUTSIDE, BOILER_NAME
+# and HEADER, which outweigh the edges of one block and the best it can say of itself.
+OUTSIDE, BOILER_NAME, HEADER, MAIN_NAME, LONG, SHORT, LINKS, PARAGRAPH, HEAD_TAG, PHRASE, BIAS = -1800, -1800, -1800, 150, 300, -150, -400, 150, 250, -200, -50
+#: Evidence of the main part itself for each block that it has, and the edge from it to each of them.
+MAIN_PART, IN_MAIN = 600, 600
 #: Smoothness between neighbours, and between blocks of one container; divided by 1 + their distance in the tree.
 NEAR, KIN = 300, 200
 
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)>", re.S)
-NAMES = re.compile(r"""(?:\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))""", re.I)
-HIDES = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true)|display\s*:\s*none""", re.I)
+OPEN = re.compile(r"</?([A-Za-z][^\s/>]*+)")
+#: Attributes up to the end of the tag: quotes count behind `=` only.
+ATTRS = re.compile(r"""((?:[^>=]++|=(?:\s*+(?:"[^"]*+"|'[^']*+'))?+)*+)>""")
+NAMES = re.compile(r"""(?:\b(?:class|id|role|itemprop)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+)))""", re.I)
+HIDES = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*+=\s*+["']?true)|display\s*+:\s*+none""", re.I)
 HAS_MAIN = re.compile(r"<main(?=[\s/>])", re.I)
 SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
+#: Elements that tell what a block is, by the nearest one around it.
+KINDS = HEADING | frozenset("p li td th blockquote pre".split())
 OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_blocks", pa.int64()), ("n_kept", pa.int64())])
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "never", "hard", "form", "begun", "main", "header", "names")
+    __slots__ = ("tag", "parent", "depth", "never", "hard", "form", "part", "main", "header", "names", "kind")
 
     def __init__(self, tag: str, parent: "Element | None", attrs: str, starts: frozenset[str] = MAIN) -> None:
         """starts: the elements that begin the page's main part."""
@@ -63,8 +74,9 @@ class Element:
         self.never = tag in NEVER or bool(parent and parent.never)
         outer = tag in ("html", "body")
         # What is around the main part says nothing of it: a form or a name there ends where the outermost main part begins.
-        begins = tag in starts and not (parent and parent.begun)
-        self.begun = begins or bool(parent and parent.begun)
+        begins = tag in starts and not (parent and parent.part)
+        #: The element that began the main part.
+        self.part = self if begins else parent.part if parent else None
         hard = tag in BOILER and tag != "form" or bool(attrs and not outer and HIDES.search(attrs)) or bool(words & {"navigation", "contentinfo", "complementary", "search", "banner"} and "role" in attrs.lower())
         self.hard = hard or bool(parent and parent.hard)
         self.form = tag == "form" or bool(parent and parent.form) and not begins
@@ -77,6 +89,7 @@ class Element:
         self.names = own or (parent.names if parent and not begins else 0)
         if parent and parent.names < 0 and not begins:
             self.names = -1
+        self.kind = tag if tag in KINDS else parent.kind if parent else ""
 
 
 class Block:
@@ -86,111 +99,151 @@ class Block:
         self.element, self.text, self.chars, self.link_chars = element, text, len(text), link_chars
 
 
+class Stack:
+    """The open elements, with the places of each name among them, so that no search runs over the depth."""
+
+    def __init__(self, root: Element) -> None:
+        self.all = [root]
+        self.places: dict[str, list[int]] = {}
+        #: Places of the open elements that are not inline.
+        self.boxes = [0]
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.tag, []).append(len(self.all))
+        if e.tag not in INLINE:
+            self.boxes.append(len(self.all))
+        self.all.append(e)
+
+    def cut(self, place: int) -> bool:
+        """Close the elements from a place on; whether one of them was not inline."""
+        boxes = len(self.boxes)
+        while len(self.all) > place:
+            self.places[self.all.pop().tag].pop()
+        while self.boxes[-1] >= place:
+            self.boxes.pop()
+        return len(self.boxes) < boxes
+
+    def last(self, names) -> int:
+        """The place of the innermost element of these names; 0 if there is none."""
+        return max((own[-1] for n in names if (own := self.places.get(n))), default=0)
+
+    @property
+    def box(self) -> Element:
+        return self.all[self.boxes[-1]]
+
+
+class Tags:
+    """The tags of a page, read from left to right.
+
+    An unclosed comment lasts to the end. A tag whose quotes leave no end for it ends at the next `>`, and so do all tags
+    after it, so that no stretch is read for nothing twice.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.quoted = page, page.rfind(">"), True
+
+    def after(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """(start, end, name, attributes, whether it closes) of the next tag; comments and declarations have no name."""
+        page, at = self.page, self.page.find("<", at)
+        while at >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 2)
+                return at, end + 3 if end >= 0 else len(page), "", "", False
+            if at > self.last:
+                return None
+            if page[at + 1] in "!?":
+                return at, page.find(">", at) + 1, "", "", False
+            if m := OPEN.match(page, at):
+                inside = ATTRS.match(page, m.end()) if self.quoted else None
+                self.quoted = inside is not None
+                end = inside.end() if inside else page.find(">", m.end()) + 1
+                if end:
+                    return at, end, m[1].lower(), page[m.end() : end - 1], page[at + 1] == "/"
+            at = page.find("<", at + 1)
+        return None
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; text of scripts, styles, controls and comments is in none."""
     found: list[Block] = []
     starts = frozenset({"main"}) if HAS_MAIN.search(page) else MAIN  # articles beside a main element are teasers
     root = Element("", None, "")
-    stack = [root]
+    stack = Stack(root)
     parts: list[str] = []
-    state = {"links": 0, "home": root}
+    links, home, at = 0, root, 0
 
     def flush() -> None:
+        nonlocal links
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                found.append(Block(state["home"], text, min(state["links"], len(text))))
+                found.append(Block(home, text, min(links, len(text))))
             parts.clear()
-        state["links"] = 0
-
-    def container() -> Element:
-        return next((e for e in reversed(stack) if e.tag not in INLINE), root)
+        links = 0
 
     def add(text: str) -> None:
-        if not text or stack[-1].never:
+        nonlocal links, home
+        if not text or stack.all[-1].never or not parts and text.isspace():
             return
         if not parts:
-            if text.isspace():
-                return
-            state["home"] = container()
+            home = stack.box
         parts.append(text)
-        if any(e.tag == "a" for e in stack[-4:]):
-            state["links"] += len(text)
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
+        if any(e.tag == "a" for e in stack.all[-4:]):
+            links += len(text)
+
+    each = Tags(page)
+    while (item := each.after(at)) is not None:
+        start, end, tag, attrs, closes = item
+        add(page[at:start])
+        at = end
         if not tag:
             continue
-        tag, attrs = tag.lower(), m["attrs"] or m["attrs2"] or ""
         if tag == "br" or tag in VOID and tag in INLINE:
             if parts and tag == "br":
                 parts.append(" ")
             continue
-        if m["end"] or m["end2"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if any(e.tag not in INLINE for e in stack[i:]):
-                        flush()
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break
-            else:
-                if tag not in INLINE:
-                    flush()
+        if closes:
+            place = stack.last((tag,))
+            if tag in INLINE and place < stack.boxes[-1]:
+                continue  # not among the inline elements that are open here
+            if not place or stack.cut(place):
+                flush()
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            at = page.find(">", close.end()) + 1 if close else 0
+            at = at or len(page)
             continue
         if tag not in INLINE:
             flush()
-            for i in range(len(stack) - 1, 0, -1):  # a block element ends an open paragraph
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag not in INLINE:
-                    break
+            if stack.box.tag == "p":  # a block element ends an open paragraph
+                stack.cut(stack.boxes[-1])
             if tag in ENDS:
                 ended, within = ENDS[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in within:
-                        break
-                    if stack[i].tag in ended:
-                        del stack[i:]
-                        if tag != "tr":
-                            break
+                bound = stack.last(within)
+                if (place := stack.last(ended)) > bound:
+                    stack.cut(min(own for n in ended if (own := next((x for x in stack.places.get(n, ()) if x > bound), 0))) if tag == "tr" else place)
             elif tag == "body":
-                stack[:] = [e for e in stack if e.tag in ("", "html")] or [root]
+                stack.cut(stack.last(("html",)) + 1)
             if tag in VOID:
                 continue
-        if attrs.rstrip().endswith("/") and tag in VOID:
-            continue
-        stack.append(Element(tag, stack[-1], attrs, starts))
+        stack.push(Element(tag, stack.all[-1], attrs, starts))
+    add(page[at:])
     flush()
     return found
 
 
 def evidence(block: Block) -> int:
-    """The classifier: over 0 for content, under 0 for boilerplate."""
+    """The classifier: over 0 for content, under 0 for boilerplate. That a block is in the main part is left to the cut."""
     e, words = block.element, block.text.count(" ") + 1
-    own = next((x for x in _up(e) if x.tag in HEADING or x.tag in ("p", "li", "td", "th", "blockquote", "pre")), None)
-    v = BIAS + (IN_MAIN if e.main else 0)
+    v = BIAS
     if e.hard or e.form:
-        v -= HARD
+        v += OUTSIDE
     if e.header:
-        v -= HEADER
-    v += MAIN_NAME if e.names > 0 else -BOILER_NAME if e.names < 0 else 0
+        v += HEADER
+    v += MAIN_NAME if e.names > 0 else BOILER_NAME if e.names < 0 else 0
     v += min(LONG, LONG * words // 20) if words > 4 else SHORT
-    if own is not None:
-        v += HEAD_TAG if own.tag in HEADING else ITEM if own.tag == "li" else PARAGRAPH if own.tag in ("p", "blockquote", "pre") else 0
+    v += HEAD_TAG if e.kind in HEADING else PARAGRAPH if e.kind in ("p", "blockquote", "pre") else 0
     if block.link_chars * 2 > block.chars:
         v += LINKS
     if not e.main and words < 40 and PHRASES.search(block.text):
@@ -198,12 +251,6 @@ def evidence(block: Block) -> int:
     return v
 
 
-def _up(e: Element | None):
-    while e is not None:
-        yield e
-        e = e.parent
-
-
 def distance(a: Element, b: Element) -> int:
     """Steps between two elements through their nearest common ancestor."""
     n = 0
@@ -216,9 +263,12 @@ def distance(a: Element, b: Element) -> int:
     return n
 
 
-def edges(found: list[Block]) -> list[tuple[int, int, int]]:
-    """Smoothness edges (i, j, capacity): neighbours, and each block with the one before it in its container."""
-    out, last = [], {}
+def graph(found: list[Block]) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """(evidence by node, edges (i, j, capacity)). The blocks are the first nodes, a node for each main part follows.
+
+    Neighbours are joined, each block with the one before it in its container, and blocks of a main part with its node.
+    """
+    value, out, last, part = [evidence(b) for b in found], [], {}, {}
     for j, b in enumerate(found):
         if j:
             out.append((j - 1, j, NEAR // (1 + distance(found[j - 1].element, b.element))))
@@ -227,7 +277,13 @@ def edges(found: list[Block]) -> list[tuple[int, int, int]]:
         if i is not None and i != j - 1:
             out.append((i, j, KIN // (1 + distance(found[i].element, b.element))))
         last[id(up)] = j
-    return [x for x in out if x[2] > 0]
+        if b.element.part is not None:
+            if id(b.element.part) not in part:
+                part[id(b.element.part)] = len(value)
+                value.append(0)
+            value[part[id(b.element.part)]] += MAIN_PART
+            out.append((j, part[id(b.element.part)], IN_MAIN))
+    return value, [x for x in out if x[2] > 0]
 
 
 def min_cut(unary: list[int], pairs: list[tuple[int, int, int]]) -> list[bool]:
@@ -351,7 +407,7 @@ def extract(page: str | None) -> tuple[str, int, int]:
     found = blocks(page or "")
     if not found:
         return "", 0, 0
-    kept = [b.text for b, keep in zip(found, min_cut([evidence(b) for b in found], edges(found))) if keep]
+    kept = [b.text for b, keep in zip(found, min_cut(*graph(found))) if keep]
     return "\n\n".join(kept), len(found), len(kept)
 
 
