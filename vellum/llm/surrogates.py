@@ -4,61 +4,93 @@ A surrogate is made by a keyed permutation of all values of the entity's format,
 the corpus and no shuffle, and it cannot collide: within a format different entities get different
 surrogates (distinctness), and an entity gets the same one in every document, in whatever case or
 punctuation it is written (coreference). The permutation P is a Feistel network over the numbers of the
-format's values; the surrogate of x is P^-1(P(x) + 1), which is never x itself.
+format's values; the surrogate of x is P^-1(P(x) + 1), which is never x itself. The key is the caller's: who has it
+can undo the replacement, so it belongs beside no output, and there is none in this file.
 
 Formats: letters stay letters of their script and case, digits digits, all else stays. In names vowels
 stay vowels; given names on the lists are replaced from the list of the same gender, others by letters
-and never by a listed name. Card numbers keep their Luhn state, phone numbers their country code,
-addresses of the internet stay dotted quads, secrets keep their alphabet. check() states the collision
-checks that every document's replacements must pass.
+and never by a listed name. Card numbers keep their check digit right, phone numbers their country code,
+addresses of the internet stay dotted quads, secrets keep their alphabet, dates of birth become days of their own
+notation. check() states the collision checks that every document's replacements must pass.
 
-A person is found by a title or a listed given name in front of a capitalised name; the names so found are
-replaced wherever else the same document has them, before or after, alone or in a row. A person whom a
-document names only otherwise is not found.
+What is found: mail and internet addresses, phone, card (of a known issuer's range, with a right check digit), bank account and
+social security numbers, secrets (by their own form, or behind a word like `password=`), postal addresses with a street's
+word, dates behind a word like `born`. A person is found by a title or a listed given name in front of a capitalised name, or as
+two capitalised names that a mail address of the document is made of; the names so found are replaced wherever else
+the document has them, before or after, alone or in a row. A person whom a document names only otherwise is not found.
+
+Every pattern reads a stretch of text a bounded number of times, so time follows the text's length.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import math
 import re
+import secrets
 import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm.common import column
 
-KEY = b"vellum-surrogate-1"
 ROUNDS = 6
 
 # Titles by gender and given names by gender.
 TITLES_F = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Mlle", "Sra", "Señora", "Doña")
 TITLES_M = ("Mr", "Sir", "Herr", "Monsieur", "Sr", "Señor", "Don")
 TITLES_N = ("Dr", "Prof")
-GIVEN_F = ("Alice", "Anna", "Camille", "Carmen", "Clara", "Elena", "Emma", "Greta", "Hannah", "Ingrid", "Jane", "Julia", "Laura", "Lucia", "Margaret", "Maria", "Mary", "Nora", "Olga", "Paula", "Ruth", "Sarah", "Sophie", "Teresa")
-GIVEN_M = ("Albert", "Anton", "Bruno", "Carlos", "David", "Diego", "Felix", "Georg", "Hans", "Hugo", "James", "Jean", "John", "Karl", "Louis", "Luis", "Mark", "Martin", "Otto", "Pablo", "Paul", "Peter", "Robert", "Thomas")
+GIVEN_F = tuple(
+    "Agnes Alice Amelia Andrea Angela Anna Beatrice Bertha Brigitte Camille Carla Carmen Catherine Charlotte Christine Clara Claudia Dolores Dorothea Eleanor Elena Elisabeth Elizabeth Emily Emma Esther Florence Gabriela Gertrud Greta Hannah Harriet Helena Ingrid Isabel Jane Johanna Josefina Juana Julia Katharina Laura Lucia Madeleine Margaret Maria Mary Mathilde Monika Nora Olga Paula Rachel Rebecca Renate Rosa Ruth Sarah Sofia Sophie Susanna Teresa Ursula Victoria Yvonne".split()
+)
+GIVEN_M = tuple(
+    "Albert Alfonso Andrew Anthony Anton Arthur Benjamin Bernard Bruno Carlos Charles Christian Daniel David Diego Dieter Edward Emilio Enrique Ernst Felix Fernando Francis Frank Friedrich Georg George Gerhard Hans Heinrich Henry Hugo Jakob James Javier Jean Johann John Joseph Juan Karl Kurt Laurent Lorenzo Louis Lucas Luis Manuel Mark Martin Matthew Michael Miguel Nicolas Oliver Otto Pablo Patrick Paul Peter Philipp Pierre Rafael Richard Robert Samuel Stefan Thomas Vincent Walter William".split()
+)
+# Words of streets and of dates of birth, and months.
+STREETS = r"Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Boulevard|Blvd|Court|Square|Terrace|Place|Crescent"
+BORN = r"[Bb]orn(?: on)?|[Dd]ate of [Bb]irth|DOB|D\.O\.B\.|[Gg]eb(?:oren|\.)(?: am)?|[Nn]ée? le|[Nn]acid[oa] el|[Dd]ate de naissance|[Ff]echa de nacimiento|[Gg]eburtsdatum"
+MONTHS = (
+    "january february march april may june july august september october november december".split(),
+    "jan feb mar apr may jun jul aug sep oct nov dec".split(),
+    "januar februar märz april mai juni juli august september oktober november dezember".split(),
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+)
 
 #: The alphabets that letters keep to: vowels and consonants of a script, by lower case.
 ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöüãõåæøœ", "ñçßšž", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщъьѓ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 VOWELS = frozenset(ALPHABETS[0] + ALPHABETS[2] + ALPHABETS[4] + ALPHABETS[6])
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 
-_NAME = r"[^\W\d_][^\W\d_]+(?:['’-][^\W\d_]+)*"
+_NAME = r"[^\W\d_][^\W\d_]++(?:['’-][^\W\d_]++)*+"
 _UPPER = "[" + "".join(c for c in map(chr, range(0x530)) if c.isupper()) + "]"  # Latin, Greek and Cyrillic
-_GIVEN = r"\b(?:" + "|".join(x for n in GIVEN_F + GIVEN_M for x in (n, n.upper())) + r")(?: (?=" + _UPPER + ")" + _NAME + r"){1,2}"
-HINT = re.compile(r"[@0-9]|\b(?:" + "|".join(TITLES_F + TITLES_M + TITLES_N + GIVEN_F + GIVEN_M + tuple(n.upper() for n in GIVEN_F + GIVEN_M)) + r")\b")
+_LISTED = "|".join(x for n in sorted(GIVEN_F + GIVEN_M, key=len, reverse=True) for x in (n, n.upper()))
+_TITLES = "|".join(TITLES_F + TITLES_M + TITLES_N)
+_GIVEN = r"\b(?:" + _LISTED + r")(?: (?=" + _UPPER + ")" + _NAME + r"){1,2}"
+_CAP = _UPPER + r"[^\W\d_]++"
+_MONTH = "|".join(sorted({m for own in MONTHS for m in own}, key=len, reverse=True))
+_DATE = rf"\d{{4}}-\d\d-\d\d|\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}}|\d{{1,2}}(?:st|nd|rd|th|\.)? (?:de )?(?i:{_MONTH})\.?,? (?:de )?\d{{4}}|(?i:{_MONTH})\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}"
+HINT = re.compile(r"[@0-9]|\b(?:" + _TITLES + "|" + _LISTED + r")\b|(?i:passw|pwd|secret)")
 ENTITY = re.compile(
-    r"(?P<email>[\w.+%-]+@[\w-]+(?:\.[\w-]+)+)"
-    r"|(?P<secret>(?<![0-9A-Za-z])(?=[0-9A-Za-z_-]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|AKIA)[-_]?[0-9A-Za-z]{16,64})(?![0-9A-Za-z]))"
+    r"(?P<email>(?<![\w.+%-])[\w.+%-]++@[\w-]++(?:\.[\w-]++)++)"
+    r"|(?P<secret>(?<![0-9A-Za-z])(?=[0-9A-Za-z_-]{0,127}[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|AKIA)[-_]?[0-9A-Za-z]{16,64})(?![0-9A-Za-z])"
+    r"|(?<=[=:])(?:(?<=password[=:])|(?<=passwd[=:])|(?<=pwd[=:])|(?<=secret[=:])|(?<=api_key[=:])|(?<=apikey[=:])|(?<=PASSWORD[=:])|(?<=SECRET[=:])|(?<=API_KEY[=:]))[^\s\"'<>,;]{5,127}[^\s\"'<>,;.:!?)])"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))"
+    r"|(?P<born>\b(?:" + BORN + r"):? (?P<date>" + _DATE + r"))(?!\d)"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\d))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z]))"
     r"|(?P<phone>(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?!\d)|\+\d{8,14}(?!\d))"
-    r"|(?P<person>" + _GIVEN + r"|\b(?P<title>" + "|".join(TITLES_F + TITLES_M + TITLES_N) + r")\b\.? (?=[^\W\d_a-z])" + _NAME + r"(?: (?=[^\W\d_a-z])" + _NAME + r"){0,2})"
+    r"|(?P<street>(?<![\w.])\d{1,5}[A-Za-z]? (?:" + _CAP + r" ){1,3}?(?:" + STREETS + r")\b|(?<!\w)\d{1,4},? (?:rue|avenue|boulevard|place|chemin|allée) (?:de la |du |des |de |d['’]|l['’])?" + _CAP
+    + r"|(?<!\w)(?:Calle|Avenida|Plaza|Paseo) (?:de la |del |de )?" + _CAP + r",? \d{1,4}(?!\d))"
+    r"|(?P<strasse>(?<!\w)" + _UPPER + r"[^\W\d_]{2,40}(?:straße|strasse|weg|platz|allee|gasse) \d{1,4}[a-z]?(?!\w))"
+    r"|(?P<person>" + _GIVEN + r"|\b(?P<title>" + _TITLES + r")\b\.? (?=[^\W\d_a-z])" + _NAME + r"(?: (?=[^\W\d_a-z])" + _NAME + r"){0,2})"
 )
+#: A word that may be a name, with what may belong to it; not part of a longer word.
+MENTION = re.compile(r"(?<!\w)(?<!\w['’-])[^\W\d_]++(?:['’-][^\W\d_]++)*+(?!\w)")
 OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_entities", pa.int64()), ("n_distinct", pa.int64()), ("kinds", pa.string())])
 
 
@@ -130,15 +162,76 @@ def _digits_into(text: str, digits: str) -> str:
 
 
 def _card(text: str, key: bytes) -> str:
-    """Valid numbers move among valid ones by their free digits; others walk the cycle to the next that is not valid."""
+    """A number keeps its issuer's digit and moves among the valid ones by its free digits."""
     old = "".join(c for c in text if c.isdigit())
-    if luhn(old):
-        head = like(old[:-1], key, "card")
-        return _digits_into(text, next(head + d for d in "0123456789" if luhn(head + d)))
-    new = like(old, key, "card not valid")
-    while luhn(new):
-        new = like(new, key, "card not valid")
-    return _digits_into(text, new)
+    head = old[0] + like(old[1:-1], key, "card " + old[0])
+    return _digits_into(text, next(head + d for d in "0123456789" if luhn(head + d)))
+
+
+def is_card(text: str) -> bool:
+    """A number with a right check digit, in the ranges that issuers of cards have."""
+    digits = "".join(c for c in text if c.isdigit())
+    return luhn(digits) and (digits[0] in "3456" or "2221" <= digits[:4] <= "2720")
+
+
+#: Days that dates of birth move among.
+FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+
+
+def _date(text: str, key: bytes) -> str | None:
+    """Another day in the same notation, or None if text is no day of 1900 to 2099. Of two numbers the first is the day if it can be."""
+    fields = re.findall(r"[^\W\d_]+|\d+", text)
+    numbers = [f for f in fields if f.isdigit()]
+    months = next((own for own in MONTHS if any(f.lower() in own for f in fields)), None)
+    if months:
+        word = next(f for f in fields if f.lower() in months)
+        order = [numbers[0], word, numbers[-1]]  # day, month, year
+        d, m, y = int(numbers[0]), months.index(word.lower()) + 1, int(numbers[-1])
+    elif len(numbers[0]) == 4:
+        order = [numbers[2], numbers[1], numbers[0]]
+        y, m, d = map(int, numbers)
+    else:
+        order = list(numbers) if int(numbers[1]) <= 12 else [numbers[1], numbers[0], numbers[2]]
+        d, m, y = int(order[0]), int(order[1]), int(order[2])
+    try:
+        day = datetime.date(y, m, d).toordinal()
+    except ValueError:
+        return None
+    if not FIRST_DAY <= day <= LAST_DAY:
+        return None
+    new = datetime.date.fromordinal(FIRST_DAY + another(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "day"))
+    put = {"d": f"{new.day:0{len(order[0])}d}", "m": months[new.month - 1] if months else f"{new.month:0{len(order[1])}d}", "y": f"{new.year:04d}"}
+    if months:
+        put["m"] = put["m"].upper() if order[1].isupper() else put["m"].capitalize() if order[1][0].isupper() else put["m"]
+    # The fields stand in the order of their first places in the text.
+    kinds = sorted("dmy", key=lambda k: _field_at(text, order["dmy".index(k)], "dmy".index(k), order))
+    parts = iter(kinds)
+    return re.sub(r"\d+|\b(?:" + "|".join(months or ["$^"]) + r")\b", lambda _: put[next(parts)], text, flags=re.I)
+
+
+def _field_at(text: str, field: str, k: int, order: list[str]) -> int:
+    """Where a date's field stands; of equal numbers the day comes first unless the year leads."""
+    same = [i for i in range(3) if order[i] == field]
+    at = [m.start() for m in re.finditer(r"\d+|[^\W\d_]+", text) if m[0] == field]
+    if len(same) > 1 and re.match(r"\d{4}-", text):
+        same.reverse()
+    return at[min(same.index(k), len(at) - 1)]
+
+
+def _address(text: str, key: bytes) -> str:
+    """Number and street's name are replaced; the words that make it a street stay."""
+    keep = re.compile(rf"(?:{STREETS}|rue|avenue|boulevard|place|chemin|allée|Calle|Avenida|Plaza|Paseo|de|la|du|des|del|d|l)")
+    def one(m: re.Match) -> str:
+        w = m[0]
+        if w.isdigit():
+            return _digits_into(w, like(w, key, "house"))
+        if len(w) == 1 or keep.fullmatch(w):
+            return w
+        tail = re.search(r"(?:straße|strasse|weg|platz|allee|gasse)$", w)
+        head = w[: tail.start()] if tail else w
+        low = head.lower()
+        return (cased(like(low, key, "street"), head) if len(low) == len(head) else head) + w[len(head) :]
+    return re.sub(r"\d+|[^\W\d_]+", one, text)
 
 
 def _ip(text: str, key: bytes) -> str:
@@ -177,18 +270,39 @@ def _bare(word: str) -> tuple[str, str]:
     return word[:n], word[n:]
 
 
-def _again(text: str, found: list[re.Match]) -> re.Pattern | None:
-    """Other mentions of the persons that are found in text: up to three of their names in a row."""
+def _names(text: str, found: list[re.Match]) -> set[str]:
+    """The names of the persons in text, in the cases in which they are looked for: those behind titles and listed given names, and pairs
+    of capitalised words that a mail address has as its parts."""
     names = set()
     for m in found:
         if m.lastgroup in ("person", "title"):
             name = text[m.end("title") if m["title"] else m.start() : m.end()].removeprefix(".")
             names |= {_bare(w)[0] for w in name.split()}
-    names = {x for n in names if not n[0].islower() for x in (n, n.capitalize(), n.upper())}
-    if not names:
-        return None
-    one = "(?:" + "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n))) + r")(?:['’][sS])?(?!\w|['’-]\w)"
-    return re.compile(rf"(?<!\w)(?<!\w['’-]){one}(?: {one}){{0,2}}")
+    mails = {frozenset(p) for m in found if m.lastgroup == "email" and len(p := [x for x in re.split(r"[\W\d_]+", m[0].split("@")[0].lower()) if len(x) > 1]) == 2}
+    if mails:
+        before = None
+        for m in MENTION.finditer(text):
+            if before and m.start() == before.end() + 1 and text[before.end()] == " " and m[0][0].isupper() and before[0][0].isupper():
+                pair = (before[0], _bare(m[0])[0])
+                if frozenset(x.lower() for x in pair) in mails:
+                    names |= set(pair)
+            before = m
+    return {x for n in names if n and not n[0].islower() for x in (n, n.capitalize(), n.upper())}
+
+
+def _again(text: str, names: set[str], start: int, end: int):
+    """(start, end) of the mentions of names between two places of text: up to three in a row."""
+    run: list[int] = []
+    for m in MENTION.finditer(text, start, end):
+        if _bare(m[0])[0] in names:
+            if run and run[2] < 3 and m.start() == run[1] + 1 and text[run[1]] == " ":
+                run = [run[0], m.end(), run[2] + 1]
+                continue
+            if run:
+                yield run[0], run[1]
+            run = [m.start(), m.end(), 1]
+    if run:
+        yield run[0], run[1]
 
 
 def _person(text: str, title: str, key: bytes) -> str:
@@ -208,7 +322,7 @@ def _person(text: str, title: str, key: bytes) -> str:
     return text[:head] + " ".join(out)
 
 
-def surrogate(kind: str, text: str, title: str | None = None, key: bytes = KEY) -> str:
+def surrogate(kind: str, text: str, key: bytes, title: str | None = None) -> str:
     """The surrogate of one entity; equal for equal entities, whatever their case and separators."""
     if kind == "person":
         return _person(text, title or "", key)
@@ -218,13 +332,20 @@ def surrogate(kind: str, text: str, title: str | None = None, key: bytes = KEY)
         return _ip(text, key)
     if kind == "phone":
         return _phone(text, key)
-    if kind == "secret" and re.fullmatch(r"[0-9a-fA-F]+", text):
+    if kind == "born":
+        at = re.search(rf"(?:{_DATE})$", text).start()
+        return text[:at] + (_date(text[at:], key) or _digits_into(text[at:], like("".join(c for c in text[at:] if c.isdigit()), key, "no day")))
+    if kind in ("street", "strasse"):
+        return _address(text, key)
+    if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
         n = 16 ** len(text)
         new = f"{another(int(text, 16), n, key, f'hex {len(text)}'):0{len(text)}x}"
         return new.upper() if text.upper() == text else new
     if kind in ("secret", "iban"):
-        # Case is part of a secret: letters are permuted as letters of one alphabet and keep their case.
-        return cased(like(text.lower(), key, kind, "latin"), text)
+        # Case is part of a secret: letters are permuted as letters of one alphabet and keep their case. What names its kind stays.
+        head = re.match(r"(?:(?:sk|pk|ghp|AKIA)[-_]?(?=[0-9A-Za-z]{16}))?", text)[0] if kind == "secret" else ""
+        text, low = text[len(head) :], text[len(head) :].lower()
+        return head + cased(like(low, key, kind, "latin"), text) if len(low) == len(text) else head + like(text, key, kind, "latin")
     if kind == "email":
         local, _, domain = text.rpartition("@")
         name, dot, top = domain.rpartition(".")
@@ -233,57 +354,80 @@ def surrogate(kind: str, text: str, title: str | None = None, key: bytes = KEY)
     return _digits_into(text, like("".join(c for c in text if c.isdigit()), key, kind))
 
 
-def check(replaced: dict[tuple[str, str], str]) -> None:
-    """Different entities of a document have different surrogates, and none is its own."""
+def check(replaced: dict[tuple[str, str], str], titles: dict[str, str] | None = None) -> None:
+    """Different entities of a document have different surrogates, and each name of a person one of its own. Raises if two meet."""
     for kind in {k for k, _ in replaced}:
         own = {old.lower(): new.lower() for (k, old), new in replaced.items() if k == kind}
-        if len(set(own.values())) != len(own) and kind != "person":
+        if kind == "person":
+            words: dict[str, str] = {}
+            for old, new in own.items():
+                title = (titles or {}).get(old, "")
+                for a, b in zip(old[len(title) :].split(), new[len(title) :].split()):
+                    words[_bare(a)[0].strip(".")] = _bare(b)[0].strip(".")
+            words.pop("", None)
+            if len(set(words.values())) < len(words):
+                raise ValueError("two names of persons share a surrogate")
+        elif len(set(own.values())) != len(own):
             # Spellings of one entity may meet; different entities may not.
             bare = lambda s: re.sub(r"[^\w@.]", "", s)
             if len({bare(x) for x in own.values()}) < len({bare(x) for x in own}):
                 raise ValueError(f"two entities of kind {kind} share a surrogate")
 
 
-def replace_text(text: str | None, key: bytes = KEY) -> tuple[str | None, int, int, str]:
+def replace_text(text: str | None, key: bytes) -> tuple[str | None, int, int, str]:
     """(text with surrogates, entities, different entities, kinds as `kind:count` in order of kind)."""
     if not text or not HINT.search(text):
         return text, 0, 0, ""
     made: dict[tuple[str, str], str] = {}
     kinds: dict[str, int] = {}
+    titles: dict[str, str] = {}
 
     def put(kind: str, old: str, title: str | None = None) -> str:
         if (kind, old) not in made:
-            made[kind, old] = surrogate(kind, old, title, key)
+            made[kind, old] = surrogate(kind, old, key, title)
+            titles[old.lower()] = (title or "").lower()
         kinds[kind] = kinds.get(kind, 0) + 1
         return made[kind, old]
 
-    found = list(ENTITY.finditer(text))
-    again, parts, at = _again(text, found), [], 0
+    found = [m for m in ENTITY.finditer(text) if m.lastgroup != "card" or is_card(m[0])]
+    names, parts, at = _names(text, found), [], 0
 
     def between(end: int) -> None:
         """Text outside the entities, up to end."""
         start = at
-        for m in again.finditer(text, at, end) if again else ():
-            parts.extend((text[start : m.start()], put("person", m[0])))
-            start = m.end()
+        for a, b in _again(text, names, at, end) if names else ():
+            parts.extend((text[start:a], put("person", text[a:b])))
+            start = b
         parts.append(text[start:end])
 
     for m in found:
         between(m.start())
-        parts.append(put("person" if m.lastgroup in ("person", "title") else m.lastgroup, m[0], m["title"]))
+        kind = {"title": "person", "date": "born", "strasse": "street"}.get(m.lastgroup, m.lastgroup)
+        parts.append(put(kind, m[0], m["title"]))
         at = m.end()
     between(len(text))
     new = "".join(parts)
-    check(made)
+    check(made, titles)
     return new, sum(kinds.values()), len(made), ",".join(f"{k}:{n}" for k, n in sorted(kinds.items()))
 
 
-def replace_entities(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session's setting spark.vellum.surrogates.key names; where it is unset, one drawn for this session, which then holds it."""
+    found = spark.conf.get("spark.vellum.surrogates.key", None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set("spark.vellum.surrogates.key", found)
+    return hashlib.blake2b(found.encode(), digest_size=32).digest()
+
+
+def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, text with surrogates, n_entities, n_distinct, kinds.
 
-    The whole text is searched. Null text stays null and empty text empty, with no entities; repeated
-    rows get the same surrogates; an empty table gives no rows.
+    key: a secret of up to 64 bytes; equal keys give equal surrogates, in every run. The whole text is searched. Null text stays
+    null and empty text empty, with no entities; repeated rows get the same surrogates; an empty table gives no rows.
     """
+    if not 0 < len(key) <= 64:
+        raise ValueError("the key has 1 to 64 bytes")
 
     def run(batches):
         for batch in batches:
