@@ -22,21 +22,56 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the session's shared checkpoint folder and cut its lineage; it survives lost executors.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, the shared one that spark.checkpoint.dir names.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset
-    (tests, one machine) a temporary folder is used.
+    Where that is unset a local session gets a folder of its own; on a cluster it is an error, as a folder
+    of one machine cannot be read by the others.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vellum-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="vellum-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write df to the session's shared checkpoint folder and cut its lineage; it survives lost executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def small_or_not(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
-    """df, marked for broadcast if it has at most `rows` rows; df must be cheap to count (settled)."""
-    fits = df.limit(rows + 1).count() <= rows
+def fresh(name: str, taken) -> str:
+    """name, or name with as many underscores behind it as make it differ from the taken ones (in any case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def anti_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows of df whose column `on` has no equal among keys' one column, null being equal to null; df keeps its columns, whatever their names."""
+    key = fresh("_gone", df.columns)
+    keys = keys.toDF(key)
+    return df.join(keys, column(on).eqNullSafe(F.col(key)), "left_anti")
+
+
+#: Bytes that are broadcast at most.
+BROADCAST_BYTES = 32_000_000
+
+
+def small_or_not(df: DataFrame, rows: int, most_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """df, marked for broadcast if it has at most `rows` rows of most_bytes together; df must be cheap to read (settled).
+
+    A string counts with its length, any other value with 16 bytes.
+    """
+    each = [F.coalesce(F.octet_length(column(f.name)), F.lit(0)) + 16 if isinstance(f.dataType, T.StringType) else F.lit(16) for f in df.schema]
+    n, size = df.limit(rows + 1).select(sum(each[1:], each[0]).cast("long").alias("size")).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    fits = n <= rows and size <= most_bytes
     return (F.broadcast(df) if fits else df), fits
 
 

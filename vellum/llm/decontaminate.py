@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import column, settle, small_or_not
+from vellum.llm.common import anti_join, column, settle, small_or_not
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -108,7 +108,10 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """docs without those that contain an item; rows with a null id are kept unless a row with a null id contains one."""
-    bad = settle(contained_items(docs, items, id_col=id_col, **params).select(F.col("doc_id").alias("_bad")).distinct())
-    bad, _ = small_or_not(bad, BROADCAST_ROWS)
-    return docs.join(bad, column(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without those that contain an item, all columns as they are.
+
+    Rows with equal ids, null ones among them, are one document: they go or stay together. An empty table on either side
+    loses nothing.
+    """
+    bad = settle(contained_items(docs, items, id_col=id_col, **params).select("doc_id").distinct())
+    return anti_join(docs, small_or_not(bad, BROADCAST_ROWS)[0], id_col)

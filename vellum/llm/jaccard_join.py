@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import column, settle, small_or_not
+from vellum.llm.common import anti_join, column, settle, small_or_not
 from vellum.llm.components import connected_components
 from vellum.llm.hashing import deal, mix, window_hashes, words_at
 
@@ -424,7 +424,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """docs without those that have a near duplicate with a smaller id in their component; rows with a null id stay."""
+    """docs without those that have a near duplicate with a smaller id in their component, all columns as they are.
+
+    Rows with a null id stay, as do texts without words; rows with equal ids go or stay together. An empty table gives none.
+    """
     own = near_duplicates(docs, id_col=id_col, **params)
-    away, _ = small_or_not(settle(own.filter("component_id <> doc_id").select(F.col("doc_id").alias("_away")).distinct()), BROADCAST_ROWS)
-    return docs.join(away, column(id_col) == F.col("_away"), "left_anti")
+    away = settle(own.filter("component_id <> doc_id").select("doc_id").distinct())
+    return anti_join(docs, small_or_not(away, BROADCAST_ROWS)[0], id_col)

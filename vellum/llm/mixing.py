@@ -1,8 +1,9 @@
 """Mixing sources to target weights by fixed-length blocks.
 
 The words of each source, its documents laid end to end, are packed into blocks of BLOCK words (the
-last block may be shorter). A source's target decides how many blocks the mix takes of it; a
-multinomial draw deals that number over the output shards. Slot g of a source maps to block
+last block may be shorter). A source's target decides how many blocks the mix takes of it. Each output
+shard draws its source counts by a multinomial with the targets' shares; what the draws miss of the
+targets by their own noise is put right within the shards (see dealt()). Slot g of a source maps to block
 permutation(g mod n_blocks), with a new pseudorandom permutation in each pass over the source, and
 slots and blocks are joined by that index. At most 3 * n_blocks slots are drawn, so nothing is
 taken more than three times.
@@ -76,24 +77,56 @@ def offsets(rows: DataFrame) -> DataFrame:
     return rows.join(per, ["src", "bucket"]).withColumn("first", F.col("_before") + F.col("_upto") - F.col("size")).drop("_before", "_upto")
 
 
+def dealt(n_slots: np.ndarray, shards: int, seed: int) -> np.ndarray:
+    """Slots by shard and source. Each shard draws its source counts by a multinomial with the sources' shares of all slots.
+
+    The draws' totals miss the sources' numbers by their own noise, and could pass the bound on repeats; so as many slots as
+    a source was drawn too often are given, in the shards that drew them, to sources drawn too seldom.
+    """
+    total = int(n_slots.sum())
+    rng = np.random.Generator(np.random.PCG64(seed))
+    sizes = [total // shards + (k < total % shards) for k in range(shards)]
+    drawn = np.array([rng.multinomial(n, n_slots / total) for n in sizes], np.int64).reshape(shards, -1)
+    miss = drawn.sum(axis=0) - n_slots
+    free = np.zeros(shards, np.int64)
+    for s in np.flatnonzero(miss > 0):
+        away = _shares(int(miss[s]), drawn[:, s])
+        drawn[:, s] -= away
+        free += away
+    for s in np.flatnonzero(miss < 0):
+        more = _shares(-int(miss[s]), free)
+        drawn[:, s] += more
+        free -= more
+    return drawn
+
+
+def _shares(n: int, room: np.ndarray) -> np.ndarray:
+    """n cut in proportion to room, no part over its room; n is the sum of room at most."""
+    out = np.array([n * r // max(1, int(room.sum())) for r in room.tolist()], np.int64)
+    for k in np.argsort(out - room, kind="stable"):  # the roomiest first
+        out[k] += (more := min(n - int(out.sum()), int(room[k] - out[k])))
+        if not n - out.sum():
+            break
+    return out
+
+
 def draws(targets: DataFrame, shards: int = SHARDS, block: int = BLOCK, most: int = MOST, key: str = KEY) -> DataFrame:
-    """(src, n_blocks, n_slots, shard, start, drawn): each source's slots, dealt over the shards by a multinomial draw."""
-
-    def deal(batches):
-        for pdf in batches:
-            out = []
-            for src, n_blocks, n_slots in zip(pdf["src"], pdf["n_blocks"], pdf["n_slots"]):
-                seed = int.from_bytes(hashlib.blake2b(f"{key}:{src}".encode(), digest_size=8).digest(), "big")
-                counts = np.random.Generator(np.random.PCG64(seed)).multinomial(n_slots, [1 / shards] * shards)
-                start = 0
-                for shard, c in enumerate(counts.tolist()):
-                    out.append((src, n_blocks, n_slots, shard, start, c))
-                    start += c
-            yield pd.DataFrame(out, columns=["src", "n_blocks", "n_slots", "shard", "start", "drawn"])
+    """(src, n_blocks, n_slots, shard, start, drawn): the slots that each output shard draws of each source, numbered through by source.
+
+    One task sees one row a source, as a shard's draw is over all sources.
+    """
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("src").reset_index(drop=True)
+        seed = int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "big")
+        by = dealt(pdf["n_slots"].to_numpy(np.int64), shards, seed)
+        start = np.cumsum(by, axis=0) - by
+        parts = [pdf.assign(shard=k, start=start[k], drawn=by[k]) for k in range(shards)]
+        return pd.concat(parts, ignore_index=True)
 
     n_blocks = F.ceil(F.col("source_size") / block).cast("long")
     plan = targets.filter("source_size > 0").select("src", n_blocks.alias("n_blocks"), F.least(F.lit(most) * n_blocks, F.round(F.col("target") * n_blocks / F.col("source_size")).cast("long")).alias("n_slots"))
-    return plan.mapInPandas(deal, "src string, n_blocks long, n_slots long, shard int, start long, drawn long")
+    return plan.filter("n_slots > 0").groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: deal(pdf[["src", "n_blocks", "n_slots"]]), "src string, n_blocks long, n_slots long, shard int, start long, drawn long")
 
 
 def slots(drawn: DataFrame, key: str = KEY) -> DataFrame:
@@ -130,29 +163,33 @@ def mix_counts(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, most:
     rows = laid_out(docs, **columns)
     targets = settle(source_targets(rows, weights, most))
     times = slots(draws(targets, shards, block, most, key), key).groupBy("src", "block").agg(F.count("*").alias("times"))
-    pieces = pieces_of(offsets(rows), block).join(times, ["src", "block"], "left")
+    # Slots are made from a few rows, so their number is not in the plan's estimates; they must not be broadcast.
+    pieces = pieces_of(offsets(rows), block).join(times.hint("merge"), ["src", "block"], "left")
     taken = pieces.groupBy("src", "first", "bucket", "tie", "doc_id", "source", "size").agg(F.sum(F.col("n") * F.coalesce("times", F.lit(0))).alias("taken"), F.count(F.when(F.col("block").isNull(), 1)).alias("empty"))
     taken = taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.greatest("empty", F.lit(1)).cast("int"))))  # wordless rows that repeat whole
     return taken.join(targets.select("src", "source_size", "target"), "src").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def mix_documents(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """The mix itself: one row per slot and document piece in it, with doc_id, source, text and the columns in `keep`.
+    """The mix itself: one row per slot and document piece in it.
 
-    Output columns: mix_shard, slot, block, doc_id, from_word, text (the piece's words joined by one space), then `keep`.
+    Columns: mix_shard, slot, block, doc_id, from_word, text (the piece's words joined by one space), source, and `kept`, a struct
+    with the columns in `keep`, so that their names may be any. Null, empty and white texts are in no block. Rows with equal id
+    and text are each laid out and taken for themselves, with the kept columns of the first of them by their JSON.
+    An empty table gives no rows.
     """
     rows = laid_out(docs, id_col, text_col, source_col)
     targets = settle(source_targets(rows, weights, most))
-    pieces = pieces_of(offsets(rows), block).filter("n > 0").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("src", "block", "from_word", "n")).alias("_pieces"))
+    pieces = pieces_of(offsets(rows), block).filter("n > 0").groupBy("doc_id", "tie", "src", "first").agg(F.collect_list(F.struct("block", "from_word", "n")).alias("_pieces"))
     text = column(text_col)
     # Texts travel as texts: as arrays of words they would take several times the room.
-    full = docs.select(column(id_col).alias("_id"), F.xxhash64(text).alias("_tie"), text.alias("_text"), *[column(c).alias(f"_keep_{i}") for i, c in enumerate(keep or [])])
-    # Rows that repeat whole meet the pieces of all their repetitions, so one of them stands for all.
-    full = full.dropDuplicates(["_id", "_tie"])
-    piece = lambda words: lambda p: F.struct(p["src"].alias("src"), p["block"].alias("block"), p["from_word"].alias("from_word"), F.array_join(F.slice(words, (p["from_word"] + 1).cast("int"), p["n"].cast("int")), " ").alias("text"))
+    kept = F.struct(*[column(c).alias(c) for c in keep or []], *([] if keep else [F.lit(None).cast("string").alias("none")]))
+    full = docs.select(column(id_col).alias("_id"), F.xxhash64(text).alias("_tie"), text.alias("_text"), kept.alias("kept"))
+    full = full.groupBy("_id", "_tie").agg(F.min("_text").alias("_text"), F.min_by("kept", F.to_json("kept")).alias("kept"))
+    piece = lambda words: lambda p: F.struct(p["block"].alias("block"), p["from_word"].alias("from_word"), F.array_join(F.slice(words, (p["from_word"] + 1).cast("int"), p["n"].cast("int")), " ").alias("text"))
     # The outer transform, over one array of words, binds it, so a text is cut into words once.
     each = F.get(F.transform(F.array(F.regexp_extract_all("_text", F.lit(f"({WORD})"))), lambda words: F.transform("_pieces", piece(words))), F.lit(0))
     cut = full.join(pieces, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie"))).withColumn("_p", F.explode(each))
-    cut = cut.select("doc_id", "_p.src", "_p.block", "_p.from_word", "_p.text", *[f"_keep_{i}" for i, _ in enumerate(keep or [])])
-    mixed = cut.join(slots(draws(targets, shards, block, most, key), key), ["src", "block"])
-    return mixed.select(F.col("shard").alias("mix_shard"), "slot", "block", "doc_id", "from_word", "text", F.when(F.col("src") != "", F.substring("src", 2, 2**30)).alias("source"), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep or [])])
+    cut = cut.select("doc_id", "src", "_p.block", "_p.from_word", "_p.text", "kept")
+    mixed = cut.join(slots(draws(targets, shards, block, most, key), key).hint("merge"), ["src", "block"])
+    return mixed.select(F.col("shard").alias("mix_shard"), "slot", "block", "doc_id", "from_word", "text", F.when(F.col("src") != "", F.substring("src", 2, 2**30)).alias("source"), "kept")

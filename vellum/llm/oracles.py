@@ -59,8 +59,9 @@ def sharding(shards: int, key: str) -> str:
     return f"""
 WITH RECURSIVE tab AS (SELECT list_transform(range(0, 256), lambda k: list_reduce(list_prepend(k, range(0, 8)), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
 d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size,
-  list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes, substr(md5(CAST(doc_id AS VARCHAR)), 1, 3) AS bucket FROM documents),
-c AS (SELECT doc_id, size, bucket, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda s, x: xor(s // 256, t[(xor(s, x) & 255) + 1])), 4294967295) AS crc FROM d, tab),
+  list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+k AS (SELECT doc_id, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda s, x: xor(s // 256, t[(xor(s, x) & 255) + 1])), 4294967295) AS crc FROM d, tab),
+c AS (SELECT *, substr(md5(doc_id || ':' || crc), 1, 3) AS bucket FROM k),
 total AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM documents),
 numbered AS (SELECT doc_id, size, crc, row_number() OVER (ORDER BY bucket, doc_id) - 1 AS row, n, a, (n + a - 1) // a AS b FROM c, total),
 walk AS ({first} UNION ALL {again})

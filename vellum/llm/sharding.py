@@ -4,8 +4,8 @@ Law `rows`: row number i of 0..N-1 goes to p = permutation(i), shard p mod S and
 shard sizes differ by one at most, the order is shuffled reproducibly, and shard and slot can be
 computed from a row number alone (and back, by locate()).
 
-The global row number needs no global sort: rows are dealt to BUCKETS hash buckets, the bucket
-counts (BUCKETS numbers, whatever the input's size) are summed up, and a window numbers the rows
+The global row number needs no global sort: rows are dealt to hash buckets by id and checksum, the bucket
+counts (4,096 numbers, or 65,536 for large tables) are summed up, and a window numbers the rows
 inside each bucket. All of it is DataFrame expressions.
 """
 
@@ -14,9 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import column, feistel, feistel_inverse, hash_bits, long_array
+from vellum.llm.common import column, feistel, feistel_inverse, fresh, hash_bits, long_array
 
-BUCKETS = 4096
 KEY = "vellum-shard-1"
 
 
@@ -35,27 +34,37 @@ def locate(shard: Column, slot: Column, n: int, shards: int, key: str = KEY) ->
     return feistel_inverse(slot.cast("long") * shards + shard.cast("long"), F.lit(n).cast("long"), F.lit(key))
 
 
+def hex_digits(n: int) -> int:
+    """Digits of the bucket hash for n rows: 3, or 4 where a bucket would hold more than 65,536 rows on the average."""
+    return 3 if n <= 2**28 else 4
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Rows of docs with doc_id, size, text_crc32, law, shard, slot, row_number and the columns in `keep`.
 
-    Null text: size 1, checksum that of the empty string. Null ids are spread by their text's checksum.
-    Rows that repeat whole are numbered in any order among themselves, which no output column shows.
-    An empty table gives no rows. Equal texts form no group here: under the law `rows` each row
-    is placed alone, and its checksum tells where equal texts are.
+    Null text: size 1, checksum that of the empty string. Rows with a null or a repeated id are spread by their
+    text's checksum. Rows that repeat whole are numbered in any order among themselves, which no output column shows.
+    An empty table gives no rows. Equal texts form no group here: under the law `rows` each row is placed alone, and
+    its checksum tells where equal texts are. A kept column with the name of one of the columns above has underscores
+    put behind its name.
     """
+    own = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "row_number"]
+    kept = {}
+    for c in keep or []:
+        kept[c] = fresh(c, own + list(kept.values()))
     rows = docs.select(
         column(id_col).alias("doc_id"), utf8_size(column(text_col)).alias("size"), F.crc32(F.coalesce(column(text_col), F.lit(""))).alias("text_crc32"),
-        F.xxhash64(column(text_col)).alias("_tie"),
-        *[column(c).alias(f"_keep_{i}") for i, c in enumerate(keep or [])],
+        F.xxhash64(column(text_col)).alias("_tie"), F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(kept)], F.lit(0).alias("end")).alias("_kept"),
     )
-    bucket = hash_bits([F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.col("text_crc32").cast("string")))], 3)
+    digits = hex_digits(docs.count())
+    bucket = hash_bits([F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_crc32").cast("string")], digits)
     rows = rows.withColumn("_bucket", bucket)
-    counts = dict(rows.groupBy("_bucket").count().collect())  # at most BUCKETS rows
+    counts = dict(rows.groupBy("_bucket").count().collect())  # at most 16 ** digits rows
     starts, n = [], 0
-    for i in range(BUCKETS):
+    for i in range(16**digits):
         starts.append(n)
         n += counts.get(i, 0)
-    order = Window.partitionBy("_bucket").orderBy("doc_id", "text_crc32", "size", "_tie", *[f"_keep_{i}" for i, c in enumerate(keep or []) if c != text_col])
+    order = Window.partitionBy("_bucket").orderBy("doc_id", "text_crc32", "size", "_tie", F.xxhash64(F.to_json("_kept")))
     rows = rows.withColumn("row_number", F.get(long_array(starts), F.col("_bucket").cast("int")) + F.row_number().over(order) - 1)
     shard, slot = place(F.col("row_number"), n, shards, key)
-    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.alias("shard"), slot.alias("slot"), "row_number", *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep or [])])
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.alias("shard"), slot.alias("slot"), "row_number", *[F.col(f"_kept.c{i}").alias(c) for i, c in enumerate(kept.values())])
