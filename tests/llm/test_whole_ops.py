@@ -6,10 +6,12 @@ import pytest
 
 from vellum.llm import html_text, surrogates
 
+KEY = b"a key for tests"
+
 
 def test_later_and_earlier_mentions_of_a_person():
     text = "Smith came. Mr John Smith met JOHN SMITH; John Smith's dog, Smith’s and SMITH. Smithson, Smith-Jones and smith stay."
-    new, n, _, kinds = surrogates.replace_text(text)
+    new, n, _, kinds = surrogates.replace_text(text, KEY)
     assert n == 6 and kinds == "person:6"
     assert re.findall(r"(?i)\bsmith\S*", new) == ["Smithson,", "Smith-Jones", "smith"] and "john" not in new.lower()
     given, surname = re.search(r"Mr (\w+) (\w+) met", new).groups()
@@ -17,15 +19,15 @@ def test_later_and_earlier_mentions_of_a_person():
 
 
 def test_listed_given_names_without_a_title():
-    new, n, distinct, kinds = surrogates.replace_text("Gestern sah Anna Weiß den Film. Jean était là. Weiß lachte.")
+    new, n, distinct, kinds = surrogates.replace_text("Gestern sah Anna Weiß den Film. Jean était là. Weiß lachte.", KEY)
     assert (n, kinds) == (2, "person:2") and "Anna" not in new and "Weiß" not in new and "Jean était" in new
     found = re.search(r"sah (\w+) (\w+) den .* (\w+) lachte", new).groups()
     assert found[0] in surrogates.GIVEN_F and found[1] == found[2]
-    assert surrogates.replace_text("Peter went home. No name here.")[1] == 0
+    assert surrogates.replace_text("Peter went home. No name here.", KEY)[1] == 0
 
 
 def test_possessives_and_mails_of_a_named_person():
-    new, n, _, kinds = surrogates.replace_text("Mrs. Mary Fox's mail is mary.fox@a.org. Fox, Mary: 017 555-7713")
+    new, n, _, kinds = surrogates.replace_text("Mrs. Mary Fox's mail is mary.fox@a.org. Fox, Mary: 017 555-7713", KEY)
     assert kinds == "email:1,person:3,phone:1" and "Fox" not in new and "Mary" not in new
     given, surname = re.search(r"Mrs\. (\w+) (\w+)'s mail", new).groups()
     assert f"{surname}, {given}:" in new

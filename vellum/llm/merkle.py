@@ -1,12 +1,14 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs.
 
 Leaves are the paragraphs: stretches of text that end after sentence marks or a line's end, cut at
-PARAGRAPH characters; joined they are the text again. SECTION consecutive leaves form a section, the
-sections form the root. A leaf's digest is 16 hex digits of its MD5, a section's that of its leaves'
-digests, the root is the MD5 of the sections' digests. So equal roots mean equal texts, and differing
-branches lead to the edits: only sections whose digests differ need be opened (see edits()).
-
-A fingerprint is `root:leaf,leaf,...`; section digests follow from the leaves. All of it is
+PARAGRAPH characters; joined they are the text again. A section ends with a leaf whose digest begins with
+ENDS, one in sixteen, or with the text; so sections are told by their content, and what is put in or taken
+out changes its own section but moves no other. A leaf's digest is 16 hex digits of its MD5, a section's
+that of its leaves' digests, the root is the MD5 of the sections' digests. So equal roots mean equal texts,
+and differing branches lead to the edits: only sections that the other tree has not are opened (see
+located_edits()).
+
+A fingerprint is `root:leaf,leaf,...`; sections and their digests follow from the leaves. All of it is
 DataFrame expressions.
 """
 
@@ -15,15 +17,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import column
+from vellum.llm.common import column, long_array, settle
 
 PARAGRAPH = 120
-SECTION = 16
+#: First hex digit of the digest of a leaf that ends its section.
+ENDS = "0"
 #: Covers every character: a run without marks and the marks after it, or marks alone.
 LEAF = r"([^\n.!?]{1,%d}[\n.!?]*|[\n.!?]+)"
 DIGITS = 16
-#: Documents in one stretch of the order of ids, on the average.
-STRETCH = 500
+#: Documents in one stretch of the order of ids, on the average, and stretches at most beside one for each cell.
+STRETCH, STRETCHES = 500, 200_000
+#: Cells of the order of ids, between quantiles.
+CELLS = 1000
 
 
 def leaves(text: Column) -> Column:
@@ -32,14 +37,22 @@ def leaves(text: Column) -> Column:
     return F.transform(found, lambda p: F.substring(F.md5(p), 1, DIGITS))
 
 
+def cut_sections(of: Column) -> Column:
+    """The leaf digests of each section, from a column (not an expression, which would be worked out again and again) of leaf digests."""
+    n = F.size(of)
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == n) | F.get(of, i - 1).startswith(ENDS)))
+    before = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0))))
+    return F.when(n > 0, F.zip_with(before, ends, lambda a, b: F.slice(of, a + 1, b - a))).otherwise(F.array().cast("array<array<string>>"))
+
+
 def sections(of: Column) -> Column:
-    """Digests of the sections over an array of leaf digests."""
-    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(of) / SECTION).cast("int") - 1, F.lit(1)), lambda i: F.substring(F.md5(F.array_join(F.slice(of, i * SECTION + 1, F.lit(SECTION)), ",")), 1, DIGITS))
+    """Digests of the sections over a column of leaf digests."""
+    return F.transform(cut_sections(of), lambda g: F.substring(F.md5(F.array_join(g, ",")), 1, DIGITS))
 
 
-def fingerprint(of: Column) -> Column:
-    root = F.md5(F.when(F.size(of) > 0, F.array_join(sections(of), ",")).otherwise(F.lit("")))
-    return F.concat(root, F.lit(":"), F.array_join(of, ","))
+def fingerprint(of: Column, over: Column | None = None) -> Column:
+    """The fingerprint from a column of leaf digests, and one of section digests if there is one."""
+    return F.concat(F.md5(F.array_join(over if over is not None else sections(of), ",")), F.lit(":"), F.array_join(of, ","))
 
 
 def leaves_of(print_: Column) -> Column:
@@ -47,58 +60,116 @@ def leaves_of(print_: Column) -> Column:
     return F.filter(F.split(F.substring_index(print_, ":", -1), ","), lambda x: x != "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Of two arrays of leaf digests, as sets: 2 * common / both sizes; two empty ones are alike."""
-    x, y = F.array_distinct(a), F.array_distinct(b)
-    both = F.size(x) + F.size(y)
-    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / both)
+def likeness(leaves_a: Column, sections_a: Column, leaves_b: Column, sections_b: Column) -> Column:
+    """Of two trees: 2 * common / both numbers of different branches, sections and leaves alike; two empty trees are alike."""
+    size = lambda x: F.size(F.array_distinct(x))
+    both = size(leaves_a) + size(sections_a) + size(leaves_b) + size(sections_b)
+    common = F.size(F.array_intersect(sections_a, sections_b)) + F.size(F.array_intersect(leaves_a, leaves_b))
+    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * common / both)
+
 
+def located_edits(before: DataFrame, after: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, leaf, start, end): the paragraphs of `after` that its document in `before` does not have, by their characters, counted from 0.
 
-def edits(a: Column, b: Column) -> Column:
-    """Positions of leaves that differ, found by opening only the sections that differ; the longer tree's surplus counts."""
-    sa, sb = sections(a), sections(b)
-    n = F.greatest(F.size(sa), F.size(sb))
-    differing = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.get(sa, i).eqNullSafe(F.get(sb, i)))
-    opened = F.flatten(F.transform(differing, lambda i: F.sequence(i * SECTION, i * SECTION + SECTION - 1)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.array().cast("array<int>")).when(
-        F.size(a) == 0, F.sequence(F.lit(0), F.size(b) - 1)
-    ).when(F.size(b) == 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.filter(opened, lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i))))
+    Roots are compared first; of documents whose roots differ, sections; leaves are compared only under sections
+    that the other tree has not. A document that `before` lacks, or has with no text, is new from end to end; null text is
+    empty; null ids match null ids; rows with equal ids are compared with all their namesakes; an empty table gives no rows.
+    """
+
+    def trees(docs: DataFrame) -> DataFrame:
+        of = docs.select(column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+        of = of.withColumn("pieces", F.regexp_extract_all("text", F.lit(LEAF % PARAGRAPH), F.lit(1)))
+        of = of.select("doc_id", "pieces", F.transform("pieces", lambda p: F.substring(F.md5(p), 1, DIGITS)).alias("leaves"))
+        of = of.withColumn("cut", cut_sections(F.col("leaves")))
+        digests = F.transform("cut", lambda g: F.substring(F.md5(F.array_join(g, ",")), 1, DIGITS))
+        return of.withColumn("digests", digests).withColumn("root", F.md5(F.array_join("digests", ",")))
+
+    old, new = trees(before).alias("o"), trees(after).alias("n")
+    same = F.col("o.doc_id").eqNullSafe(F.col("n.doc_id"))
+    differ = new.join(old.select("o.doc_id", "o.root"), same & (F.col("o.root") == F.col("n.root")), "left_anti")
+    opened = differ.select("doc_id", "pieces", F.posexplode("cut").alias("nth", "section"), "digests", "cut").withColumn("digest", F.get("digests", F.col("nth")))
+    opened = opened.withColumn("first", F.aggregate(F.slice("cut", F.lit(1), F.col("nth")), F.lit(0), lambda n, g: n + F.size(g)))
+    opened = opened.select("doc_id", "digest", "section", "first", F.aggregate(F.slice("pieces", F.lit(1), F.col("first")), F.lit(0).cast("long"), lambda n, p: n + F.length(p)).alias("at"), F.slice("pieces", F.col("first") + 1, F.size("section")).alias("pieces")).alias("n")
+    gone = old.select("o.doc_id", F.explode("o.digests").alias("digest")).alias("o")
+    opened = opened.join(gone, same & (F.col("o.digest") == F.col("n.digest")), "left_anti")
+    upto = lambda k: F.aggregate(F.slice("pieces", F.lit(1), k), F.col("at"), lambda n, p: n + F.length(p))
+    each = opened.select("doc_id", "first", "at", "pieces", F.posexplode("section").alias("k", "digest"))
+    each = each.select("doc_id", (F.col("first") + F.col("k")).alias("leaf"), upto(F.col("k")).alias("start"), upto(F.col("k") + 1).alias("end"), "digest").alias("n")
+    had = old.select("o.doc_id", F.explode("o.leaves").alias("digest")).alias("o")
+    return each.join(had, same & (F.col("o.digest") == F.col("n.digest")), "left_anti").select("doc_id", "leaf", "start", "end")
+
+
+def _place(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are value at most, by bisection."""
+    steps = [1 << k for k in range(len(bounds).bit_length())][::-1]
+    ends = long_array(bounds)
+    take = lambda at, s: F.when((at + s <= len(bounds)) & (F.get(ends, at + s - 1) <= value), at + s).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), take)
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and next_text, the text of the document after it by ascending id; the last one meets the first.
 
-    Ids are dealt to stretches of equal width over their range, STRETCH rows each on the average, and
-    each stretch's first text is handed to the one before it, so no task sees more than a stretch.
-    Null ids come first, in the order of their texts, as rows with equal ids are; null texts count as empty.
+    Null ids come first; rows with equal ids, and those with null ids, follow one another by their texts' hashes, then
+    texts. Null texts count as empty; an empty table gives no rows. Ids are dealt to cells between quantiles, so dense
+    clusters of ids get cells of their own, and cells to stretches of equal width of ids, or of hashes where a cell has one id only;
+    each stretch's first text is handed to the one before it. So a task sees a stretch, unless more rows than that
+    are equal in id and text.
     """
-    rows = docs.select(column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(1, -(-(high - low + 1) * STRETCH // max(1, n)))
-    rows = rows.withColumn("_stretch", F.coalesce(F.floor((F.col("doc_id") - low) / F.lit(width)), F.lit(-1)))
-    firsts = rows.groupBy("_stretch").agg(F.min(F.struct("doc_id", "text")).alias("_row"))
-    line = Window.orderBy("_stretch")  # numbers of stretches only
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+    ids = rows.select("doc_id")
+    n, *_ = ids.agg(F.count("*")).first()
+    per = max(STRETCH, -(-n // STRETCHES))
+    cells = max(1, min(CELLS, n // per))
+    found = ids.agg(F.percentile_approx("doc_id", [k / cells for k in range(1, cells)] or [0.5], 10 * CELLS)).first()[0] or []
+    # A quantile that comes twice is an id of many rows: it gets a cell of its own.
+    bounds = sorted(set(found) | {x + 1 for x, y in zip(found, found[1:]) if x == y})
+    cell = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_place(F.col("doc_id"), bounds) + 1)
+    stats = ids.groupBy(cell.alias("cell")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).collect()  # a row a cell
+    base, low, width, parts = [0], [0] * (len(bounds) + 2), [0] * (len(bounds) + 2), [1] * (len(bounds) + 2)
+    for r in stats:
+        parts[r["cell"]] = k = -(-r["n"] // per)
+        if r["low"] != r["high"]:
+            low[r["cell"]], width[r["cell"]] = r["low"], -(-(r["high"] - r["low"] + 1) // k)
+    for k in parts:
+        base.append(base[-1] + k)
+    get = lambda xs: F.get(long_array(xs), F.col("_cell"))
+    by_id = F.floor((F.col("doc_id") - get(low)) / get(width))
+    if any(k > 1 and not w for k, w in zip(parts, width)):  # only then are texts hashed, and read, for it
+        by_hash = F.least(F.floor((F.xxhash64("text") / F.lit(2.0**64) + 0.5) * get(parts)), get(parts) - 1)
+        part = F.when(get(width) > 0, by_id).otherwise(by_hash)
+    else:
+        part = F.when(get(width) > 0, by_id).otherwise(F.lit(0))
+    rows = rows.withColumn("_cell", cell).withColumn("_stretch", (get(base) + part).cast("long")).drop("_cell")
+    firsts = settle(rows.groupBy("_stretch").agg(F.min("doc_id").alias("_first")))  # STRETCHES + CELLS rows about, at most
+    line = Window.orderBy("_stretch")
     everything = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = rows.select("_stretch").distinct().select("_stretch", F.coalesce(F.lag("_stretch").over(line), F.max("_stretch").over(everything)).alias("_to"))
-    guests = firsts.join(before, "_stretch").select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), F.col("_to").alias("_stretch"), F.lit(True).alias("_guest"))
-    order = Window.partitionBy("_stretch").orderBy("_guest", F.col("doc_id").asc_nulls_first(), "text")
+    firsts = firsts.withColumn("_to", F.coalesce(F.lag("_stretch").over(line), F.max("_stretch").over(everything)))
+    guests = rows.join(F.broadcast(firsts), ["_stretch"]).filter(F.col("doc_id").eqNullSafe(F.col("_first")))
+    guests = guests.groupBy("_to").agg(F.min(F.struct("doc_id", F.xxhash64("text").alias("hash"), "text")).alias("_row"))
+    guests = guests.select("_row.doc_id", "_row.text", F.col("_to").alias("_stretch"), F.lit(True).alias("_guest"))
+    order = Window.partitionBy("_stretch").orderBy("_guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     led = rows.withColumn("_guest", F.lit(False)).unionByName(guests).withColumn("next_text", F.lead("text").over(order))
     return led.filter(~F.col("_guest")).select("doc_id", "text", "next_text")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_chars, fingerprint, n_leaves, n_sections."""
+    """Per row: doc_id, n_chars, fingerprint, n_leaves, n_sections.
+
+    Null text is empty and has no leaves; rows that repeat give equal rows; an empty table gives none.
+    """
     of = docs.select(column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text")).withColumn("_leaves", leaves(F.col("text")))
-    return of.select("doc_id", F.length("text").cast("long").alias("n_chars"), fingerprint(F.col("_leaves")).alias("fingerprint"), F.size("_leaves").alias("n_leaves"), F.ceil(F.size("_leaves") / SECTION).alias("n_sections"))
+    of = of.withColumn("_sections", sections(F.col("_leaves")))
+    return of.select("doc_id", F.length("text").cast("long").alias("n_chars"), fingerprint(F.col("_leaves"), F.col("_sections")).alias("fingerprint"), F.size("_leaves").alias("n_leaves"), F.size("_sections").alias("n_sections"))
 
 
 def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text, its edited text and the next document's text by their fingerprints.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as
-    many, or all, of the next document's. Columns: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next, edited_leaves (how many leaves the edit changed).
+    many, or all, of the next document's (see with_next() for null and equal ids). Columns: doc_id, n_chars, edited_sha256,
+    fingerprint, edited_fingerprint, near_edited, near_next, edited_sections and edited_leaves (different branches of the edited text that
+    the text has not). Null text is empty; rows that repeat give a row each; an empty table gives none.
     """
     rows = with_next(docs, id_col, text_col)
     half = F.floor(F.length("text") / 2).cast("int")
@@ -107,10 +178,13 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),
         leaves(F.col("text")).alias("_own"), leaves(F.col("_edited")).alias("_changed"), leaves(F.col("next_text")).alias("_after"),
     )
-    own, changed, after = F.col("_own"), F.col("_changed"), F.col("_after")
+    names = ("_own", "_changed", "_after")
+    rows = rows.withColumns({f"{c}_up": sections(F.col(c)) for c in names})
+    own, changed, after = ((F.col(c), F.col(f"{c}_up")) for c in names)
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(own).alias("fingerprint"), fingerprint(changed).alias("edited_fingerprint"),
-        likeness(own, changed).alias("near_edited"), likeness(own, after).alias("near_next"), F.size(edits(own, changed)).alias("edited_leaves"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint(*own).alias("fingerprint"), fingerprint(*changed).alias("edited_fingerprint"),
+        likeness(*own, *changed).alias("near_edited"), likeness(*own, *after).alias("near_next"),
+        F.size(F.array_except(changed[1], own[1])).alias("edited_sections"), F.size(F.array_except(changed[0], own[0])).alias("edited_leaves"),
     )
 
 
@@ -122,10 +196,13 @@ WITH d AS (
   FROM documents),
 e AS (SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS edited FROM d),
 l AS (SELECT *, {own} AS own, {changed} AS changed, {after} AS after FROM e),
-u AS (SELECT *, list_distinct(own) AS o, list_distinct(changed) AS c, list_distinct(after) AS n FROM l)
-SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {print_own} AS fingerprint, {print_changed} AS edited_fingerprint,
+t AS (SELECT *, {up_own} AS own_up, {up_changed} AS changed_up, {up_after} AS after_up FROM l),
+u AS (SELECT *, list_distinct(own) || list_distinct(own_up) AS o, list_distinct(changed) || list_distinct(changed_up) AS c, list_distinct(after) || list_distinct(after_up) AS n FROM t)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256,
+  md5(array_to_string(own_up, ',')) || ':' || array_to_string(own, ',') AS fingerprint, md5(array_to_string(changed_up, ',')) || ':' || array_to_string(changed, ',') AS edited_fingerprint,
   CASE WHEN len(o) + len(c) = 0 THEN 1.0 ELSE CAST(2 * len(list_intersect(o, c)) AS DOUBLE) / (len(o) + len(c)) END AS near_edited,
-  CASE WHEN len(o) + len(n) = 0 THEN 1.0 ELSE CAST(2 * len(list_intersect(o, n)) AS DOUBLE) / (len(o) + len(n)) END AS near_next
+  CASE WHEN len(o) + len(n) = 0 THEN 1.0 ELSE CAST(2 * len(list_intersect(o, n)) AS DOUBLE) / (len(o) + len(n)) END AS near_next,
+  CAST(len(list_filter(list_distinct(changed_up), lambda x: NOT list_contains(own_up, x))) AS INT) AS edited_sections, CAST(len(list_filter(list_distinct(changed), lambda x: NOT list_contains(own, x))) AS INT) AS edited_leaves
 FROM u
 """
 
@@ -134,8 +211,9 @@ def oracle() -> str:
     def digests(x: str) -> str:
         return f"list_transform(regexp_extract_all({x}, '{LEAF % PARAGRAPH}', 1), lambda p: substr(md5(p), 1, {DIGITS}))"
 
-    def print_of(x: str) -> str:
-        cut = f"list_transform(range(0, len({x}), {SECTION}), lambda i: substr(md5(array_to_string(list_slice({x}, i + 1, i + {SECTION}), ',')), 1, {DIGITS}))"
-        return f"md5(CASE WHEN len({x}) = 0 THEN '' ELSE array_to_string({cut}, ',') END) || ':' || array_to_string({x}, ',')"
+    def up(x: str) -> str:
+        ends = f"list_filter(range(1, len({x}) + 1), lambda i: i = len({x}) OR {x}[i][1] = '{ENDS}')"
+        cut = f"list_transform({ends}, lambda e, k: substr(md5(array_to_string(list_slice({x}, CASE WHEN k = 1 THEN 1 ELSE {ends}[k - 1] + 1 END, e), ',')), 1, {DIGITS}))"
+        return cut
 
-    return ORACLE.format(own=digests("text"), changed=digests("edited"), after=digests("next_text"), print_own=print_of("own"), print_changed=print_of("changed"))
+    return ORACLE.format(own=digests("text"), changed=digests("edited"), after=digests("next_text"), up_own=up("own"), up_changed=up("changed"), up_after=up("after"))

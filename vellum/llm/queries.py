@@ -47,11 +47,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.compare_with_edited(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_sections", "edited_leaves")
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_entities(table(spark, sf_dir, "documents"))
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"), surrogates.session_key(spark))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
