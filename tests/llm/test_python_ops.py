@@ -476,3 +476,32 @@ def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95)], "a long, b long")
     got = {r.id: r.component for r in connected_components(links).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 90: 90, 95: 90, 100: 90}
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long"), most_rounds=2)
+    assert connected_components(links.limit(0)).count() == 0
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from vellum.llm import components
+
+    monkeypatch.setattr(components, "HOT", 4)
+    links = [(500, i) for i in range(100, 160)] + [(700, i) for i in range(160, 200)] + [(159, 160), (900, 900), (None, 3), (800, 850), (800, 850)]
+    got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 100 for i in [*range(100, 200), 500, 700]}, 900: 900, 800: 800, 850: 800}
+
+
+def test_repeated_rows_are_verified_once(spark, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(40))
+    near = base.replace("w20", "x20")
+    df = spark.createDataFrame([(1, base)] * 30 + [(2, near)] * 30 + [(3, "of no likeness to any of them")], "doc_id long, text string")
+    seen = []
+    kept = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda *a: seen.append(kept(*a).count()) or kept(*a))
+    got = jaccard_join.near_duplicates(df).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == {(1, 1): 30, (2, 1): 30, (3, 3): 1} and seen == [1]
+
+
+def test_parts_of_the_bands_hold_their_entries():
+    starts = jaccard_join.band_parts([(14, 16, 10_000), (3, 4, 7)], 75, 1000)
+    n = starts[1:] - starts[:-1]
+    assert n[3] == n[4] == n[10] == 1 and all(n[b] >= 10_000 * jaccard_join.scheme(int(jaccard_join.band_ends()[b]), 75)[1] // 1000 for b in (14, 15, 16))

@@ -2,26 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import settle
+from vellum.llm.common import settle, small_or_not
+
+#: Links of one id that a task reads at most, on the average; an id with more is dealt by a salt.
+HOT = 1_000
+#: Rows that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of every id in links(a, b): the smallest id reachable.
 
     Each round every id takes the smallest label around it, then its label's label, so labels travel a
-    doubling distance; the rounds end when no label changes. Each round's labels are settled.
+    doubling distance; the rounds end when no label changes. Each round's labels are settled. It is an error
+    if most_rounds do not suffice. Repeated links count once, a link of an id to itself makes it a component,
+    links with a null are left out, and no links give no rows.
+
+    The links of an id with more than HOT of them are dealt by a salt, and its label goes to each part.
     """
-    both = settle(links.select("a", "b").union(links.select("b", "a")).distinct())
+    both = links.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
+    both = settle(both.union(both.select("b", "a")).distinct())
+    hubs = settle(both.groupBy("b").count().filter(F.col("count") > HOT).select("b", F.ceil(F.col("count") / HOT).cast("int").alias("parts")))
+    hubs, _ = small_or_not(hubs, BROADCAST_ROWS)
+    salted = settle(both.join(hubs, "b", "left").select("a", "b", _salt(F.col("a"), F.col("parts")).alias("salt")))
     labels = settle(both.groupBy("a").agg(F.min("b").alias("_least")).select(F.col("a").alias("id"), F.least("a", "_least").alias("component")))
     for _ in range(most_rounds):
-        around = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("_seen"))
-        seen = labels.join(around, labels["id"] == around["a"], "left").select("id", F.col("component").alias("_old"), F.least("component", "_seen").alias("component"))
-        hop = seen.select(F.col("id").alias("component"), F.col("component").alias("_next"))
+        sent = labels.select(F.col("id").alias("b"), "component").join(hubs, "b", "left")
+        sent = sent.select("b", "component", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+        around = salted.join(sent, ["b", "salt"]).groupBy("a").agg(F.min("component").alias("_seen"))
+        seen = settle(labels.join(around, labels["id"] == around["a"], "left").select("id", F.col("component").alias("_old"), F.least("component", "_seen").alias("component")))
+        # Only labels that have another label themselves move what points at them.
+        own = seen.select("component").distinct().join(seen.select(F.col("id").alias("component"), F.col("component").alias("_next")), "component")
+        hop, _ = small_or_not(settle(own.filter("_next <> component")), BROADCAST_ROWS)
         new = settle(seen.join(hop, "component", "left").select("id", "_old", F.coalesce("_next", "component").alias("component")))
         labels = new.select("id", "component")
         if new.filter("component <> _old").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"links have not come together in {most_rounds} rounds")
+
+
+def _salt(key: Column, parts: Column) -> Column:
+    return F.when(parts.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(key), parts)).cast("int")

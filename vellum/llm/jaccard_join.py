@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import anti_join, column, settle, small_or_not
+from vellum.llm.common import anti_join, column, long_array, settle, small_or_not
 from vellum.llm.components import connected_components
 from vellum.llm.hashing import deal, mix, window_hashes, words_at
 
@@ -38,8 +38,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Sizes up to here are bands of their own; above, a band's upper end is BAND times its lower end.
 SINGLE_BANDS, BAND = 13, 1.15
-#: Signature entries that a part reads, on the average, and signatures a word on the average.
-PART_ENTRIES, ENTRIES_A_WORD = 1_500_000, 2.3
+#: Entries (features of prefixes, signatures) that a part reads at most, on the average.
+PART_ENTRIES = 400_000
 #: Features for each 512 bits of a band's sketches, and 64-bit words of a sketch at most.
 SKETCH_FEATURES, SKETCH_WORDS = 300, 256
 BROADCAST_ROWS = 1_000_000
@@ -133,9 +133,9 @@ def signatures(features: np.ndarray, percent: int = PERCENT):
     """
     n = len(features)
     ends = band_ends()
-    first, last = np.searchsorted(ends, [n, max(n, n * 100 // percent)])
+    first, last = bands_of(n, percent)
     where, content = mix(features, 21), mix(features, 22)
-    for band in range(int(first), int(last) + 1):
+    for band in range(first, last + 1):
         u = int(ends[band])
         k, n1, n2, k2, keep = scheme(u, percent)
         cell = (where % np.uint64(n1 * n2)).astype(np.int64)
@@ -270,7 +270,24 @@ def parity_sketch(features: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _sign(width: int, percent: int, subparts: int):
+def bands_of(n: int, percent: int) -> tuple[int, int]:
+    """The first and the last band in which a set of n features signs."""
+    first, last = np.searchsorted(band_ends(), [n, max(n, n * 100 // percent)])
+    return int(first), int(last)
+
+
+def band_parts(sizes: list[tuple[int, int, int]], percent: int, part_entries: int) -> np.ndarray:
+    """Where each band's parts start among all parts, and their number, from (first band, last band, sets)."""
+    ends, entries = band_ends(), {}
+    for first, last, sets in sizes:
+        for band in range(first, last + 1):
+            _, n1, _, _, keep = scheme(int(ends[band]), percent)
+            entries[band] = entries.get(band, 0) + sets * n1 * keep.shape[1]
+    n = [max(1, -(-entries.get(band, 0) // part_entries)) for band in range(max(entries, default=0) + 1)]
+    return np.concatenate([[0], np.cumsum(n)])
+
+
+def _sign(width: int, percent: int, bands: np.ndarray):
     """Payloads of the signatures of (doc_id, text, label). A record has id, label, size and the band's sketch."""
 
     def run(batches):
@@ -283,7 +300,7 @@ def _sign(width: int, percent: int, subparts: int):
                     head = np.array([i, label, len(s)], np.int64).tobytes()
                     for band, x in signatures(s, percent):
                         keys.append((x & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-                        parts.append((x >> np.uint64(40)).astype(np.int64) % subparts + band * subparts)
+                        parts.append((x >> np.uint64(40)).astype(np.int64) % int(bands[band + 1] - bands[band]) + int(bands[band]))
                         records.append(head + parity_sketch(s, sketch_words(band)).tobytes())
                 if keys:
                     yield _payloads(keys, parts, records, _PAYLOAD)
@@ -291,7 +308,7 @@ def _sign(width: int, percent: int, subparts: int):
     return run
 
 
-def _meet(percent: int, subparts: int, across: bool):
+def _meet(percent: int, bands: np.ndarray, across: bool):
     """(a, b), a < b, of documents that meet in a part and whose sketches allow a link.
 
     Not across: each document with the centre of its meetings, the one that meets others most often, in a group of near
@@ -300,7 +317,7 @@ def _meet(percent: int, subparts: int, across: bool):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(rows: pa.Table) -> pa.Table:
-        words = sketch_words(rows.column("part")[0].as_py() // subparts)
+        words = sketch_words(int(np.searchsorted(bands, rows.column("part")[0].as_py(), side="right")) - 1)
         record = _read(rows, "records", np.int64).reshape(-1, 3 + words)
         # Rows with equal ids but different texts are told apart.
         _, first, key, member = _entries(rows, mix(record[:, 0].view(np.uint64)) ^ record[:, 3].view(np.uint64))
@@ -354,7 +371,7 @@ def _meet(percent: int, subparts: int, across: bool):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs(a, b) that link; texts: (doc_id, text), one row an id."""
+    """Those of pairs(a, b) that link; texts: (doc_id, text), a row for each different text of an id. Pairs whose texts differ by row may come twice."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -398,14 +415,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     shared = counted.groupBy("part").applyInArrow(f, schema)
     o = F.floor((F.col("n_shingles") * percent + 99) / 100)
     able = settle(classes.join(shared, "d1").filter(F.col("n") >= F.greatest(F.lit(1), F.floor(o / 4))).select(F.col("rep").alias("doc_id"), "n_shingles").distinct())
-    n = able.agg(F.sum("n_shingles")).first()[0] or 0
+    ends = long_array(band_ends().tolist())
+    band = lambda size: F.size(F.filter(ends, lambda e: e < size))
+    size, most = F.col("n_shingles"), F.greatest(F.col("n_shingles"), F.floor(F.col("n_shingles") * 100 / percent))
+    by_size = able.groupBy("n_shingles").count().groupBy(band(size).alias("first"), band(most).alias("last")).agg(F.sum("count")).collect()  # a few rows a band
+    bands = band_parts([tuple(r) for r in by_size], percent, part_entries)
     ids, _ = small_or_not(able.select("doc_id").distinct(), BROADCAST_ROWS)
-    texts = settle(docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).join(ids, "doc_id", "left_semi"))
-    subparts = max(1, int(n * ENTRIES_A_WORD / part_entries / 16))
+    texts = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).join(ids, "doc_id", "left_semi")
+    # Rows that repeat whole are one.
+    texts = settle(texts.groupBy("doc_id", F.xxhash64("text").alias("_digest")).agg(F.min("text").alias("text")).select("doc_id", "text"))
 
     def met(labelled: DataFrame, across: bool) -> DataFrame:
-        f, schema = _meet(percent, subparts, across)
-        signed = labelled.select("doc_id", "text", "label").mapInArrow(_sign(width, percent, subparts), PAYLOAD)
+        f, schema = _meet(percent, bands, across)
+        signed = labelled.select("doc_id", "text", "label").mapInArrow(_sign(width, percent, bands), PAYLOAD)
         return signed.groupBy("part").applyInArrow(f, schema).distinct()
 
     star = settle(met(texts.withColumn("label", F.col("doc_id")), False))
