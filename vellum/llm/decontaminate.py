@@ -63,7 +63,7 @@ def signatures(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def document_shingles(docs: DataFrame, widths: list[int], id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, hash, width) of every shingle of every document, repeats within a document taken once."""
+    """(doc_id, hash, width) of every shingle of every document, as often as it has it."""
     words = docs.select(column(id_col).alias("doc_id"), F.transform(plain_words(column(text_col)), lambda w: F.xxhash64(w)).alias("_h"))
     sides = [words.select("doc_id", F.explode(shingle_hashes(F.col("_h"), w)).alias("hash"), F.lit(w).alias("width")) for w in widths]
     out = sides[0]
@@ -75,8 +75,8 @@ def document_shingles(docs: DataFrame, widths: list[int], id_col: str, text_col:
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and benchmark item it contains: doc_id, item_id, n_shingles, n_found, containment.
 
-    Null or wordless texts contain nothing and null ids are reported as null; documents with equal ids
-    are held together as one. An empty table on either side gives no rows.
+    Null or wordless texts contain nothing and null ids, of documents and items, are reported as null; documents
+    with equal ids, null ones among them, are held together as one, and so are items. An empty table on either side gives no rows.
     """
     sets = settle(item_sets(items, item_id_col, item_text_col, width))
     widths = [r[0] for r in sets.select(F.explode("set.width").alias("w")).distinct().collect()] or [width]  # at most `width` numbers
@@ -99,10 +99,10 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
         while len(frames) > 1:
             frames[0] = frames[0].unionByName(frames.pop())
     wide_set = settle(wide[0].distinct())
-    sizes = wide_set.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
+    sizes = wide_set.groupBy(F.col("item_id").alias("_item")).agg(F.count("*").alias("n_shingles"))
     shingles, _ = small_or_not(wide_set, BROADCAST_ROWS)
     counted = held[0].distinct().join(shingles, ["shingle", "width"]).groupBy("_doc", "item_id").agg(F.count("*").alias("n_found"))
-    pairs = counted.join(found, F.col("_doc").eqNullSafe(F.col("doc_id")) & counted["item_id"].eqNullSafe(found["item_id"]), "left_semi").join(sizes, "item_id")
+    pairs = counted.join(found, F.col("_doc").eqNullSafe(F.col("doc_id")) & counted["item_id"].eqNullSafe(found["item_id"]), "left_semi").join(sizes, F.col("item_id").eqNullSafe(F.col("_item")))
     share = F.col("n_found") / F.col("n_shingles")
     return pairs.select(F.col("_doc").alias("doc_id"), "item_id", "n_shingles", "n_found", share.alias("containment")).filter(F.col("n_found") >= F.ceil(F.col("n_shingles") * F.lit(threshold) - 1e-9))
 
