@@ -181,6 +181,15 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.contained_items(fixtures.empty(spark), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_reports_items_without_an_id(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    items = spark.createDataFrame([(None, item), (7, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"a {item} b"), (None, item)], "doc_id long, text string")
+    got = decontaminate.contained_items(docs, items).collect()
+    assert {(r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in got} == {(d, i, 8, 8) for d in (1, None) for i in (7, None)}
+    assert decontaminate.clean_documents(docs, items).count() == 0
+
+
 def test_decontamination_keeps_clean_documents(spark):
     items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     kept = decontaminate.clean_documents(fixtures.docs(spark), items)

@@ -376,6 +376,22 @@ def test_substring_dedup_against_brute_force(spark, bucket_bytes):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter(removed(rows))
 
 
+def test_windows_are_told_apart_by_both_hashes():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    one, two = rng.integers(0, 40, 500).astype(np.uint64), rng.integers(0, 3, 500).astype(np.uint32)
+    pairs, seen, want = list(zip(one.tolist(), two.tolist())), set(), []
+    for i, p in enumerate(pairs):
+        if p not in seen:
+            seen.add(p)
+            want.append(i)
+    assert substring_dedup.first_of_each(one, two).tolist() == want
+    known = set(pairs[:60])
+    found = substring_dedup.among(one, two, *map(np.array, zip(*known)))
+    assert found.tolist() == [p in known for p in pairs]
+
+
 def test_substring_dedup_of_awkward_rows(spark):
     got = substring_dedup.remove_repeats(fixtures.docs(spark), with_text=True).collect()
     assert len(got) == len(fixtures.rows())

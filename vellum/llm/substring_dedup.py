@@ -3,9 +3,10 @@
 Every document is a reference: its words are cut into non-overlapping blocks of ANCHOR words, and the
 blocks' hashes are the index. Every document also probes: all its rolling windows of ANCHOR words are
 looked up. A repeat of WINDOW words holds one whole block wherever it starts (WINDOW >= 2 * ANCHOR - 1), so
-each repeat is hit. A hit is extended to both sides: the WINDOW-word windows over it are compared, by two
-64-bit hashes of all their words, with the earliest window of the same words; windows that follow one
-another make up the maximal exact repeats.
+each repeat is hit. A hit is extended to both sides: the WINDOW-word windows over it are compared with the
+earliest window of the same words; windows that follow one another make up the maximal exact repeats. Windows
+count as equal if a 64-bit hash and 32 bits of another one, each over all their words, are equal; between buckets
+they have also met by the rest of the second hash.
 
 Plan. Texts are dealt to buckets of about BUCKET_BYTES by a hash. In a bucket equal windows are
 settled on the spot, so what a bucket sends is one entry for each different hash, however often its
@@ -69,6 +70,30 @@ class Bucket:
         return at, ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), (mix(h, 7) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def first_of_each(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The places of the first of each pair of hashes (one, two), ascending."""
+    _, first, which = np.unique(one, return_index=True, return_inverse=True)
+    if (two != two[first[which]]).any():  # equal in one hash only
+        order = np.lexsort((np.arange(len(one)), two, one))
+        new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+        first = order[new]
+    return np.sort(first)
+
+
+def among(one: np.ndarray, two: np.ndarray, known_one: np.ndarray, known_two: np.ndarray) -> np.ndarray:
+    """Which pairs of hashes are among the known ones."""
+    if not len(known_one):
+        return np.zeros(len(one), bool)
+    order = np.lexsort((known_two, known_one))
+    known_one, known_two = known_one[order], known_two[order]
+    low, high = np.searchsorted(known_one, one), np.searchsorted(known_one, one, side="right")
+    found = np.zeros(len(one), bool)
+    for k in range(int((high - low).max(initial=0))):  # as many as are equal in the first hash: one, hardly ever two
+        own = low + k < high
+        found[own] |= known_two[low[own] + k] == two[own]
+    return found
+
+
 def _joined(parts: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return parts.astype(np.uint64) << np.uint64(32) | keys.astype(np.uint64)
 
@@ -123,7 +148,7 @@ def _shared():
 
 
 def _extend(anchor: int, window: int, parts: int, parts2: int):
-    schema = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("windows", pa.binary()), ("ids", pa.binary()), ("runs", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("windows", pa.binary()), ("tails", pa.binary()), ("ids", pa.binary()), ("runs", pa.binary())])
 
     def run(rows: pa.Table, hits: pa.Table) -> pa.Table:
         out = []
@@ -143,23 +168,23 @@ def _extend(anchor: int, window: int, parts: int, parts2: int):
             over = np.flatnonzero((np.cumsum(change[:-1]) > 0) & (b.left >= window))
             if len(over):
                 first_hash, second = window_hashes(b.words, window)[over], window_hashes(b.words, window, 1)[over]
-                _, first = np.unique(first_hash, return_index=True)  # in order of id and place: the earliest
-                first.sort()
+                tail = (second >> np.uint64(32)).astype(np.uint32)
+                first = first_of_each(first_hash, tail)  # in order of id and place: the earliest
                 docs = np.array(b.ids, np.int64)[b.document[over[first]]]
                 goes = (second[first] % np.uint64(parts2)).astype(np.int64)
                 order, stretches = deal(goes)
                 for p, s in stretches:
                     own = docs[order[s]]
                     cut = np.flatnonzero(np.diff(own, prepend=own[0] - 1 if own[0] > -(2**63) else own[0] + 1))
-                    out.append((p, bucket, first_hash[first][order[s]].tobytes(), own[cut].tobytes(), np.diff(cut, append=len(own)).astype(np.int32).tobytes()))
-        return pa.Table.from_arrays([pa.array([o[i] for o in out], type=schema.types[i]) for i in range(5)], schema=schema)
+                    out.append((p, bucket, first_hash[first][order[s]].tobytes(), tail[first][order[s]].tobytes(), own[cut].tobytes(), np.diff(cut, append=len(own)).astype(np.int32).tobytes()))
+        return pa.Table.from_arrays([pa.array([o[i] for o in out], type=schema.types[i]) for i in range(6)], schema=schema)
 
-    return run, "part int, bucket int, windows binary, ids binary, runs binary"
+    return run, "part int, bucket int, windows binary, tails binary, ids binary, runs binary"
 
 
 def _earlier():
     """Which windows of a part's buckets another bucket has earlier."""
-    schema = pa.schema([("bucket", pa.int32()), ("repeated", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("repeated", pa.binary()), ("tails", pa.binary())])
 
     def run(rows: pa.Table) -> pa.Table:
         buckets = rows.column("bucket").to_pylist()
@@ -167,18 +192,19 @@ def _earlier():
         ids = np.concatenate([np.repeat(np.frombuffer(i.as_py(), np.int64), np.frombuffer(r.as_py(), np.int32)) for i, r in zip(rows.column("ids"), rows.column("runs"))])
         of = np.repeat(np.array(buckets, np.int32), [len(w) for w in windows])
         every = np.concatenate(windows)
-        order = np.lexsort((of, ids, every))
+        tails = np.frombuffer(b"".join(t.as_py() for t in rows.column("tails")), np.uint32)
+        order = np.lexsort((of, ids, tails, every))
         late = np.zeros(len(every), bool)
-        late[order[1:]] = every[order[1:]] == every[order[:-1]]
+        late[order[1:]] = (every[order[1:]] == every[order[:-1]]) & (tails[order[1:]] == tails[order[:-1]])
         out, start = [], 0
         for bucket, own in zip(buckets, windows):
-            mine = own[late[start : start + len(own)]]
+            s = slice(start, start + len(own))
             start += len(own)
-            if len(mine):
-                out.append((bucket, mine.tobytes()))
-        return pa.Table.from_arrays([pa.array([o[i] for o in out], type=schema.types[i]) for i in range(2)], schema=schema)
+            if late[s].any():
+                out.append((bucket, own[late[s]].tobytes(), tails[s][late[s]].tobytes()))
+        return pa.Table.from_arrays([pa.array([o[i] for o in out], type=schema.types[i]) for i in range(3)], schema=schema)
 
-    return run, "bucket int, repeated binary"
+    return run, "bucket int, repeated binary, tails binary"
 
 
 def _remove(window: int, with_text: bool):
@@ -194,14 +220,12 @@ def _remove(window: int, with_text: bool):
         starts = np.zeros(0, np.int64)
         if len(at):
             own = window_hashes(b.words, window)[at]
-            _, first = np.unique(own, return_index=True)
+            tail = (window_hashes(b.words, window, 1)[at] >> np.uint64(32)).astype(np.uint32)
             late = np.ones(len(at), bool)
-            late[first] = False
+            late[first_of_each(own, tail)] = False
             if len(back):
-                known = np.sort(np.concatenate([np.frombuffer(r.as_py(), np.uint64) for r in back.column("repeated")]))
-                place = np.searchsorted(known, own)
-                place[place == len(known)] = 0
-                late |= known[place] == own
+                known = [np.frombuffer(b"".join(r.as_py() for r in back.column(c)), kind) for c, kind in (("repeated", np.uint64), ("tails", np.uint32))]
+                late |= among(own, tail, *known)
             starts = at[late]
             covered[starts] += 1
             covered[starts + window] -= 1  # starts differ, and so do their ends
