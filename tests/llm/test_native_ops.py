@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm import fixtures
@@ -96,7 +97,29 @@ def test_mixed_pieces_agree_with_the_counts(spark):
         assert own == texts[r.doc_id][r.from_word : r.from_word + len(own)]
         words[r.doc_id] += len(own)
     assert {k: v for k, v in counts.items() if v} == dict(words)
-    assert mixing.mix_documents(fixtures.docs(spark), block=4, keep=["bucket", "shard"]).count() > 0
+    kept = mixing.mix_documents(fixtures.docs(spark), block=4, keep=["bucket", "shard", "source"]).collect()
+    assert kept and all((r.kept.bucket, r.kept.shard) == (1, 2) and r.kept.source == r.source for r in kept)
+
+
+def test_repeated_rows_are_mixed_each_for_itself(spark):
+    text = " ".join(f"w{i}" for i in range(10))
+    docs = spark.createDataFrame([(1, text, "a")] * 40 + [(2, "x y z", "b")] * 5, "doc_id long, text string, source string")
+    counts = mixing.mix_counts(docs, block=8).collect()
+    mixed = mixing.mix_documents(docs, block=8).collect()
+    assert len(counts) == 45 and sum(r.taken for r in counts) == sum(len(r.text.split(" ")) for r in mixed)
+
+
+def test_shards_draw_their_source_counts():
+    import numpy as np
+
+    for n_slots in ([1], [5, 3], [1000, 10, 0, 77], [10**13, 3 * 10**12, 1], list(range(1, 60))):
+        n = np.array(n_slots, np.int64)
+        by = mixing.dealt(n, 8, 5)
+        assert (by >= 0).all() and by.sum(axis=0).tolist() == n_slots
+        sizes = by.sum(axis=1)
+        assert sizes.max() - sizes.min() <= 1 and (by == mixing.dealt(n, 8, 5)).all()
+    by = mixing.dealt(np.array([4000, 2000, 2000], np.int64), 8, 6)
+    assert by.std(axis=0).min() > 3  # drawn, not dealt out evenly
 
 
 LEAF = re.compile(r"[^\n.!?]{1,120}[\n.!?]*|[\n.!?]+")
@@ -106,19 +129,34 @@ def leaves(text):
     return [hashlib.md5(p.encode()).hexdigest()[:16] for p in LEAF.findall(text)]
 
 
+def sections(own):
+    out, now = [], []
+    for i, leaf in enumerate(own):
+        now.append(leaf)
+        if leaf[0] == "0" or i == len(own) - 1:
+            out.append(hashlib.md5(",".join(now).encode()).hexdigest()[:16])
+            now = []
+    return out
+
+
 def print_of(text):
     own = leaves(text)
-    sections = [hashlib.md5(",".join(own[i : i + 16]).encode()).hexdigest()[:16] for i in range(0, len(own), 16)]
-    return hashlib.md5(",".join(sections).encode()).hexdigest() + ":" + ",".join(own)
+    return hashlib.md5(",".join(sections(own)).encode()).hexdigest() + ":" + ",".join(own)
 
 
 def near(a, b):
-    x, y = set(leaves(a)), set(leaves(b))
+    x, y = (set(leaves(t)) | {("section", s) for s in sections(leaves(t))} for t in (a, b))
     return 1.0 if not x and not y else 2 * len(x & y) / (len(x) + len(y))
 
 
+def in_order(rows):
+    """Ascending ids, null first; equal ids by the hash of their texts, then texts."""
+    signed = lambda t: int.from_bytes(xxhash.xxh64(t.encode(), seed=42).digest(), "big", signed=True)
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]), r[1]))
+
+
 def test_merkle_against_brute_force(spark):
-    rows = sorted(((i, t or "") for i, t, *_ in fixtures.rows()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    rows = in_order([(i, t or "") for i, t, *_ in fixtures.rows()])
     got = sorted(merkle.compare_with_edited(fixtures.docs(spark)).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.fingerprint))
     want = []
     for k, (i, t) in enumerate(rows):
@@ -134,11 +172,44 @@ def test_merkle_against_brute_force(spark):
     assert "".join(LEAF.findall(fixtures.LONG)) == fixtures.LONG
 
 
-def test_merkle_finds_the_edited_leaves(spark):
-    a = "".join(f"Sentence number {i}. " for i in range(100))
-    b = a.replace("number 70.", "number x.")
-    row = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.edits(merkle.leaves(F.col("a")), merkle.leaves(F.col("b"))).alias("e")).first()
-    assert row.e == [70]
+def test_next_documents_in_clusters_and_repeats(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(merkle, "STRETCH", 7)
+    rng = random.Random(11)
+    ids = [rng.randrange(50) for _ in range(60)] + [10**15 + rng.randrange(40) for _ in range(60)] + [77] * 80 + [None] * 60 + [-(2**62), 2**62]
+    rows = in_order([(i, f"text {k % 90}") for k, i in enumerate(ids)])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = merkle.with_next(df).collect()
+    assert Counter((r.doc_id, r.text, r.next_text) for r in got) == Counter((i, t, rows[(k + 1) % len(rows)][1]) for k, (i, t) in enumerate(rows))
+
+
+def test_merkle_locates_edits(spark):
+    import random
+
+    rng = random.Random(3)
+    words = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(6)) + ". "
+    before, after, want = [(None, "No id."), (5, None)], [(None, "No id. Now longer."), (5, "New. Text."), (6, "New."), (7, None)], set()
+    for i in range(10, 30):
+        own = [words() for _ in range(rng.randint(1, 120))]
+        new, at = list(own), sorted(rng.sample(range(len(own)), min(len(own), rng.randint(0, 3))), reverse=True)
+        for k in at:
+            new[k : k + rng.randint(0, 1)] = [words()]  # put in, or put in its place
+        before.append((i, "".join(own)))
+        after.append((i, "".join(new)))
+    for i, t in after:
+        old = {x for j, u in before if j == i for x in leaves(u or "")}
+        at = 0
+        for k, p in enumerate(LEAF.findall(t or "")):
+            if hashlib.md5(p.encode()).hexdigest()[:16] not in old:
+                want.add((i, k, at, at + len(p)))
+            at += len(p)
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    got = merkle.located_edits(table(before), table(after)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert merkle.located_edits(table(after), table(after)).count() == 0
+    prints = {r.doc_id: r for r in merkle.fingerprint_documents(table(after)).collect()}
+    assert all(prints[i].fingerprint == print_of(t or "") for i, t in after)
 
 
 def shingles(text):

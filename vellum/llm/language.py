@@ -193,9 +193,9 @@ def training_text(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
     """(language, text) for the model, the most frequent language first: bounded by sample_docs and sample_chars, whatever the table's size.
 
     The sample is the documents with the smallest hashes of their id, each id once; each gives an equal share of the letters, from a
-    place that its hash names. Rows without an id, a language or a text are not learned from.
+    place that its hash names. Rows without an id, a text or a language (null or blank) are not learned from.
     """
-    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang")).filter("lang IS NOT NULL AND id IS NOT NULL AND text IS NOT NULL")
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang")).filter("trim(lang) <> '' AND id IS NOT NULL AND text IS NOT NULL")
     rows = rows.withColumn("hash", F.xxhash64("id"))
     known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("id").alias("ids")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
     if len(known) > LANGUAGES:
