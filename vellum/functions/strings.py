@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,10 @@ WORD = rf"[{LETTERS}]+(?:['’][{LETTERS}]+)*"
 TOKEN = rf"(?sU)({WORD}|\d+|\s+|.)"
 
 
+#: The same in Python, where \\s has four control characters more.
+TOKEN_HERE = re.compile(rf"(?P<word>{WORD})|(?P<digits>\d+)|(?P<space>[^\S\x1c-\x1f]+)|(?P<other>.)", re.S)
+
+
 def lit_set(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -71,6 +76,28 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+def found_in(pattern: re.Pattern):
+    """An Arrow function from a text to its matches, array<struct<tok, start, kind>>: places in code points, kind the matching group's name.
+
+    Places come from the scan itself, so no window over a document's rows is needed. Null text has none.
+    """
+    kind = pa.list_(pa.struct([("tok", pa.string()), ("start", pa.int32()), ("kind", pa.string())]))
+
+    def run(text: pa.Array) -> pa.Array:
+        sizes, toks, starts, kinds = [0], [], [], []
+        for t in text:
+            for m in pattern.finditer(t.as_py() or ""):
+                toks.append(m[0])
+                starts.append(m.start())
+                kinds.append(m.lastgroup)
+            sizes.append(len(toks))
+        flat = pa.StructArray.from_arrays([pa.array(toks, pa.string()), pa.array(starts, pa.int32()), pa.array(kinds, pa.string())], ["tok", "start", "kind"])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat).cast(kind)
+
+    run.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<struct<tok:string,start:int,kind:string>>")
+
+
 def alpha_only(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z]", "")
 

@@ -116,6 +116,18 @@ def candidate_label(label: Column, fields: dict[str, Column]) -> Column:
     return F.when(label == "PER", F.coalesce(filled(fields["label"]), fields["person"])).otherwise(F.coalesce(filled(fields["label"]), filled(fields["english_label"]), fields["place"]))
 
 
+def candidate_uri(label: Column, person: Column, place: Column) -> Column:
+    """What a candidate is known by: a person's URI for PER, a place's for LOC, nothing for other labels."""
+    return F.when(label == "PER", person).when(label == "LOC", place)
+
+
+def gold_by_document(gold: DataFrame, order: str = "ord") -> DataFrame:
+    """(doc_id, mentions): a document's gold rows in their order. A row without a document is one of its own, `__row_` and its place."""
+    own = F.coalesce(filled(F.col("doc_id")), F.concat(F.lit("__row_"), F.col(order).cast("string")))
+    rows = gold.groupBy(own.alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), "mention", "label", "gold_uri"))).alias("mentions"))
+    return rows
+
+
 def assign_spans(gold: DataFrame, texts: DataFrame) -> DataFrame:
     """Gold mentions (doc_id, ord, label, mention) with start and end: the nth mention of a key takes the nth occurrence in the text,
     beyond the last one the first again; without any, 0 and the mention's length."""

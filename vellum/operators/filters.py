@@ -11,11 +11,10 @@ MIN_SCORE = 0.7
 
 
 def canonical_person(text: Column) -> Column:
-    """Straight apostrophes, and a capital after `O'` at a word's start. 26 literal replacements keep it native."""
-    out = F.replace(text, F.lit("’"), F.lit("'"))
-    for i in range(26):
-        out = F.regexp_replace(out, rf"(?U)\bO'{chr(97 + i)}", f"O'{chr(65 + i)}")
-    return out
+    """Straight apostrophes, and a capital after `O'` at a word's start."""
+    parts = F.split(F.replace(text, F.lit("’"), F.lit("'")), r"(?U)(?<=\bO')", -1)
+    raised = lambda p, i: F.when((i > 0) & p.rlike("^[a-z]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))).otherwise(p)
+    return F.array_join(F.transform(parts, raised), "")
 
 
 def canonical(spans: DataFrame) -> DataFrame:

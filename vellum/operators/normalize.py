@@ -1,19 +1,22 @@
 """Spelling normalisation of historical text, with a map from every output character to its origin.
 
-Texts are cut into tokens that cover them whole; each different word is normalised once for the whole
-corpus and joined back; documents are put together again in token order. One exchange by document, one by word.
+Each different word of the corpus is normalised once, by expressions; the words that change are looked up
+while each text is put together again in its own row, by one Arrow function. So documents never meet: null
+and repeated ids are as good as any. One exchange, of the distinct words.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vellum.functions import lexicon as L
-from vellum.functions.strings import LETTERS, TOKEN, WORD, capitalized, clean_for_match, lit_set, look_up, nfkc, preserve_case, straight_quotes
+from vellum.functions.strings import LETTERS, TOKEN_HERE, WORD, clean_for_match, found_in, lit_set, look_up, nfkc, preserve_case, straight_quotes
+from vellum.plans.durable import settle
 
 MAX_CANDIDATES, MIN_ZIPF, OVERRIDE_BONUS = 24, 2.5, 0.25
 CONSONANT = "[bcdfghjklmnpqrstvwxyz]"
@@ -25,11 +28,19 @@ def pre_normalize(text: Column, compose: bool = True) -> Column:
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, pos, tok, start, kind), kind in word, digits, space, other. Null texts have no tokens."""
-    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(1))).alias("pos", "tok"))
-    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    kind = F.when(F.col("tok").rlike(f"^(?:{WORD})$"), "word").when(F.col("tok").rlike(r"^(?U)\d+$"), "digits").when(F.col("tok").rlike(r"^(?U)\s+$"), "space").otherwise("other")
-    return each.select("doc_id", "pos", "tok", F.coalesce(F.sum(F.length("tok")).over(upto), F.lit(0)).cast("int").alias("start"), kind.alias("kind"))
+    """(doc_id, pos, tok, start, kind), kind in word, digits, space, other. Null texts have no tokens; map only."""
+    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(found_in(TOKEN_HERE)(F.col(text_col))).alias("pos", "t"))
+    return each.select("doc_id", "pos", "t.tok", "t.start", "t.kind")
+
+
+def words_of(text: Column) -> Column:
+    """The word tokens of a text, without the rest of it; none for null."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+
+
+def distinct_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(tok): the different words of all texts."""
+    return docs.select(F.explode(F.array_distinct(words_of(F.col(text_col)))).alias("tok")).distinct()
 
 
 def is_protected(token: Column) -> Column:
@@ -122,57 +133,106 @@ def normalize_words(words: DataFrame, mode: str = "heuristic", frequencies: Data
     return base.select("tok", out.alias("out"))
 
 
-def _char_map(tok: Column, out: Column, start: Column) -> Column:
-    """Origins of out's characters, spread evenly over the token's."""
-    lt, lo = F.length(tok), F.length(out)
-    return F.when(lo > 0, F.transform(F.sequence(F.lit(0), lo - 1), lambda j: (start + F.least(F.floor(j * (lt - 1) / F.greatest(lo - 1, F.lit(1))), lt - 1)).cast("int"))).otherwise(F.array().cast("array<int>"))
+#: Changed words that are sent to every worker at most, and their bytes; more are joined to the rows that have them.
+SENT_WORDS, SENT_BYTES = 1_000_000, 48_000_000
+_CLEAN = re.compile(f"[^{LETTERS}'-]")
+
+
+def _spread(lt: int, lo: int, start: int) -> list[int]:
+    """Origins of lo characters, spread evenly over the token's lt."""
+    return [start + min(j * (lt - 1) // max(lo - 1, 1), lt - 1) for j in range(lo)]
+
+
+def put_together(pre: str, spelling: dict[str, str], surnames: frozenset[str], places: frozenset[str], keep_double_newlines: bool) -> tuple[str, list[int]]:
+    """(text, origin of each of its characters in pre) of one pre-normalised text.
+
+    An `I` that the text begins with becomes `I,`. `O` joins the surname that follows it, over white space and single marks, as
+    `O'`, and eats what is between. Known places get a capital. White space becomes a blank, or a newline if it has two in a row.
+    """
+    toks = [(m[0], m.start(), m.lastgroup) for m in TOKEN_HERE.finditer(pre)]
+    pieces: list[str] = []
+    at: list[int] = []
+    k, n = 0, len(toks)
+    while k < n:
+        tok, start, kind = toks[k]
+        k += 1
+        if kind == "word":
+            if k == 1 and tok == "I":
+                pieces.append("I,")
+                at += (start, start)
+                continue
+            if tok.lower() in ("o", "ó"):
+                j = k
+                while j < n and (toks[j][2] == "space" or toks[j][2] == "other" and not toks[j][0].isalnum()):
+                    j += 1
+                if j < n and toks[j][2] == "word":
+                    name = spelling.get(toks[j][0], toks[j][0])
+                    if _CLEAN.sub("", name).lower() in surnames:
+                        pieces.append(f"{tok}'{name}")
+                        last = len(toks[j][0]) - 1
+                        at += (start, start, *(toks[j][1] + min(i, last) for i in range(len(name))))
+                        k = j + 1
+                        continue
+            out = spelling.get(tok, tok)
+            if _CLEAN.sub("", out).lower() in places:
+                out = out[:1].upper() + out[1:].lower()
+            pieces.append(out)
+            at += _spread(len(tok), len(out), start)
+        elif kind == "space":
+            pieces.append("\n" if keep_double_newlines and "\n\n" in tok else " ")
+            at.append(start)
+        else:
+            pieces.append(tok)
+            at.extend(range(start, start + len(tok)))
+    return "".join(pieces), at
+
+
+def _assembler(lookup, keep_double_newlines: bool):
+    """An Arrow function (pre) or (pre, map of the row's own words) to struct<normalized, char_map>; lookup() gives the shared words."""
+    surnames, places = frozenset(L.SURNAMES), frozenset(L.PLACE_NAMES)
+    kind = pa.struct([("normalized", pa.string()), ("char_map", pa.list_(pa.int32()))])
+
+    def whole(texts: pa.Array, words) -> pa.Array:
+        out: list[str | None] = []
+        sizes, maps = [0], []
+        for t, spelling in zip(texts, words):
+            t = t.as_py()
+            text, at = (None, []) if t is None else put_together(t, spelling, surnames, places, keep_double_newlines)
+            out.append(text)
+            maps.extend(at)
+            sizes.append(len(maps))
+        each = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(maps, pa.int32()))
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), each], ["normalized", "char_map"]).cast(kind)
+
+    def shared(pre: pa.Array) -> pa.Array:
+        spelling = lookup()
+        return whole(pre, (spelling for _ in range(len(pre))))
+
+    def own(pre: pa.Array, words: pa.Array) -> pa.Array:
+        return whole(pre, (dict(w.as_py() or ()) for w in words))
+
+    run = shared if lookup else own
+    run.__annotations__ = {"pre": pa.Array, **({} if lookup else {"words": pa.Array}), "return": pa.Array}
+    return F.arrow_udf(run, "struct<normalized:string,char_map:array<int>>")
 
 
 def normalize(docs: DataFrame, mode: str = "heuristic", frequencies: DataFrame | None = None, compose: bool = True, keep_double_newlines: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, visual, normalized, char_map): char_map[i] is where character i of normalized comes from in the pre-normalised text.
 
-    Null text stays null. `O` before a surname of the list joins it as `O'`; known places get a capital; `I`
-    at the start of a document becomes `I,`; white space becomes one blank, or one newline where it held two in a row.
+    Null text stays null, with an empty map. Rows are taken each for itself, whatever their ids. See put_together() for what is done beside the
+    words' spelling.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("visual"))
-    toks = tokens(base.withColumn("pre", pre_normalize(F.col("visual"), compose)), "doc_id", "pre")
-    words = normalize_words(toks.filter("kind = 'word'"), mode, frequencies)
-    toks = toks.join(words, "tok", "left")
-    line = Window.partitionBy("doc_id").orderBy("pos")
-    # Between an O and its surname may stand white space and single marks; anything else ends the search.
-    gap = (F.col("kind") == "space") | ((F.col("kind") == "other") & ~F.col("tok").rlike(r"[\p{L}\p{N}]"))
-    firm = Window.partitionBy("doc_id", "_gap").orderBy("pos")
-    toks = toks.withColumn("_gap", gap)
-    after = F.lead(F.struct("kind", "out", "tok", "start", "pos")).over(firm)
-    surnames = lit_set(sorted(set(L.SURNAMES)))
-    toks = toks.withColumn("_after", F.when(~F.col("_gap") & F.lower("tok").isin("o", "ó") & (F.col("kind") == "word") & ~((F.col("pos") == 0) & (F.col("tok") == "I")), after))
-    toks = toks.withColumn("_joins", F.coalesce((F.col("_after.kind") == "word") & F.array_contains(surnames, clean_for_match(F.col("_after.out"))), F.lit(False)))
-    # A join eats what follows it, up to and with the surname.
-    eaten = F.last(F.when(F.col("_joins"), F.col("_after.pos")), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    toks = toks.withColumn("_eaten", F.coalesce(eaten >= F.col("pos"), F.lit(False))).filter(~F.col("_eaten"))
-    out = F.col("out")
-    placed = F.when(F.array_contains(lit_set(L.PLACE_NAMES), clean_for_match(out)), capitalized(out)).otherwise(out)
-    double = F.contains(F.col("tok"), F.lit("\n\n"))
-    piece = (
-        F.when((F.col("pos") == 0) & (F.col("tok") == "I"), F.lit("I,"))
-        .when(F.col("_joins"), F.concat("tok", F.lit("'"), F.col("_after.out")))
-        .when(F.col("kind") == "word", placed)
-        .when(F.col("kind") == "space", F.when(double & F.lit(keep_double_newlines), F.lit("\n")).otherwise(F.lit(" ")))
-        .otherwise(F.col("tok"))
-    )
-    start = F.col("start")
-    own = F.transform(F.sequence(F.lit(0), F.length("_piece") - 1), lambda j: (start + j).cast("int"))
-    after_map = F.transform(F.sequence(F.lit(0), F.length("_after.out") - 1), lambda j: (F.col("_after.start") + F.least(j, F.length("_after.tok") - 1)).cast("int"))
-    toks = toks.withColumn("_piece", piece)
-    where = (
-        F.when((F.col("pos") == 0) & (F.col("tok") == "I"), F.array(start, start))
-        .when(F.col("_joins"), F.concat(F.array(start, start), after_map))
-        .when(F.col("kind") == "word", _char_map(F.col("tok"), F.col("_piece"), start))
-        .when(F.col("kind") == "space", F.array(start))
-        .otherwise(own)
-    )
-    whole = toks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("_piece").alias("piece"), where.alias("at")))).alias("_all"))
-    whole = whole.select("doc_id", F.array_join("_all.piece", "").alias("normalized"), F.flatten("_all.at").alias("char_map"))
-    empty = F.array().cast(T.ArrayType(T.IntegerType()))
-    joined = base.join(whole, "doc_id", "left")
-    return joined.select("doc_id", "visual", F.when(F.col("visual").isNotNull(), F.coalesce("normalized", F.lit(""))).alias("normalized"), F.coalesce("char_map", empty).alias("char_map"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("visual"), pre_normalize(F.col(text_col), compose).alias("_pre"))
+    changed = settle(normalize_words(distinct_words(base, "_pre"), mode, frequencies).filter("out <> tok"))
+    n, size = changed.limit(SENT_WORDS + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length("tok") + F.octet_length("out")), F.lit(0))).first()
+    if n <= SENT_WORDS and size <= SENT_BYTES:
+        sent = docs.sparkSession.sparkContext.broadcast({r.tok: r.out for r in changed.toLocalIterator()})
+        made = base.withColumn("_made", _assembler(lambda: sent.value, keep_double_newlines)("_pre"))
+    else:
+        # Each row's own words travel to the changed ones and come back as a map; rows equal in id and text share it.
+        key = [F.col("doc_id").alias("_id"), F.xxhash64("_pre").alias("_hash")]
+        own = base.select(*key, F.explode(F.array_distinct(words_of(F.col("_pre")))).alias("tok")).distinct().join(changed, "tok")
+        maps = own.groupBy("_id", "_hash").agg(F.map_from_entries(F.collect_list(F.struct("tok", "out"))).alias("_words"))
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_pre") == F.col("_hash"))
+        made = base.join(maps, same, "left").withColumn("_made", _assembler(None, keep_double_newlines)("_pre", "_words"))
+    return made.select("doc_id", "visual", "_made.normalized", "_made.char_map")

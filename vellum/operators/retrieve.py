@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,22 @@ def retrieve_places(mentions: DataFrame, places: DataFrame, by: list[str], key:
     return limit_per(contains_join(mentions, places, key, name), by, [uri], most)
 
 
+def link_mentions(mentions: DataFrame, persons: DataFrame, places: DataFrame, by: list[str], person_name: str = "full_name", place_name: str = "name", parents: str | None = "parentPlace", prefix: str = "") -> tuple[DataFrame, DataFrame | None]:
+    """(blocks, edges) for a table of mentions (by, mention, label): PER mentions meet persons, LOC mentions places, other labels nothing.
+
+    blocks has a row for each mention, with `candidates`, the URIs found, in order, an empty array where there are none;
+    edges are the places' (child, parent), None if places have no column of parents.
+    """
+    both = mentions.select(*by, "mention", "label").distinct()
+    per = retrieve_persons(both.filter("label = 'PER'"), persons.select(F.col("person").alias("uri"), F.col(person_name).alias("_found")), [*by, "mention", "label"], name="_found", uri="uri")
+    loc = retrieve_places(both.filter("label = 'LOC'"), places.select(F.col("place").alias("uri"), F.col(place_name).alias("_found")), [*by, "mention", "label"], name="_found", uri="uri")
+    found = per.select(*by, "mention", "label", F.col("uri").cast("string").alias("uri")).unionByName(loc.select(*by, "mention", "label", F.col("uri").cast("string").alias("uri")))
+    lists = found.groupBy(*[F.col(c).alias(f"_{c}") for c in (*by, "mention", "label")]).agg(F.array_sort(F.collect_set("uri")).alias("candidates"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "mention", "label")])
+    blocks = mentions.join(lists, same, "left").select(*mentions.columns, F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
+    return blocks, location_edges(places.withColumn("parentPlace", F.col(parents)), prefix) if parents in places.columns else None
+
+
 def group_places(rows: DataFrame, uri: str = "place", single: tuple[str, ...] = (), many: tuple[str, ...] = (), sep: str = " | ") -> DataFrame:
     """One row a place: the least value of each `single` column, the distinct sorted values of each `many` column joined by sep."""
     aggs = [F.min(c).alias(c) for c in single] + [F.array_join(F.array_sort(F.collect_set(c)), sep).alias(c) for c in many]
@@ -118,18 +136,19 @@ def inverse_edges(edges: DataFrame) -> DataFrame:
 def transitive_closure(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
     """(child, ancestor) of every pair joined by a path; cycles end by the anti join. Each round's pairs are settled.
 
-    Paths double in length each round, so most_rounds is far beyond any hierarchy.
+    Paths double in length each round, so most_rounds is far beyond any hierarchy; it is an error if they do not suffice.
     """
-    from vellum.plans.durable import settle
-
-    pairs = settle(edges.select("child", F.col("parent").alias("ancestor")).distinct())
-    for _ in range(most_rounds):
-        longer = pairs.alias("x").join(pairs.alias("y"), F.col("x.ancestor") == F.col("y.child")).select(F.col("x.child").alias("child"), F.col("y.ancestor").alias("ancestor"))
-        new = settle(longer.distinct().join(pairs, ["child", "ancestor"], "left_anti"))
-        if new.isEmpty():
-            break
-        pairs = settle(pairs.union(new))
-    return pairs
+    from vellum.plans.durable import no_constraints, settle
+
+    with no_constraints(edges.sparkSession):
+        pairs = settle(edges.select("child", F.col("parent").alias("ancestor")).distinct())
+        for _ in range(most_rounds):
+            longer = pairs.alias("x").join(pairs.alias("y"), F.col("x.ancestor") == F.col("y.child")).select(F.col("x.child").alias("child"), F.col("y.ancestor").alias("ancestor"))
+            new = settle(longer.distinct().join(pairs, ["child", "ancestor"], "left_anti"))
+            if new.isEmpty():
+                return pairs
+            pairs = settle(pairs.union(new))
+    raise RuntimeError(f"the closure is not complete after {most_rounds} rounds")
 
 
 def location_label(english: Column, irish: Column, uri: Column) -> Column:

@@ -152,9 +152,10 @@ def neural_score(a: Column, b: Column) -> Column:
 
 
 def hashed_ngrams(text: Column, size: int = 64, n: int = 3) -> Column:
-    """A stand-in for a model: counts of hashed character n-grams, native. Null for blank text."""
+    """A stand-in for a model: counts of character n-grams by the first digits of their MD5, native. Null for blank text."""
     low = F.lower(text)
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(low, i, F.lit(n))), F.lit(size)))
+    digits = lambda g: F.conv(F.substring(F.md5(g), 1, 7), 16, 10).cast("long")
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.pmod(digits(F.substring(low, i, F.lit(n))), F.lit(size)))
     return F.when(filled(text).isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(at, lambda x: x == k)).cast("double")))
 
 

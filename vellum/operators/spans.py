@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,10 +75,47 @@ def extend_o_surnames(spans: DataFrame, texts: DataFrame) -> DataFrame:
     return drop_contained_later(s)
 
 
-def gap_allows(cur: Column, nxt: Column, between: Column) -> Column:
+_KIND = "array<struct<start:int,end:int,label:string,text:string,score:double>>"
+_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("text", pa.string()), ("score", pa.float64())]))
+
+
+def folded(spans: DataFrame, texts: DataFrame | None, fold: Callable[[list[tuple], str | None], list[tuple]], by_text: bool = False) -> DataFrame:
+    """The spans that fold makes of each document's, in order of (start, end, label, or text if by_text) and on.
+
+    fold gets a document's spans as (start, end, label, text, score) and its text (None without texts), and is run by an Arrow function, so
+    its time follows the number of spans.
+    """
+    names = ["start", "end", *(["text", "label"] if by_text else ["label", "text"]), "score"]
+    cast = {"start": F.col("start").cast("int"), "end": F.col("end").cast("int"), "score": F.col("score").cast("double")}
+    packed = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*[cast.get(c, F.col(c)).alias(c) for c in names]))).alias("_s"))
+    packed = packed.join(texts.select("doc_id", "full"), "doc_id", "left") if texts is not None else packed.withColumn("full", F.lit(None).cast("string"))
+
+    def run(s: pa.Array, full: pa.Array) -> pa.Array:
+        flat = s.flatten()
+        cols = [flat.field(c).to_pylist() for c in ("start", "end", "label", "text", "score")]
+        rows, ends = list(zip(*cols)), s.offsets.to_pylist()
+        first = ends[0]
+        out: list[tuple] = []
+        sizes = [0]
+        for a, b, text in zip(ends, ends[1:], full):
+            out.extend(fold(rows[a - first : b - first], text.as_py()))
+            sizes.append(len(out))
+        each = pa.StructArray.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_ARROW.value_type)], [f.name for f in _ARROW.value_type])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), each).cast(_ARROW)
+
+    run.__annotations__ = {"s": pa.Array, "full": pa.Array, "return": pa.Array}
+    made = packed.select("doc_id", F.explode(F.arrow_udf(run, _KIND)("_s", "full")).alias("e"))
+    return made.select("doc_id", "e.text", "e.label", "e.score", "e.start", "e.end")
+
+
+_GAP, _LETTERS = re.compile(GAP.replace("(?iU)", "(?i)")), re.compile("[^a-z]")
+
+
+def gap_allows(cur: tuple, nxt: tuple, between: str) -> bool:
     """The text between two spans lets them merge: GAP, or the broken `og|e O'n...` of a person's name."""
-    og = (cur["label"] == "PER") & (nxt["label"] == "PER") & (alpha_only(between) == "e") & alpha_only(cur["text"]).endswith("og") & F.lower(nxt["text"]).startswith("o'")
-    return between.rlike(GAP) | og
+    bare = lambda t: _LETTERS.sub("", t.lower())
+    og = cur[2] == nxt[2] == "PER" and bare(between) == "e" and bare(cur[3]).endswith("og") and nxt[3].lower().startswith("o'")
+    return og or _GAP.match(between) is not None
 
 
 def merge_adjacent(spans: DataFrame, texts: DataFrame | None = None, labels=LABELS, max_gap: int = 2, min_score: float = 0.0, extend_clipped_words: bool = True, extend_o: bool = False) -> DataFrame:
@@ -84,25 +125,29 @@ def merge_adjacent(spans: DataFrame, texts: DataFrame | None = None, labels=LABE
     lengthening it; one further off than max_gap, under min_score, or behind text that does not allow it starts anew.
     texts: (doc_id, full); without it any gap up to max_gap merges. Other labels pass through.
     """
-    kind = "array<struct<start:int,end:int,label:string,text:string,score:double>>"
     mine = spans.filter(F.col("label").isin(*labels))
     other = spans.filter(~F.coalesce(F.col("label").isin(*labels), F.lit(False))).select(*SPAN)
-    packed = mine.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label", "text", F.col("score").cast("double").alias("score")))).alias("_s"))
-    packed = packed.join(texts.select("doc_id", "full"), "doc_id", "left") if texts is not None else packed.withColumn("full", F.lit(None).cast("string"))
 
-    def step(done: Column, e: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        gap = e["start"] - last["end"]
-        text_ok = F.col("full").isNull() | gap_allows(last, e, slice_text(F.col("full"), last["end"], e["start"]))
-        scores_ok = (F.coalesce(last["score"], F.lit(1.0)) >= min_score) & (F.coalesce(e["score"], F.lit(1.0)) >= min_score)
-        same = F.coalesce(last["label"] == e["label"], F.lit(False))
-        joined = F.when(F.col("full").isNotNull(), slice_text(F.col("full"), last["start"], e["end"])).otherwise(F.trim(F.concat(last["text"], F.lit(" "), e["text"])))
-        one = F.struct(last["start"].alias("start"), e["end"].alias("end"), last["label"].alias("label"), joined.alias("text"), F.greatest(last["score"], e["score"]).alias("score"))
-        head = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(same & (gap < 0), done).when(same & (gap <= max_gap) & scores_ok & text_ok, F.concat(head, F.array(one))).otherwise(F.concat(done, F.array(e)))
-
-    folded = packed.select("doc_id", F.explode(F.aggregate("_s", F.array().cast(kind), step)).alias("e"))
-    out = folded.select("doc_id", "e.text", "e.label", "e.score", "e.start", "e.end").unionByName(other)
+    def fold(rows: list[tuple], full: str | None) -> list[tuple]:
+        done: list[tuple] = []
+        sure = lambda x: x is None or x >= min_score
+        for e in rows:
+            last = done[-1] if done else None
+            if last is None or last[2] != e[2]:
+                done.append(e)
+                continue
+            gap = e[0] - last[1]
+            if gap < 0:
+                continue
+            if gap <= max_gap and sure(last[4]) and sure(e[4]) and (full is None or gap_allows(last, e, full[last[1] : e[0]])):
+                text = full[last[0] : e[1]] if full is not None else f"{last[3]} {e[3]}".strip(" ")
+                scores = [x for x in (last[4], e[4]) if x is not None]
+                done[-1] = (last[0], e[1], last[2], text, max(scores, default=None))
+            else:
+                done.append(e)
+        return done
+
+    out = folded(mine, texts, fold).unionByName(other)
     if texts is not None and extend_clipped_words:
         out = extend_clipped(out, texts)
     if texts is not None and extend_o:

@@ -6,19 +6,23 @@ is a function from chunks (doc_id, off, chunk) to spans with offsets inside the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import lexicon as L
-from vellum.functions.strings import lit_set, slice_text
+from vellum.functions.strings import found_in, lit_set, slice_text
 from vellum.operators.chunk import chunks
+from vellum.operators.rows import keyed, named
+from vellum.operators.spans import drop_contained, folded
 
 MIN_SCORE = 0.5
 TAGGERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 SPAN = ["doc_id", "text", "label", "score", "start", "end"]
-CAPITALS = r"([A-Z][a-z]+(?: [A-Z][a-z]+)*)"
+CAPITALS = re.compile(r"[A-Z][a-z]+(?: [A-Z][a-z]+)*")
 
 LOC_PREFIX = r"(?iU)^\s*(?:county\s+of|province\s+of|city\s+of|citty\s+of|town\s+of|towne\s+of|kingdom\s+of|kingdome\s+of|proportion\s+of|of)\s+"
 PER_PREFIX = r"(?iU)^\s*(?:the\s+)?(?:said\s+)+"
@@ -41,17 +45,50 @@ def standard_label(label: Column) -> Column:
 @register("rules")
 def capital_tagger(pieces: DataFrame) -> DataFrame:
     """Runs of capitalised words: counties and places of the lists are LOC (0.95), others PER (0.9 from two words, else 0.6)."""
-    found = pieces.select("doc_id", "off", "chunk", F.posexplode(F.regexp_extract_all("chunk", F.lit(CAPITALS), F.lit(1))).alias("nth", "text"))
-    # Offsets: the parts between the matches have known lengths.
-    between = F.split("chunk", CAPITALS, -1)
-    before = F.aggregate(F.slice(between, F.lit(1), F.col("nth") + 1), F.lit(0), lambda s, x: s + F.length(x))
-    done = Window.partitionBy("doc_id", "off").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("start", (before + F.coalesce(F.sum(F.length("text")).over(done), F.lit(0))).cast("int"))
+    found = pieces.select("doc_id", "off", F.explode(found_in(CAPITALS)(F.col("chunk"))).alias("_m")).select("doc_id", "off", F.col("_m.tok").alias("text"), F.col("_m.start").alias("start"))
     place = F.array_contains(lit_set(sorted({*L.COUNTIES, *L.PLACE_NAMES})), F.lower("text"))
     score = F.when(place, 0.95).when(F.contains(F.col("text"), F.lit(" ")), 0.9).otherwise(0.6)
     return found.select("doc_id", "off", "text", F.when(place, "LOC").otherwise("PER").alias("label"), score.alias("score"), "start", (F.col("start") + F.length("text")).alias("end"))
 
 
+def register_model(name: str, load: Callable[[], Callable[[list[str]], list[list[tuple]]]]) -> None:
+    """Register a model as a tagger. load() is called once in a worker and gives a function from texts to their entities, each
+    (text, label, score, start, end); score may be None (1 is meant), and so may the places: the text's first place from the
+    end of the one before it, then from the beginning, is taken, and an entity that the text does not have is dropped.
+    Texts reach the model in Arrow batches.
+    """
+    made: dict[str, Callable] = {}
+    kind = pa.schema([("doc_id", pa.string()), ("off", pa.int32()), ("text", pa.string()), ("label", pa.string()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
+
+    def located(chunk: str, found: list[tuple]):
+        at = 0
+        for text, label, score, start, end in found:
+            if start is None:
+                start = chunk.find(text, at)
+                start = chunk.find(text) if start < 0 else start
+                if start < 0 or not text:
+                    continue
+                end = at = start + len(text)
+            yield text, label, 1.0 if score is None else float(score), start, end
+
+    def tagger(pieces: DataFrame) -> DataFrame:
+        own = pieces.schema["doc_id"].dataType
+
+        def run(batches):
+            if name not in made:
+                made[name] = load()
+            model = made[name]
+            for batch in batches:
+                ids, offs, texts = (batch.column(i).to_pylist() for i in range(3))
+                rows = [(i, off, *e) for i, off, t, found in zip(ids, offs, texts, model([t or "" for t in texts])) for e in located(t or "", found)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kind)], schema=kind)
+
+        found = pieces.select(F.col("doc_id").cast("string"), F.col("off").cast("int"), "chunk").mapInArrow(run, "doc_id string, off int, text string, label string, score double, start int, end int")
+        return found.withColumns({"doc_id": F.col("doc_id").cast(own), "label": F.coalesce(standard_label(F.col("label")), "label")})
+
+    TAGGERS[name] = tagger
+
+
 def keep_allowed(found: DataFrame, labels=("PER", "LOC")) -> DataFrame:
     """Spans with an allowed label that are no word continuation (`#...`), their offsets moved by the chunk's."""
     kept = found.filter(F.col("label").isin(*labels) & ~F.col("text").startswith("#"))
@@ -79,17 +116,18 @@ def trim_affixes(spans: DataFrame, texts: DataFrame, min_score: float = MIN_SCOR
 
 def merge_wordpieces(spans: DataFrame) -> DataFrame:
     """Join each `##x` to the span of its label just before it; the score is the running mean of neighbours."""
-    kind = "array<struct<start:int,end:int,text:string,label:string,score:double>>"
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "text", "label", F.col("score").cast("double").alias("score"))))
 
-    def step(done: Column, e: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = F.coalesce(e["text"].startswith("##") & (last["label"] == e["label"]), F.lit(False))
-        one = F.struct(last["start"].alias("start"), e["end"].alias("end"), F.concat(last["text"], F.substring(e["text"], F.lit(3), F.length(e["text"]))).alias("text"), last["label"].alias("label"), ((last["score"] + e["score"]) / 2).alias("score"))
-        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(one))).otherwise(F.concat(done, F.array(e)))
+    def fold(rows: list[tuple], _: str | None) -> list[tuple]:
+        done: list[tuple] = []
+        for start, end, label, text, score in rows:
+            if done and text.startswith("##") and done[-1][2] == label:
+                a, _end, _label, before, was = done[-1]
+                done[-1] = (a, end, label, before + text[2:], None if was is None or score is None else (was + score) / 2)
+            else:
+                done.append((start, end, label, text, score))
+        return done
 
-    folded = spans.groupBy("doc_id").agg(ordered.alias("_s")).select("doc_id", F.explode(F.aggregate("_s", F.array().cast(kind), step)).alias("e"))
-    return folded.select("doc_id", "e.text", "e.label", "e.score", "e.start", "e.end")
+    return folded(spans, None, fold, by_text=True)
 
 
 def correct_counties(spans: DataFrame) -> DataFrame:
@@ -118,12 +156,13 @@ def dedupe_exact(spans: DataFrame) -> DataFrame:
 
 
 def analyze(docs: DataFrame, tagger: str = "rules", dedupe: bool = True, size: int = 1200, overlap: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans of every document: chunk, tag, move offsets, trim, join word pieces, drop contained spans, correct counties, dedupe."""
-    from vellum.operators.spans import drop_contained
+    """Spans of every document: chunk, tag, move offsets, trim, join word pieces, drop contained spans, correct counties, dedupe.
 
+    Documents are taken each for itself: rows with null or repeated ids have their own spans, under the ids that they have.
+    """
     if tagger not in TAGGERS:
         raise ValueError(f"no tagger {tagger!r}; there are {sorted(TAGGERS)}")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("full"))
-    spans = keep_allowed(TAGGERS[tagger](chunks(docs, size, overlap, id_col, text_col)))
+    texts, names = keyed(docs, id_col, text_col)
+    spans = keep_allowed(TAGGERS[tagger](chunks(texts, size, overlap, "doc_id", "full")))
     spans = correct_counties(drop_contained(merge_wordpieces(trim_affixes(spans, texts))))
-    return dedupe_exact(spans) if dedupe else spans
+    return named(dedupe_exact(spans) if dedupe else spans, names)

@@ -68,11 +68,14 @@ nested AS (SELECT * FROM spans UNION ALL SELECT doc_id, split_part(text, ' ', 1)
 
 
 def nested(spark, sf_dir):
-    s = tagged(spark, sf_dir)
+    """Each span with its variants, in one pass."""
+    label = F.when(F.length("text") % 3 == 0, "LOC").otherwise(F.col("label"))
     word = F.substring_index("text", " ", 1)
-    one = s.withColumns({"text": word, "end": (F.col("start") + F.length(word)).cast("int")})
-    less = s.filter(F.length("text") > 4).select("doc_id", F.substring("text", F.lit(2), F.length("text")).alias("text"), F.when(F.length("text") % 3 == 0, "LOC").otherwise(F.col("label")).alias("label"), "score", (F.col("start") + 1).alias("start"), "end")
-    return s.unionByName(one).unionByName(less)
+    same = F.struct("text", "label", "start", "end")
+    one = F.struct(word.alias("text"), F.col("label"), F.col("start"), (F.col("start") + F.length(word)).cast("int").alias("end"))
+    less = F.struct(F.substring("text", F.lit(2), F.length("text")).alias("text"), label.alias("label"), (F.col("start") + 1).alias("start"), F.col("end"))
+    each = tagged(spark, sf_dir).select("doc_id", "score", F.explode(F.array_compact(F.array(same, one, F.when(F.length("text") > 4, less)))).alias("v"))
+    return each.select("doc_id", "v.text", "v.label", "score", "v.start", "v.end")
 
 
 def _sql_inside(test: str) -> str:

@@ -65,7 +65,7 @@ WITH {SQL_TOKENS}, c AS (SELECT doc_id, lower(regexp_replace(tok, '[^{LETTERS}''
 SELECT clean, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM c WHERE clean IN ({sql_list(_PROTECTED)}) GROUP BY clean
 """)
 def protect_lexicon(spark, sf_dir):
-    t = normalize.tokens(docs(spark, sf_dir)).filter("kind = 'word'").filter(normalize.is_protected(F.col("tok")))
+    t = docs(spark, sf_dir).select("doc_id", F.explode(normalize.words_of(F.col("text"))).alias("tok")).filter(normalize.is_protected(F.col("tok")))
     return t.withColumn("clean", clean_for_match(F.col("tok"))).groupBy("clean").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -81,7 +81,7 @@ o AS (SELECT tok, {sql_map(L.OVERRIDES, 'lower(tok)')} AS m FROM words)
 SELECT tok, CASE WHEN tok = upper(tok) AND tok <> lower(tok) THEN upper(m) WHEN substr(tok, 1, 1) <> lower(substr(tok, 1, 1)) THEN upper(substr(m, 1, 1)) || lower(substr(m, 2)) ELSE m END AS out FROM o WHERE m IS NOT NULL
 """)
 def override_rewrite(spark, sf_dir):
-    words = normalize.tokens(docs(spark, sf_dir)).filter("kind = 'word'").select("tok").union(spark.sql(f"SELECT tok FROM {_CASES}")).distinct()
+    words = normalize.distinct_words(docs(spark, sf_dir)).union(spark.sql(f"SELECT tok FROM {_CASES}")).distinct()
     m = look_up(L.OVERRIDES, F.lower("tok"))
     return words.filter(m.isNotNull()).select("tok", preserve_case(m, F.col("tok")).alias("out"))
 
@@ -109,7 +109,7 @@ cands AS (SELECT w, protect, ov, list_slice(list_filter(l, lambda c, i: list_pos
 
 
 def _words(spark, sf_dir):
-    w = normalize.tokens(docs(spark, sf_dir)).filter("kind = 'word'")
+    w = normalize.distinct_words(docs(spark, sf_dir))
     first = F.substring("tok", 1, 1)
     return w.select(F.lower("tok").alias("w"), (first != F.lower(first)).alias("protect")).distinct()
 
@@ -139,7 +139,7 @@ SELECT w, protect, c AS chosen FROM r WHERE n = 1
 """)
 def choose_by_frequency(spark, sf_dir):
     """The frequency mode, with the corpus's own word counts for a lexicon."""
-    t = normalize.tokens(docs(spark, sf_dir)).filter("kind = 'word'")
+    t = docs(spark, sf_dir).select(F.explode(normalize.words_of(F.col("text"))).alias("tok"))
     zipf = t.groupBy(F.lower("tok").alias("word")).agg(F.round(F.log10(F.count("*")) + 1, 6).alias("zipf"))
     words = _words(spark, sf_dir).select(F.col("w").alias("word"), F.col("protect").alias("protect_e"), normalize.spelling_candidates(F.col("w"), F.col("protect")).alias("candidates"))
     return normalize.choose_by_frequency(words, zipf).select(F.col("word").alias("w"), F.col("protect_e").alias("protect"), "chosen")

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vellum.operators import filters, normalize, spans, tag
+from vellum.operators.rows import keyed, named
+from vellum.plans.durable import settle
 
 SCHEMA = "doc_id string, text string"
 
 
 def annotate(docs: DataFrame, mode: str = "heuristic", tagger: str = "rules", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The batch pipeline as far as unique entities: normalise, tag, merge, filter."""
+    """The batch pipeline as far as unique entities: normalise, tag, merge, filter. Documents are taken each for itself, whatever their ids."""
     norm = normalize.normalize(docs, mode, id_col=id_col, text_col=text_col)
-    texts = norm.select("doc_id", F.col("normalized").alias("full"))
-    found = tag.analyze(norm.select("doc_id", F.col("normalized").alias("text")), tagger)
+    texts, names = keyed(norm, "doc_id", "normalized")
+    texts = settle(texts) if names is None else texts  # read by several steps
+    found = tag.analyze(texts.withColumnRenamed("full", "text"), tagger)
     merged = spans.merge_adjacent(found, texts, max_gap=6, min_score=0.55, extend_o=True)
-    return filters.unique_entities(spans.clip_to_text(merged, texts))
+    return named(filters.unique_entities(spans.clip_to_text(merged, texts)), names)
 
 
 def annotate_stream(spark: SparkSession, source: str, target: str, checkpoint: str, fmt: str = "json"):
