@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vellum.functions import lexicon as L
 from vellum.operators import filters, spans, tag
 from vellum.plans.registry import query
-from vellum.plans.text_queries import docs, sql_list
+from vellum.plans.text_queries import SQL_CHUNKS, docs, sql_list
 
 _RUN = "[A-Z][a-z]+(?: [A-Z][a-z]+)*"
 _PLACES = sql_list(sorted({*L.COUNTIES, *L.PLACE_NAMES}))
@@ -167,7 +167,20 @@ def project_spans(spark, sf_dir):
     return spans.project_to_raw(tagged(spark, sf_dir), maps)
 
 
-@query("analyze_documents")
+@query("analyze_documents", rf"""
+WITH RECURSIVE {SQL_CHUNKS},
+m AS (SELECT doc_id, no, s, regexp_extract_all(substr(text, s + 1, e - s), '{_RUN}') AS ms, string_split_regex(substr(text, s + 1, e - s), '{_RUN}') AS ps FROM c),
+u AS (SELECT doc_id, no, s, unnest(ms) AS t, generate_subscripts(ms, 1) AS i, ps FROM m),
+w AS (SELECT doc_id, t, s + sum(length(ps[i])) OVER v + sum(length(t)) OVER v - length(t) AS a FROM u WINDOW v AS (PARTITION BY doc_id, no ORDER BY i)),
+l AS (SELECT *, CASE WHEN lower(t) IN ({_PLACES}) THEN 'LOC' ELSE 'PER' END AS label, CASE WHEN lower(t) IN ({_PLACES}) THEN 0.95e0 WHEN contains(t, ' ') THEN 0.9e0 ELSE 0.6e0 END AS score FROM w),
+x AS (SELECT *, trim(CASE WHEN label = 'PER' THEN regexp_replace(regexp_replace(t, '(?i)^\s*(?:the\s+)?(?:said\s+)+', ''), '(?i)(?:\s*[,;:]?\s*)(?:esquire|esqr|esq|major)\.?\s*$', '') ELSE t END) AS short FROM l),
+y AS (SELECT doc_id, label, score, CASE WHEN short <> '' THEN short ELSE t END AS text, a + CASE WHEN short <> '' THEN instr(t, short) - 1 ELSE 0 END AS start FROM x),
+z AS (SELECT DISTINCT doc_id, CASE WHEN label = 'PER' AND lower(text) IN ({sql_list(L.COUNTIES)}) THEN 'LOC' ELSE label END AS label, label AS was, score, text, start, start + length(text) AS "end" FROM y),
+k AS (SELECT * FROM z p WHERE NOT EXISTS (SELECT 1 FROM z q WHERE q.doc_id = p.doc_id AND q.was = p.was AND q.start <= p.start AND q."end" >= p."end" AND q."end" - q.start > p."end" - p.start)),
+d AS (SELECT doc_id, label, text, start, "end", max(score) AS score FROM k GROUP BY ALL)
+SELECT doc_id, label, count(*) AS n, CAST(sum(start) AS BIGINT) AS sum_start, CAST(sum("end") AS BIGINT) AS sum_end, count(DISTINCT text) AS n_texts, round(sum(score), 3) AS score FROM d GROUP BY doc_id, label
+""")
 def analyze_documents(spark, sf_dir):
-    """Chunks, tags and every clean-up step; overlapping chunks have no plain SQL, tests hold the parts."""
-    return tag.analyze(docs(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_texts"))
+    """Chunks, tags and every clean-up step."""
+    return tag.analyze(docs(spark, sf_dir)).groupBy("doc_id", "label").agg(
+        F.count("*").alias("n"), F.sum(F.col("start").cast("long")).alias("sum_start"), F.sum(F.col("end").cast("long")).alias("sum_end"), F.countDistinct("text").alias("n_texts"), F.round(F.sum("score"), 3).alias("score"))

@@ -145,22 +145,70 @@ def choose_by_frequency(spark, sf_dir):
     return normalize.choose_by_frequency(words, zipf).select(F.col("word").alias("w"), F.col("protect_e").alias("protect"), "chosen")
 
 
-@query("normalize_documents")
+#: Whole documents, and texts with what the corpus lacks: Irish names over gaps, old spellings, a leading I, doubled newlines, marks to be
+#: replaced, texts that are empty or null, and null and repeated ids.
+NORMALIZED = """(SELECT doc_id, text FROM documents UNION ALL SELECT CAST(k AS BIGINT) AS doc_id, text FROM (
+  SELECT NULL AS k, 'I O Neale vvas heere' AS text UNION ALL SELECT NULL, 'hello olde world' UNION ALL SELECT 1, 'the olde' UNION ALL SELECT 1, 'again man' UNION ALL SELECT 1, 'again man'
+  UNION ALL SELECT -1, 'O  Neill, o. neale; Ó -- Brien O 7 Neill O' UNION ALL SELECT -2, NULL UNION ALL SELECT -3, '' UNION ALL SELECT -4, 'I' UNION ALL SELECT -5, 'It giueth I haue' || chr(10) || chr(10) || 'in VLSTER and Vlster, at ' || chr(10) || ' Corke and cork'
+  UNION ALL SELECT -6, 'He said “yes” — `no` 12 ſhe  paide' UNION ALL SELECT -7, 'o oneill O' || chr(39) || 'Neill O ' || chr(10) || chr(10) || ' O' || chr(39) || 'Neill' UNION ALL SELECT -8, 'O SHEA o shea Ó Sheehan O widget'
+  UNION ALL SELECT -9, 'vniuersitie ffycche neere vvill loue vpon iustice aboue')  z)"""
+
+
+def _sql_clean(x: str) -> str:
+    return f"lower(regexp_replace({x}, '[^{LETTERS}''-]', '', 'g'))"
+
+
+_SQL_NORMALIZED = rf"""
+src AS (SELECT row_number() OVER () AS rid, doc_id, text FROM {NORMALIZED} y),
+pre AS (SELECT rid, replace(replace(translate(nfc_normalize(text), '“”`', '""' || chr(39)), '—', '--'), 'ſ', 's') AS pre FROM src WHERE text IS NOT NULL),
+toks AS (SELECT rid, regexp_extract_all(pre, '(?s)({SQL_WORD}|\d+|\s+|.)', 1) AS l FROM pre),
+tok AS (SELECT rid, unnest(l) AS tok, generate_subscripts(l, 1) - 1 AS pos FROM toks),
+kinds AS (SELECT *, CASE WHEN regexp_full_match(tok, '{SQL_WORD}') THEN 'word' WHEN regexp_full_match(tok, '\d+') THEN 'digits' WHEN regexp_full_match(tok, '\s+') THEN 'space' ELSE 'other' END AS kind,
+  coalesce(sum(length(tok)) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM tok)"""
+
+#: The CTEs of choose_spelling, as far as the candidates in order.
+_SQL_CHOSEN = f"""{_SQL_CANDIDATES}, e AS (SELECT w, protect, ov, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM cands),
+ek AS (SELECT *, (CASE WHEN contains(c, 'vv') THEN 2.0 ELSE 0 END + CASE WHEN starts_with(c, 'ff') THEN 1.5 ELSE 0 END + CASE WHEN starts_with(c, 'v') THEN 0.6 ELSE 0 END + CASE WHEN ends_with(c, 'e') AND length(c) > 3 THEN 0.2 ELSE 0 END)
+   - CASE WHEN ov = c THEN 0.25 ELSE 0 END AS p FROM e),
+best AS (SELECT w, protect, ov, c, row_number() OVER (PARTITION BY w, protect ORDER BY p, levenshtein(w, c), abs(length(c) - length(w)), length(c), i) AS n FROM ek)"""
+
+
+@query("normalize_documents", rf"""
+WITH {_SQL_NORMALIZED}, {_SQL_CHOSEN},
+spelt AS (SELECT DISTINCT tok, CASE WHEN {_sql_clean('tok')} IN ({sql_list(_PROTECTED)}) THEN tok WHEN tok = upper(tok) AND tok <> lower(tok) THEN upper(m)
+  WHEN substr(tok, 1, 1) <> lower(substr(tok, 1, 1)) THEN upper(substr(m, 1, 1)) || lower(substr(m, 2)) ELSE m END AS out
+  FROM (SELECT DISTINCT tok, coalesce(ov, c, w) AS m FROM kinds JOIN best ON best.w = lower(tok) AND best.protect = (substr(tok, 1, 1) <> lower(substr(tok, 1, 1))) AND best.n = 1 WHERE kind = 'word') q),
+g AS (SELECT rid, pos, kinds.tok, kind, start, out, kind = 'space' OR (kind = 'other' AND NOT regexp_matches(kinds.tok, '[\p{{L}}\p{{N}}]')) AS gap FROM kinds LEFT JOIN spelt ON kind = 'word' AND spelt.tok = kinds.tok),
+firm AS (SELECT rid, pos, lead(kind) OVER v AS akind, lead(out) OVER v AS aout, lead(tok) OVER v AS atok, lead(start) OVER v AS astart, lead(pos) OVER v AS apos, kind = 'word' AND lower(tok) IN ('o', 'ó') AS o FROM g WHERE NOT gap WINDOW v AS (PARTITION BY rid ORDER BY pos)),
+j AS (SELECT g.*, aout, atok, astart, apos, coalesce(o AND akind = 'word' AND {_sql_clean('aout')} IN ({sql_list(sorted(set(L.SURNAMES)))}), FALSE) AS joins FROM g LEFT JOIN firm ON firm.rid = g.rid AND firm.pos = g.pos),
+n AS (SELECT *, max(CASE WHEN joins THEN apos END) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS eaten FROM j),
+p AS (SELECT *, CASE WHEN pos = 0 AND tok = 'I' THEN 'I,' WHEN joins THEN tok || chr(39) || aout WHEN kind = 'word' THEN CASE WHEN {_sql_clean('out')} IN ({sql_list(L.PLACE_NAMES)}) THEN upper(substr(out, 1, 1)) || lower(substr(out, 2)) ELSE out END
+  WHEN kind = 'space' THEN CASE WHEN contains(tok, chr(10) || chr(10)) THEN chr(10) ELSE ' ' END ELSE tok END AS piece FROM n WHERE coalesce(eaten < pos, TRUE)),
+m AS (SELECT *, CASE WHEN pos = 0 AND tok = 'I' THEN [start, start] WHEN joins THEN [start, start] || list_transform(range(0, length(aout)), lambda i: astart + least(i, length(atok) - 1))
+  WHEN kind = 'word' THEN list_transform(range(0, length(piece)), lambda i: start + least(i * (length(tok) - 1) // greatest(length(piece) - 1, 1), length(tok) - 1)) WHEN kind = 'space' THEN [start] ELSE list_transform(range(0, length(piece)), lambda i: start + i) END AS places FROM p),
+a AS (SELECT rid, string_agg(piece, '' ORDER BY pos) AS t, sum(len(places)) AS n_mapped, sum(coalesce(list_sum(places), 0)) AS sum_map FROM m GROUP BY rid),
+o AS (SELECT src.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(t, '') END AS t, coalesce(n_mapped, 0) AS n_mapped, coalesce(sum_map, 0) AS sum_map FROM src LEFT JOIN a USING (rid))
+SELECT doc_id, CAST(length(t) AS INT) AS n_chars, md5(t) AS digest, CAST(n_mapped AS INT) AS n_mapped, CAST(sum_map AS BIGINT) AS sum_map FROM o
+""")
 def normalize_documents(spark, sf_dir):
-    """The whole normaliser: joins and look-ahead have no plain SQL; tests hold it against a sequential version."""
-    n = normalize.normalize(docs(spark, sf_dir))
+    """The whole normaliser, a row for each row, whatever its id."""
+    docs(spark, sf_dir).createOrReplaceTempView("documents")
+    n = normalize.normalize(spark.sql(f"SELECT doc_id, text FROM {NORMALIZED} y"))
     return n.select("doc_id", F.length("normalized").alias("n_chars"), F.md5("normalized").alias("digest"), F.size("char_map").alias("n_mapped"), F.aggregate("char_map", F.lit(0).cast("long"), lambda s, x: s + x).alias("sum_map"))
 
 
-@query("chunk_documents", r"""
-WITH RECURSIVE c AS (
+#: c: chunk number, start and end of each document's chunks.
+SQL_CHUNKS = r"""
+c AS (
   SELECT doc_id, text, 0 AS no, 0 AS s, {cut0} AS e FROM documents WHERE length(text) > 0
   UNION ALL
   SELECT doc_id, text, no, s, {cut} AS e FROM (
     SELECT doc_id, text, no + 1 AS no, n + length(regexp_extract(substr(text, n + 1), '^\s*', 0)) AS s FROM (SELECT doc_id, text, no, CASE WHEN e - 100 > s THEN e - 100 ELSE e END AS n FROM c) WHERE n + length(regexp_extract(substr(text, n + 1), '^\s*', 0)) < length(text)))
-SELECT doc_id, no AS chunk_no, s AS off, CAST(e - s AS BIGINT) AS n_chars, md5(substr(text, s + 1, e - s)) AS digest FROM c
 """.replace("{cut0}", "{cut}").replace("{cut}", r"""s0 + CASE WHEN length(regexp_extract(substr(text, s0 + 1, 1200), '(?s)^.*[.!?]', 0)) > 40 THEN length(regexp_extract(substr(text, s0 + 1, 1200), '(?s)^.*[.!?]', 0))
-   WHEN length(regexp_extract(substr(text, s0 + 1, 1200), '(?s)^.* ', 0)) - 1 > 40 THEN length(regexp_extract(substr(text, s0 + 1, 1200), '(?s)^.* ', 0)) - 1 ELSE length(substr(text, s0 + 1, 1200)) END""").replace("s0", "0", 6).replace("s0", "s"))
+   WHEN length(regexp_extract(substr(text, s0 + 1, 1200), '(?s)^.* ', 0)) - 1 > 40 THEN length(regexp_extract(substr(text, s0 + 1, 1200), '(?s)^.* ', 0)) - 1 ELSE length(substr(text, s0 + 1, 1200)) END""").replace("s0", "0", 6).replace("s0", "s")
+
+
+@query("chunk_documents", f"WITH RECURSIVE {SQL_CHUNKS} SELECT doc_id, no AS chunk_no, s AS off, CAST(e - s AS BIGINT) AS n_chars, md5(substr(text, s + 1, e - s)) AS digest FROM c")
 def chunk_documents(spark, sf_dir):
     c = chunk.chunks(docs(spark, sf_dir))
     return c.select("doc_id", "chunk_no", "off", F.length("chunk").cast("long").alias("n_chars"), F.md5("chunk").alias("digest"))
