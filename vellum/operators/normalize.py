@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import lexicon as L
 from vellum.functions.strings import LETTERS, TOKEN_HERE, WORD, clean_for_match, found_in, lit_set, look_up, nfkc, preserve_case, straight_quotes
+from vellum.operators.rows import spread
 from vellum.plans.durable import settle
 
 MAX_CANDIDATES, MIN_ZIPF, OVERRIDE_BONUS = 24, 2.5, 0.25
@@ -222,7 +223,7 @@ def normalize(docs: DataFrame, mode: str = "heuristic", frequencies: DataFrame |
     Null text stays null, with an empty map. Rows are taken each for itself, whatever their ids. See put_together() for what is done beside the
     words' spelling.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("visual"), pre_normalize(F.col(text_col), compose).alias("_pre"))
+    base = spread(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("visual"), pre_normalize(F.col(text_col), compose).alias("_pre"))
     changed = settle(normalize_words(distinct_words(base, "_pre"), mode, frequencies).filter("out <> tok"))
     n, size = changed.limit(SENT_WORDS + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length("tok") + F.octet_length("out")), F.lit(0))).first()
     if n <= SENT_WORDS and size <= SENT_BYTES:

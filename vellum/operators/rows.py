@@ -1,4 +1,4 @@
-"""Keys of documents for operators that bring a document's rows together."""
+"""Keys of documents for operators that bring a document's rows together, and their spreading over the cores."""
 
 from __future__ import annotations
 
@@ -27,3 +27,14 @@ def named(result: DataFrame, names: DataFrame | None) -> DataFrame:
         return result
     cols = [F.col("name").alias(c) if c == "doc_id" else F.col(c) for c in result.columns]
     return result.join(names, "doc_id").select(*cols)
+
+
+#: Bytes of input for each core under which a table's files are taken to be too few to keep all cores busy.
+SMALL = 4_000_000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt over all cores if the table is so small that its files would keep few of them busy; a larger table is left as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SMALL else rows

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vellum.functions import lexicon as L
 from vellum.functions.strings import clean_for_match, context, look_up, preserve_case, straight_quotes
 from vellum.operators import chunk, normalize
+from vellum.operators.rows import spread
 from vellum.plans.registry import query
 from vellum.sources import documents as sources
 
@@ -28,7 +29,7 @@ def sql_map(pairs: dict[str, str], key: str) -> str:
 
 
 def docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 @query("norm_quotes_dashes", r"""
