@@ -227,10 +227,10 @@ def cosine_rank(spark, sf_dir):
 
 @query("semantic_filter", """
 WITH p AS (SELECT p_brand AS b, p_partkey AS k, p_name AS c, (p_partkey % 21) / 20.0 AS s FROM part), n AS (SELECT *, 'red widget' AS m, count(*) OVER (PARTITION BY b) AS n FROM p),
-h AS (SELECT b, k, n, CAST(s * 100 AS DOUBLE) AS hybrid FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY CASE WHEN hybrid < 70 THEN 1 ELSE 0 END, hybrid DESC, k) AS rank FROM h)
+h AS (SELECT b, k, n, round_even(CAST(s AS DOUBLE) * 100 * 0.6e0 + (1 - CAST(levenshtein(m, lower(c)) AS DOUBLE) / greatest(length(m), length(c))) * 100 * 0.4e0, 1) AS hybrid FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY CASE WHEN hybrid < 70 THEN 1 ELSE 0 END, hybrid DESC, k) AS rank FROM h)
 SELECT b, k, hybrid FROM r WHERE n <= 10 OR (hybrid >= 70 AND rank <= 8)
 """)
 def semantic_filter(spark, sf_dir):
-    """The filter on the semantic share alone; edit similarity and ratio are tested apart."""
+    """The filter on the semantic share and the edits; the ratio is tested apart."""
     p = star_sql(spark, sf_dir, "SELECT p_brand AS b, p_partkey AS k, p_name AS c, 'red widget' AS m, CAST((p_partkey % 21) / 20.0D AS DOUBLE) AS s FROM part")
-    return score.semantic_filter(p, ["b"], "s", "m", "c", "k", weights=(1.0, 0.0, 0.0)).select("b", "k", "hybrid")
+    return score.semantic_filter(p, ["b"], "s", "m", "c", "k", weights=(0.6, 0.4, 0.0)).select("b", "k", "hybrid")
