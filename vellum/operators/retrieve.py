@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.strings import filled, fragments, split_pipe, uri_segment, uri_source
+from vellum.operators.rows import fits
 
 PERSON_LIMIT, PLACE_LIMIT = 30, 1000
-#: Names up to so many rows are broadcast and compared with every mention; more are found by their 3-grams.
+#: Names up to so many rows (and rows.fits() bytes) are broadcast and compared with every mention; more are found by their 3-grams.
 BROADCAST_NAMES = 50_000
 
 
@@ -34,7 +35,7 @@ def contains_join(mentions: DataFrame, names: DataFrame, key: str, name: str, bl
     m = mentions.withColumn("_key", F.lower(F.col(key))).filter(F.col("_key").isNotNull() & (F.col("_key") != ""))
     n = names.withColumn("_name", F.lower(F.col(name)))
     if blocked is None:
-        blocked = names.limit(BROADCAST_NAMES + 1).count() > BROADCAST_NAMES
+        blocked = not fits(names, BROADCAST_NAMES)
     if not blocked:
         return m.join(F.broadcast(n), F.contains(F.col("_name"), F.col("_key"))).drop("_key", "_name")
     long_keys = m.filter(F.length("_key") >= 3).withColumn("_gram", F.array_min(F.transform(_grams(F.col("_key")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])

@@ -151,6 +151,21 @@ def neural_score(a: Column, b: Column) -> Column:
     return F.when(c.isNull(), _d(0.5)).otherwise(F.least(F.greatest((c + 1) / 2, _d(0)), _d(1)))
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1_000) -> DataFrame:
+    """(q, id, neural, rank): for each of queries(q, vector) the k nearest vectors but itself, ties by id.
+
+    Queries are sent to the vectors in blocks of about `block` rows, so what is broadcast has a bound, however many there are.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for i in range(blocks):
+        own = F.broadcast(queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).select("q", F.col("vector").alias("_v")))
+        s = vectors.select(id_col, vector_col).join(own, F.col(id_col) != F.col("q")).withColumn("neural", F.round(neural_score(F.col(vector_col), F.col("_v")), 5))
+        top = top_k(s.select("q", id_col, "neural"), ["q"], k, "neural", id_col)
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
 def hashed_ngrams(text: Column, size: int = 64, n: int = 3) -> Column:
     """A stand-in for a model: counts of character n-grams by the first digits of their MD5, native. Null for blank text."""
     low = F.lower(text)

@@ -220,9 +220,8 @@ r AS (SELECT q, vec_id, neural, row_number() OVER (PARTITION BY q ORDER BY neura
 def cosine_rank(spark, sf_dir):
     """Every hundredth vector against all others; only the pair of a row with itself is left out."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    q = F.broadcast(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe")))
-    s = v.join(q, F.col("vec_id") != F.col("q")).withColumn("neural", F.round(score.neural_score(F.col("embedding"), F.col("qe")), 5))
-    return score.top_k(s, ["q"], 5, "neural", "vec_id").select("q", "vec_id", "neural", "rank")
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"))
+    return score.nearest(v, asked, block=250).select("q", "vec_id", "neural", "rank")
 
 
 @query("semantic_filter", """
