@@ -75,6 +75,25 @@ def small_or_not(df: DataFrame, rows: int, most_bytes: int = BROADCAST_BYTES) ->
     return (F.broadcast(df) if fits else df), fits
 
 
+#: Rows of one key that a task gets at most, on the average, where a join deals hot keys by a salt.
+HOT = 10_000
+
+
+def join_dealt(left: DataFrame, right: DataFrame, key: str, by: str, keys: DataFrame | None = None) -> DataFrame:
+    """The inner join of left and right on column `key`, with a key that more than HOT rows of left have dealt by a salt, the hash of
+    left's column `by`; right's rows of that key go to each part. keys: left's keys from a cheaper table, if there is one."""
+    counted = (left if keys is None else keys).groupBy(key).count().filter(F.col("count") > HOT)
+    hot = settle(counted.select(F.col(key).alias("_hot"), F.ceil(F.col("count") / HOT).cast("int").alias("_parts")))
+    if hot.isEmpty():
+        return left.join(right, key)
+    hot, _ = small_or_not(hot, 1_000_000)
+    salt = F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0)).cast("int")
+    dealt = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot", "_parts")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    sent = right.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", parts).drop("_hot", "_parts")
+    return dealt.join(sent, [key, "_salt"]).drop("_salt")
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -140,3 +159,14 @@ def _walk(x: Column, n: Column, key: Column, order: list[int], sign: int, mix) -
 def long_array(values: list[int]) -> Column:
     """A constant array<bigint> column."""
     return F.from_json(F.lit(json.dumps(values)), T.ArrayType(T.LongType()))
+
+
+#: Bytes of input for each core under which a table's files are taken to be too few to keep all cores busy.
+SMALL = 4_000_000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt over all cores if the table is so small that its files would keep few of them busy; a larger table is left as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SMALL else rows

@@ -20,7 +20,7 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vellum.llm.common import column
+from vellum.llm.common import column, spread
 
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -425,4 +425,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             cols = [[f[0] for f in found], [len(f[0]) for f in found], [f[1] for f in found], [f[2] for f in found]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, type=OUT.types[i + 2]) for i, c in enumerate(cols))], schema=OUT)
 
-    return pages.select(column(id_col).cast("long").alias("page_id"), column(url_col).cast("string").alias("url"), column(html_col).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long")
+    return spread(pages).select(column(id_col).cast("long").alias("page_id"), column(url_col).cast("string").alias("url"), column(html_col).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long")

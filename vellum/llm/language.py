@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import column
+from vellum.llm.common import column, spread
 
 #: Letters of training text for each language; the automata hold at most twice as many states.
 SAMPLE_CHARS = 60_000
@@ -247,7 +247,7 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
             found = model.classify(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], type=OUT.types[i + 1]) for i in range(3))], schema=OUT)
 
-    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_letters long")
+    return spread(docs).select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_letters long")
 
 
 def identified_documents(docs: DataFrame, labelled: DataFrame, min_score: float = 0.0, languages: tuple[str, ...] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:

@@ -35,7 +35,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm.common import column
+from vellum.llm.common import column, spread
 
 ROUNDS = 6
 
@@ -434,4 +434,4 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
             found = [replace_text(t.as_py(), key) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], type=OUT.types[i + 1]) for i in range(4))], schema=OUT)
 
-    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, text string, n_entities long, n_distinct long, kinds string")
+    return spread(docs).select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, text string, n_entities long, n_distinct long, kinds string")

@@ -22,7 +22,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vellum.llm.common import column
+from vellum.llm.common import column, spread
 
 BLANK = "▁"
 WORDS = re.compile(r"[^ \t\n\v\f\r]+")
@@ -152,4 +152,4 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
             found = [count_text(t.as_py(), trie) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], schema=OUT)
 
-    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    return spread(docs).select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
