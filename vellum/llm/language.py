@@ -32,7 +32,7 @@ SAMPLE_DOCS = 400
 #: More languages than this are an error: each costs an automaton in every worker.
 LANGUAGES = 500
 #: Letters of a text that are parsed in one go, and bytes of text that are parsed side by side.
-PIECE, SLICE_BYTES = 4096, 8_000_000
+PIECE, SLICE_BYTES = 4096, 4_000_000
 #: Cells of all tables of next states together (4 bytes each); larger alphabets are searched in sorted edges.
 CELLS = 60_000_000
 WORDS = regex.compile(r"[\p{L}\p{M}]+")
@@ -124,10 +124,9 @@ class Model:
         by_form = np.ones(len(low), np.int32)
         by_form[[ord(c) for c in known]] = np.arange(2, len(known) + 2)
         self.number = np.where(low > 0, by_form[low], 0).astype(np.uint16 if len(known) < 65_000 else np.int32)
-        automata = [SuffixAutomaton(t) for _, t in texts]
         width = len(known) + 2
-        dense = width * sum(len(a.edges) for a in automata) <= CELLS
-        self.tables = [NextStates(a, number, width, dense) for a in automata]
+        dense = width * sum(2 * len(t) for _, t in texts) <= CELLS
+        self.tables = [NextStates(SuffixAutomaton(t), number, width, dense) for _, t in texts]  # one automaton at a time
 
     def letters(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(letter numbers of all texts end to end, where each text starts and ends, its letters without blanks)."""
@@ -137,10 +136,10 @@ class Model:
         for a, r in zip(cuts, raw):
             every[a : a + len(r)] = self.number[r]
         some = every != 0
-        upto = np.concatenate([[0], np.cumsum(some)])
+        upto = np.concatenate([np.zeros(1, np.int32), np.cumsum(some, dtype=np.int32)])
         keep = some.copy()
         keep[1:] |= some[:-1]  # the first blank after a letter
-        at = np.concatenate([[0], np.cumsum(keep)])
+        at = np.concatenate([np.zeros(1, np.int32), np.cumsum(keep, dtype=np.int32)])
         return every[keep], at[cuts], upto[cuts[1:]] - upto[cuts[:-1]]
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
