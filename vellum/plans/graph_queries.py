@@ -185,3 +185,24 @@ SELECT n_nationkey AS k, trim(regexp_replace(regexp_replace(regexp_replace(lower
 """)
 def place_texts(spark, sf_dir):
     return star_sql(spark, sf_dir, "SELECT n_nationkey AS k, 'The Towne of ' || n_name || ', near (' || n_name || ')' AS t FROM nation").select("k", place_text(F.col("t")).alias("text"))
+
+
+#: Names and mentions of them: the same, a letter short, turned about, with another last name, and none.
+NAMES = """(SELECT n_nationkey * 10 + k AS id, f || ' Brown' AS label, CASE k WHEN 0 THEN f || ' Brown' WHEN 1 THEN substr(f, 2) || ' BROWN ' WHEN 2 THEN reverse(f) || ' of Brown' WHEN 3 THEN f || ' Browne' ELSE ' ' END AS mention FROM (
+  SELECT n_nationkey, translate(n_name, '_0123456789', 'xabcdefghij') AS f FROM nation) n, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) k)"""
+
+
+@query("name_scores", f"""
+WITH RECURSIVE p AS (SELECT id, lower(trim(mention)) AS m, lower(label) AS n FROM {NAMES} z),
+w AS (SELECT *, split_part(m, ' ', 1) AS mf, split_part(n, ' ', 1) AS nf, split_part(m, ' ', -1) = split_part(n, ' ', -1) AS same, array_to_string(list_sort(string_split(m, ' ')), ' ') AS ms, array_to_string(list_sort(string_split(n, ' ')), ' ') AS ns FROM p WHERE m <> ''),
+two AS (SELECT mf AS x, nf AS y FROM w UNION SELECT ms, ns FROM w),
+lcs AS (SELECT x, y, 0 AS i, list_transform(range(0, length(y) + 1), lambda j: CAST(0 AS BIGINT)) AS row FROM two
+  UNION ALL SELECT x, y, i + 1, list_transform(range(0, length(y) + 1), lambda j: greatest(row[j + 1], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda q: y[q] = x[i + 1]), lambda q: row[q] + 1)), 0))) FROM lcs WHERE i < length(x)),
+r AS (SELECT x, y, round_even(200.0e0 * row[length(y) + 1] / (length(x) + length(y)), 0) AS percent FROM lcs WHERE i = length(x))
+SELECT p.id, coalesce(CASE WHEN NOT same THEN 0e0 ELSE round_even(0.5e0 + 0.35e0 * (a.percent / 100) + 0.15e0 * (b.percent / 100), 3) END, 0e0) AS score
+FROM p LEFT JOIN w ON w.id = p.id LEFT JOIN r a ON a.x = mf AND a.y = nf LEFT JOIN r b ON b.x = ms AND b.y = ns
+""")
+def name_scores(spark, sf_dir):
+    """Likeness of names by their common subsequences."""
+    p = star_sql(spark, sf_dir, f"SELECT * FROM {NAMES} z")
+    return p.select("id", score.name_score(F.col("mention"), F.col("label")).alias("score"))
