@@ -54,7 +54,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = {"doc_id", "text", "source"} | {"n_chars"}
     mixed = mixing.mix_documents(docs, N_SHARDS, BLOCK_WORDS, keep=[c for c in docs.columns if c not in own])
     made = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return mixed.select(*[made[c].alias(c) if c in made else F.col(c) if c in own else F.col("kept").getField(c).alias(c) for c in docs.columns])
+    return mixed.select(
+        *[made[c].alias(c) if c in made else F.col(c) if c in own else F.col("kept").getField(c).alias(c) for c in docs.columns]
+    )
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,48 +20,77 @@ def strings(*xs):
 
 
 def test_contains_join_blocked_equals_broadcast(spark):
-    mentions = spark.createDataFrame([(i, m) for i, m in enumerate(["neill", "o'n", "ne", "a", "magu", "zz", "NEI", None, ""])], "id int, m string")
-    names = spark.createDataFrame([(i, n) for i, n in enumerate(["Phelim O'Neill", "Rory Maguire", "Anne", "Neil", "Zed"])], "k int, name string")
+    mentions = spark.createDataFrame(
+        [(i, m) for i, m in enumerate(["neill", "o'n", "ne", "a", "magu", "zz", "NEI", None, ""])], "id int, m string"
+    )
+    names = spark.createDataFrame(
+        [(i, n) for i, n in enumerate(["Phelim O'Neill", "Rory Maguire", "Anne", "Neil", "Zed"])], "k int, name string"
+    )
     pairs = [{(r.id, r.k) for r in retrieve.contains_join(mentions, names, "m", "name", blocked=b).collect()} for b in (False, True, None)]
     assert pairs[0] == pairs[1] == pairs[2] == {(0, 0), (1, 0), (2, 0), (2, 2), (2, 3), (3, 1), (3, 2), (4, 1), (6, 0), (6, 3)}
 
 
 def test_limits_are_by_uri(spark):
     mentions = spark.createDataFrame([("Finch, Martha",)], "mention string")
-    persons = spark.createDataFrame([(f"u{i:02d}", f"Martha Finch {i}") for i in range(40)] + [("a", "marthas")], "person string, full_name string")
+    persons = spark.createDataFrame(
+        [(f"u{i:02d}", f"Martha Finch {i}") for i in range(40)] + [("a", "marthas")], "person string, full_name string"
+    )
     got = retrieve.retrieve_persons(mentions, persons, ["mention"], most=3).collect()
     assert [r.person for r in got] == ["a", "u00", "u01"]
 
 
 def test_closure_with_cycles(spark):
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "d"), ("x", "a"), ("x", "y"), ("y", "z"), ("w", "z")], "child string, parent string")
+    edges = spark.createDataFrame(
+        [("a", "b"), ("b", "c"), ("c", "a"), ("d", "d"), ("x", "a"), ("x", "y"), ("y", "z"), ("w", "z")], "child string, parent string"
+    )
     got = {(r.child, r.ancestor) for r in retrieve.transitive_closure(edges).collect()}
-    assert got == {(i, j) for i in "abc" for j in "abc"} | {("d", "d"), ("x", "a"), ("x", "b"), ("x", "c"), ("x", "y"), ("x", "z"), ("y", "z"), ("w", "z")}
-    nodes = spark.createDataFrame([("z", "Ulster", None), ("y", None, "Ard"), ("kg/place/A_B/1", None, None)], "place string, english string, irish string")
+    assert got == {(i, j) for i in "abc" for j in "abc"} | {
+        ("d", "d"), ("x", "a"), ("x", "b"), ("x", "c"), ("x", "y"), ("x", "z"), ("y", "z"), ("w", "z")
+    }
+    nodes = spark.createDataFrame(
+        [("z", "Ulster", None), ("y", None, "Ard"), ("kg/place/A_B/1", None, None)], "place string, english string, irish string"
+    )
     c = spark.createDataFrame([(1, "x|q")], "id int, residences string")
     closure = spark.createDataFrame([("x", "y"), ("x", "z"), ("q", "kg/place/A_B/1")], "child string, ancestor string")
     assert retrieve.ancestor_labels(c, closure, nodes, ["id"]).first().ancestorLabels == ["A B", "Ard", "Ulster"]
 
 
 def test_merge_persons_takes_the_first_filled(spark):
-    rows = spark.createDataFrame([("kg/p/Finch_M/1", "", "kg/l/Cork/1", 1), ("kg/p/Finch_M/1", "Finch, Martha", "kg/l/Bray/1|kg/l/Cork/2", 2), ("kg/p/Fox/1", None, "", 3)], "person string, label string, residences string, ord int")
+    rows = spark.createDataFrame(
+        [
+            ("kg/p/Finch_M/1", "", "kg/l/Cork/1", 1), ("kg/p/Finch_M/1", "Finch, Martha", "kg/l/Bray/1|kg/l/Cork/2", 2),
+            ("kg/p/Fox/1", None, "", 3)
+        ],
+        "person string, label string, residences string, ord int"
+    )
     got = {r.person: (r.label, r.residencesLabels) for r in retrieve.merge_persons(rows, [], ["label"]).collect()}
     assert got == {"kg/p/Finch_M/1": ("Martha Finch", ["Cork", "Bray"]), "kg/p/Fox/1": ("Fox", [])}
 
 
 def test_edges_and_places(spark):
-    rows = spark.createDataFrame([("p1", "x", "Cork", None, "t#Town | t#Parish | t#Town", "kg/l/Co_Cork/1 | http://other", "http://h/a/logainm/5", "")], "place string, era string, english string, irish string, types string, parentPlace string, sameAs string, historicalApproximations string")
+    rows = spark.createDataFrame(
+        [("p1", "x", "Cork", None, "t#Town | t#Parish | t#Town", "kg/l/Co_Cork/1 | http://other", "http://h/a/logainm/5", "")],
+        "place string, era string, english string, irish string, types string, parentPlace string, sameAs string, historicalApproximations string"
+    )
     r = retrieve.shape_places(rows).first()
     assert r.types == ["Town", "Parish"] and r.parentLabels[0] == "Co Cork" and r.externalResources == ["logainm"] and r.historicalApproximations == []
     e = retrieve.location_edges(rows, "kg/")
     assert [(x.child, x.parent) for x in e.collect()] == [("p1", "kg/l/Co_Cork/1")]
     assert retrieve.inverse_edges(e).first().children == ["p1"]
     t = spark.createDataFrame([("g1", "s", "p", "o"), ("g2", "s", "q", "o2")], "graph string, s string, p string, o string")
-    assert retrieve.property_values(retrieve.in_graphs(t, ["g1"]), ["p", "q"], "v").collect()[0].v == "o" and retrieve.property_values(t, ["q"], "v", inverse=True).first().s == "o2"
+    assert retrieve.property_values(
+        retrieve.in_graphs(t, ["g1"]), ["p", "q"], "v"
+    ).collect()[0].v == "o" and retrieve.property_values(t, ["q"], "v", inverse=True).first().s == "o2"
     assert value(spark, retrieve.entity_card(F.lit("http://a/x"), "http://a/", "https://b/")) == "https://b/x"
 
 
-@pytest.mark.parametrize("mention, label, want", [("Martha Finch", "Finch_Martha_c17", 1.0), ("Mary Finch", "Finch_Martha_c17", None), ("Martha Fox", "Finch_Martha", 0.0), ("", "x", 0.0), ("x", None, 0.0)])
+@pytest.mark.parametrize(
+    "mention, label, want",
+    [
+        ("Martha Finch", "Finch_Martha_c17", 1.0), ("Mary Finch", "Finch_Martha_c17", None), ("Martha Fox", "Finch_Martha", 0.0),
+        ("", "x", 0.0), ("x", None, 0.0)
+    ]
+)
 def test_name_score(spark, mention, label, want):
     got = value(spark, score.name_score(F.lit(mention), F.lit(label).cast("string")))
     assert got == want if want is not None else 0.5 < got < 1
@@ -75,22 +104,43 @@ def test_place_name_score(spark):
 def test_small_scores(spark):
     v = lambda c: value(spark, c)
     fl = lambda a, b, y=1641: v(score.floruit_score(F.lit(a).cast("string"), F.lit(b).cast("string"), y))
-    assert [fl("1630-01-01", "1650"), fl("1646", "1650"), fl("1600", "1625"), fl("1500", "1501"), fl("", "1"), fl(None, "1"), fl("c.1641", "1642"), fl("1", "2", None)] == [1, 0.8, 0.6, 0.1, 0.4, 0.4, 0.3, 0.5]
-    assert [v(score.era_score(k, F.lit(e).cast("string"))) for k, e in (("PER", None), ("PER", "Early-Modern-1500-1749"), ("PER", "present-day"), ("LOC", "present-day"), ("LOC", "x"))] == [0.3, 1, 0, 0.4, 0]
+    assert [
+        fl("1630-01-01", "1650"), fl("1646", "1650"), fl("1600", "1625"), fl("1500", "1501"), fl("", "1"), fl(None, "1"),
+        fl("c.1641", "1642"), fl("1", "2", None)
+    ] == [1, 0.8, 0.6, 0.1, 0.4, 0.4, 0.3, 0.5]
+    assert [
+        v(score.era_score(k, F.lit(e).cast("string"))) for k,
+        e in (("PER", None), ("PER", "Early-Modern-1500-1749"), ("PER", "present-day"), ("LOC", "present-day"), ("LOC", "x"))
+    ] == [0.3, 1, 0, 0.4, 0]
     assert v(score.era_score("PER", F.lit("x"), None)) == 0.5
     ty = lambda near, *t: v(score.type_score(F.lit(near), strings(*t)))
-    assert [ty("the county of", "County"), ty("county", "town"), ty("citty", "city"), ty("towne", "townland"), ty("prouince", "x"), ty("", "town"), ty("", "townland"), ty("", "barony"), ty("", "q"), ty("county")] == [1, 0.3, 1, 1, 0.2, 0.7, 0.3, 0.6, 0.5, 0.3]
+    assert [
+        ty("the county of", "County"), ty("county", "town"), ty("citty", "city"), ty("towne", "townland"), ty("prouince", "x"),
+        ty("", "town"), ty("", "townland"), ty("", "barony"), ty("", "q"), ty("county")
+    ] == [1, 0.3, 1, 1, 0.2, 0.7, 0.3, 0.6, 0.5, 0.3]
     assert [v(score.historical_score(strings(*x))) for x in ((), ("a/early-modern-1500-1749/b",), ("z",))] == [0.3, 1, 0.7]
     re = lambda locs, labels, uris, up: v(score.residence_score(strings(*locs), strings(*labels), F.lit(uris), strings(*up)))
-    assert [re([], ["x"], "u", []), re(["Cork"], [], "", []), re(["cork"], ["The Towne of Cork"], "u", []), re(["cork"], ["y"], "u", ["Cork"]), re(["cork"], ["y"], "u", [])] == [0.5, 0.3, 1, 0.75, 0]
+    assert [
+        re([], ["x"], "u", []), re(["Cork"], [], "", []), re(["cork"], ["The Towne of Cork"], "u", []), re(["cork"], ["y"], "u", ["Cork"]),
+        re(["cork"], ["y"], "u", [])
+    ] == [0.5, 0.3, 1, 0.75, 0]
     h = lambda m, e, up, locs, down=(): v(score.hierarchy_score(F.lit(m), F.lit(e), strings(*up), strings(*down), strings(*locs)))
     assert h("a", "b", [], []) == 0.5 and h("a", "b", [], ["a"]) == 0.5 and h("a", "cork", [], ["cork"]) == 1
-    assert h("derry", "derry", [], ["x"]) == 0.65 and h("derry", "londonderry", [], ["q"]) == 0.35 and h("q", "y", ["Cork"], ["cork"]) == 0.8 and h("q", "y", [], ["cork"], ["cork"]) == 0.7
-    assert h("q", "y", ["Ulster"], ["ulster"]) == 0.95 and h("derry", "derry", ["Munster"], ["ulster", "derry"]) == 0.35 and h("q", "", [], ["cork"]) == 0.7
+    assert h("derry", "derry", [], ["x"]) == 0.65 and h(
+        "derry", "londonderry", [], ["q"]
+    ) == 0.35 and h("q", "y", ["Cork"], ["cork"]) == 0.8 and h("q", "y", [], ["cork"], ["cork"]) == 0.7
+    assert h("q", "y", ["Ulster"], ["ulster"]) == 0.95 and h(
+        "derry", "derry", ["Munster"], ["ulster", "derry"]
+    ) == 0.35 and h("q", "", [], ["cork"]) == 0.7
     assert v(score.confidence(F.lit(0.75))) == "Medium Confidence" and v(score.confidence(F.lit(0.76))) == "High confidence" and v(score.confidence(F.lit(0.49))) == "Low confidence"
-    assert v(score.neural_score(F.array(F.lit(1.0)), F.array(F.lit(-2.0)))) == 0 and v(score.neural_score(F.lit(None).cast("array<double>"), F.array(F.lit(1.0)))) == 0.5
+    assert v(score.neural_score(F.array(F.lit(1.0)), F.array(F.lit(-2.0)))) == 0 and v(
+        score.neural_score(F.lit(None).cast("array<double>"), F.array(F.lit(1.0)))
+    ) == 0.5
     assert v(score.query_text(F.lit("Cork"), F.lit("in Cork now"))) == "Cork. context: in cork now"
-    fields = {"english": F.lit("Cork"), "irish": F.lit(None).cast("string"), "era": F.lit(""), "types": strings("a", "b"), "parentLabels": strings(), "historicalApproximations": strings("u")}
+    fields = {
+        "english": F.lit("Cork"), "irish": F.lit(None).cast("string"), "era": F.lit(""), "types": strings("a", "b"),
+        "parentLabels": strings(), "historicalApproximations": strings("u")
+    }
     assert v(score.profile_text("LOC", fields)) == "Cork | a b | u"
     assert sum(score.redistribute(score.PERSON_WEIGHTS, "name", 0.44).values()) == pytest.approx(1)
 
@@ -116,12 +166,17 @@ def test_top_k_keeps_retrieval_order_in_ties(spark):
 
 def test_sentences(spark):
     s = lambda *xs: value(spark, explain.sentence(strings(*xs)))
-    assert [s(), s("a"), s("a", "b"), s("a", "b", "c"), s("a", "b", "c", "d")] == ["", "a.", "a as b.", "a as b, and c.", "a as b, c, and d."]
+    assert [
+        s(), s("a"), s("a", "b"), s("a", "b", "c"), s("a", "b", "c", "d")
+    ] == ["", "a.", "a as b.", "a as b, and c.", "a as b, c, and d."]
 
 
 def test_explanations(spark):
     f = {k: F.lit(x) for k, x in {"name": 0.9, "era": 1.0, "residence": 0.75, "floruit": 0.8, "neural": 0.5}.items()}
-    c = {"eras": F.lit("e"), "residencesLabels": strings("Bray"), "ancestorLabels": strings("Wicklow"), "floruitEarliest": F.lit("1646"), "floruitLatest": F.lit("1650")}
+    c = {
+        "eras": F.lit("e"), "residencesLabels": strings("Bray"), "ancestorLabels": strings("Wicklow"), "floruitEarliest": F.lit("1646"),
+        "floruitLatest": F.lit("1650")
+    }
     got = value(spark, explain.explain_person(F.lit("Ann"), F.lit(0.71234), f, c, strings("wicklow")))
     assert got == (
         "Ann scores 0.712 as their name closely matches the mention, their KG era (e) aligns with the document era (early-modern-1500-1749), they reside in Bray, whose parent geography includes Wicklow, which is mentioned in the document, "
@@ -129,7 +184,9 @@ def test_explanations(spark):
     )
     f = {k: F.lit(x) for k, x in {"name": 0.3, "hierarchy": 0.8, "type_match": 1.0, "historical": 0.3, "neural": 0.8}.items()}
     c = {"types": strings("town"), "parentLabels": strings("Cork"), "childLabels": strings("A", "B", "C", "D")}
-    got = value(spark, explain.explain_place(F.lit("Bray"), F.lit(0.5), f, c, strings("cork", "a", "b", "c", "d"), F.lit("the towne of bray")))
+    got = value(
+        spark, explain.explain_place(F.lit("Bray"), F.lit(0.5), f, c, strings("cork", "a", "b", "c", "d"), F.lit("the towne of bray"))
+    )
     assert got == (
         "Bray scores 0.500 as its name is a weak match to the mention, its type (town) aligns with the document context mentioning 'town', its parent place (Cork) is mentioned in the document, "
         "its child places include A, B, C, which are mentioned in the document, it has no historical approximation link, and its contextual semantic match to the mention is strong."
@@ -140,9 +197,14 @@ def test_span_scores_match_published_totals(spark):
     """Micro totals of 97 hits, 29 false and 17 missed spans give the published ratios; so do 99, 22, 15."""
     for tp, fp, fn, want in ((97, 29, 17, (0.7698, 0.8509, 0.8083)), (99, 22, 15, (0.8182, 0.8684, 0.8426))):
         gold = spark.createDataFrame([("r", i, i + 1, "PER") for i in range(tp + fn)], "mode string, start int, end int, label string")
-        pred = spark.createDataFrame([("r", i, i + 1, "PER") for i in range(tp)] + [("r", 1000 + i, 2000 + i, "LOC") for i in range(fp)] * 2, "mode string, start int, end int, label string")
+        pred = spark.createDataFrame(
+            [("r", i, i + 1, "PER") for i in range(tp)] + [("r", 1000 + i, 2000 + i, "LOC") for i in range(fp)] * 2,
+            "mode string, start int, end int, label string"
+        )
         for r in evaluate.span_scores(gold, pred, ["mode"]).collect():
-            assert (round(r.precision, 4), round(r.recall, 4), round(r.f1, 4)) == want and (r.tp_count, r.fp_count, r.fn_count) == (tp, fp, fn)
+            assert (
+                round(r.precision, 4), round(r.recall, 4), round(r.f1, 4)
+            ) == want and (r.tp_count, r.fp_count, r.fn_count) == (tp, fp, fn)
     empty = gold.limit(0)
     r = evaluate.span_scores(gold, empty, ["mode"]).filter("mode = 'r'").first()
     assert (r.precision, r.recall, r.f1, r.fn_count) == (0.0, 0.0, 0.0, tp + fn)
@@ -156,13 +218,18 @@ def test_ranking_summary_matches_published_metrics(spark):
     got = {r.label: r for r in evaluate.ranking_summary(m).collect()}
     assert round(got[None].acc_1, 7) == 0.9791667 and round(got[None].mrr, 7) == 0.9895833 and got[None].recall_3 == 1 and got[None].coverage == 1
     assert got["PER"].acc_1 == 1 and got["LOC"].acc_1 == 0.96
-    missing = evaluate.mention_metrics(spark.createDataFrame([("PER", "u", None)], "label string, gold_uri string, ranked_uris array<string>")).first()
+    missing = evaluate.mention_metrics(
+        spark.createDataFrame([("PER", "u", None)], "label string, gold_uri string, ranked_uris array<string>")
+    ).first()
     assert (missing.rr, missing.hit_1, missing.n_candidates) == (0.0, 0, 0)
 
 
 def test_sweep_has_twenty_configurations(spark):
     assert len(evaluate.sweep_configs()) == 20
-    f = spark.createDataFrame([(1, "PER", "g", "g", 1, {"name": 1.0, "era": 0.0}), (1, "PER", "g", "h", 0, {"name": 0.0, "era": 1.0})], "m int, label string, gold_uri string, uri string, ord int, features map<string,double>")
+    f = spark.createDataFrame(
+        [(1, "PER", "g", "g", 1, {"name": 1.0, "era": 0.0}), (1, "PER", "g", "h", 0, {"name": 0.0, "era": 1.0})],
+        "m int, label string, gold_uri string, uri string, ord int, features map<string,double>"
+    )
     got = {r.config: r.acc_1 for r in evaluate.weight_sweep(f, ["m"]).filter("label = 'PER'").collect()}
     assert got["PER name=0.44"] == 1 and got["PER name=0.32"] == 1 and len(got) == 20
 
@@ -177,14 +244,24 @@ def test_baseline_score(spark):
 
 
 def test_assigned_spans_follow_occurrences(spark):
-    gold = spark.createDataFrame([("d", i, "PER", m) for i, m in enumerate(["Owen", "Owen", "Owen", "Ann (x)"])] + [("e", 0, "PER", "Owen")], "doc_id string, ord int, label string, mention string")
+    gold = spark.createDataFrame(
+        [("d", i, "PER", m) for i, m in enumerate(["Owen", "Owen", "Owen", "Ann (x)"])] + [("e", 0, "PER", "Owen")],
+        "doc_id string, ord int, label string, mention string"
+    )
     t = spark.createDataFrame([("d", "owen and Owen met Ann (x)")], "doc_id string, full string")
     got = {(r.doc_id, r.ord): (r.start, r.end) for r in evaluate.assign_spans(gold, t).collect()}
     assert got == {("d", 0): (0, 4), ("d", 1): (9, 13), ("d", 2): (0, 4), ("d", 3): (18, 25), ("e", 0): (0, 4)}
-    g = spark.createDataFrame([("document_12.txt", 0, " "), ("document_12.txt", 1, "own"), ("doc3", 0, None)], "doc_id string, ord int, context string")
+    g = spark.createDataFrame(
+        [("document_12.txt", 0, " "), ("document_12.txt", 1, "own"), ("doc3", 0, None)], "doc_id string, ord int, context string"
+    )
     files = spark.createDataFrame([(3, "three"), (12, "twelve")], "number int, text string")
     assert {r.doc_id: r.context for r in evaluate.resolve_context(g, files).collect()} == {"document_12.txt": "own", "doc3": "three"}
-    assert value(spark, evaluate.candidate_label(F.lit("LOC"), {"label": F.lit(""), "english_label": F.lit(None).cast("string"), "place": F.lit("u"), "person": F.lit("p")})) == "u"
+    assert value(
+        spark,
+        evaluate.candidate_label(
+            F.lit("LOC"), {"label": F.lit(""), "english_label": F.lit(None).cast("string"), "place": F.lit("u"), "person": F.lit("p")}
+        )
+    ) == "u"
 
 
 def test_entry_and_registered_queries(spark):

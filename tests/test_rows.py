@@ -63,8 +63,14 @@ def one_by_one(pre, spelling):
 
 def test_normaliser_against_a_sequential_version(spark):
     rng = random.Random(1)
-    words = ["O", "o", "Ó", "neale", "O'Neill", "Neill", "shea", "haue", "VLSTER", "corke", "I", "12", "-", ".", "_", " ", "  ", "\n\n", "\n", "é", "paide", "widget", "ſ"]
-    rows = [(i % 5 or None, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30))).replace("  ", rng.choice([" ", ""]))) for i in range(120)]
+    words = [
+        "O", "o", "Ó", "neale", "O'Neill", "Neill", "shea", "haue", "VLSTER", "corke", "I", "12", "-", ".", "_", " ", "  ", "\n\n", "\n",
+        "é", "paide", "widget", "ſ"
+    ]
+    rows = [
+        (i % 5 or None, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30))).replace("  ", rng.choice([" ", ""])))
+        for i in range(120)
+    ]
     df = texts(spark, rows)
     pre = [normalize.pre_normalize(F.col("text"))]
     pres = [r[0] for r in df.select(*pre).collect()]
@@ -78,7 +84,9 @@ def test_normaliser_against_a_sequential_version(spark):
 
 
 def test_normaliser_takes_each_row_for_itself(spark, monkeypatch):
-    want = Counter({(None, "hello old world"): 1, (1, "the old"): 1, (1, "again man"): 2, (2, None): 1, (3, ""): 1, (None, "I, O'Neill have"): 1})
+    want = Counter(
+        {(None, "hello old world"): 1, (1, "the old"): 1, (1, "again man"): 2, (2, None): 1, (3, ""): 1, (None, "I, O'Neill have"): 1}
+    )
     got = lambda: Counter((r.doc_id, r.normalized) for r in normalize.normalize(texts(spark)).collect())
     assert got() == want
     monkeypatch.setattr(normalize, "SENT_WORDS", 0)  # the changed words are joined to the rows
@@ -87,9 +95,13 @@ def test_normaliser_takes_each_row_for_itself(spark, monkeypatch):
 
 
 def test_analysis_takes_each_row_for_itself(spark):
-    rows = [(None, "So John Smith met Cork."), (None, "And Mary Jones."), (1, "Then Ann Fox sat."), (1, "Then Ann Fox sat."), (2, None), (3, "")]
+    rows = [
+        (None, "So John Smith met Cork."), (None, "And Mary Jones."), (1, "Then Ann Fox sat."), (1, "Then Ann Fox sat."), (2, None), (3, "")
+    ]
     got = Counter((r.doc_id, r.text, r.label) for r in tag.analyze(texts(spark, rows)).collect())
-    assert got == Counter({(None, "So John Smith", "PER"): 1, (None, "Cork", "LOC"): 1, (None, "And Mary Jones", "PER"): 1, (1, "Then Ann Fox", "PER"): 2})
+    assert got == Counter(
+        {(None, "So John Smith", "PER"): 1, (None, "Cork", "LOC"): 1, (None, "And Mary Jones", "PER"): 1, (1, "Then Ann Fox", "PER"): 2}
+    )
     whole = pipeline.annotate(texts(spark, rows)).collect()
     assert Counter(r.doc_id for r in whole) == Counter({None: 3, 1: 2})
     keys, names = keyed(texts(spark, [(1, "a"), (2, "b")]), "doc_id", "text")
@@ -144,7 +156,10 @@ class Endpoint(http.server.BaseHTTPRequestHandler):
             self.end_headers()
             return
         limit, offset = map(int, re.search(r"LIMIT (\d+) OFFSET (\d+)", query).groups()) if "LIMIT" in query else (23, 0)
-        rows = [{"person": {"value": f"p{i}"}, **({"label": {"value": f"L{i}"}} if i % 2 else {})} for i in range(offset, min(offset + limit, 23))]
+        rows = [
+            {"person": {"value": f"p{i}"}, **({"label": {"value": f"L{i}"}} if i % 2 else {})}
+            for i in range(offset, min(offset + limit, 23))
+        ]
         body = json.dumps({"results": {"bindings": rows}}).encode()
         self.send_response(200)
         self.end_headers()

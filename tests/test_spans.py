@@ -66,7 +66,10 @@ def test_merge_looks_at_the_gap(spark):
         s = [m.start() for m in re.finditer(re.escape(word), full)][n]
         return (1, word, label, 0.9, s, s + len(word))
 
-    rows = [at("Phelim"), at("O'Neill"), at("Shane"), at("Neill", n=1), at("og", n=1), at("O'Neill", n=1), at("Rory"), at("Maguire", "LOC"), (1, "q", "ORG", 0.9, 0, 1)]
+    rows = [
+        at("Phelim"), at("O'Neill"), at("Shane"), at("Neill", n=1), at("og", n=1), at("O'Neill", n=1), at("Rory"), at("Maguire", "LOC"),
+        (1, "q", "ORG", 0.9, 0, 1)
+    ]
     got = {(r.text, r.label) for r in spans.merge_adjacent(df(spark, rows), t, max_gap=6, extend_clipped_words=False).collect()}
     assert ("Phelim O'Neill", "PER") in got and ("Shane oge Neill", "PER") in got and ("Rory", "PER") in got and ("Maguire", "LOC") in got and ("q", "ORG") in got
     assert ("og e O'Neill", "PER") in got
@@ -93,7 +96,11 @@ def test_clip_and_project(spark):
 
 def test_filters_and_groups(spark):
     rows = [
-        (1, "O’neill", "PER", 0.9, 0, 7), (1, "O'Neill", "PER", 0.8, 20, 27), (1, "County of", "LOC", 0.9, 8, 17), (1, "O'ne", "PER", 0.9, 30, 34), (1, "ab", "LOC", 0.9, 40, 42), (1, "low", "LOC", 0.69, 50, 53), (1, " Cork ", "LOC", 0.7, 60, 66),
+        (1, "O’neill", "PER", 0.9, 0, 7), (1, "O'Neill", "PER", 0.8, 20, 27), (
+            1, "County of", "LOC", 0.9, 8, 17
+        ), (1, "O'ne", "PER", 0.9, 30, 34), (1, "ab", "LOC", 0.9, 40, 42), (1, "low", "LOC", 0.69, 50, 53), (
+            1, " Cork ", "LOC", 0.7, 60, 66
+        ),
         (1, "Cork", "PER", 0.9, 60, 66),
     ]
     unique = filters.unique_entities(df(spark, rows))

@@ -18,7 +18,9 @@ def normal(spark, text, **kw):
 
 def test_tokens_cover_the_text(spark):
     text = "I saw O Neale, 12 VVill’s «mähre»\n\n…"
-    toks = normalize.tokens(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")).orderBy("doc_id", "pos").collect()
+    toks = normalize.tokens(
+        spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    ).orderBy("doc_id", "pos").collect()
     assert "".join(t.tok for t in toks) == text
     assert all(text[t.start : t.start + len(t.tok)] == t.tok for t in toks)
     kinds = {t.tok: t.kind for t in toks}
@@ -28,8 +30,16 @@ def test_tokens_cover_the_text(spark):
 @pytest.mark.parametrize(
     "text, out",
     [
-        ("I met a man", "I, met a man"), ("He said I", "He said I"), ("O Neale went", "O'Neill went"), ("O, Neill went", "O'Neill went"), ("O 5 Neill", "O 5 Neill"), ("the vniuersitie", "the university"), ("a horse", "a hors"), ("VVILL", "WILL"), ("Vvill", "Will"),
-        ("in dublin towne", "in Dublin town"), ("a\n\nb  c\nd", "a\nb c d"), ("  lead", " lead"), ("”quoted“ — `x", '"quoted" -- \'x'), ("ﬁne ſhip", "fin ship"), ("Murphy", "Murphy"), ("", ""), ("curly ’ stays", "curly ’ stays"),
+        ("I met a man", "I, met a man"), ("He said I", "He said I"), ("O Neale went", "O'Neill went"), (
+            "O, Neill went", "O'Neill went"
+        ), ("O 5 Neill", "O 5 Neill"), (
+            "the vniuersitie", "the university"
+        ), ("a horse", "a hors"), ("VVILL", "WILL"), ("Vvill", "Will"),
+        (
+            "in dublin towne", "in Dublin town"
+        ), ("a\n\nb  c\nd", "a\nb c d"), ("  lead", " lead"), (
+            "”quoted“ — `x", '"quoted" -- \'x'
+        ), ("ﬁne ſhip", "fin ship"), ("Murphy", "Murphy"), ("", ""), ("curly ’ stays", "curly ’ stays"),
     ],
 )
 def test_normalize(spark, text, out):
@@ -54,7 +64,9 @@ def test_normalize_by_frequency(spark):
 
 
 def test_spelling_candidates_keep_the_rules_order(spark):
-    rows = spark.createDataFrame([("vvie", False), ("ffee", False), ("bees", True), ("seruaunt", False), ("subiect", False)], "w string, p boolean")
+    rows = spark.createDataFrame(
+        [("vvie", False), ("ffee", False), ("bees", True), ("seruaunt", False), ("subiect", False)], "w string, p boolean"
+    )
     got = {r.w: r.c for r in rows.select("w", normalize.spelling_candidates(F.col("w"), F.col("p")).alias("c")).collect()}
     assert got["vvie"] == ["vvie", "wie", "vvy", "vvye", "uvie", "vvi"]
     assert got["ffee"] == ["ffee", "fee", "ffe"]
@@ -82,7 +94,13 @@ def chunks_by_hand(text, size, overlap):
     return out
 
 
-@pytest.mark.parametrize("text", ["", "short", "x" * 1200, "x" * 2500, "word " * 700, "A sentence of some words. " * 120, "Early. " + "no stop here " * 150, "  \n lead " * 200, "a.b" * 900])
+@pytest.mark.parametrize(
+    "text",
+    [
+        "", "short", "x" * 1200, "x" * 2500, "word " * 700, "A sentence of some words. " * 120, "Early. " + "no stop here " * 150,
+        "  \n lead " * 200, "a.b" * 900
+    ]
+)
 def test_chunks(spark, text):
     assert chunk.chunk_offsets(text) == chunks_by_hand(text, 1200, 100)
     assert chunk.chunk_offsets(text, 600, 80) == chunks_by_hand(text, 600, 80)
@@ -106,7 +124,11 @@ def test_tagger_offsets(spark):
 def test_trim_affixes(spark):
     full = "the County of Cork and the said said Phelim, Esqr. of Dublin"
     t = spark.createDataFrame([(1, full)], "doc_id long, full string")
-    rows = [(1, "County of Cork", "LOC", 0.9, 4, 18), (1, "the said said Phelim, Esqr.", "PER", 0.9, 23, 50), (1, "of Dublin", "LOC", 0.49, 51, 60), (1, "said Owen", "PER", 0.9, None, None), (1, "of", "LOC", 0.9, 51, 53), (1, "x", "ORG", 0.9, 0, 3)]
+    rows = [
+        (1, "County of Cork", "LOC", 0.9, 4, 18), (1, "the said said Phelim, Esqr.", "PER", 0.9, 23, 50),
+        (1, "of Dublin", "LOC", 0.49, 51, 60), (1, "said Owen", "PER", 0.9, None, None), (1, "of", "LOC", 0.9, 51, 53),
+        (1, "x", "ORG", 0.9, 0, 3)
+    ]
     got = {(r.text, r.start, r.end) for r in tag.trim_affixes(spans(spark, rows), t).collect()}
     assert got == {("Cork", 14, 18), ("Phelim", 37, 43), ("Owen", None, None), ("of", 51, 53), ("x", 0, 3)}
 
@@ -138,9 +160,13 @@ def test_strings(spark):
     assert one(spark, S.split_pipe, " a | |b") == ["a", "b"]
     assert one(spark, S.flip_names, "Cork, Co.|Dublin") == [" Co. Cork", "Dublin"]
     assert one(spark, lambda c: S.uri_segment(c, -2), "http://kg/person/Finch_Martha_c17/x/") == "Finch_Martha_c17"
-    assert one(spark, S.uri_source, "http://h/a/logainm/5") == "logainm" and one(spark, S.uri_source, "x") == "External Link" and one(spark, S.uri_source, "") == "Not Known"
+    assert one(
+        spark, S.uri_source, "http://h/a/logainm/5"
+    ) == "logainm" and one(spark, S.uri_source, "x") == "External Link" and one(spark, S.uri_source, "") == "Not Known"
     assert one(spark, S.nfkc, "ﬁſ") == "fis"
-    assert one(spark, lambda c: S.context(F.lit("abc DEF ghi"), c, 2), "def") == "c def g" and one(spark, lambda c: S.context(F.lit("abc"), c, 2), "zz") == ""
+    assert one(
+        spark, lambda c: S.context(F.lit("abc DEF ghi"), c, 2), "def"
+    ) == "c def g" and one(spark, lambda c: S.context(F.lit("abc"), c, 2), "zz") == ""
     assert one(spark, lambda c: S.ratio(c, F.lit("armstrong jane")), "jane armstrong") == 64.0
     assert S.ratio_of("jane armstrong", "armstrong jane", "difflib") == 64.0 and S.ratio_of("", "") == 100.0
     assert one(spark, lambda c: S.token_sort_ratio(c, F.lit("jane, Armstrong")), "Armstrong  Jane") == 100.0
@@ -164,24 +190,36 @@ def test_sources(spark, tmp_path):
     (tmp_path / "up" / "a.txt").write_text("plain text", encoding="utf-8")
     (tmp_path / "up" / "b.txt").write_bytes(b"\xff\xfe\xfa")
     (tmp_path / "up" / "c.txt").write_bytes(b"")
-    (tmp_path / "up" / "d.xml").write_text('<?xml version="1.0"?><TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><pb n="3"/><p>One &amp; two</p><p>Three</p></body></text></TEI>', encoding="utf-8")
+    (tmp_path / "up" / "d.xml").write_text(
+        '<?xml version="1.0"?><TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><pb n="3"/><p>One &amp; two</p><p>Three</p></body></text></TEI>',
+        encoding="utf-8"
+    )
     got = {r.doc_id[-5:]: (r.kind, r.visual, r.error) for r in sources.read_uploads(spark, str(tmp_path / "up")).collect()}
     assert got == {"a.txt": ("text", "plain text", None), "b.txt": ("text", None, "not UTF-8"), "d.xml": ("xml", "One & two\nThree", None)}
-    kinds = spark.createDataFrame([("a.tei", "x"), ("b", "  <TEI>"), ("c", ""), ("d", "x")], "n string, c string").select("n", sources.kind_of(F.col("n"), F.col("c")).alias("k"))
+    kinds = spark.createDataFrame(
+        [("a.tei", "x"), ("b", "  <TEI>"), ("c", ""), ("d", "x")], "n string, c string"
+    ).select("n", sources.kind_of(F.col("n"), F.col("c")).alias("k"))
     assert {r.n: r.k for r in kinds.collect()} == {"a.tei": "xml", "b": "xml", "c": "empty", "d": "text"}
-    (tmp_path / "gold.jsonl").write_text('{"doc_id":"doc2","mention":"Cork","label":"LOC","gold_uri":"u"}\n\n{"doc_id":"d","mention":"","label":"LOC","gold_uri":"u"}\n')
+    (tmp_path / "gold.jsonl").write_text(
+        '{"doc_id":"doc2","mention":"Cork","label":"LOC","gold_uri":"u"}\n\n{"doc_id":"d","mention":"","label":"LOC","gold_uri":"u"}\n'
+    )
     gold = sources.read_gold(spark, str(tmp_path / "gold.jsonl"))
     assert gold.count() == 2 and sources.validated_gold(gold, fail=False).count() == 1
     with pytest.raises(Exception, match="invalid gold row"):
         sources.validated_gold(gold).collect()
     (tmp_path / "lex.json").write_text('{"places": ["cork", "bray"]}')
-    assert {(r.kind, r.term) for r in sources.read_lexicon(spark, str(tmp_path / "lex.json")).collect()} == {("places", "cork"), ("places", "bray")}
+    assert {
+        (r.kind, r.term) for r in sources.read_lexicon(spark, str(tmp_path / "lex.json")).collect()
+    } == {("places", "cork"), ("places", "bray")}
     made = []
     make = lambda: made.append(1) or spark.range(3)
     for _ in range(2):
         assert sources.read_candidates(spark, str(tmp_path / "cands"), make).count() == 3
     assert made == [1]
-    m = spark.createDataFrame([("1", "f", 1, "raw", 2, 2, 1, 1, 1, 0.5, 0.5, 0.5)], "record string, filename string, entry int, mode string, gold_count int, pred_count int, tp_count int, fp_count int, fn_count int, precision double, recall double, f1 double")
+    m = spark.createDataFrame(
+        [("1", "f", 1, "raw", 2, 2, 1, 1, 1, 0.5, 0.5, 0.5)],
+        "record string, filename string, entry int, mode string, gold_count int, pred_count int, tp_count int, fp_count int, fn_count int, precision double, recall double, f1 double"
+    )
     sources.write_metrics_csv(m, str(tmp_path / "m"))
     assert spark.read.option("header", True).csv(str(tmp_path / "m")).first().f1 == "0.5000"
 
@@ -191,7 +229,9 @@ def test_sparql_source_reads_bindings():
 
     answer = {"results": {"bindings": [{"a": {"value": "1"}}, {"a": {"value": "2"}, "b": {"value": "x"}}]}}
     assert list(sparql.bindings(answer, ["a", "b"])) == [("1", None), ("2", "x")]
-    assert [p.first for p in sparql.SparqlReader({"columns": "a", "partitions": "3", "endpoint": "", "query": ""}).partitions()] == [0, 1, 2]
+    assert [
+        p.first for p in sparql.SparqlReader({"columns": "a", "partitions": "3", "endpoint": "", "query": ""}).partitions()
+    ] == [0, 1, 2]
 
 
 def test_stream(spark, tmp_path):

@@ -25,7 +25,9 @@ def run(spark, tmp_path):
 def test_retrieve_blocked_looks_up_every_customer(run):
     customers = [(i, f"Customer#{i:09d}") for i in (1, 2, 12, 399, 400, 401, 402, 1500, 15000)]
     suppliers = [(i, f"Supplier#{i:09d}") for i in (1, 12, 401, 402, 1500, 99999)]
-    got = run("retrieve_blocked", customer=(customers, "c_custkey long, c_name string"), supplier=(suppliers, "s_suppkey long, s_name string"))
+    got = run(
+        "retrieve_blocked", customer=(customers, "c_custkey long, c_name string"), supplier=(suppliers, "s_suppkey long, s_name string")
+    )
     want = [(c[9:].lower(), k) for _, c in customers for k, s in suppliers if c[13:].lower() in s.lower()]
     assert sorted((r.mention, r.supplier) for r in got) == sorted(want) and {"000000401", "000001500"} <= {m for m, _ in want}
 
@@ -55,7 +57,9 @@ def test_every_part_name_is_retrieved_and_ranked(run):
     for m in names:
         best = sorted((-by_hand(m.lower(), n.lower()), k) for k, n in met[m])[:5]
         want += [(m, k, -s, i + 1) for i, (s, k) in enumerate(best)]
-    assert sorted((r.mention, r.k, r.score, r.rank) for r in run("baseline_rank", **table)) == [(m, k, pytest.approx(s), i) for m, k, s, i in sorted(want)]
+    assert sorted(
+        (r.mention, r.k, r.score, r.rank) for r in run("baseline_rank", **table)
+    ) == [(m, k, pytest.approx(s), i) for m, k, s, i in sorted(want)]
 
 
 def test_cosine_rank_asks_every_hundredth_vector(run):
@@ -68,7 +72,9 @@ def test_cosine_rank_asks_every_hundredth_vector(run):
     for q in (0, 100, 200, 300):
         best = sorted((-(cos(e, rows[q][1]) + 1) / 2, i) for i, e in rows if i != q)[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert sorted((r.q, r["rank"], r.vec_id, r.neural) for r in got) == [(q, k, i, pytest.approx(s, abs=1e-4)) for q, k, i, s in sorted(want)]
+    assert sorted((r.q, r["rank"], r.vec_id, r.neural) for r in got) == [
+        (q, k, i, pytest.approx(s, abs=1e-4)) for q, k, i, s in sorted(want)
+    ]
     assert {r.vec_id for r in got if r.q == 0} & {3}
 
 
@@ -82,7 +88,10 @@ def test_xml_paragraphs_keeps_markup_characters(run):
 def test_retrieve_place_keeps_all_candidates(run):
     nations = [(i, f"NATION_{i}", i % 5) for i in range(25)]
     regions = [(i, f"R{i}") for i in range(5)]
-    got = run("retrieve_place", nation=(nations, "n_nationkey long, n_name string, n_regionkey long"), region=(regions, "r_regionkey long, r_name string"))
+    got = run(
+        "retrieve_place", nation=(nations, "n_nationkey long, n_name string, n_regionkey long"),
+        region=(regions, "r_regionkey long, r_name string")
+    )
     of_one = sorted(r.place for r in got if r.doc_id == 0 and r.mention == "nation_1")
     assert of_one == [1, *range(10, 20)]
 

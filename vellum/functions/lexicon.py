@@ -11,7 +11,10 @@ SURNAMES = (
     "whelan", "healy", "o'neill", "oneill", "o'rourke", "o'connor", "oconnor", "maguire", "mcguire", "neill",
 )
 # First names.
-FIRST_NAMES = ("aoife", "niamh", "saoirse", "sinead", "eoin", "sean", "séan", "ciaran", "ciarán", "padraig", "pádraig", "padraic", "maire", "máire", "molly", "brigid", "bríd", "Jane")
+FIRST_NAMES = (
+    "aoife", "niamh", "saoirse", "sinead", "eoin", "sean", "séan", "ciaran", "ciarán", "padraig", "pádraig", "padraic", "maire", "máire",
+    "molly", "brigid", "bríd", "Jane"
+)
 # Places.
 PLACE_NAMES = (
     "ulster", "munster", "leinster", "connacht", "derry", "armagh", "tyrone", "cavan", "donegal", "antrim", "down", "fermanagh", "monaghan", "louth", "meath", "westmeath", "longford", "kildare", "offaly", "laois",
@@ -41,9 +44,15 @@ OVERRIDES = {
 # Provinces.
 PROVINCES = ("ulster", "munster", "leinster", "connacht", "connaught")
 # Words near persons.
-PERSON_TITLES = ("mr", "mrs", "sir", "lord", "lady", "bishop", "doctor", "dr", "esquire", "esqr", "primate", "friar", "preist", "abbot", "earle", "erle", "duke", "count", "cardinal")
+PERSON_TITLES = (
+    "mr", "mrs", "sir", "lord", "lady", "bishop", "doctor", "dr", "esquire", "esqr", "primate", "friar", "preist", "abbot", "earle", "erle",
+    "duke", "count", "cardinal"
+)
 # Words near places.
-PLACE_CUES = ("in", "at", "near", "towne", "city", "citty", "county", "province", "kingdome", "kingdom", "sea", "river", "castle", "estate", "convent", "abbey")
+PLACE_CUES = (
+    "in", "at", "near", "towne", "city", "citty", "county", "province", "kingdome", "kingdom", "sea", "river", "castle", "estate",
+    "convent", "abbey"
+)
 # Phrases that are no entity.
 STOP_PHRASES = ("County of", "City of", "County", "City", "Proportion of", "county")
 # Words of place types.

@@ -91,7 +91,9 @@ def found_in(pattern: re.Pattern):
                 starts.append(m.start())
                 kinds.append(m.lastgroup)
             sizes.append(len(toks))
-        flat = pa.StructArray.from_arrays([pa.array(toks, pa.string()), pa.array(starts, pa.int32()), pa.array(kinds, pa.string())], ["tok", "start", "kind"])
+        flat = pa.StructArray.from_arrays(
+            [pa.array(toks, pa.string()), pa.array(starts, pa.int32()), pa.array(kinds, pa.string())], ["tok", "start", "kind"]
+        )
         return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat).cast(kind)
 
     run.__annotations__ = {"text": pa.Array, "return": pa.Array}
@@ -115,7 +117,13 @@ def split_pipe(c: Column) -> Column:
 
 def flip_names(c: Column) -> Column:
     """Parts between `|`, `Surname, Forename` turned about; the forename keeps its leading blank."""
-    return F.transform(split_pipe(c), lambda x: F.when(F.instr(x, ",") > 0, F.concat(F.substring_index(F.substring(x, F.instr(x, ",") + 1, F.length(x)), ",", 1), F.lit(" "), F.substring_index(x, ",", 1))).otherwise(x))
+    return F.transform(
+        split_pipe(c),
+        lambda x: F.when(
+            F.instr(x, ",") > 0,
+            F.concat(F.substring_index(F.substring(x, F.instr(x, ",") + 1, F.length(x)), ",", 1), F.lit(" "), F.substring_index(x, ",", 1))
+        ).otherwise(x)
+    )
 
 
 def fragments(uris: Column) -> Column:
@@ -131,7 +139,9 @@ def uri_segment(uri: Column, which: int) -> Column:
 
 def uri_source(uri: Column) -> Column:
     """What the fifth segment of a URI names, else `External Link`; `Not Known` without a URI."""
-    return F.when(filled(uri).isNull(), F.lit("Not Known")).otherwise(F.coalesce(filled(F.try_element_at(F.split(uri, "/"), F.lit(5))), F.lit("External Link")))
+    return F.when(filled(uri).isNull(), F.lit("Not Known")).otherwise(
+        F.coalesce(filled(F.try_element_at(F.split(uri, "/"), F.lit(5))), F.lit("External Link"))
+    )
 
 
 def context(text: Column, mention: Column, window: int) -> Column:

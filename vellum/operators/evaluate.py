@@ -15,16 +15,25 @@ def share(a: Column, b: Column) -> Column:
 
 
 def span_set(spans: DataFrame, by: list[str]) -> DataFrame:
-    return spans.filter("start IS NOT NULL AND end IS NOT NULL AND label IS NOT NULL AND start < end").select(*by, "start", "end", "label").distinct()
+    return spans.filter(
+        "start IS NOT NULL AND end IS NOT NULL AND label IS NOT NULL AND start < end"
+    ).select(*by, "start", "end", "label").distinct()
 
 
 def span_scores(gold: DataFrame, predicted: DataFrame, by: list[str]) -> DataFrame:
     """gold_count, pred_count, tp_count, fp_count, fn_count, precision, recall, f1 for each group and, with a null group, overall."""
     g, p = span_set(gold, by).withColumn("_g", F.lit(1)), span_set(predicted, by).withColumn("_p", F.lit(1))
     both = g.join(p, [*by, "start", "end", "label"], "full_outer")
-    tp, fp, fn = (F.sum(F.when(c, 1).otherwise(0)) for c in (F.col("_g").isNotNull() & F.col("_p").isNotNull(), F.col("_g").isNull(), F.col("_p").isNull()))
-    counted = both.groupingSets([[F.col(c) for c in by], []], *by).agg((tp + fn).alias("gold_count"), (tp + fp).alias("pred_count"), tp.alias("tp_count"), fp.alias("fp_count"), fn.alias("fn_count"))
-    out = counted.withColumns({"precision": share(F.col("tp_count"), F.col("pred_count")), "recall": share(F.col("tp_count"), F.col("gold_count"))})
+    tp, fp, fn = (
+        F.sum(F.when(c, 1).otherwise(0))
+        for c in (F.col("_g").isNotNull() & F.col("_p").isNotNull(), F.col("_g").isNull(), F.col("_p").isNull())
+    )
+    counted = both.groupingSets([[F.col(c) for c in by], []], *by).agg(
+        (tp + fn).alias("gold_count"), (tp + fp).alias("pred_count"), tp.alias("tp_count"), fp.alias("fp_count"), fn.alias("fn_count")
+    )
+    out = counted.withColumns(
+        {"precision": share(F.col("tp_count"), F.col("pred_count")), "recall": share(F.col("tp_count"), F.col("gold_count"))}
+    )
     return out.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
@@ -59,7 +68,9 @@ def mention_metrics(rows: DataFrame, ks=(1, 3, 5)) -> DataFrame:
 def ranking_summary(rows: DataFrame, ks=(1, 3, 5)) -> DataFrame:
     """n, coverage, acc_1, mrr and recall_k for each label and, with a null label, overall."""
     return rows.groupingSets([[F.col("label")], []], "label").agg(
-        F.count("*").alias("n"), F.avg("retrieved").alias("coverage"), F.avg("hit_1").alias("acc_1"), F.avg("rr").alias("mrr"), *[F.avg(f"hit_{k}").alias(f"recall_{k}") for k in ks])
+        F.count("*").alias("n"), F.avg("retrieved").alias("coverage"), F.avg("hit_1").alias("acc_1"), F.avg("rr").alias("mrr"), *[
+            F.avg(f"hit_{k}").alias(f"recall_{k}") for k in ks
+        ])
 
 
 def retrieval_summary(rows: DataFrame) -> DataFrame:
@@ -67,11 +78,16 @@ def retrieval_summary(rows: DataFrame) -> DataFrame:
     hit = F.col("retrieved") == 1
     return rows.groupingSets([[F.col("label")], []], "label").agg(
         F.count("*").alias("n"), F.avg("retrieved").alias("set_recall"), F.avg("n_candidates").alias("avg_candidates"),
-        F.coalesce(F.avg(F.when(hit, F.col("n_candidates"))), F.lit(0.0)).alias("avg_when_hit"), F.coalesce(F.avg(F.when(~hit, F.col("n_candidates"))), F.lit(0.0)).alias("avg_when_miss"))
+        F.coalesce(F.avg(F.when(hit, F.col("n_candidates"))), F.lit(0.0)).alias("avg_when_hit"), F.coalesce(
+            F.avg(F.when(~hit, F.col("n_candidates"))), F.lit(0.0)
+        ).alias("avg_when_miss"))
 
 
 # The weights that a sweep tries.
-SWEEP = (("PER", "name", (0.20, 0.25, 0.32, 0.38, 0.44)), ("PER", "era", (0.10, 0.15, 0.20, 0.25, 0.30)), ("LOC", "hierarchy", (0.15, 0.20, 0.25, 0.30, 0.35)), ("LOC", "name", (0.15, 0.20, 0.25, 0.30, 0.35)))
+SWEEP = (
+    ("PER", "name", (0.20, 0.25, 0.32, 0.38, 0.44)), ("PER", "era", (0.10, 0.15, 0.20, 0.25, 0.30)),
+    ("LOC", "hierarchy", (0.15, 0.20, 0.25, 0.30, 0.35)), ("LOC", "name", (0.15, 0.20, 0.25, 0.30, 0.35))
+)
 
 
 def sweep_configs() -> list[tuple[str, dict[str, float], dict[str, float]]]:
@@ -95,12 +111,21 @@ def weight_sweep(features: DataFrame, by: list[str], configs=None, k: int = 5, u
     configs = configs or sweep_configs()
     rows = [(name, label, w) for name, per, loc in configs for label, w in (("PER", per), ("LOC", loc))]
     table = F.broadcast(spark.createDataFrame(rows, "config string, label string, weights map<string,double>"))
-    score = F.aggregate(F.map_entries("weights"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("features"), e["key"]), F.lit(0.0)))
+    score = F.aggregate(
+        F.map_entries("weights"), F.lit(0.0), lambda s,
+        e: s + e["value"] * F.coalesce(F.try_element_at(F.col("features"), e["key"]), F.lit(0.0))
+    )
     scored = features.join(table, "label").withColumn("score", F.round(score, 9))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("config", *by).orderBy(F.desc("score"), order))).filter(F.col("rank") <= k)
-    lists = ranked.groupBy("config", *by, "label", "gold_uri").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", uri))), lambda x: x[uri]).alias("ranked_uris"))
+    ranked = scored.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("config", *by).orderBy(F.desc("score"), order))
+    ).filter(F.col("rank") <= k)
+    lists = ranked.groupBy("config", *by, "label", "gold_uri").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", uri))), lambda x: x[uri]).alias("ranked_uris")
+    )
     m = mention_metrics(lists)
-    return m.groupingSets([[F.col("config"), F.col("label")], [F.col("config")]], "config", "label").agg(F.count("*").alias("n"), F.avg("hit_1").alias("acc_1"), F.avg("rr").alias("mrr"), F.avg("hit_3").alias("recall_3"))
+    return m.groupingSets([[F.col("config"), F.col("label")], [F.col("config")]], "config", "label").agg(
+        F.count("*").alias("n"), F.avg("hit_1").alias("acc_1"), F.avg("rr").alias("mrr"), F.avg("hit_3").alias("recall_3")
+    )
 
 
 def baseline_score(mention: Column, label: Column, similar) -> Column:
@@ -108,12 +133,16 @@ def baseline_score(mention: Column, label: Column, similar) -> Column:
     tidy = lambda c: F.regexp_replace(F.trim(F.lower(F.coalesce(c, F.lit("")))), r"(?U)\s+", " ")
     a, b = tidy(mention), tidy(label)
     order = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
-    return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(0.5 * (a == b).cast("double") + 0.3 * similar(a, b) + 0.2 * similar(order(a), order(b)))
+    return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(
+        0.5 * (a == b).cast("double") + 0.3 * similar(a, b) + 0.2 * similar(order(a), order(b))
+    )
 
 
 def candidate_label(label: Column, fields: dict[str, Column]) -> Column:
     """What a baseline compares: a person's label or URI; a place's label, English label or URI."""
-    return F.when(label == "PER", F.coalesce(filled(fields["label"]), fields["person"])).otherwise(F.coalesce(filled(fields["label"]), filled(fields["english_label"]), fields["place"]))
+    return F.when(label == "PER", F.coalesce(filled(fields["label"]), fields["person"])).otherwise(
+        F.coalesce(filled(fields["label"]), filled(fields["english_label"]), fields["place"])
+    )
 
 
 def candidate_uri(label: Column, person: Column, place: Column) -> Column:
@@ -124,7 +153,9 @@ def candidate_uri(label: Column, person: Column, place: Column) -> Column:
 def gold_by_document(gold: DataFrame, order: str = "ord") -> DataFrame:
     """(doc_id, mentions): a document's gold rows in their order. A row without a document is one of its own, `__row_` and its place."""
     own = F.coalesce(filled(F.col("doc_id")), F.concat(F.lit("__row_"), F.col(order).cast("string")))
-    rows = gold.groupBy(own.alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), "mention", "label", "gold_uri"))).alias("mentions"))
+    rows = gold.groupBy(own.alias("doc_id")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), "mention", "label", "gold_uri"))).alias("mentions")
+    )
     return rows
 
 
@@ -138,7 +169,9 @@ def assign_spans(gold: DataFrame, texts: DataFrame) -> DataFrame:
     many = F.size(parts) - 1
     k = F.when(F.col("_nth") < many, F.col("_nth")).otherwise(F.lit(0))
     start = F.aggregate(F.slice(parts, F.lit(1), k + 1), F.lit(0), lambda s, x: s + F.length(x)) + k * F.length("mention")
-    return rows.withColumn("start", F.when((many > 0) & (m != ""), start).otherwise(F.lit(0)).cast("int")).withColumn("end", (F.col("start") + F.length("mention")).cast("int")).drop("_nth", "full")
+    return rows.withColumn(
+        "start", F.when((many > 0) & (m != ""), start).otherwise(F.lit(0)).cast("int")
+    ).withColumn("end", (F.col("start") + F.length("mention")).cast("int")).drop("_nth", "full")
 
 
 def document_number(doc_id: Column) -> Column:
@@ -147,5 +180,9 @@ def document_number(doc_id: Column) -> Column:
 
 def resolve_context(gold: DataFrame, files: DataFrame) -> DataFrame:
     """(doc_id, context): the first filled context of a document's rows, else the text of the file with the document's number."""
-    own = gold.groupBy("doc_id").agg(F.min_by("context", F.when(filled(F.col("context")).isNotNull(), F.col("ord"))).alias("_own")).withColumn("number", document_number(F.col("doc_id")))
-    return own.join(files.select("number", "text"), "number", "left").select("doc_id", F.coalesce(filled(F.col("_own")), "text").alias("context"))
+    own = gold.groupBy("doc_id").agg(
+        F.min_by("context", F.when(filled(F.col("context")).isNotNull(), F.col("ord"))).alias("_own")
+    ).withColumn("number", document_number(F.col("doc_id")))
+    return own.join(files.select("number", "text"), "number", "left").select(
+        "doc_id", F.coalesce(filled(F.col("_own")), "text").alias("context")
+    )

@@ -20,13 +20,17 @@ def canonical_person(text: Column) -> Column:
 def canonical(spans: DataFrame) -> DataFrame:
     trimmed = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
     lower_o = F.contains(F.col("text"), F.lit("'")) | F.contains(F.col("text"), F.lit("’"))
-    return spans.withColumn("text", F.when(F.col("label") == "PER", F.when(lower_o, canonical_person(trimmed)).otherwise(trimmed)).otherwise(F.col("text")))
+    return spans.withColumn(
+        "text", F.when(F.col("label") == "PER", F.when(lower_o, canonical_person(trimmed)).otherwise(trimmed)).otherwise(F.col("text"))
+    )
 
 
 def keep(text: Column, label: Column, score: Column, min_score: float = MIN_SCORE) -> Column:
     """Not a stop phrase, not a cut-off `O'xx`, three characters or more, and sure enough."""
     bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    return ~bare.isin(*L.STOP_PHRASES) & ~((label == "PER") & bare.rlike("^[Oo]['’][A-Za-z]{1,3}$")) & (F.length(bare) >= 3) & (score >= min_score)
+    return ~bare.isin(*L.STOP_PHRASES) & ~(
+        (label == "PER") & bare.rlike("^[Oo]['’][A-Za-z]{1,3}$")
+    ) & (F.length(bare) >= 3) & (score >= min_score)
 
 
 def unique_entities(spans: DataFrame, min_score: float = MIN_SCORE, order: str | None = None) -> DataFrame:
@@ -42,7 +46,10 @@ def unique_entities(spans: DataFrame, min_score: float = MIN_SCORE, order: str |
     lead = F.min_by(F.struct("score", "start", "end"), "_ord").alias("_e")
     place = F.array_sort(F.collect_list(F.when(F.col("_own"), F.struct("_ord", "start", "end", "score"))))
     grouped = kept.groupBy("doc_id", "text", "label").agg(lead, place.alias("_p"))
-    return grouped.select("doc_id", "text", "label", "_e.score", "_e.start", "_e.end", F.transform("_p", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["score"].alias("score"))).alias("spans"))
+    return grouped.select(
+        "doc_id", "text", "label", "_e.score", "_e.start", "_e.end",
+        F.transform("_p", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["score"].alias("score"))).alias("spans")
+    )
 
 
 def document_locations(unique: DataFrame) -> DataFrame:

@@ -89,7 +89,10 @@ def spelling_candidates(word: Column, protect_e: Column, most: int = MAX_CANDIDA
 
 
 def old_spelling_penalty(w: Column) -> Column:
-    terms = [(F.contains(w, F.lit("vv")), 2.0), (w.startswith("ff"), 1.5), (F.contains(w, F.lit("ſ")), 2.0), (w.startswith("v"), 0.6), (w.endswith("e") & (F.length(w) > 3), 0.2)]
+    terms = [
+        (F.contains(w, F.lit("vv")), 2.0), (w.startswith("ff"), 1.5), (F.contains(w, F.lit("ſ")), 2.0), (w.startswith("v"), 0.6),
+        (w.endswith("e") & (F.length(w) > 3), 0.2)
+    ]
     return reduce(lambda a, b: a + b, [F.when(test, F.lit(x)).otherwise(F.lit(0.0)) for test, x in terms])
 
 
@@ -100,7 +103,9 @@ def is_override(word: Column, candidate: Column) -> Column:
 def choose_by_rules(word: Column, candidates: Column) -> Column:
     """The candidate of least (penalty less bonus, edits, change of length, length, place in the list)."""
     key = F.transform(candidates, lambda c, i: F.struct(
-        (old_spelling_penalty(c) - F.when(is_override(word, c), F.lit(OVERRIDE_BONUS)).otherwise(F.lit(0.0))).alias("p"), F.levenshtein(word, c).alias("e"),
+        (
+            old_spelling_penalty(c) - F.when(is_override(word, c), F.lit(OVERRIDE_BONUS)).otherwise(F.lit(0.0))
+        ).alias("p"), F.levenshtein(word, c).alias("e"),
         F.abs(F.length(c) - F.length(word)).alias("d"), F.length(c).alias("n"), i.alias("i"), c.alias("c")))
     return F.array_min(key)["c"]
 
@@ -110,17 +115,29 @@ def choose_by_frequency(words: DataFrame, frequencies: DataFrame, min_zipf: floa
 
     Of the candidates at min_zipf or above (of all, if none is) the most frequent one, then overrides, fewer edits, less penalty.
     """
-    each = words.select("word", "protect_e", F.posexplode("candidates").alias("i", "c")).join(frequencies.select(F.col("word").alias("c"), "zipf"), "c", "left")
+    each = words.select("word", "protect_e", F.posexplode("candidates").alias("i", "c")).join(
+        frequencies.select(F.col("word").alias("c"), "zipf"), "c", "left"
+    )
     zipf = F.coalesce("zipf", F.lit(0.0))
-    rank = F.struct((zipf < min_zipf).alias("low"), (-zipf).alias("z"), F.when(is_override(F.col("word"), F.col("c")), 0).otherwise(1).alias("o"), F.levenshtein("word", "c").alias("e"), old_spelling_penalty(F.col("c")).alias("p"), F.col("i"))
+    rank = F.struct(
+        (zipf < min_zipf).alias("low"), (-zipf).alias("z"), F.when(is_override(F.col("word"), F.col("c")), 0).otherwise(1).alias("o"),
+        F.levenshtein("word", "c").alias("e"), old_spelling_penalty(F.col("c")).alias("p"), F.col("i")
+    )
     return each.groupBy("word", "protect_e").agg(F.min_by("c", rank).alias("chosen"))
 
 
-def normalize_words(words: DataFrame, mode: str = "heuristic", frequencies: DataFrame | None = None, force_overrides: bool = True, token_col: str = "tok") -> DataFrame:
+def normalize_words(
+    words: DataFrame, mode: str = "heuristic", frequencies: DataFrame | None = None, force_overrides: bool = True, token_col: str = "tok"
+) -> DataFrame:
     """(tok, out) for distinct word tokens: protected words as they are, forced overrides, else the chosen spelling in the token's case."""
     tok = F.col(token_col)
     base = words.select(tok.alias("tok")).distinct()
-    base = base.withColumns({"word": F.lower("tok"), "protect_e": F.substring("tok", 1, 1) != F.lower(F.substring("tok", 1, 1)), "kept": is_protected(F.col("tok"))})
+    base = base.withColumns(
+        {
+            "word": F.lower("tok"), "protect_e": F.substring("tok", 1, 1) != F.lower(F.substring("tok", 1, 1)),
+            "kept": is_protected(F.col("tok"))
+        }
+    )
     base = base.withColumn("candidates", spelling_candidates(F.col("word"), F.col("protect_e")))
     forced = look_up(L.OVERRIDES, F.col("word")) if force_overrides else F.lit(None).cast("string")
     if mode == "frequency":
@@ -144,7 +161,9 @@ def _spread(lt: int, lo: int, start: int) -> list[int]:
     return [start + min(j * (lt - 1) // max(lo - 1, 1), lt - 1) for j in range(lo)]
 
 
-def put_together(pre: str, spelling: dict[str, str], surnames: frozenset[str], places: frozenset[str], keep_double_newlines: bool) -> tuple[str, list[int]]:
+def put_together(
+    pre: str, spelling: dict[str, str], surnames: frozenset[str], places: frozenset[str], keep_double_newlines: bool
+) -> tuple[str, list[int]]:
     """(text, origin of each of its characters in pre) of one pre-normalised text.
 
     An `I` that the text begins with becomes `I,`. `O` joins the surname that follows it, over white space and single marks, as
@@ -217,15 +236,22 @@ def _assembler(lookup, keep_double_newlines: bool):
     return F.arrow_udf(run, "struct<normalized:string,char_map:array<int>>")
 
 
-def normalize(docs: DataFrame, mode: str = "heuristic", frequencies: DataFrame | None = None, compose: bool = True, keep_double_newlines: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def normalize(
+    docs: DataFrame, mode: str = "heuristic", frequencies: DataFrame | None = None, compose: bool = True, keep_double_newlines: bool = True,
+    id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """(doc_id, visual, normalized, char_map): char_map[i] is where character i of normalized comes from in the pre-normalised text.
 
     Null text stays null, with an empty map. Rows are taken each for itself, whatever their ids. See put_together() for what is done beside the
     words' spelling.
     """
-    base = spread(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("visual"), pre_normalize(F.col(text_col), compose).alias("_pre"))
+    base = spread(docs).select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("visual"), pre_normalize(F.col(text_col), compose).alias("_pre")
+    )
     changed = settle(normalize_words(distinct_words(base, "_pre"), mode, frequencies).filter("out <> tok"))
-    n, size = changed.limit(SENT_WORDS + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length("tok") + F.octet_length("out")), F.lit(0))).first()
+    n, size = changed.limit(SENT_WORDS + 1).agg(
+        F.count("*"), F.coalesce(F.sum(F.octet_length("tok") + F.octet_length("out")), F.lit(0))
+    ).first()
     if n <= SENT_WORDS and size <= SENT_BYTES:
         sent = docs.sparkSession.sparkContext.broadcast({r.tok: r.out for r in changed.toLocalIterator()})
         made = base.withColumn("_made", _assembler(lambda: sent.value, keep_double_newlines)("_pre"))

@@ -38,8 +38,12 @@ def contains_join(mentions: DataFrame, names: DataFrame, key: str, name: str, bl
         blocked = not fits(names, BROADCAST_NAMES)
     if not blocked:
         return m.join(F.broadcast(n), F.contains(F.col("_name"), F.col("_key"))).drop("_key", "_name")
-    long_keys = m.filter(F.length("_key") >= 3).withColumn("_gram", F.array_min(F.transform(_grams(F.col("_key")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
-    met = long_keys.join(n.withColumn("_gram", F.explode(_grams(F.col("_name")))), "_gram").filter(F.contains(F.col("_name"), F.col("_key"))).drop("_gram")
+    long_keys = m.filter(F.length("_key") >= 3).withColumn(
+        "_gram", F.array_min(F.transform(_grams(F.col("_key")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+    )
+    met = long_keys.join(
+        n.withColumn("_gram", F.explode(_grams(F.col("_name")))), "_gram"
+    ).filter(F.contains(F.col("_name"), F.col("_key"))).drop("_gram")
     short = m.filter(F.length("_key") < 3)
     values = F.broadcast(short.select("_key").distinct())  # at most all strings of two characters
     found = n.join(values, F.contains(F.col("_name"), F.col("_key"))).join(short, "_key")
@@ -51,37 +55,62 @@ def limit_per(pairs: DataFrame, by: list[str], order: list[str], most: int) -> D
     return pairs.withColumn("_n", rank).filter(F.col("_n") <= most).drop("_n")
 
 
-def retrieve_persons(mentions: DataFrame, persons: DataFrame, by: list[str], key: str = "mention", name: str = "full_name", uri: str = "person", most: int = PERSON_LIMIT) -> DataFrame:
+def retrieve_persons(
+    mentions: DataFrame, persons: DataFrame, by: list[str], key: str = "mention", name: str = "full_name", uri: str = "person",
+    most: int = PERSON_LIMIT
+) -> DataFrame:
     """Persons whose name contains the mention's last word, the first `most` by URI for each mention.
 
     Persons of one name meet the same mentions, so only the first `most` of each name can be among a mention's first.
     """
     persons = limit_per(persons, [name], [uri], most)
-    return limit_per(contains_join(mentions.withColumn("_last", last_token(F.col(key))), persons, "_last", name).drop("_last"), by, [uri], most)
+    return limit_per(
+        contains_join(mentions.withColumn("_last", last_token(F.col(key))), persons, "_last", name).drop("_last"), by, [uri], most
+    )
 
 
-def retrieve_places(mentions: DataFrame, places: DataFrame, by: list[str], key: str = "mention", name: str = "name", uri: str = "place", most: int = PLACE_LIMIT) -> DataFrame:
+def retrieve_places(
+    mentions: DataFrame, places: DataFrame, by: list[str], key: str = "mention", name: str = "name", uri: str = "place",
+    most: int = PLACE_LIMIT
+) -> DataFrame:
     """Places whose name contains the whole mention, the first `most` by URI for each mention."""
     return limit_per(contains_join(mentions, places, key, name), by, [uri], most)
 
 
-def link_mentions(mentions: DataFrame, persons: DataFrame, places: DataFrame, by: list[str], person_name: str = "full_name", place_name: str = "name", parents: str | None = "parentPlace", prefix: str = "") -> tuple[DataFrame, DataFrame | None]:
+def link_mentions(
+    mentions: DataFrame, persons: DataFrame, places: DataFrame, by: list[str], person_name: str = "full_name", place_name: str = "name",
+    parents: str | None = "parentPlace", prefix: str = ""
+) -> tuple[DataFrame, DataFrame | None]:
     """(blocks, edges) for a table of mentions (by, mention, label): PER mentions meet persons, LOC mentions places, other labels nothing.
 
     blocks has a row for each mention, with `candidates`, the URIs found, in order, an empty array where there are none;
     edges are the places' (child, parent), None if places have no column of parents.
     """
     both = mentions.select(*by, "mention", "label").distinct()
-    per = retrieve_persons(both.filter("label = 'PER'"), persons.select(F.col("person").alias("uri"), F.col(person_name).alias("_found")), [*by, "mention", "label"], name="_found", uri="uri")
-    loc = retrieve_places(both.filter("label = 'LOC'"), places.select(F.col("place").alias("uri"), F.col(place_name).alias("_found")), [*by, "mention", "label"], name="_found", uri="uri")
-    found = per.select(*by, "mention", "label", F.col("uri").cast("string").alias("uri")).unionByName(loc.select(*by, "mention", "label", F.col("uri").cast("string").alias("uri")))
-    lists = found.groupBy(*[F.col(c).alias(f"_{c}") for c in (*by, "mention", "label")]).agg(F.array_sort(F.collect_set("uri")).alias("candidates"))
+    per = retrieve_persons(
+        both.filter("label = 'PER'"), persons.select(F.col("person").alias("uri"), F.col(person_name).alias("_found")),
+        [*by, "mention", "label"], name="_found", uri="uri"
+    )
+    loc = retrieve_places(
+        both.filter("label = 'LOC'"), places.select(F.col("place").alias("uri"), F.col(place_name).alias("_found")),
+        [*by, "mention", "label"], name="_found", uri="uri"
+    )
+    found = per.select(*by, "mention", "label", F.col("uri").cast("string").alias("uri")).unionByName(
+        loc.select(*by, "mention", "label", F.col("uri").cast("string").alias("uri"))
+    )
+    lists = found.groupBy(
+        *[F.col(c).alias(f"_{c}") for c in (*by, "mention", "label")]
+    ).agg(F.array_sort(F.collect_set("uri")).alias("candidates"))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, "mention", "label")])
-    blocks = mentions.join(lists, same, "left").select(*mentions.columns, F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
+    blocks = mentions.join(lists, same, "left").select(
+        *mentions.columns, F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates")
+    )
     return blocks, location_edges(places.withColumn("parentPlace", F.col(parents)), prefix) if parents in places.columns else None
 
 
-def group_places(rows: DataFrame, uri: str = "place", single: tuple[str, ...] = (), many: tuple[str, ...] = (), sep: str = " | ") -> DataFrame:
+def group_places(
+    rows: DataFrame, uri: str = "place", single: tuple[str, ...] = (), many: tuple[str, ...] = (), sep: str = " | "
+) -> DataFrame:
     """One row a place: the least value of each `single` column, the distinct sorted values of each `many` column joined by sep."""
     aggs = [F.min(c).alias(c) for c in single] + [F.array_join(F.array_sort(F.collect_set(c)), sep).alias(c) for c in many]
     return rows.groupBy(uri).agg(*aggs)
@@ -99,7 +128,10 @@ def property_values(triples: DataFrame, predicates: list[str], name: str, invers
 
 def person_label(label: Column, uri: Column) -> Column:
     """`Surname, Forename` turned about; without a label the last segment but one of the URI."""
-    turned = F.when(F.instr(label, ",") > 0, F.concat_ws(" ", F.trim(F.substring(label, F.instr(label, ",") + 1, F.length(label))), F.trim(F.substring_index(label, ",", 1)))).otherwise(label)
+    turned = F.when(
+        F.instr(label, ",") > 0,
+        F.concat_ws(" ", F.trim(F.substring(label, F.instr(label, ",") + 1, F.length(label))), F.trim(F.substring_index(label, ",", 1)))
+    ).otherwise(label)
     return F.coalesce(filled(turned), uri_segment(uri, -2))
 
 
@@ -112,7 +144,11 @@ def merge_persons(rows: DataFrame, by: list[str], fields: list[str], order: str
     first = [F.min_by(F.col(c), F.when(filled(F.col(c)).isNotNull(), F.col(order))).alias(c) for c in fields]
     merged = rows.withColumn("_labels", labels).groupBy(*by, "person").agg(
         *first, F.min_by("residences", F.when(filled(F.col("residences")).isNotNull(), F.col(order))).alias("residences"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_labels").alias("l")))), lambda x: x["l"]))).alias("residencesLabels"))
+        F.array_distinct(
+            F.flatten(
+                F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_labels").alias("l")))), lambda x: x["l"])
+            )
+        ).alias("residencesLabels"))
     return merged.withColumn("label", person_label(F.col("label"), F.col("person"))) if "label" in fields else merged
 
 
@@ -120,8 +156,12 @@ def shape_places(rows: DataFrame, sep: str = r" \| ") -> DataFrame:
     """Place candidates from grouped rows: joined strings become arrays, types their fragments, sources from URIs."""
     cut = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), sep), lambda x: F.trim(x) != "")
     return rows.select(
-        "place", F.col("era"), "english", "irish", fragments(cut("types")).alias("types"), "parentPlace", F.transform(cut("parentPlace"), lambda u: F.replace(uri_segment(u, -2), F.lit("_"), F.lit(" "))).alias("parentLabels"),
-        cut("sameAs").alias("sameAs"), F.transform(cut("sameAs"), lambda u: uri_source(u)).alias("externalResources"), cut("historicalApproximations").alias("historicalApproximations"))
+        "place", F.col("era"), "english", "irish", fragments(cut("types")).alias("types"), "parentPlace", F.transform(
+            cut("parentPlace"), lambda u: F.replace(uri_segment(u, -2), F.lit("_"), F.lit(" "))
+        ).alias("parentLabels"),
+        cut("sameAs").alias("sameAs"), F.transform(
+            cut("sameAs"), lambda u: uri_source(u)
+        ).alias("externalResources"), cut("historicalApproximations").alias("historicalApproximations"))
 
 
 def location_edges(places: DataFrame, prefix: str = "") -> DataFrame:
@@ -131,7 +171,9 @@ def location_edges(places: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def inverse_edges(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("parent").alias("parent"), F.col("child").alias("child")).groupBy("parent").agg(F.array_sort(F.collect_set("child")).alias("children"))
+    return edges.select(
+        F.col("parent").alias("parent"), F.col("child").alias("child")
+    ).groupBy("parent").agg(F.array_sort(F.collect_set("child")).alias("children"))
 
 
 def transitive_closure(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
@@ -144,7 +186,9 @@ def transitive_closure(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
     with no_constraints(edges.sparkSession):
         pairs = settle(edges.select("child", F.col("parent").alias("ancestor")).distinct())
         for _ in range(most_rounds):
-            longer = pairs.alias("x").join(pairs.alias("y"), F.col("x.ancestor") == F.col("y.child")).select(F.col("x.child").alias("child"), F.col("y.ancestor").alias("ancestor"))
+            longer = pairs.alias("x").join(pairs.alias("y"), F.col("x.ancestor") == F.col("y.child")).select(
+                F.col("x.child").alias("child"), F.col("y.ancestor").alias("ancestor")
+            )
             new = settle(longer.distinct().join(pairs, ["child", "ancestor"], "left_anti"))
             if new.isEmpty():
                 return pairs
@@ -160,7 +204,9 @@ def ancestor_labels(candidates: DataFrame, closure: DataFrame, nodes: DataFrame,
     """(by, ancestorLabels): distinct labels of all ancestors of the candidate's residences, sorted. nodes: (place, english, irish)."""
     homes = candidates.select(*by, F.explode(split_pipe(F.col("residences"))).alias("child")).distinct()
     up = homes.join(closure, "child").join(nodes.select(F.col("place").alias("ancestor"), "english", "irish"), "ancestor", "left")
-    return up.groupBy(*by).agg(F.array_sort(F.collect_set(location_label(F.col("english"), F.col("irish"), F.col("ancestor")))).alias("ancestorLabels"))
+    return up.groupBy(*by).agg(
+        F.array_sort(F.collect_set(location_label(F.col("english"), F.col("irish"), F.col("ancestor")))).alias("ancestorLabels")
+    )
 
 
 def entity_card(uri: Column, old: str, new: str) -> Column:

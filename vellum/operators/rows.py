@@ -43,6 +43,11 @@ def spread(rows: DataFrame) -> DataFrame:
 
 def fits(df: DataFrame, rows: int, size: int = 32_000_000) -> bool:
     """Whether df has `rows` rows of `size` bytes together at most, so that it may be broadcast. A string counts with its length, any other value with 16 bytes."""
-    each = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16 if isinstance(f.dataType, T.StringType) else F.lit(16) for f in df.schema]
-    n, total = df.limit(rows + 1).select(sum(each[1:], each[0]).cast("long").alias("size")).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    each = [
+        F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16 if isinstance(f.dataType, T.StringType) else F.lit(16)
+        for f in df.schema
+    ]
+    n, total = df.limit(rows + 1).select(
+        sum(each[1:], each[0]).cast("long").alias("size")
+    ).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     return n <= rows and total <= size

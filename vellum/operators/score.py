@@ -30,7 +30,9 @@ def display_name(label: Column) -> Column:
     """`Surname_Forename_c17` as `forename surname`, lower case: century parts go, the first part moves to the end."""
     low = F.lower(F.trim(label))
     parts = F.filter(F.split(low, "_"), lambda p: (p != "") & ~p.rlike(r"^c\d{1,2}$"))
-    moved = F.concat_ws(" ", F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), " "), F.try_element_at(parts, F.lit(1)))
+    moved = F.concat_ws(
+        " ", F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), " "), F.try_element_at(parts, F.lit(1))
+    )
     return F.when(F.size(parts) >= 2, moved).otherwise(F.replace(low, F.lit("_"), F.lit(" ")))
 
 
@@ -40,14 +42,20 @@ def name_score(mention: Column, label: Column, similar=ratio, similar_sorted=tok
     words = lambda c: F.filter(F.split(c, r"(?U)\s+"), lambda x: x != "")
     first = lambda c: F.coalesce(F.try_element_at(words(c), F.lit(1)), F.lit(""))
     last = lambda c: F.coalesce(F.try_element_at(words(c), F.lit(-1)), F.lit(""))
-    full = _d(0.5) * (similar(last(m), last(n)) / 100) + _d(0.35) * (similar(first(m), first(n)) / 100) + _d(0.15) * (similar_sorted(m, n) / 100)
-    return F.when((m == "") | (F.trim(F.coalesce(label, F.lit(""))) == ""), _d(0)).when((last(m) != "") & (last(n) != "") & (last(m) != last(n)), _d(0)).otherwise(F.bround(full, 3))
+    full = _d(0.5) * (similar(last(m), last(n)) / 100) + _d(0.35) * (
+        similar(first(m), first(n)) / 100
+    ) + _d(0.15) * (similar_sorted(m, n) / 100)
+    return F.when(
+        (m == "") | (F.trim(F.coalesce(label, F.lit(""))) == ""), _d(0)
+    ).when((last(m) != "") & (last(n) != "") & (last(m) != last(n)), _d(0)).otherwise(F.bround(full, 3))
 
 
 def place_name_score(mention: Column, english: Column, similar_sorted=token_sort_ratio) -> Column:
     m, n = place_text(mention), place_text(english)
     r = similar_sorted(m, n)
-    return F.when((m == "") | (n == ""), _d(0)).when(m == n, _d(1)).when(F.contains(n, m) | F.contains(m, n), _d(0.8)).when(r >= 85, _d(0.8)).when(r >= 70, _d(0.5)).otherwise(_d(0))
+    return F.when((m == "") | (n == ""), _d(0)).when(m == n, _d(1)).when(
+        F.contains(n, m) | F.contains(m, n), _d(0.8)
+    ).when(r >= 85, _d(0.8)).when(r >= 70, _d(0.5)).otherwise(_d(0))
 
 
 def era_score(label: str, era: Column, document_era: str | None = ERA) -> Column:
@@ -61,7 +69,9 @@ def era_score(label: str, era: Column, document_era: str | None = ERA) -> Column
 
 
 def era_of_year(year: Column) -> Column:
-    return F.when(year.between(1500, 1749), L.EARLY_MODERN).when(year.between(1750, 1922), L.MODERN).when(year.between(1923, 2100), L.PRESENT)
+    return F.when(
+        year.between(1500, 1749), L.EARLY_MODERN
+    ).when(year.between(1750, 1922), L.MODERN).when(year.between(1923, 2100), L.PRESENT)
 
 
 def residence_score(locations: Column, labels: Column, residences: Column, ancestors: Column) -> Column:
@@ -86,7 +96,9 @@ def floruit_score(earliest: Column, latest: Column, year: int | None = YEAR) ->
     y = F.lit(year)
     gap = F.when(y < a, a - y).otherwise(y - b)
     return (
-        F.when(F.coalesce(earliest, F.lit("")).isin("") | F.coalesce(latest, F.lit("")).isin(""), _d(0.4)).when(a.isNull() | b.isNull(), _d(0.3))
+        F.when(
+            F.coalesce(earliest, F.lit("")).isin("") | F.coalesce(latest, F.lit("")).isin(""), _d(0.4)
+        ).when(a.isNull() | b.isNull(), _d(0.3))
         .when((a <= y) & (y <= b), _d(1)).when(gap <= 5, _d(0.8)).when(gap <= 20, _d(0.6)).otherwise(_d(0.1))
     )
 
@@ -96,12 +108,18 @@ def type_score(near: Column, types: Column) -> Column:
     kinds = F.lower(F.array_join(F.coalesce(types, F.array().cast("array<string>")), " "))
     has = lambda c, w: F.contains(c, F.lit(w))
     out = F.when(F.size(F.coalesce(types, F.array().cast("array<string>"))) == 0, _d(0.3))
-    for words, kind, miss in ((("county",), "county", 0.3), (("city", "citty"), "city", 0.2), (("town", "towne"), "town", 0.2), (("parish",), "parish", 0.2), (("barony",), "barony", 0.2), (("province", "prouince"), "province", 0.2)):
+    for words, kind, miss in (
+        (("county",), "county", 0.3), (("city", "citty"), "city", 0.2), (("town", "towne"), "town", 0.2), (("parish",), "parish", 0.2),
+        (("barony",), "barony", 0.2), (("province", "prouince"), "province", 0.2)
+    ):
         found = has(near, words[0])
         for w in words[1:]:
             found = found | has(near, w)
         out = out.when(found, F.when(has(kinds, kind), _d(1)).otherwise(_d(miss)))
-    for test, value in ((has(kinds, "county") | has(kinds, "province"), 1.0), (has(kinds, "town") & ~has(kinds, "townland"), 0.7), (has(kinds, "barony"), 0.6), (has(kinds, "parish"), 0.5), (has(kinds, "townland"), 0.3)):
+    for test, value in (
+        (has(kinds, "county") | has(kinds, "province"), 1.0), (has(kinds, "town") & ~has(kinds, "townland"), 0.7),
+        (has(kinds, "barony"), 0.6), (has(kinds, "parish"), 0.5), (has(kinds, "townland"), 0.3)
+    ):
         out = out.when(test, _d(value))
     return out.otherwise(_d(0.5))
 
@@ -124,19 +142,28 @@ def hierarchy_score(mention: Column, english: Column, parents: Column, children:
     best = F.greatest(_d(0), *[F.coalesce(s, _d(0)) for s in steps])
     provinces = lit_set(L.PROVINCES)
     said, own = F.array_intersect(others, provinces), F.array_intersect(up, provinces)
-    ruled = F.when((F.size(said) > 0) & (F.size(own) > 0), F.when(F.arrays_overlap(said, own), F.greatest(best, _d(0.95))).otherwise(F.least(best, _d(0.35)))).otherwise(best)
-    return F.when(F.size(named) == 0, _d(0.5)).when(F.size(others) == 0, _d(0.5)).when((n != "") & F.array_contains(others, n), _d(1)).otherwise(ruled)
+    ruled = F.when(
+        (F.size(said) > 0) & (F.size(own) > 0),
+        F.when(F.arrays_overlap(said, own), F.greatest(best, _d(0.95))).otherwise(F.least(best, _d(0.35)))
+    ).otherwise(best)
+    return F.when(F.size(named) == 0, _d(0.5)).when(F.size(others) == 0, _d(0.5)).when(
+        (n != "") & F.array_contains(others, n), _d(1)
+    ).otherwise(ruled)
 
 
 def historical_score(links: Column) -> Column:
-    return F.when(F.size(F.coalesce(links, F.array().cast("array<string>"))) == 0, _d(0.3)).when(F.exists(links, lambda u: F.contains(F.lower(F.coalesce(u, F.lit(""))), F.lit(f"/{L.EARLY_MODERN}/"))), _d(1)).otherwise(_d(0.7))
+    return F.when(F.size(F.coalesce(links, F.array().cast("array<string>"))) == 0, _d(0.3)).when(
+        F.exists(links, lambda u: F.contains(F.lower(F.coalesce(u, F.lit(""))), F.lit(f"/{L.EARLY_MODERN}/"))), _d(1)
+    ).otherwise(_d(0.7))
 
 
 def profile_text(label: str, fields: dict[str, Column]) -> Column:
     """Filled fields joined by ` | `; fields that are arrays are joined by a blank first."""
     names = ("label", "eras", "floruitEarliest", "floruitLatest") if label == "PER" else ("english", "irish", "era")
     lists = ("residencesLabels",) if label == "PER" else ("types", "parentLabels", "historicalApproximations")
-    parts = [F.nullif(fields[c], F.lit("")) for c in names] + [F.nullif(F.array_join(F.filter(fields[c], lambda x: x != ""), " "), F.lit("")) for c in lists]
+    parts = [F.nullif(fields[c], F.lit("")) for c in names] + [
+        F.nullif(F.array_join(F.filter(fields[c], lambda x: x != ""), " "), F.lit("")) for c in lists
+    ]
     return F.concat_ws(" | ", *parts)
 
 
@@ -151,7 +178,9 @@ def neural_score(a: Column, b: Column) -> Column:
     return F.when(c.isNull(), _d(0.5)).otherwise(F.least(F.greatest((c + 1) / 2, _d(0)), _d(1)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1_000) -> DataFrame:
+def nearest(
+    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1_000
+) -> DataFrame:
     """(q, id, neural, rank): for each of queries(q, vector) the k nearest vectors but itself, ties by id.
 
     Queries are sent to the vectors in blocks of about `block` rows, so what is broadcast has a bound, however many there are.
@@ -160,7 +189,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     out = None
     for i in range(blocks):
         own = F.broadcast(queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).select("q", F.col("vector").alias("_v")))
-        s = vectors.select(id_col, vector_col).join(own, F.col(id_col) != F.col("q")).withColumn("neural", F.round(neural_score(F.col(vector_col), F.col("_v")), 5))
+        s = vectors.select(id_col, vector_col).join(own, F.col(id_col) != F.col("q")).withColumn(
+            "neural", F.round(neural_score(F.col(vector_col), F.col("_v")), 5)
+        )
         top = top_k(s.select("q", id_col, "neural"), ["q"], k, "neural", id_col)
         out = top if out is None else out.unionByName(top)
     return out
@@ -170,8 +201,14 @@ def hashed_ngrams(text: Column, size: int = 64, n: int = 3) -> Column:
     """A stand-in for a model: counts of character n-grams by the first digits of their MD5, native. Null for blank text."""
     low = F.lower(text)
     digits = lambda g: F.conv(F.substring(F.md5(g), 1, 7), 16, 10).cast("long")
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.pmod(digits(F.substring(low, i, F.lit(n))), F.lit(size)))
-    return F.when(filled(text).isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(at, lambda x: x == k)).cast("double")))
+    at = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))),
+        lambda i: F.pmod(digits(F.substring(low, i, F.lit(n))), F.lit(size))
+    )
+    return F.when(
+        filled(text).isNotNull(),
+        F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(at, lambda x: x == k)).cast("double"))
+    )
 
 
 def embed_distinct(frame: DataFrame, text_cols: list[str], embedder=hashed_ngrams) -> DataFrame:
@@ -190,7 +227,10 @@ def confidence(score: Column) -> Column:
     return F.when(score > 0.75, "High confidence").when(score >= 0.5, "Medium Confidence").otherwise("Low confidence")
 
 
-def semantic_filter(pairs: DataFrame, by: list[str], semantic: str, mention: str, candidate: str, order: str, weights=(0.5, 0.25, 0.25), threshold: float = 70.0, most: int = 8, least: int = 10, similar=ratio) -> DataFrame:
+def semantic_filter(
+    pairs: DataFrame, by: list[str], semantic: str, mention: str, candidate: str, order: str, weights=(0.5, 0.25, 0.25),
+    threshold: float = 70.0, most: int = 8, least: int = 10, similar=ratio
+) -> DataFrame:
     """Mentions with `least` candidates or fewer keep them all; others the best `most` by hybrid similarity of threshold or above.
 
     semantic is a cosine in -1..1; the rest is edit similarity and ratio of the lower-case strings, all in percent.

@@ -22,14 +22,20 @@ def clip_to_text(spans: DataFrame, texts: DataFrame) -> DataFrame:
     """Offsets held within the text (doc_id, full), empty spans dropped, text read anew and trimmed."""
     s = spans.drop("text").join(texts.select("doc_id", "full"), "doc_id")
     n = F.length("full")
-    s = s.withColumns({"start": F.greatest(F.least("start", n), F.lit(0)), "end": F.greatest(F.least("end", n), F.lit(0))}).filter("start < end")
-    return s.withColumn("text", F.regexp_replace(slice_text(F.col("full"), F.col("start"), F.col("end")), r"(?U)^\s+|\s+$", "")).select(*SPAN)
+    s = s.withColumns(
+        {"start": F.greatest(F.least("start", n), F.lit(0)), "end": F.greatest(F.least("end", n), F.lit(0))}
+    ).filter("start < end")
+    return s.withColumn(
+        "text", F.regexp_replace(slice_text(F.col("full"), F.col("start"), F.col("end")), r"(?U)^\s+|\s+$", "")
+    ).select(*SPAN)
 
 
 def _reach(spans: DataFrame) -> DataFrame:
     """spans with _before, the furthest end of those of the same document and label that start earlier, and _level, of those that start there."""
     line = Window.partitionBy("doc_id", "label").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
-    return spans.withColumns({"_before": F.max("end").over(line), "_level": F.max("end").over(Window.partitionBy("doc_id", "label", "start"))})
+    return spans.withColumns(
+        {"_before": F.max("end").over(line), "_level": F.max("end").over(Window.partitionBy("doc_id", "label", "start"))}
+    )
 
 
 def drop_contained(spans: DataFrame) -> DataFrame:
@@ -46,7 +52,9 @@ def drop_contained_later(spans: DataFrame) -> DataFrame:
 def looks_like_token(token: Column, label: Column) -> Column:
     """A single word of three letters or more, without digits."""
     letters = F.length(F.regexp_replace(token, r"[^\p{L}]", "")) >= 3
-    return letters & ~token.rlike(r"(?U)\d") & F.when(label == "PER", token.rlike(r"^[A-Za-z][A-Za-z'’-]*$")).when(label == "LOC", token.rlike(r"^[A-Za-z][A-Za-z'’.-]*$")).otherwise(False)
+    return letters & ~token.rlike(r"(?U)\d") & F.when(label == "PER", token.rlike(r"^[A-Za-z][A-Za-z'’-]*$")).when(
+        label == "LOC", token.rlike(r"^[A-Za-z][A-Za-z'’.-]*$")
+    ).otherwise(False)
 
 
 def extend_clipped(spans: DataFrame, texts: DataFrame) -> DataFrame:
@@ -58,7 +66,10 @@ def extend_clipped(spans: DataFrame, texts: DataFrame) -> DataFrame:
     longer = F.col("end") + F.length(F.regexp_extract(rest, r"^[\p{L}'’-]+", 0))
     word = slice_text(F.col("full"), F.col("start"), longer)
     ok = clipped & looks_like_token(word, F.col("label"))
-    s = s.select("doc_id", F.when(ok, word).otherwise(F.col("text")).alias("text"), "label", "score", "start", F.when(ok, longer).otherwise(F.col("end")).cast("int").alias("end"))
+    s = s.select(
+        "doc_id", F.when(ok, word).otherwise(F.col("text")).alias("text"), "label", "score", "start",
+        F.when(ok, longer).otherwise(F.col("end")).cast("int").alias("end")
+    )
     return drop_contained_later(s)
 
 
@@ -69,17 +80,26 @@ def extend_o_surnames(spans: DataFrame, texts: DataFrame) -> DataFrame:
     at = F.col("end") + F.when(slice_text(F.col("full"), F.col("end"), F.col("end") + 1).isin("'", "’"), 1).otherwise(0)
     name = F.regexp_extract(F.substring("full", at + 1, F.length("full")), r"^[A-Za-z]+", 0)
     surnames = lit_set(sorted({"".join(c for c in x if "a" <= c <= "z") for x in L.SURNAMES}))
-    ok = (F.col("label") == "PER") & (F.col("end") > F.col("start")) & (F.col("end") <= F.length("full")) & own.rlike(r"(?i)\bO'?$") & (name != "") & F.array_contains(surnames, alpha_only(name))
+    ok = (F.col("label") == "PER") & (F.col("end") > F.col("start")) & (
+        F.col("end") <= F.length("full")
+    ) & own.rlike(r"(?i)\bO'?$") & (name != "") & F.array_contains(surnames, alpha_only(name))
     end = at + F.length(name)
-    s = s.select("doc_id", F.when(ok, slice_text(F.col("full"), F.col("start"), end)).otherwise(F.col("text")).alias("text"), "label", "score", "start", F.when(ok, end).otherwise(F.col("end")).cast("int").alias("end"))
+    s = s.select(
+        "doc_id", F.when(ok, slice_text(F.col("full"), F.col("start"), end)).otherwise(F.col("text")).alias("text"), "label", "score",
+        "start", F.when(ok, end).otherwise(F.col("end")).cast("int").alias("end")
+    )
     return drop_contained_later(s)
 
 
 _KIND = "array<struct<start:int,end:int,label:string,text:string,score:double>>"
-_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("text", pa.string()), ("score", pa.float64())]))
+_ARROW = pa.list_(
+    pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("text", pa.string()), ("score", pa.float64())])
+)
 
 
-def folded(spans: DataFrame, texts: DataFrame | None, fold: Callable[[list[tuple], str | None], list[tuple]], by_text: bool = False) -> DataFrame:
+def folded(
+    spans: DataFrame, texts: DataFrame | None, fold: Callable[[list[tuple], str | None], list[tuple]], by_text: bool = False
+) -> DataFrame:
     """The spans that fold makes of each document's, in order of (start, end, label, or text if by_text) and on.
 
     fold gets a document's spans as (start, end, label, text, score) and its text (None without texts), and is run by an Arrow function, so
@@ -87,8 +107,12 @@ def folded(spans: DataFrame, texts: DataFrame | None, fold: Callable[[list[tuple
     """
     names = ["start", "end", *(["text", "label"] if by_text else ["label", "text"]), "score"]
     cast = {"start": F.col("start").cast("int"), "end": F.col("end").cast("int"), "score": F.col("score").cast("double")}
-    packed = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*[cast.get(c, F.col(c)).alias(c) for c in names]))).alias("_s"))
-    packed = packed.join(texts.select("doc_id", "full"), "doc_id", "left") if texts is not None else packed.withColumn("full", F.lit(None).cast("string"))
+    packed = spans.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct(*[cast.get(c, F.col(c)).alias(c) for c in names]))).alias("_s")
+    )
+    packed = packed.join(
+        texts.select("doc_id", "full"), "doc_id", "left"
+    ) if texts is not None else packed.withColumn("full", F.lit(None).cast("string"))
 
     def run(s: pa.Array, full: pa.Array) -> pa.Array:
         flat = s.flatten()
@@ -100,7 +124,9 @@ def folded(spans: DataFrame, texts: DataFrame | None, fold: Callable[[list[tuple
         for a, b, text in zip(ends, ends[1:], full):
             out.extend(fold(rows[a - first : b - first], text.as_py()))
             sizes.append(len(out))
-        each = pa.StructArray.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_ARROW.value_type)], [f.name for f in _ARROW.value_type])
+        each = pa.StructArray.from_arrays(
+            [pa.array([r[k] for r in out], f.type) for k, f in enumerate(_ARROW.value_type)], [f.name for f in _ARROW.value_type]
+        )
         return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), each).cast(_ARROW)
 
     run.__annotations__ = {"s": pa.Array, "full": pa.Array, "return": pa.Array}
@@ -118,7 +144,10 @@ def gap_allows(cur: tuple, nxt: tuple, between: str) -> bool:
     return og or _GAP.match(between) is not None
 
 
-def merge_adjacent(spans: DataFrame, texts: DataFrame | None = None, labels=LABELS, max_gap: int = 2, min_score: float = 0.0, extend_clipped_words: bool = True, extend_o: bool = False) -> DataFrame:
+def merge_adjacent(
+    spans: DataFrame, texts: DataFrame | None = None, labels=LABELS, max_gap: int = 2, min_score: float = 0.0,
+    extend_clipped_words: bool = True, extend_o: bool = False
+) -> DataFrame:
     """Merge neighbours of one label, in order of (start, end), by a fold over each document's spans.
 
     A span of another label closes the current one; one that overlaps the current one is dropped without
@@ -162,9 +191,14 @@ def project_to_raw(spans: DataFrame, maps: DataFrame) -> DataFrame:
     s = s.filter((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= n))
     s = s.withColumns({"_s": F.get("char_map", F.col("start").cast("int")), "_e": F.get("char_map", (F.col("end") - 1).cast("int")) + 1})
     s = s.filter((F.col("_s") >= 0) & (F.col("_s") < F.col("_e")) & (F.col("_e") <= F.length("raw")))
-    return s.select("doc_id", slice_text(F.col("raw"), F.col("_s"), F.col("_e")).alias("text"), "label", "score", F.col("_s").alias("start"), F.col("_e").alias("end"))
+    return s.select(
+        "doc_id", slice_text(F.col("raw"), F.col("_s"), F.col("_e")).alias("text"), "label", "score", F.col("_s").alias("start"),
+        F.col("_e").alias("end")
+    )
 
 
 def spans_from_lookup(unique: DataFrame) -> DataFrame:
     """The spans of (doc_id, text, label, spans) again, one row each."""
-    return unique.select("doc_id", "text", "label", F.explode("spans").alias("_p")).select("doc_id", "text", "label", "_p.score", "_p.start", "_p.end")
+    return unique.select("doc_id", "text", "label", F.explode("spans").alias("_p")).select(
+        "doc_id", "text", "label", "_p.score", "_p.start", "_p.end"
+    )

@@ -45,10 +45,15 @@ def standard_label(label: Column) -> Column:
 @register("rules")
 def capital_tagger(pieces: DataFrame) -> DataFrame:
     """Runs of capitalised words: counties and places of the lists are LOC (0.95), others PER (0.9 from two words, else 0.6)."""
-    found = pieces.select("doc_id", "off", F.explode(found_in(CAPITALS)(F.col("chunk"))).alias("_m")).select("doc_id", "off", F.col("_m.tok").alias("text"), F.col("_m.start").alias("start"))
+    found = pieces.select("doc_id", "off", F.explode(found_in(CAPITALS)(F.col("chunk"))).alias("_m")).select(
+        "doc_id", "off", F.col("_m.tok").alias("text"), F.col("_m.start").alias("start")
+    )
     place = F.array_contains(lit_set(sorted({*L.COUNTIES, *L.PLACE_NAMES})), F.lower("text"))
     score = F.when(place, 0.95).when(F.contains(F.col("text"), F.lit(" ")), 0.9).otherwise(0.6)
-    return found.select("doc_id", "off", "text", F.when(place, "LOC").otherwise("PER").alias("label"), score.alias("score"), "start", (F.col("start") + F.length("text")).alias("end"))
+    return found.select(
+        "doc_id", "off", "text", F.when(place, "LOC").otherwise("PER").alias("label"), score.alias("score"), "start",
+        (F.col("start") + F.length("text")).alias("end")
+    )
 
 
 def register_model(name: str, load: Callable[[], Callable[[list[str]], list[list[tuple]]]]) -> None:
@@ -58,7 +63,12 @@ def register_model(name: str, load: Callable[[], Callable[[list[str]], list[list
     Texts reach the model in Arrow batches.
     """
     made: dict[str, Callable] = {}
-    kind = pa.schema([("doc_id", pa.string()), ("off", pa.int32()), ("text", pa.string()), ("label", pa.string()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
+    kind = pa.schema(
+        [
+            ("doc_id", pa.string()), ("off", pa.int32()), ("text", pa.string()), ("label", pa.string()), ("score", pa.float64()),
+            ("start", pa.int32()), ("end", pa.int32())
+        ]
+    )
 
     def located(chunk: str, found: list[tuple]):
         at = 0
@@ -80,10 +90,15 @@ def register_model(name: str, load: Callable[[], Callable[[list[str]], list[list
             model = made[name]
             for batch in batches:
                 ids, offs, texts = (batch.column(i).to_pylist() for i in range(3))
-                rows = [(i, off, *e) for i, off, t, found in zip(ids, offs, texts, model([t or "" for t in texts])) for e in located(t or "", found)]
+                rows = [
+                    (i, off, *e) for i, off, t,
+                    found in zip(ids, offs, texts, model([t or "" for t in texts])) for e in located(t or "", found)
+                ]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kind)], schema=kind)
 
-        found = pieces.select(F.col("doc_id").cast("string"), F.col("off").cast("int"), "chunk").mapInArrow(run, "doc_id string, off int, text string, label string, score double, start int, end int")
+        found = pieces.select(F.col("doc_id").cast("string"), F.col("off").cast("int"), "chunk").mapInArrow(
+            run, "doc_id string, off int, text string, label string, score double, start int, end int"
+        )
         return found.withColumns({"doc_id": F.col("doc_id").cast(own), "label": F.coalesce(standard_label(F.col("label")), "label")})
 
     TAGGERS[name] = tagger
@@ -92,7 +107,9 @@ def register_model(name: str, load: Callable[[], Callable[[list[str]], list[list
 def keep_allowed(found: DataFrame, labels=("PER", "LOC")) -> DataFrame:
     """Spans with an allowed label that are no word continuation (`#...`), their offsets moved by the chunk's."""
     kept = found.filter(F.col("label").isin(*labels) & ~F.col("text").startswith("#"))
-    return kept.select("doc_id", "text", "label", "score", (F.col("start") + F.col("off")).alias("start"), (F.col("end") + F.col("off")).alias("end"))
+    return kept.select(
+        "doc_id", "text", "label", "score", (F.col("start") + F.col("off")).alias("start"), (F.col("end") + F.col("off")).alias("end")
+    )
 
 
 def trim_affixes(spans: DataFrame, texts: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
@@ -102,15 +119,21 @@ def trim_affixes(spans: DataFrame, texts: DataFrame, min_score: float = MIN_SCOR
     """
     s = spans.filter(F.coalesce("score", F.lit(1.0)) >= min_score).join(texts.select("doc_id", "full"), "doc_id")
     usable = F.coalesce((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("full")), F.lit(False))
-    s = s.withColumn("_usable", usable).withColumn("_old", F.when(F.col("_usable"), slice_text(F.col("full"), F.col("start"), F.col("end"))).otherwise(F.col("text")))
+    s = s.withColumn("_usable", usable).withColumn(
+        "_old", F.when(F.col("_usable"), slice_text(F.col("full"), F.col("start"), F.col("end"))).otherwise(F.col("text"))
+    )
     trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    new = F.when(F.col("label") == "LOC", trim(F.regexp_replace("_old", LOC_PREFIX, ""))).when(F.col("label") == "PER", trim(F.regexp_replace(F.regexp_replace("_old", PER_PREFIX, ""), PER_SUFFIX, "")))
+    new = F.when(F.col("label") == "LOC", trim(F.regexp_replace("_old", LOC_PREFIX, ""))).when(
+        F.col("label") == "PER", trim(F.regexp_replace(F.regexp_replace("_old", PER_PREFIX, ""), PER_SUFFIX, ""))
+    )
     s = s.withColumn("_new", new)
     moved = F.col("_usable") & F.col("_new").isNotNull() & (F.col("_new") != F.col("_old")) & (F.col("_new") != "")
     at = F.col("start") + F.position(F.col("_new"), F.col("_old")) - 1
     short = ~F.col("_usable") & F.col("_new").isNotNull() & (F.length("_new") < 3)
     return s.filter(~F.coalesce(short, F.lit(False))).select(
-        "doc_id", F.when(moved | (~F.col("_usable") & F.col("_new").isNotNull()), F.col("_new")).otherwise(F.col("text")).alias("text"), "label", "score",
+        "doc_id", F.when(
+            moved | (~F.col("_usable") & F.col("_new").isNotNull()), F.col("_new")
+        ).otherwise(F.col("text")).alias("text"), "label", "score",
         F.when(moved, at).otherwise(F.col("start")).cast("int").alias("start"), F.when(moved, at + F.length("_new")).otherwise(F.col("end")).cast("int").alias("end"))
 
 
@@ -155,7 +178,10 @@ def dedupe_exact(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "start", "end", "label", "text").agg(F.max("score").alias("score")).select(*SPAN)
 
 
-def analyze(docs: DataFrame, tagger: str = "rules", dedupe: bool = True, size: int = 1200, overlap: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def analyze(
+    docs: DataFrame, tagger: str = "rules", dedupe: bool = True, size: int = 1200, overlap: int = 100, id_col: str = "doc_id",
+    text_col: str = "text"
+) -> DataFrame:
     """Spans of every document: chunk, tag, move offsets, trim, join word pieces, drop contained spans, correct counties, dedupe.
 
     Documents are taken each for itself: rows with null or repeated ids have their own spans, under the ids that they have.

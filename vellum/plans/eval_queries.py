@@ -20,7 +20,12 @@ def _sides(spark, sf_dir):
     s = tagged(spark, sf_dir)
     gold = s.filter(F.length("text") > 3)
     pred = s.filter((F.col("score") >= 0.6) & (F.col("start") % 5 != 0) & (F.length("text") > 2))
-    pred = pred.withColumns({"label": F.when(F.col("start") % 11 == 0, "LOC").otherwise(F.col("label")), "start": F.when(F.col("start") % 7 == 0, F.col("start") + 1).otherwise(F.col("start"))})
+    pred = pred.withColumns(
+        {
+            "label": F.when(F.col("start") % 11 == 0, "LOC").otherwise(F.col("label")),
+            "start": F.when(F.col("start") % 7 == 0, F.col("start") + 1).otherwise(F.col("start"))
+        }
+    )
     return gold, pred
 
 
@@ -38,7 +43,9 @@ WITH {_SQL_PRED}, d AS (SELECT * FROM (SELECT doc_id, start, "end", label FROM g
 SELECT doc_id, side, count(*) AS n, CAST(sum(start) AS BIGINT) AS sum_start FROM d GROUP BY doc_id, side
 """)
 def span_difference(spark, sf_dir):
-    return evaluate.span_difference(*_sides(spark, sf_dir), ["doc_id"]).groupBy("doc_id", "side").agg(F.count("*").alias("n"), F.sum(F.col("start").cast("long")).alias("sum_start"))
+    return evaluate.span_difference(*_sides(spark, sf_dir), ["doc_id"]).groupBy("doc_id", "side").agg(
+        F.count("*").alias("n"), F.sum(F.col("start").cast("long")).alias("sum_start")
+    )
 
 
 #: The gold place of a mention: the nation with that very number, in mixed case for some mentions a wrong one.
@@ -49,16 +56,27 @@ m AS (SELECT *, CASE WHEN list_contains(uris, gold) THEN 1.0 / list_position(uri
 
 def _metrics(spark, sf_dir):
     top = score.top_k(scored_places(spark, sf_dir), ["doc_id", "mention"], 5, order="place")
-    lists = evaluate.ranked_uris(top, ["doc_id", "mention"], "place").withColumns({"label": F.lit("LOC"), "ranked_uris": F.transform("ranked_uris", lambda x: x.cast("string")), "gold_uri": F.expr(_GOLD).cast("string")})
+    lists = evaluate.ranked_uris(top, ["doc_id", "mention"], "place").withColumns(
+        {
+            "label": F.lit("LOC"), "ranked_uris": F.transform("ranked_uris", lambda x: x.cast("string")),
+            "gold_uri": F.expr(_GOLD).cast("string")
+        }
+    )
     return evaluate.mention_metrics(lists)
 
 
-@query("eval_ranking", f"WITH {_SQL_LISTS} SELECT label, count(*) AS n, avg(h5) AS coverage, avg(h1) AS acc_1, avg(rr) AS mrr, avg(h1) AS recall_1, avg(h3) AS recall_3, avg(h5) AS recall_5 FROM m GROUP BY GROUPING SETS ((label), ())")
+@query(
+    "eval_ranking",
+    f"WITH {_SQL_LISTS} SELECT label, count(*) AS n, avg(h5) AS coverage, avg(h1) AS acc_1, avg(rr) AS mrr, avg(h1) AS recall_1, avg(h3) AS recall_3, avg(h5) AS recall_5 FROM m GROUP BY GROUPING SETS ((label), ())"
+)
 def eval_ranking(spark, sf_dir):
     return evaluate.ranking_summary(_metrics(spark, sf_dir))
 
 
-@query("retrieval_coverage", f"WITH {_SQL_LISTS} SELECT label, count(*) AS n, avg(h5) AS set_recall, avg(n_c) AS avg_candidates, coalesce(avg(n_c) FILTER (WHERE h5 = 1), 0) AS avg_when_hit, coalesce(avg(n_c) FILTER (WHERE h5 = 0), 0) AS avg_when_miss FROM m GROUP BY GROUPING SETS ((label), ())")
+@query(
+    "retrieval_coverage",
+    f"WITH {_SQL_LISTS} SELECT label, count(*) AS n, avg(h5) AS set_recall, avg(n_c) AS avg_candidates, coalesce(avg(n_c) FILTER (WHERE h5 = 1), 0) AS avg_when_hit, coalesce(avg(n_c) FILTER (WHERE h5 = 0), 0) AS avg_when_miss FROM m GROUP BY GROUPING SETS ((label), ())"
+)
 def retrieval_coverage(spark, sf_dir):
     return evaluate.retrieval_summary(_metrics(spark, sf_dir))
 
@@ -76,7 +94,11 @@ SELECT config, label, count(*) AS n, avg(h1) AS acc_1, avg(rr) AS mrr, avg(h3) A
 """)
 def weight_sweep(spark, sf_dir):
     f = scored_places(spark, sf_dir)
-    feats = f.select("doc_id", "mention", F.lit("LOC").alias("label"), F.expr(_GOLD).cast("string").alias("gold_uri"), F.col("place").cast("string").alias("uri"), F.col("place").alias("ord"), F.create_map(*[x for k in _FEATURES for x in (F.lit(k), F.col(k).cast("double"))]).alias("features"))
+    feats = f.select(
+        "doc_id", "mention", F.lit("LOC").alias("label"), F.expr(_GOLD).cast("string").alias("gold_uri"),
+        F.col("place").cast("string").alias("uri"), F.col("place").alias("ord"),
+        F.create_map(*[x for k in _FEATURES for x in (F.lit(k), F.col(k).cast("double"))]).alias("features")
+    )
     return evaluate.weight_sweep(feats, ["doc_id", "mention"])
 
 
@@ -129,5 +151,7 @@ SELECT doc_id, ord, mention, CAST(list_sum(list_transform(list_slice(ps, 1, k +
 def assign_spans(spark, sf_dir):
     gold = star_sql(spark, sf_dir, f"SELECT * FROM {_MENTIONS} z WHERE mention <> ''")
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    full = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: x["text"]), " ").alias("full"))
+    full = c.groupBy(F.col("conv_id").alias("doc_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: x["text"]), " ").alias("full")
+    )
     return evaluate.assign_spans(gold, full).select("doc_id", "ord", "mention", "start", "end")

@@ -24,7 +24,10 @@ def _write_lines(df, path: str) -> None:
     df.select("value").repartition(df.count()).write.text(path)
 
 
-@query("read_texts", "SELECT md5(n_name || chr(10) || n_nationkey || chr(10)) AS digest, CAST(length(n_name || n_nationkey) + 2 AS INT) AS n_chars FROM nation")
+@query(
+    "read_texts",
+    "SELECT md5(n_name || chr(10) || n_nationkey || chr(10)) AS digest, CAST(length(n_name || n_nationkey) + 2 AS INT) AS n_chars FROM nation"
+)
 def read_texts(spark, sf_dir):
     """A text file for each nation, read whole."""
     path = _folder(spark)
@@ -41,8 +44,13 @@ def read_uploads(spark, sf_dir):
     """Uploads that are TEI or plain text, told apart by their content."""
     path = _folder(spark)
     rows = star_sql(spark, sf_dir, "SELECT n_nationkey AS k, n_name FROM nation")
-    tei = F.concat(F.lit('<?xml version="1.0"?><TEI xmlns="http://www.tei-c.org/ns/1.0"><text><pb n="1"/><p>'), "n_name", F.lit("</p><p>two</p></text></TEI>"))
-    rows.select("k", F.when(F.col("k") % 3 == 0, tei).otherwise(F.concat("n_name", F.lit(" <p>"))).alias("value")).write.partitionBy("k").text(path)
+    tei = F.concat(
+        F.lit('<?xml version="1.0"?><TEI xmlns="http://www.tei-c.org/ns/1.0"><text><pb n="1"/><p>'), "n_name",
+        F.lit("</p><p>two</p></text></TEI>")
+    )
+    rows.select(
+        "k", F.when(F.col("k") % 3 == 0, tei).otherwise(F.concat("n_name", F.lit(" <p>"))).alias("value")
+    ).write.partitionBy("k").text(path)
     got = sources.read_uploads(spark, f"{path}/k=*/part-*")
     return got.select(F.regexp_extract("doc_id", r"/k=(\d+)/", 1).cast("int").alias("k"), "kind", "visual", "error")
 
@@ -50,16 +58,30 @@ def read_uploads(spark, sf_dir):
 _TERMS = {"prefixes": L.PREFIXES, "surnames": L.SURNAMES, "places": L.PLACE_NAMES}
 
 
-@query("read_lexicons", " UNION ALL ".join(f"SELECT '{k}' AS kind, lower(t) AS term, CAST(NULL AS VARCHAR) AS new FROM (SELECT unnest([{sql_list(v)}]) AS t) q" for k, v in _TERMS.items()) + " UNION ALL SELECT 'pair', o, n FROM (VALUES " + ", ".join(f"('{k.replace(chr(39), chr(39) * 2).lower()}', '{v.replace(chr(39), chr(39) * 2).lower()}')" for k, v in L.OVERRIDES.items()) + ") v(o, n)")
+@query(
+    "read_lexicons",
+    " UNION ALL ".join(
+        f"SELECT '{k}' AS kind, lower(t) AS term, CAST(NULL AS VARCHAR) AS new FROM (SELECT unnest([{sql_list(v)}]) AS t) q" for k,
+        v in _TERMS.items()
+    ) + " UNION ALL SELECT 'pair', o, n FROM (VALUES " + ", ".join(
+        f"('{k.replace(chr(39), chr(39) * 2).lower()}', '{v.replace(chr(39), chr(39) * 2).lower()}')" for k, v in L.OVERRIDES.items()
+    ) + ") v(o, n)"
+)
 def read_lexicons(spark, sf_dir):
     """The word lists, written as JSON and read as lexicons."""
     import json
 
     path = _folder(spark)
-    _write_lines(spark.createDataFrame([(json.dumps({k: list(v) for k, v in _TERMS.items()}, ensure_ascii=False),)], "value string"), f"{path}/lists")
+    _write_lines(
+        spark.createDataFrame([(json.dumps({k: list(v) for k, v in _TERMS.items()}, ensure_ascii=False),)], "value string"), f"{path}/lists"
+    )
     _write_lines(spark.createDataFrame([(json.dumps(L.OVERRIDES, ensure_ascii=False),)], "value string"), f"{path}/pairs")
-    lists = sources.read_lexicon(spark, f"{path}/lists").select("kind", F.lower("term").alias("term"), F.lit(None).cast("string").alias("new"))
-    return lists.unionByName(sources.read_pairs(spark, f"{path}/pairs").select(F.lit("pair").alias("kind"), F.col("old").alias("term"), "new"))
+    lists = sources.read_lexicon(spark, f"{path}/lists").select(
+        "kind", F.lower("term").alias("term"), F.lit(None).cast("string").alias("new")
+    )
+    return lists.unionByName(
+        sources.read_pairs(spark, f"{path}/pairs").select(F.lit("pair").alias("kind"), F.col("old").alias("term"), "new")
+    )
 
 
 #: Gold rows as JSON lines; every seventh is blank, every fifth lacks what a gold row must have.
@@ -87,7 +109,10 @@ def read_ner_gold(spark, sf_dir):
     n = star_sql(spark, sf_dir, "SELECT n_nationkey AS k, n_name FROM nation")
     ent = lambda t, a, b, label: F.struct(t.alias("text"), a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(label).alias("label"))
     ents = F.array(ent(F.col("n_name"), F.lit(8), F.length("n_name") + 8, "LOC"), ent(F.lit("Here"), F.lit(0), F.lit(4), "PER"))
-    row = F.struct(F.concat(F.lit("f"), "k").alias("filename"), F.col("k").cast("int").alias("entry"), F.concat(F.lit("Here is "), "n_name").alias("paragraph"), ents.alias("ents"))
+    row = F.struct(
+        F.concat(F.lit("f"), "k").alias("filename"), F.col("k").cast("int").alias("entry"),
+        F.concat(F.lit("Here is "), "n_name").alias("paragraph"), ents.alias("ents")
+    )
     one = n.agg(F.to_json(F.collect_list(row)).alias("value"))
     _write_lines(one, path)
     return sources.read_ner_gold(spark, path).select("filename", "entry", "paragraph", "text", "start", "end", "label")
@@ -109,7 +134,11 @@ def response_json(spark, sf_dir):
     """The answer to a request, as JSON."""
     d = docs(spark, sf_dir)
     spans = F.array().cast("array<struct<start:int,end:int>>")
-    made = d.select("doc_id", F.concat(F.lit("v"), F.col("doc_id")).alias("visual"), F.lit("n").alias("normalized"), F.array(F.lit(0), F.lit(1)).alias("char_map"), F.array(F.struct(F.col("source").alias("text"), F.lit(1).alias("rank"))).alias("ranked_entities"), spans.alias("spans_lookup"))
+    made = d.select(
+        "doc_id", F.concat(F.lit("v"), F.col("doc_id")).alias("visual"), F.lit("n").alias("normalized"),
+        F.array(F.lit(0), F.lit(1)).alias("char_map"),
+        F.array(F.struct(F.col("source").alias("text"), F.lit(1).alias("rank"))).alias("ranked_entities"), spans.alias("spans_lookup")
+    )
     return sources.response_json(made).select("doc_id", F.md5("json").alias("digest"))
 
 
@@ -122,9 +151,17 @@ def result_files(spark, sf_dir):
     path = _folder(spark)
     m = star_sql(spark, sf_dir, "SELECT n_regionkey AS r, count(*) AS n, sum(n_nationkey % 2) AS tp FROM nation GROUP BY n_regionkey")
     ratio = evaluate.share(F.col("tp"), F.col("n")) + 0.0000001
-    rows = m.select(F.concat(F.lit("r"), "r").alias("record"), F.lit("f").alias("filename"), F.lit(1).alias("entry"), F.lit("raw").alias("mode"), F.col("n").alias("gold_count"), F.col("n").alias("pred_count"), F.col("tp").alias("tp_count"), F.lit(0).alias("fp_count"), F.lit(0).alias("fn_count"), ratio.alias("precision"), F.lit(0.0).alias("recall"), F.lit(0.0).alias("f1"))
+    rows = m.select(
+        F.concat(F.lit("r"), "r").alias("record"), F.lit("f").alias("filename"), F.lit(1).alias("entry"), F.lit("raw").alias("mode"),
+        F.col("n").alias("gold_count"), F.col("n").alias("pred_count"), F.col("tp").alias("tp_count"), F.lit(0).alias("fp_count"),
+        F.lit(0).alias("fn_count"), ratio.alias("precision"), F.lit(0.0).alias("recall"), F.lit(0.0).alias("f1")
+    )
     sources.write_metrics_csv(rows, f"{path}/csv")
     sources.write_json(rows, f"{path}/json")
-    csv = spark.read.option("header", True).csv(f"{path}/csv").select(F.lit("csv").alias("kind"), "record", "precision", F.col("gold_count").cast("long").alias("n"))
-    json = spark.read.json(f"{path}/json").select(F.lit("json").alias("kind"), "record", F.format_string("%.4f", "precision").alias("precision"), F.col("gold_count").alias("n"))
+    csv = spark.read.option("header", True).csv(f"{path}/csv").select(
+        F.lit("csv").alias("kind"), "record", "precision", F.col("gold_count").cast("long").alias("n")
+    )
+    json = spark.read.json(f"{path}/json").select(
+        F.lit("json").alias("kind"), "record", F.format_string("%.4f", "precision").alias("precision"), F.col("gold_count").alias("n")
+    )
     return csv.unionByName(json)

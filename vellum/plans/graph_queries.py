@@ -27,7 +27,10 @@ def triple_patterns(spark, sf_dir):
     """Properties of persons in some graphs: a required one, alternative ones, an optional one and an inverse one."""
     t = retrieve.in_graphs(star_sql(spark, sf_dir, f"SELECT * FROM {TRIPLES} z"), GRAPHS)
     out = retrieve.property_values(t, ["name"], "name")
-    for values in (retrieve.property_values(t, ["lives_in", "lived_in"], "place"), retrieve.property_values(t, ["nick"], "nick"), retrieve.property_values(t, ["home_of"], "back", inverse=True)):
+    for values in (
+        retrieve.property_values(t, ["lives_in", "lived_in"], "place"), retrieve.property_values(t, ["nick"], "nick"),
+        retrieve.property_values(t, ["home_of"], "back", inverse=True)
+    ):
         out = out.join(values, "s", "left")
     return out
 
@@ -47,12 +50,17 @@ SELECT place, era, english, irish, CASE WHEN types IS NULL THEN '' WHEN types LI
 """)
 def shape_places(spark, sf_dir):
     rows = star_sql(spark, sf_dir, f"SELECT * FROM {SHAPES} z")
-    shaped = retrieve.shape_places(rows).join(rows.select(F.col("place").alias("_p"), "names", F.col("types").alias("_t"), F.col("sameAs").alias("_s")), F.col("place") == F.col("_p"))
+    shaped = retrieve.shape_places(rows).join(
+        rows.select(F.col("place").alias("_p"), "names", F.col("types").alias("_t"), F.col("sameAs").alias("_s")),
+        F.col("place") == F.col("_p")
+    )
     j = lambda c: F.array_join(c, ";")
     uris = F.split(F.coalesce("_t", F.lit("")), r" \| ")
     return shaped.select(
         "place", "era", "english", "irish", j("types").alias("types"), j("parentLabels").alias("parents"), j("externalResources").alias("sources"), j("historicalApproximations").alias("past"),
-        j(flip_names(F.col("names"))).alias("flipped"), uri_source(F.substring_index(F.coalesce("_s", F.lit("")), " | ", 1)).alias("first_source"), j(fragments(uris)).alias("parts"))
+        j(flip_names(F.col("names"))).alias("flipped"), uri_source(
+            F.substring_index(F.coalesce("_s", F.lit("")), " | ", 1)
+        ).alias("first_source"), j(fragments(uris)).alias("parts"))
 
 
 #: Persons at home in nations; nations lie in regions, regions in the world, which lies in itself.
@@ -73,7 +81,9 @@ def ancestor_labels(spark, sf_dir):
     nodes = star_sql(spark, sf_dir, f"SELECT * FROM {NODES} z")
     closure = retrieve.transitive_closure(retrieve.location_edges(nodes, "kg/"))
     found = retrieve.ancestor_labels(star_sql(spark, sf_dir, f"SELECT * FROM {HOMES} y"), closure, nodes, ["person"])
-    return found.select("person", retrieve.entity_card(F.col("person"), "kg/", "cards/").alias("card"), F.array_join("ancestorLabels", ";").alias("labels"))
+    return found.select(
+        "person", retrieve.entity_card(F.col("person"), "kg/", "cards/").alias("card"), F.array_join("ancestorLabels", ";").alias("labels")
+    )
 
 
 #: Mentions of persons by their last name's digits, of places, and of things that are neither.
@@ -93,9 +103,16 @@ def link_mentions(spark, sf_dir):
     """One call for a table of mentions: candidates for each, and the places' graph."""
     persons = star_sql(spark, sf_dir, "SELECT 's' || s_suppkey AS person, s_name AS full_name FROM supplier")
     places = star_sql(spark, sf_dir, "SELECT 'n' || n_nationkey AS place, n_name AS name, 'r' || n_regionkey AS parents FROM nation")
-    blocks, edges = retrieve.link_mentions(star_sql(spark, sf_dir, f"SELECT * FROM {ASKED} z"), persons, places, ["doc_id"], parents="parents")
-    found = blocks.select(F.lit("mention").alias("kind"), F.col("doc_id").cast("long"), "mention", "label", F.array_join("candidates", ";").alias("found"))
-    graph = edges.select(F.lit("edge").alias("kind"), F.substring("child", 2, 9).cast("long").alias("doc_id"), F.col("child").alias("mention"), F.lit(None).cast("string").alias("label"), F.col("parent").alias("found"))
+    blocks, edges = retrieve.link_mentions(
+        star_sql(spark, sf_dir, f"SELECT * FROM {ASKED} z"), persons, places, ["doc_id"], parents="parents"
+    )
+    found = blocks.select(
+        F.lit("mention").alias("kind"), F.col("doc_id").cast("long"), "mention", "label", F.array_join("candidates", ";").alias("found")
+    )
+    graph = edges.select(
+        F.lit("edge").alias("kind"), F.substring("child", 2, 9).cast("long").alias("doc_id"), F.col("child").alias("mention"),
+        F.lit(None).cast("string").alias("label"), F.col("parent").alias("found")
+    )
     return found.unionByName(graph)
 
 
@@ -115,8 +132,14 @@ def profiles(spark, sf_dir):
     """What is compared for a mention and a candidate, each different text embedded once, and its neural score."""
     p = star_sql(spark, sf_dir, f"SELECT * FROM {PROFILES} z")
     none = F.array().cast("array<string>")
-    fields = {"label": F.col("name"), "eras": F.col("era"), "floruitEarliest": F.col("year"), "floruitLatest": F.col("year"), "english": F.col("name"), "irish": F.lit(""), "era": F.col("era"), "residencesLabels": F.array("home"), "types": F.array("home"), "parentLabels": none, "historicalApproximations": none}
-    p = p.withColumn("profile", F.when(F.col("label") == "PER", score.profile_text("PER", fields)).otherwise(score.profile_text("LOC", fields))).withColumn("query", score.query_text(F.col("name"), F.col("full")))
+    fields = {
+        "label": F.col("name"), "eras": F.col("era"), "floruitEarliest": F.col("year"), "floruitLatest": F.col("year"),
+        "english": F.col("name"), "irish": F.lit(""), "era": F.col("era"), "residencesLabels": F.array("home"), "types": F.array("home"),
+        "parentLabels": none, "historicalApproximations": none
+    }
+    p = p.withColumn(
+        "profile", F.when(F.col("label") == "PER", score.profile_text("PER", fields)).otherwise(score.profile_text("LOC", fields))
+    ).withColumn("query", score.query_text(F.col("name"), F.col("full")))
     e = score.embed_distinct(p, ["profile", "query"])
     return e.select("k", "profile", "query", F.round(score.neural_score(F.col("profile_emb"), F.col("query_emb")), 6).alias("neural"))
 
@@ -127,9 +150,15 @@ SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'kg/p/' || s_suppkey WHEN
 """)
 def candidate_labels(spark, sf_dir):
     """What a candidate is known by and what a baseline compares of it."""
-    c = star_sql(spark, sf_dir, "SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'PER' WHEN 1 THEN 'LOC' ELSE 'ORG' END AS kind, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE ' ' END AS label, CASE WHEN s_suppkey % 5 = 0 THEN 'E' || s_name END AS english_label, 'kg/p/' || s_suppkey AS person, 'kg/l/' || s_suppkey AS place FROM supplier")
+    c = star_sql(
+        spark, sf_dir,
+        "SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'PER' WHEN 1 THEN 'LOC' ELSE 'ORG' END AS kind, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE ' ' END AS label, CASE WHEN s_suppkey % 5 = 0 THEN 'E' || s_name END AS english_label, 'kg/p/' || s_suppkey AS person, 'kg/l/' || s_suppkey AS place FROM supplier"
+    )
     fields = {k: F.col(k) for k in ("label", "english_label", "person", "place")}
-    return c.select("k", evaluate.candidate_uri(F.col("kind"), F.col("person"), F.col("place")).alias("uri"), evaluate.candidate_label(F.col("kind"), fields).alias("label"))
+    return c.select(
+        "k", evaluate.candidate_uri(F.col("kind"), F.col("person"), F.col("place")).alias("uri"),
+        evaluate.candidate_label(F.col("kind"), fields).alias("label")
+    )
 
 
 #: Gold rows of documents spelled in three manners, some with a context, some without a document.
@@ -144,7 +173,9 @@ SELECT doc_id, coalesce(own, n_name) AS context FROM o LEFT JOIN nation ON n_nat
 def document_contexts(spark, sf_dir):
     """A document's own context, or the text of the file with its number."""
     gold = star_sql(spark, sf_dir, f"SELECT * FROM {GOLD} z WHERE trim(coalesce(doc_id, '')) <> ''")
-    return evaluate.resolve_context(gold, star_sql(spark, sf_dir, "SELECT CAST(n_nationkey AS INT) AS number, n_name AS text FROM nation WHERE n_nationkey % 3 > 0"))
+    return evaluate.resolve_context(
+        gold, star_sql(spark, sf_dir, "SELECT CAST(n_nationkey AS INT) AS number, n_name AS text FROM nation WHERE n_nationkey % 3 > 0")
+    )
 
 
 @query("gold_by_document", f"""
@@ -152,7 +183,10 @@ SELECT CASE WHEN trim(coalesce(doc_id, '')) = '' THEN '__row_' || ord ELSE doc_i
 """)
 def gold_by_document(spark, sf_dir):
     g = evaluate.gold_by_document(star_sql(spark, sf_dir, f"SELECT * FROM {GOLD} z"))
-    return g.select("doc_id", F.size("mentions").cast("long").alias("n"), F.md5(F.array_join(F.transform("mentions", lambda m: F.concat(m["mention"], m["gold_uri"])), ";")).alias("digest"))
+    return g.select(
+        "doc_id", F.size("mentions").cast("long").alias("n"),
+        F.md5(F.array_join(F.transform("mentions", lambda m: F.concat(m["mention"], m["gold_uri"])), ";")).alias("digest")
+    )
 
 
 #: Persons with features of every degree.
@@ -175,8 +209,13 @@ def explain_persons(spark, sf_dir):
     """Scores are shown a hair above their value: engines differ where the third place is a tie."""
     f = star_sql(spark, sf_dir, f"SELECT * FROM {FEATURES} z")
     own = {"name": "name_s", "era": "era", "residence": "residence", "floruit": "floruit", "neural": "neural"}
-    c = {"eras": F.lit("early"), "residencesLabels": F.array("home"), "ancestorLabels": F.array("above"), "floruitEarliest": F.col("earliest"), "floruitLatest": F.col("latest")}
-    text = explain.explain_person(F.col("name"), F.col("score") + 0.00001, {k: F.col(v) for k, v in own.items()}, c, F.array(F.lower("home"), F.lower("above")))
+    c = {
+        "eras": F.lit("early"), "residencesLabels": F.array("home"), "ancestorLabels": F.array("above"),
+        "floruitEarliest": F.col("earliest"), "floruitLatest": F.col("latest")
+    }
+    text = explain.explain_person(
+        F.col("name"), F.col("score") + 0.00001, {k: F.col(v) for k, v in own.items()}, c, F.array(F.lower("home"), F.lower("above"))
+    )
     return f.select("k", text.alias("explanation"))
 
 
@@ -184,7 +223,9 @@ def explain_persons(spark, sf_dir):
 SELECT n_nationkey AS k, trim(regexp_replace(regexp_replace(regexp_replace(lower('The Towne of ' || n_name || ', near (' || n_name || ')'), '[^a-z0-9\s]', ' ', 'g'), '\b(the|of|towne|town)\b', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM nation
 """)
 def place_texts(spark, sf_dir):
-    return star_sql(spark, sf_dir, "SELECT n_nationkey AS k, 'The Towne of ' || n_name || ', near (' || n_name || ')' AS t FROM nation").select("k", place_text(F.col("t")).alias("text"))
+    return star_sql(
+        spark, sf_dir, "SELECT n_nationkey AS k, 'The Towne of ' || n_name || ', near (' || n_name || ')' AS t FROM nation"
+    ).select("k", place_text(F.col("t")).alias("text"))
 
 
 #: Names and mentions of them: the same, a letter short, turned about, with another last name, and none.

@@ -38,10 +38,17 @@ def place_features(spark, sf_dir):
     said = said.select("doc_id", "full", F.array_sort(F.array_union("_said", F.array(F.lower("r_name")))).alias("locations"))
     places = star_sql(spark, sf_dir, f"SELECT * FROM {PLACES} p")
     met = retrieve.retrieve_places(mentions, places, ["doc_id", "mention"], name="english")
-    met = met.join(said, "doc_id").withColumns({"types": _choice("kind", KIND), "historicalApproximations": _choice("past", PAST), "parentLabels": F.array("parent"), "childLabels": F.array().cast("array<string>"), "near": context(F.col("full"), F.col("mention"), 50)})
+    met = met.join(said, "doc_id").withColumns(
+        {
+            "types": _choice("kind", KIND), "historicalApproximations": _choice("past", PAST), "parentLabels": F.array("parent"),
+            "childLabels": F.array().cast("array<string>"), "near": context(F.col("full"), F.col("mention"), 50)
+        }
+    )
     m, e = F.col("mention"), F.col("english")
     return met.withColumns({
-        "name": score.place_name_score(m, e), "hierarchy": score.hierarchy_score(m, e, F.col("parentLabels"), F.col("childLabels"), F.col("locations")), "type_match": score.type_score(F.col("near"), F.col("types")),
+        "name": score.place_name_score(m, e), "hierarchy": score.hierarchy_score(
+            m, e, F.col("parentLabels"), F.col("childLabels"), F.col("locations")
+        ), "type_match": score.type_score(F.col("near"), F.col("types")),
         "historical": score.historical_score(F.col("historicalApproximations")), "neural": F.lit(0.5)})
 
 
@@ -124,7 +131,10 @@ def enrich_candidates(spark, sf_dir):
 SELECT r_name AS place, min(n_name) AS english, array_to_string(list_sort(list_distinct(list(n_name))), ' | ') AS names, array_to_string(list_sort(list_distinct(list(c_mktsegment))), ' | ') AS types FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name
 """)
 def group_places(spark, sf_dir):
-    rows = star_sql(spark, sf_dir, "SELECT r_name AS place, n_name AS english, n_name AS names, c_mktsegment AS types FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey")
+    rows = star_sql(
+        spark, sf_dir,
+        "SELECT r_name AS place, n_name AS english, n_name AS names, c_mktsegment AS types FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey"
+    )
     return retrieve.group_places(rows, single=("english",), many=("names", "types"))
 
 
@@ -138,12 +148,18 @@ def place_closure(spark, sf_dir):
     return retrieve.transitive_closure(star_sql(spark, sf_dir, f"SELECT DISTINCT child, parent FROM {_EDGES} z"))
 
 
-@query("score_location", f"WITH {SQL_FEATURES} SELECT doc_id, mention, place, CAST(name AS DOUBLE) AS name, CAST(hierarchy AS DOUBLE) AS hierarchy, CAST(type_match AS DOUBLE) AS type_match, CAST(historical AS DOUBLE) AS historical, score FROM scored")
+@query(
+    "score_location",
+    f"WITH {SQL_FEATURES} SELECT doc_id, mention, place, CAST(name AS DOUBLE) AS name, CAST(hierarchy AS DOUBLE) AS hierarchy, CAST(type_match AS DOUBLE) AS type_match, CAST(historical AS DOUBLE) AS historical, score FROM scored"
+)
 def score_location(spark, sf_dir):
     return scored_places(spark, sf_dir).select("doc_id", "mention", "place", "name", "hierarchy", "type_match", "historical", "score")
 
 
-@query("rank_topk", f"WITH {SQL_FEATURES} SELECT doc_id, mention, place, english, score, rank, {_SQL_CONFIDENCE} AS confidence FROM ranked WHERE rank <= 5")
+@query(
+    "rank_topk",
+    f"WITH {SQL_FEATURES} SELECT doc_id, mention, place, english, score, rank, {_SQL_CONFIDENCE} AS confidence FROM ranked WHERE rank <= 5"
+)
 def rank_topk(spark, sf_dir):
     top = score.top_k(scored_places(spark, sf_dir), ["doc_id", "mention"], 5, order="place")
     return top.select("doc_id", "mention", "place", "english", "score", "rank", score.confidence(F.col("score")).alias("confidence"))
@@ -168,13 +184,18 @@ def explain_scores(spark, sf_dir):
     """Scores are shown a hair above their value: engines differ where the third place is a tie."""
     top = score.top_k(scored_places(spark, sf_dir), ["doc_id", "mention"], 5, order="place")
     text = explain.explain_place(
-        F.col("mention"), F.col("score") + 0.00001, {k: F.col(k) for k in score.PLACE_WEIGHTS}, {"types": F.col("types"), "parentLabels": F.col("parentLabels"), "childLabels": F.col("childLabels")},
+        F.col("mention"), F.col("score") + 0.00001, {k: F.col(k) for k in score.PLACE_WEIGHTS}, {
+            "types": F.col("types"), "parentLabels": F.col("parentLabels"), "childLabels": F.col("childLabels")
+        },
         F.col("locations"), context(F.col("full"), F.col("english"), 50))
     return top.select("doc_id", "mention", "place", text.alias("explanation"))
 
 
 def _persons(spark, sf_dir):
-    return star_sql(spark, sf_dir, "SELECT c_custkey AS person, c_name AS label, n_name AS home, r_name AS above, CAST(min(o_orderdate) AS STRING) AS earliest, CAST(max(o_orderdate) AS STRING) AS latest, min(year(o_orderdate)) AS y FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name, n_name, r_name")
+    return star_sql(
+        spark, sf_dir,
+        "SELECT c_custkey AS person, c_name AS label, n_name AS home, r_name AS above, CAST(min(o_orderdate) AS STRING) AS earliest, CAST(max(o_orderdate) AS STRING) AS latest, min(year(o_orderdate)) AS y FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name, n_name, r_name"
+    )
 
 
 _SQL_FLORUIT = f"CASE WHEN a IS NULL THEN 0.4 WHEN a <= {YEAR} AND {YEAR} <= b THEN 1.0 WHEN greatest(a - {YEAR}, {YEAR} - b) <= 5 THEN 0.8 WHEN greatest(a - {YEAR}, {YEAR} - b) <= 20 THEN 0.6 ELSE 0.1 END"
@@ -186,7 +207,10 @@ def floruit_score(spark, sf_dir):
     return _persons(spark, sf_dir).select("person", score.floruit_score(F.col("earliest"), F.col("latest"), YEAR).alias("floruit"))
 
 
-@query("era_bucket", "SELECT CASE WHEN y BETWEEN 1500 AND 1749 THEN 'early-modern-1500-1749' WHEN y BETWEEN 1750 AND 1922 THEN 'modern-1750-1922' WHEN y BETWEEN 1923 AND 2100 THEN 'present-day' END AS era, count(*) AS n FROM (SELECT year(o_orderdate) - 120 * (o_orderkey % 5) AS y FROM orders) o GROUP BY 1")
+@query(
+    "era_bucket",
+    "SELECT CASE WHEN y BETWEEN 1500 AND 1749 THEN 'early-modern-1500-1749' WHEN y BETWEEN 1750 AND 1922 THEN 'modern-1750-1922' WHEN y BETWEEN 1923 AND 2100 THEN 'present-day' END AS era, count(*) AS n FROM (SELECT year(o_orderdate) - 120 * (o_orderkey % 5) AS y FROM orders) o GROUP BY 1"
+)
 def era_bucket(spark, sf_dir):
     y = star_sql(spark, sf_dir, "SELECT year(o_orderdate) - 120 * (o_orderkey % 5) AS y FROM orders")
     return y.groupBy(score.era_of_year(F.col("y")).alias("era")).agg(F.count("*").alias("n"))
@@ -204,9 +228,16 @@ def score_person(spark, sf_dir):
     none = F.array().cast("array<string>")
     away = F.col("person") % 5 == 0
     f = p.select(
-        "person", score.name_score(F.when(F.col("person") % 3 == 0, F.col("label")).otherwise(F.lit("Customer#0")), F.col("label")).alias("name"),
-        score.era_score("PER", F.when(F.col("person") % 4 == 1, "Early-Modern-1500-1749").when(F.col("person") % 4 == 0, "").otherwise("present-day")).alias("era"),
-        score.residence_score(locations, F.when(away, none).otherwise(F.array("home")), F.when(away, "").otherwise(F.col("home")), F.when(away, none).otherwise(F.array("above"))).alias("residence"),
+        "person", score.name_score(
+            F.when(F.col("person") % 3 == 0, F.col("label")).otherwise(F.lit("Customer#0")), F.col("label")
+        ).alias("name"),
+        score.era_score(
+            "PER", F.when(F.col("person") % 4 == 1, "Early-Modern-1500-1749").when(F.col("person") % 4 == 0, "").otherwise("present-day")
+        ).alias("era"),
+        score.residence_score(
+            locations, F.when(away, none).otherwise(F.array("home")), F.when(away, "").otherwise(F.col("home")),
+            F.when(away, none).otherwise(F.array("above"))
+        ).alias("residence"),
         score.floruit_score(F.col("earliest"), F.col("latest"), YEAR).alias("floruit"))
     total = score.weighted({**{c: F.col(c) for c in ("name", "era", "residence", "floruit")}, "neural": F.lit(0.5)}, score.PERSON_WEIGHTS)
     return f.withColumn("score", F.round(total, 6))
@@ -231,5 +262,8 @@ SELECT b, k, hybrid FROM r WHERE n <= 10 OR (hybrid >= 70 AND rank <= 8)
 """)
 def semantic_filter(spark, sf_dir):
     """The filter on the semantic share and the edits; the ratio is tested apart."""
-    p = star_sql(spark, sf_dir, "SELECT p_brand AS b, p_partkey AS k, p_name AS c, 'red widget' AS m, CAST((p_partkey % 21) / 20.0D AS DOUBLE) AS s FROM part")
+    p = star_sql(
+        spark, sf_dir,
+        "SELECT p_brand AS b, p_partkey AS k, p_name AS c, 'red widget' AS m, CAST((p_partkey % 21) / 20.0D AS DOUBLE) AS s FROM part"
+    )
     return score.semantic_filter(p, ["b"], "s", "m", "c", "k", weights=(0.6, 0.4, 0.0)).select("b", "k", "hybrid")

@@ -64,7 +64,9 @@ SELECT doc_id, text, CASE WHEN NOT contains(text, ' ') AND substr(text, 1, 1) <>
 """)
 def fix_labels(spark, sf_dir):
     """Labels by the words around a mention."""
-    c = star_sql(spark, sf_dir, f'SELECT doc_id, "full", text, label, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end" FROM {CONTEXTS} z')
+    c = star_sql(
+        spark, sf_dir, f'SELECT doc_id, "full", text, label, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end" FROM {CONTEXTS} z'
+    )
     return tag.fix_labels(c.drop("full"), c.select("doc_id", "full")).select("doc_id", "text", "label", "start", "end")
 
 
@@ -72,7 +74,10 @@ def _words_of_a_list(load=("north", "south", "widget", "the")):
     """A stand-in for a model: the words of a list, without places, as models of whole sentences give them."""
 
     def model(texts: list[str]) -> list[list[tuple]]:
-        return [[(m[0], "GPE" if len(m[0]) > 4 else "PERSON", None, None, None) for m in re.finditer(r"\b(?:" + "|".join(load) + r")\b", t)] for t in texts]
+        return [
+            [(m[0], "GPE" if len(m[0]) > 4 else "PERSON", None, None, None) for m in re.finditer(r"\b(?:" + "|".join(load) + r")\b", t)]
+            for t in texts
+        ]
 
     return model
 
@@ -105,7 +110,9 @@ SELECT doc_id, label, CASE WHEN label = 'PER' THEN CASE WHEN starts_with(t, 'o''
 def og_merge(spark, sf_dir):
     """Names that a mark or an `e` has broken, joined where the rule allows it, and written as `O'N...`."""
     made = star_sql(spark, sf_dir, f"SELECT {SPAN_COLUMNS} FROM {BROKEN_SPANS} z")
-    merged = filters.canonical(spans.merge_adjacent(made, star_sql(spark, sf_dir, f'SELECT doc_id, "full" FROM {BROKEN} z'), max_gap=6, extend_clipped_words=False))
+    merged = filters.canonical(
+        spans.merge_adjacent(made, star_sql(spark, sf_dir, f'SELECT doc_id, "full" FROM {BROKEN} z'), max_gap=6, extend_clipped_words=False)
+    )
     return merged.select("doc_id", "label", "text", alpha_only(F.col("text")).alias("letters"), "start", "end")
 
 
@@ -119,7 +126,10 @@ WITH c AS (SELECT *, label = 'PER' AND head <> 'Owen' AND doc_id % 4 IN (0, 2) A
 SELECT doc_id, CASE WHEN longer THEN head || tail ELSE head END AS text, label, 0 AS start, CASE WHEN longer THEN length(head) + length(tail) ELSE length(head) END AS "end" FROM c
 """)
 def o_surnames(spark, sf_dir):
-    c = star_sql(spark, sf_dir, f"""SELECT doc_id, head AS text, label, 0.9e0 AS score, 0 AS start, CAST(length(head) AS INT) AS "end", "full" FROM {CUT} z""")
+    c = star_sql(
+        spark, sf_dir,
+        f"""SELECT doc_id, head AS text, label, 0.9e0 AS score, 0 AS start, CAST(length(head) AS INT) AS "end", "full" FROM {CUT} z"""
+    )
     return spans.extend_o_surnames(c.drop("full"), c.select("doc_id", "full")).select("doc_id", "text", "label", "start", "end")
 
 
@@ -129,7 +139,9 @@ SELECT doc_id, text, label, score, start, "end" FROM k
 """)
 def spans_lookup(spark, sf_dir):
     """Spans grouped to entities and taken apart again are the spans that the filter kept."""
-    return spans.spans_from_lookup(filters.unique_entities(tagged(spark, sf_dir))).select("doc_id", "text", "label", "score", "start", "end")
+    return spans.spans_from_lookup(filters.unique_entities(tagged(spark, sf_dir))).select(
+        "doc_id", "text", "label", "score", "start", "end"
+    )
 
 
 @query("nfkc_texts", """
@@ -137,5 +149,8 @@ SELECT n_nationkey AS k, 'fi' || n_name || '2' || 'A1' || '...' || '\u00e9' || '
 """)
 def nfkc_texts(spark, sf_dir):
     """A ligature, a raised digit, wide letters, an ellipsis, a letter with its accent apart, a numero sign, a hard blank and a Roman numeral."""
-    raw = star_sql(spark, sf_dir, "SELECT n_nationkey AS k, '\ufb01' || n_name || '\u00b2' || '\uff21\uff11' || '\u2026' || 'e\u0301' || '\u2116' || '\u00a0' || '\u2163' AS text FROM nation")
+    raw = star_sql(
+        spark, sf_dir,
+        "SELECT n_nationkey AS k, '\ufb01' || n_name || '\u00b2' || '\uff21\uff11' || '\u2026' || 'e\u0301' || '\u2116' || '\u00a0' || '\u2163' AS text FROM nation"
+    )
     return raw.select("k", nfkc(F.col("text")).alias("text"))

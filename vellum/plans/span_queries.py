@@ -44,7 +44,9 @@ UNION ALL SELECT doc_id, 'said ' || c_name AS text, 'PER' AS label, CAST(0.8 AS
 
 def star_sql(spark, sf_dir, text: str):
     """Run SQL that names the star tables, which are read from sf_dir."""
-    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels", "embeddings", "conversations"):
+    for name in (
+        "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels", "embeddings", "conversations"
+    ):
         if name in text:
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     return spark.sql(text.replace('"', "`"))
@@ -73,8 +75,13 @@ def nested(spark, sf_dir):
     word = F.substring_index("text", " ", 1)
     same = F.struct("text", "label", "start", "end")
     one = F.struct(word.alias("text"), F.col("label"), F.col("start"), (F.col("start") + F.length(word)).cast("int").alias("end"))
-    less = F.struct(F.substring("text", F.lit(2), F.length("text")).alias("text"), label.alias("label"), (F.col("start") + 1).alias("start"), F.col("end"))
-    each = tagged(spark, sf_dir).select("doc_id", "score", F.explode(F.array_compact(F.array(same, one, F.when(F.length("text") > 4, less)))).alias("v"))
+    less = F.struct(
+        F.substring("text", F.lit(2), F.length("text")).alias("text"), label.alias("label"), (F.col("start") + 1).alias("start"),
+        F.col("end")
+    )
+    each = tagged(spark, sf_dir).select(
+        "doc_id", "score", F.explode(F.array_compact(F.array(same, one, F.when(F.length("text") > 4, less)))).alias("v")
+    )
     return each.select("doc_id", "v.text", "v.label", "score", "v.start", "v.end")
 
 
@@ -84,7 +91,10 @@ SELECT doc_id, label, count(*) AS n, CAST(sum(start) AS BIGINT) AS sum_start, CA
 
 
 def _counted(s):
-    return s.groupBy("doc_id", "label").agg(F.count("*").alias("n"), F.sum(F.col("start").cast("long")).alias("sum_start"), F.sum(F.col("end").cast("long")).alias("sum_end"), F.countDistinct("text").alias("n_texts"))
+    return s.groupBy("doc_id", "label").agg(
+        F.count("*").alias("n"), F.sum(F.col("start").cast("long")).alias("sum_start"), F.sum(F.col("end").cast("long")).alias("sum_end"),
+        F.countDistinct("text").alias("n_texts")
+    )
 
 
 @query("drop_contained", _sql_inside('b."end" - b.start > a."end" - a.start'))
@@ -142,18 +152,29 @@ SELECT doc_id, text, label, arg_min(score, ord) AS score, arg_min(start, ord) AS
 """)
 def filter_dedupe(spark, sf_dir):
     u = filters.unique_entities(nested(spark, sf_dir))
-    return u.select("doc_id", "text", "label", "score", "start", "end", F.size("spans").cast("long").alias("n_spans"), F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["start"]).alias("sum_starts"))
+    return u.select(
+        "doc_id", "text", "label", "score", "start", "end", F.size("spans").cast("long").alias("n_spans"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["start"]).alias("sum_starts")
+    )
 
 
-@query("document_locations", f"WITH {SQL_SPANS} SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list(lower(text)) FILTER (WHERE label = 'LOC'))), '|'), '') AS locations FROM spans GROUP BY doc_id")
+@query(
+    "document_locations",
+    f"WITH {SQL_SPANS} SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list(lower(text)) FILTER (WHERE label = 'LOC'))), '|'), '') AS locations FROM spans GROUP BY doc_id"
+)
 def document_locations(spark, sf_dir):
     d = filters.document_locations(tagged(spark, sf_dir))
     return d.select("doc_id", F.array_join("locations", "|").alias("locations"))
 
 
-@query("standard_labels", "SELECT event_type AS label, CASE WHEN upper(event_type) IN ('PERSON', 'PER', 'PERS') THEN 'PER' WHEN upper(event_type) IN ('GPE', 'LOC', 'LOCATION', 'PLACE', 'FAC', 'FACILITY') THEN 'LOC' END AS standard, count(*) AS n FROM (SELECT event_type FROM events UNION ALL SELECT 'Person' FROM region UNION ALL SELECT 'gpe' FROM nation) e GROUP BY event_type")
+@query(
+    "standard_labels",
+    "SELECT event_type AS label, CASE WHEN upper(event_type) IN ('PERSON', 'PER', 'PERS') THEN 'PER' WHEN upper(event_type) IN ('GPE', 'LOC', 'LOCATION', 'PLACE', 'FAC', 'FACILITY') THEN 'LOC' END AS standard, count(*) AS n FROM (SELECT event_type FROM events UNION ALL SELECT 'Person' FROM region UNION ALL SELECT 'gpe' FROM nation) e GROUP BY event_type"
+)
 def standard_labels(spark, sf_dir):
-    e = star_sql(spark, sf_dir, "SELECT event_type AS label FROM events UNION ALL SELECT 'Person' FROM region UNION ALL SELECT 'gpe' FROM nation")
+    e = star_sql(
+        spark, sf_dir, "SELECT event_type AS label FROM events UNION ALL SELECT 'Person' FROM region UNION ALL SELECT 'gpe' FROM nation"
+    )
     return e.groupBy("label").agg(F.count("*").alias("n")).select("label", tag.standard_label(F.col("label")).alias("standard"), "n")
 
 

@@ -25,7 +25,9 @@ def sql_list(words) -> str:
 
 
 def sql_map(pairs: dict[str, str], key: str) -> str:
-    return "CASE " + key + " " + " ".join(f"WHEN '{k.replace(chr(39), chr(39) * 2)}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in pairs.items()) + " END"
+    return "CASE " + key + " " + " ".join(
+        f"WHEN '{k.replace(chr(39), chr(39) * 2)}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in pairs.items()
+    ) + " END"
 
 
 def docs(spark, sf_dir):
@@ -40,10 +42,15 @@ def norm_quotes_dashes(spark, sf_dir):
     """Quotes, dashes and white space of whole texts, after a prefix that has each kind of mark."""
     t = straight_quotes(F.concat(F.lit("“x”`y—"), F.col("text")))
     t = F.replace(F.regexp_replace(F.regexp_replace(t, r"(?U)\s*\n\n\s*", "\x01"), r"(?U)\s+", " "), F.lit("\x01"), F.lit("\n"))
-    return docs(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
+    return docs(spark, sf_dir).select("doc_id", t.alias("t")).select(
+        "doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest")
+    )
 
 
-@query("token_class_counts", f"WITH {SQL_TOKENS} SELECT kind, count(*) AS n, count(DISTINCT tok) AS n_distinct, CAST(sum(length(tok)) AS BIGINT) AS chars FROM kinds GROUP BY kind")
+@query(
+    "token_class_counts",
+    f"WITH {SQL_TOKENS} SELECT kind, count(*) AS n, count(DISTINCT tok) AS n_distinct, CAST(sum(length(tok)) AS BIGINT) AS chars FROM kinds GROUP BY kind"
+)
 def token_class_counts(spark, sf_dir):
     t = normalize.tokens(docs(spark, sf_dir))
     return t.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("tok").alias("n_distinct"), F.sum(F.length("tok")).alias("chars"))
@@ -55,7 +62,10 @@ SELECT doc_id, count(*) AS n_words, CAST(sum(start) AS BIGINT) AS sum_start, CAS
 """)
 def token_offsets(spark, sf_dir):
     t = normalize.tokens(docs(spark, sf_dir)).filter("kind = 'word'")
-    return t.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum(F.col("start").cast("long")).alias("sum_start"), F.max(F.col("start") + F.length("tok")).cast("long").alias("last_end"))
+    return t.groupBy("doc_id").agg(
+        F.count("*").alias("n_words"), F.sum(F.col("start").cast("long")).alias("sum_start"),
+        F.max(F.col("start") + F.length("tok")).cast("long").alias("last_end")
+    )
 
 
 _PROTECTED = sorted({*L.PREFIXES, *L.SURNAMES, *L.FIRST_NAMES, *L.PLACE_NAMES})
@@ -66,8 +76,12 @@ WITH {SQL_TOKENS}, c AS (SELECT doc_id, lower(regexp_replace(tok, '[^{LETTERS}''
 SELECT clean, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM c WHERE clean IN ({sql_list(_PROTECTED)}) GROUP BY clean
 """)
 def protect_lexicon(spark, sf_dir):
-    t = docs(spark, sf_dir).select("doc_id", F.explode(normalize.words_of(F.col("text"))).alias("tok")).filter(normalize.is_protected(F.col("tok")))
-    return t.withColumn("clean", clean_for_match(F.col("tok"))).groupBy("clean").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    t = docs(spark, sf_dir).select(
+        "doc_id", F.explode(normalize.words_of(F.col("text"))).alias("tok")
+    ).filter(normalize.is_protected(F.col("tok")))
+    return t.withColumn("clean", clean_for_match(F.col("tok"))).groupBy("clean").agg(
+        F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs")
+    )
 
 
 # The corpus has few words with a listed old spelling; the tables' names give words in all three cases.
@@ -117,7 +131,9 @@ def _words(spark, sf_dir):
 
 @query("spelling_candidates", f"WITH {SQL_TOKENS}, {_SQL_CANDIDATES} SELECT w, protect, array_to_string(l, '|') AS candidates FROM cands")
 def spelling_candidates(spark, sf_dir):
-    return _words(spark, sf_dir).select("w", "protect", F.array_join(normalize.spelling_candidates(F.col("w"), F.col("protect")), "|").alias("candidates"))
+    return _words(spark, sf_dir).select(
+        "w", "protect", F.array_join(normalize.spelling_candidates(F.col("w"), F.col("protect")), "|").alias("candidates")
+    )
 
 
 @query("choose_spelling", f"""
@@ -128,7 +144,9 @@ r AS (SELECT w, protect, c, row_number() OVER (PARTITION BY w, protect ORDER BY
 SELECT w, protect, c AS chosen FROM r WHERE n = 1
 """)
 def choose_spelling(spark, sf_dir):
-    return _words(spark, sf_dir).select("w", "protect", normalize.choose_by_rules(F.col("w"), normalize.spelling_candidates(F.col("w"), F.col("protect"))).alias("chosen"))
+    return _words(spark, sf_dir).select(
+        "w", "protect", normalize.choose_by_rules(F.col("w"), normalize.spelling_candidates(F.col("w"), F.col("protect"))).alias("chosen")
+    )
 
 
 @query("choose_by_frequency", f"""
@@ -142,7 +160,10 @@ def choose_by_frequency(spark, sf_dir):
     """The frequency mode, with the corpus's own word counts for a lexicon."""
     t = docs(spark, sf_dir).select(F.explode(normalize.words_of(F.col("text"))).alias("tok"))
     zipf = t.groupBy(F.lower("tok").alias("word")).agg(F.round(F.log10(F.count("*")) + 1, 6).alias("zipf"))
-    words = _words(spark, sf_dir).select(F.col("w").alias("word"), F.col("protect").alias("protect_e"), normalize.spelling_candidates(F.col("w"), F.col("protect")).alias("candidates"))
+    words = _words(spark, sf_dir).select(
+        F.col("w").alias("word"), F.col("protect").alias("protect_e"),
+        normalize.spelling_candidates(F.col("w"), F.col("protect")).alias("candidates")
+    )
     return normalize.choose_by_frequency(words, zipf).select(F.col("word").alias("w"), F.col("protect_e").alias("protect"), "chosen")
 
 
@@ -195,7 +216,10 @@ def normalize_documents(spark, sf_dir):
     """The whole normaliser, a row for each row, whatever its id."""
     docs(spark, sf_dir).createOrReplaceTempView("documents")
     n = normalize.normalize(spark.sql(f"SELECT doc_id, text FROM {NORMALIZED} y"))
-    return n.select("doc_id", F.length("normalized").alias("n_chars"), F.md5("normalized").alias("digest"), F.size("char_map").alias("n_mapped"), F.aggregate("char_map", F.lit(0).cast("long"), lambda s, x: s + x).alias("sum_map"))
+    return n.select(
+        "doc_id", F.length("normalized").alias("n_chars"), F.md5("normalized").alias("digest"), F.size("char_map").alias("n_mapped"),
+        F.aggregate("char_map", F.lit(0).cast("long"), lambda s, x: s + x).alias("sum_map")
+    )
 
 
 #: c: chunk number, start and end of each document's chunks.
@@ -209,7 +233,10 @@ c AS (
    WHEN length(regexp_extract(substr(text, s0 + 1, 1200), '(?s)^.* ', 0)) - 1 > 40 THEN length(regexp_extract(substr(text, s0 + 1, 1200), '(?s)^.* ', 0)) - 1 ELSE length(substr(text, s0 + 1, 1200)) END""").replace("s0", "0", 6).replace("s0", "s")
 
 
-@query("chunk_documents", f"WITH RECURSIVE {SQL_CHUNKS} SELECT doc_id, no AS chunk_no, s AS off, CAST(e - s AS BIGINT) AS n_chars, md5(substr(text, s + 1, e - s)) AS digest FROM c")
+@query(
+    "chunk_documents",
+    f"WITH RECURSIVE {SQL_CHUNKS} SELECT doc_id, no AS chunk_no, s AS off, CAST(e - s AS BIGINT) AS n_chars, md5(substr(text, s + 1, e - s)) AS digest FROM c"
+)
 def chunk_documents(spark, sf_dir):
     c = chunk.chunks(docs(spark, sf_dir))
     return c.select("doc_id", "chunk_no", "off", F.length("chunk").cast("long").alias("n_chars"), F.md5("chunk").alias("digest"))
@@ -220,7 +247,9 @@ WITH m AS (SELECT doc_id, text, lower(regexp_extract(text, '[A-Z][a-z]{4,}', 0))
 SELECT doc_id, m AS mention, CASE WHEN k > 0 THEN substr(lower(text), greatest(k - 51, 0) + 1, least(length(text), k - 1 + length(m) + 50) - greatest(k - 51, 0)) ELSE '' END AS near FROM p WHERE m <> ''
 """)
 def context_window(spark, sf_dir):
-    m = docs(spark, sf_dir).select("doc_id", "text", F.lower(F.regexp_extract("text", "[A-Z][a-z]{4,}", 0)).alias("mention")).filter("mention <> ''")
+    m = docs(spark, sf_dir).select(
+        "doc_id", "text", F.lower(F.regexp_extract("text", "[A-Z][a-z]{4,}", 0)).alias("mention")
+    ).filter("mention <> ''")
     return m.select("doc_id", "mention", context(F.col("text"), F.col("mention"), 50).alias("near"))
 
 
@@ -246,7 +275,14 @@ SELECT doc_id, CAST(len(l) AS BIGINT) AS n_paragraphs, array_to_string(l, chr(10
 def xml_paragraphs(spark, sf_dir):
     """Documents written as TEI, one paragraph a line with its markup characters escaped, and read again by the extractor."""
     d = docs(spark, sf_dir)
-    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("<p>"), _escaped(x), F.lit("</p>")))
-    tei = d.select("doc_id", F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body>'), F.array_join(lines, ""), F.lit("</body></text></TEI>")).alias("content"))
+    lines = F.transform(
+        F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("<p>"), _escaped(x), F.lit("</p>"))
+    )
+    tei = d.select(
+        "doc_id",
+        F.concat(
+            F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body>'), F.array_join(lines, ""), F.lit("</body></text></TEI>")
+        ).alias("content")
+    )
     got = sources.extract_tei(tei)
     return got.select("doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.col("visual").alias("text"))

@@ -55,7 +55,12 @@ class SparqlReader(DataSourceReader):
             return
         at = partition.first
         while True:
-            rows = list(bindings(fetch(self.options["endpoint"], query.replace("{limit}", str(self.page)).replace("{offset}", str(at * self.page))), self.columns))
+            rows = list(
+                bindings(
+                    fetch(self.options["endpoint"], query.replace("{limit}", str(self.page)).replace("{offset}", str(at * self.page))),
+                    self.columns
+                )
+            )
             yield from rows
             if len(rows) < self.page:
                 return
