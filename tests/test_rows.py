@@ -8,6 +8,7 @@ import threading
 import urllib.parse
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,18 @@ def test_normaliser_takes_each_row_for_itself(spark, monkeypatch):
     assert normalize.normalize(texts(spark, [])).count() == 0
 
 
+def test_long_batches_are_packed_in_parts(spark, monkeypatch):
+    from vellum.functions import strings
+
+    df = texts(spark, [(i, "Ann Fox and O Neill haue it. " * i) for i in range(12)]).coalesce(1)
+    whole = [normalize.normalize(df).collect(), normalize.tokens(df).collect()]
+    assert len(whole[1]) == sum(len(re.findall(rf"{WORD}|\d+|\s+|.", r.visual, re.S)) for r in whole[0])
+    monkeypatch.setattr(strings, "AT_ONCE", 20)
+    found = strings.found_in(strings.TOKEN_HERE).func
+    parts = found(pa.array(["a b", None, "c " * 30, "", "d"]))
+    assert [len(x or ()) for x in parts.to_pylist()] == [3, 0, 60, 0, 1] and parts.to_pylist()[4] == [{"tok": "d", "start": 0, "kind": "word"}]
+
+
 def test_analysis_takes_each_row_for_itself(spark):
     rows = [
         (None, "So John Smith met Cork."), (None, "And Mary Jones."), (1, "Then Ann Fox sat."), (1, "Then Ann Fox sat."), (2, None), (3, "")

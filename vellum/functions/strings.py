@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from array import array
 
 import pandas as pd
 import pyarrow as pa
@@ -76,6 +77,10 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+#: Values that an Arrow function holds as Python objects at most, beside those of one text.
+AT_ONCE = 200_000
+
+
 def found_in(pattern: re.Pattern):
     """An Arrow function from a text to its matches, array<struct<tok, start, kind>>: places in code points, kind the matching group's name.
 
@@ -83,18 +88,23 @@ def found_in(pattern: re.Pattern):
     """
     kind = pa.list_(pa.struct([("tok", pa.string()), ("start", pa.int32()), ("kind", pa.string())]))
 
+    def packed(sizes: array, toks: list[str], starts: array, kinds: list[str]) -> pa.Array:
+        parts = [pa.array(toks, pa.string()), pa.array(starts, pa.int32()), pa.array(kinds, pa.string())]
+        flat = pa.StructArray.from_arrays(parts, ["tok", "start", "kind"])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat).cast(kind)
+
     def run(text: pa.Array) -> pa.Array:
-        sizes, toks, starts, kinds = [0], [], [], []
+        done, sizes, toks, starts, kinds = [], array("i", [0]), [], array("i"), []
         for t in text:
             for m in pattern.finditer(t.as_py() or ""):
                 toks.append(m[0])
                 starts.append(m.start())
                 kinds.append(m.lastgroup)
             sizes.append(len(toks))
-        flat = pa.StructArray.from_arrays(
-            [pa.array(toks, pa.string()), pa.array(starts, pa.int32()), pa.array(kinds, pa.string())], ["tok", "start", "kind"]
-        )
-        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat).cast(kind)
+            if len(toks) > AT_ONCE:
+                done.append(packed(sizes, toks, starts, kinds))
+                sizes, toks, starts, kinds = array("i", [0]), [], array("i"), []
+        return pa.concat_arrays([*done, packed(sizes, toks, starts, kinds)])
 
     run.__annotations__ = {"text": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "array<struct<tok:string,start:int,kind:string>>")

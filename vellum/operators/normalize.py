@@ -8,6 +8,7 @@ and repeated ids are as good as any. One exchange, of the distinct words.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import reduce
 
 import pyarrow as pa
@@ -15,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import lexicon as L
-from vellum.functions.strings import LETTERS, TOKEN_HERE, WORD, clean_for_match, found_in, lit_set, look_up, nfkc, preserve_case, straight_quotes
+from vellum.functions.strings import (
+    AT_ONCE, LETTERS, TOKEN_HERE, WORD, clean_for_match, found_in, lit_set, look_up, nfkc, preserve_case, straight_quotes,
+)
 from vellum.operators.rows import spread
 from vellum.plans.durable import settle
 
@@ -212,17 +215,22 @@ def _assembler(lookup, keep_double_newlines: bool):
     surnames, places = frozenset(L.SURNAMES), frozenset(L.PLACE_NAMES)
     kind = pa.struct([("normalized", pa.string()), ("char_map", pa.list_(pa.int32()))])
 
+    def packed(out: list[str | None], sizes: array, maps: array) -> pa.Array:
+        each = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(maps, pa.int32()))
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), each], ["normalized", "char_map"]).cast(kind)
+
     def whole(texts: pa.Array, words) -> pa.Array:
-        out: list[str | None] = []
-        sizes, maps = [0], []
+        done, out, sizes, maps = [], [], array("i", [0]), array("i")
         for t, spelling in zip(texts, words):
             t = t.as_py()
-            text, at = (None, []) if t is None else put_together(t, spelling, surnames, places, keep_double_newlines)
+            text, at = (None, ()) if t is None else put_together(t, spelling, surnames, places, keep_double_newlines)
             out.append(text)
             maps.extend(at)
             sizes.append(len(maps))
-        each = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(maps, pa.int32()))
-        return pa.StructArray.from_arrays([pa.array(out, pa.string()), each], ["normalized", "char_map"]).cast(kind)
+            if len(maps) > 10 * AT_ONCE:
+                done.append(packed(out, sizes, maps))
+                out, sizes, maps = [], array("i", [0]), array("i")
+        return pa.concat_arrays([*done, packed(out, sizes, maps)])
 
     def shared(pre: pa.Array) -> pa.Array:
         spelling = lookup()
