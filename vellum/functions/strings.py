@@ -33,8 +33,8 @@ def lit_map(pairs: dict[str, str]) -> Column:
 
 
 def look_up(pairs: dict[str, str], key: Column) -> Column:
-    """The value of key, or null."""
-    return F.try_element_at(lit_map(pairs), key)
+    """The value of key, or null. The map is searched from end to end, so only keys of a hashed set get that far."""
+    return F.when(key.isin(*pairs), F.try_element_at(lit_map(pairs), key))
 
 
 def filled(c: Column) -> Column:

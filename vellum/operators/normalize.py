@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import lexicon as L
 from vellum.functions.strings import (
-    AT_ONCE, LETTERS, TOKEN_HERE, WORD, clean_for_match, found_in, lit_set, look_up, nfkc, preserve_case, straight_quotes,
+    AT_ONCE, LETTERS, TOKEN_HERE, WORD, clean_for_match, found_in, look_up, nfkc, preserve_case, straight_quotes,
 )
 from vellum.operators.rows import spread
 from vellum.plans.durable import settle
@@ -50,7 +50,7 @@ def distinct_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def is_protected(token: Column) -> Column:
     """Prefixes, surnames, first names and places of the lists are kept as they are."""
     clean = clean_for_match(token)
-    return (clean != "") & F.array_contains(lit_set(sorted({*L.PREFIXES, *L.SURNAMES, *L.FIRST_NAMES, *L.PLACE_NAMES})), clean)
+    return (clean != "") & clean.isin(*sorted({*L.PREFIXES, *L.SURNAMES, *L.FIRST_NAMES, *L.PLACE_NAMES}))
 
 
 def spelling_candidates(word: Column, protect_e: Column, most: int = MAX_CANDIDATES) -> Column:

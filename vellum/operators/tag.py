@@ -48,7 +48,7 @@ def capital_tagger(pieces: DataFrame) -> DataFrame:
     found = pieces.select("doc_id", "off", F.explode(found_in(CAPITALS)(F.col("chunk"))).alias("_m")).select(
         "doc_id", "off", F.col("_m.tok").alias("text"), F.col("_m.start").alias("start")
     )
-    place = F.array_contains(lit_set(sorted({*L.COUNTIES, *L.PLACE_NAMES})), F.lower("text"))
+    place = F.lower("text").isin(*sorted({*L.COUNTIES, *L.PLACE_NAMES}))
     score = F.when(place, 0.95).when(F.contains(F.col("text"), F.lit(" ")), 0.9).otherwise(0.6)
     return found.select(
         "doc_id", "off", "text", F.when(place, "LOC").otherwise("PER").alias("label"), score.alias("score"), "start",
