@@ -103,13 +103,13 @@ class NextStates:
 
 
 @lru_cache(1)
-def _letters() -> np.ndarray:
-    """For each character its lower-case form if it is a letter or a mark, else 0; forms of several characters count as their first."""
-    low = np.zeros(sys.maxunicode + 1, np.uint32)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each character its lower-case form if it is a letter or a mark, else 0 (forms of several characters count as their first), and whether it is a letter."""
+    low, letter = np.zeros(sys.maxunicode + 1, np.uint32), np.zeros(sys.maxunicode + 1, bool)
     for i in range(sys.maxunicode + 1):
-        if unicodedata.category(c := chr(i))[0] in "LM":
-            low[i] = ord(c.lower()[0])
-    return low
+        if (kind := unicodedata.category(c := chr(i))[0]) in "LM":
+            low[i], letter[i] = ord(c.lower()[0]), kind == "L"
+    return low, letter
 
 
 class Model:
@@ -119,8 +119,7 @@ class Model:
         self.langs = [lang for lang, _ in texts]
         known = sorted({c for _, t in texts for c in t} - {" "})
         number = {" ": 0} | {c: i + 2 for i, c in enumerate(known)}
-        low = _letters()
-        self.number = np.where(low > 0, 1, 0).astype(np.int32)
+        low, _ = _letters()
         by_form = np.ones(len(low), np.int32)
         by_form[[ord(c) for c in known]] = np.arange(2, len(known) + 2)
         self.number = np.where(low > 0, by_form[low], 0).astype(np.uint16 if len(known) < 65_000 else np.int32)
@@ -129,18 +128,17 @@ class Model:
         self.tables = [NextStates(SuffixAutomaton(t), number, width, dense) for _, t in texts]  # one automaton at a time
 
     def letters(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(letter numbers of all texts end to end, where each text starts and ends, its letters without blanks)."""
+        """(letter numbers of all texts end to end, where each text starts and ends, its letters, without marks and blanks)."""
         raw = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) if t else np.zeros(0, np.uint32) for t in texts]
         cuts = np.cumsum([0] + [len(r) + 1 for r in raw])
         every = np.zeros(cuts[-1], self.number.dtype)  # a blank after each text
         for a, r in zip(cuts, raw):
             every[a : a + len(r)] = self.number[r]
         some = every != 0
-        upto = np.concatenate([np.zeros(1, np.int32), np.cumsum(some, dtype=np.int32)])
         keep = some.copy()
         keep[1:] |= some[:-1]  # the first blank after a letter
         at = np.concatenate([np.zeros(1, np.int32), np.cumsum(keep, dtype=np.int32)])
-        return every[keep], at[cuts], upto[cuts[1:]] - upto[cuts[:-1]]
+        return every[keep], at[cuts], np.array([int(_letters()[1][r].sum()) for r in raw], np.int64)
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases by text and language, letters by text)."""
@@ -215,7 +213,7 @@ def training_text(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
     taken: dict[str, list[str]] = {}
     for r in picked.groupBy("lang", "rank", "share").agg(F.min(some).alias("some")).orderBy("lang", "rank").collect():  # at most sample_docs rows a language
         taken.setdefault(r.lang, []).append(" ".join(WORDS.findall(r.some))[: r.share])
-    low = _letters()
+    low, _ = _letters()
     plain = lambda text: "".join(chr(low[ord(c)]) if c != " " else c for c in text)
     return tuple((r.lang, " " + plain(" ".join(x for x in taken[r.lang] if x)) + " ") for r in known if any(taken.get(r.lang, ())))
 
