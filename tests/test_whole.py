@@ -37,7 +37,7 @@ def test_semantic_filter_takes_the_whole_table(run):
     got = run("semantic_filter", part=(parts, "p_partkey long, p_brand string, p_name string"))
     want = []
     for b in ("brand0", "brand1", "brand2", "late"):
-        group = sorted((-round(k % 21 * 5.0, 1), k) for k, x, _ in parts if x == b)
+        group = sorted((-round(0.6 * (k % 21) * 5 + 0.4 * 100, 1), k) for k, x, _ in parts if x == b)  # no edits: 100 percent
         want += [(b, k, -h) for h, k in (group if len(group) <= 10 else [x for x in group if x[0] <= -70][:8])]
     assert sorted((r.b, r.k, r.hybrid) for r in got) == sorted(want) and max(k for _, k, _ in want) == 907
 
