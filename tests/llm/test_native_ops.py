@@ -38,6 +38,17 @@ def test_sharding_places_every_row_once(spark):
     assert sharding.shard_documents(fixtures.empty(spark)).count() == 0
 
 
+def test_kept_columns_of_any_type_and_name(spark):
+    docs = fixtures.docs(spark).withColumn("tags", F.create_map(F.lit("k"), F.col("lang"))).withColumn("law", F.array(F.struct("n_chars")))
+    keep = [c for c in docs.columns if c != "doc_id"]
+    got = sharding.shard_documents(docs, shards=4, keep=keep)
+    assert len(set(map(str.lower, got.columns))) == len(got.columns) and {"law_", "shard_", "size_", "tags"} <= set(got.columns)
+    rows = got.collect()
+    assert len(rows) == len(fixtures.rows()) and all(r.law == "rows" and r.tags == {"k": r.lang} and r.law_[0].n_chars == r.n_chars for r in rows)
+    key = lambda rs: sorted((str(r.doc_id), r.text_crc32, str(r.lang), r.shard, r.slot) for r in rs)
+    assert key(rows) == key(sharding.shard_documents(docs.repartition(7), shards=4, keep=keep).collect())
+
+
 def test_shard_and_slot_lead_back_to_the_row(spark):
     got = sharding.shard_documents(fixtures.docs(spark), shards=4)
     n = len(fixtures.rows())

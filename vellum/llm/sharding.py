@@ -64,7 +64,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = KEY, id_col: st
     for i in range(16**digits):
         starts.append(n)
         n += counts.get(i, 0)
-    order = Window.partitionBy("_bucket").orderBy("doc_id", "text_crc32", "size", "_tie", F.xxhash64(F.to_json("_kept")))
+    # What tells rows with equal ids and texts apart: a hash of the kept columns, maps by their JSON.
+    rest = [F.col(f"_kept.c{i}") if "map<" not in docs.schema[c].dataType.simpleString() else F.to_json(F.struct(f"_kept.c{i}")) for i, c in enumerate(kept) if c != text_col]
+    order = Window.partitionBy("_bucket").orderBy("doc_id", "text_crc32", "size", "_tie", F.xxhash64(F.lit(0), *rest))
     rows = rows.withColumn("row_number", F.get(long_array(starts), F.col("_bucket").cast("int")) + F.row_number().over(order) - 1)
     shard, slot = place(F.col("row_number"), n, shards, key)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.alias("shard"), slot.alias("slot"), "row_number", *[F.col(f"_kept.c{i}").alias(c) for i, c in enumerate(kept.values())])
