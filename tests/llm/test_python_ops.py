@@ -73,7 +73,7 @@ def test_token_counts_of_awkward_rows(spark):
 
 def naive_phrases(text, subs, piece):
     """Longest match and one letter, again and again, over each stretch of `piece` letters."""
-    plain = " ".join(re.findall(r"[^\W\d_]+", text.lower()))
+    plain = " ".join(re.findall(r"(?:[^\W\d_]|\u0301)+", text.lower()))
     plain, total = plain + " " * bool(plain), 0
     for at in range(0, len(plain), piece):
         own, i = plain[at : at + piece], 0
@@ -90,7 +90,7 @@ def test_phrases_of_the_cross_parsing(monkeypatch, piece, cells):
     monkeypatch.setattr(language, "CELLS", cells)  # 0: sorted edges instead of tables
     samples = (("x", " abra cadabra bra "), ("y", " ein zwei drei "))
     model = language.Model(samples)
-    probes = ["Abra cadx", "xbra; RACA dabra.b", None, "", "12 !?", "zwei drei vier fünf", "a", "Ein  ZWEI\n\ndrei " * 40]
+    probes = ["Abra cadx", "xbra; RACA dabra.b", None, "", "12 !?", "\u0301 \u0301!", "zwei drei vier fünf", "a", "Ein  ZWEI\n\ndrei " * 40]
     found, letters = model.phrases(probes)
     for k, (_, text) in enumerate(samples):
         subs = {text[i:j] for i in range(len(text)) for j in range(i, len(text) + 1)}
@@ -98,6 +98,7 @@ def test_phrases_of_the_cross_parsing(monkeypatch, piece, cells):
         assert all(a.longest_match(p, 1) == max(j for j in range(len(p)) if p[1 : 1 + j] in subs) for p in ("zabra", "eein zw"))
         assert found[:, k].tolist() == [naive_phrases(p or "", subs, piece) for p in probes]
     assert letters.tolist() == [sum(c.isalpha() for c in p or "") for p in probes]
+    assert [lang for lang, *_ in model.classify(probes)][2:6] == ["und"] * 4  # null, empty, without letters, marks alone
 
 
 def test_a_language_is_learned_from_each_id_once(spark):
@@ -497,13 +498,28 @@ def test_components_of_long_chains(spark):
     assert connected_components(links.limit(0)).count() == 0
 
 
-def test_components_with_hubs(spark, monkeypatch):
-    from vellum.llm import components
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_components_with_hubs(spark, monkeypatch, broadcast):
+    import random
+
+    from vellum.llm import common, components
 
-    monkeypatch.setattr(components, "HOT", 4)
+    monkeypatch.setattr(common, "HOT", 4)
+    monkeypatch.setattr(components, "BROADCAST_ROWS", broadcast)
     links = [(500, i) for i in range(100, 160)] + [(700, i) for i in range(160, 200)] + [(159, 160), (900, 900), (None, 3), (800, 850), (800, 850)]
-    got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    rng = random.Random(6)
+    more = [(1000 + rng.randrange(60), 1000 + rng.randrange(60)) for _ in range(40)]
+    df = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = {r.id: r.component for r in components.connected_components(df(links)).collect()}
     assert got == {**{i: 100 for i in [*range(100, 200), 500, 700]}, 900: 900, 800: 800, 850: 800}
+    up = {i: i for pair in more for i in pair}
+    for _ in up:
+        for a, b in more:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {r.id: r.component for r in components.connected_components(df(more)).collect()}
+    assert got == up
+    half = components.extended(components.connected_components(df(more[:20])), df(more[20:]))
+    assert {r.id: r.component for r in half.collect()} == up
 
 
 def test_repeated_rows_are_verified_once(spark, monkeypatch):
@@ -517,6 +533,16 @@ def test_repeated_rows_are_verified_once(spark, monkeypatch):
     assert Counter((r.doc_id, r.component_id) for r in got) == {(1, 1): 30, (2, 1): 30, (3, 3): 1} and seen == [1]
 
 
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    from vellum.llm import common
+
+    monkeypatch.setattr(common, "HOT", 5)
+    left = spark.createDataFrame([(1, i) for i in range(40)] + [(2, i) for i in range(3)] + [(None, 1), (9, 9)], "a long, b long")
+    right = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (3, "w"), (None, "n")], "a long, t string")
+    got = Counter((r.a, r.b, r.t) for r in common.join_dealt(left, right, "a", "b").collect())
+    assert got == Counter((r.a, r.b, r.t) for r in left.join(right, "a").collect()) and got.total() == 83
+
+
 def test_parts_of_the_bands_hold_their_entries():
     starts = jaccard_join.band_parts([(14, 16, 10_000), (3, 4, 7)], 75, 1000)
     n = starts[1:] - starts[:-1]

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import anti_join, column, long_array, settle, small_or_not
-from vellum.llm.components import connected_components
+from vellum.llm.common import anti_join, column, join_dealt, long_array, settle, small_or_not
+from vellum.llm.components import connected_components, extended
 from vellum.llm.hashing import deal, mix, window_hashes, words_at
 
 SHINGLE = 5
@@ -391,8 +391,9 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                         yes.append((a[k], b[k]))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in yes], pa.int64()) for i in range(2)], schema=schema)
 
-    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_y")), "b")
-    both = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_x")), "a").select("a", "b", "_x", "_y")
+    one = join_dealt(pairs, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_y")), "b", "a")
+    # A centre of very many pairs has its text sent to several tasks.
+    both = join_dealt(one, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_x")), "a", "b", keys=pairs).select("a", "b", "_x", "_y")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -439,7 +440,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     if not rest.isEmpty():
         more = settle(verified(rest, texts, width, percent))
         if not more.isEmpty():
-            component = connected_components(found.union(more))
+            component = extended(component, more)
     whole = classes.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(whole, ["n_shingles", "d1", "d2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
