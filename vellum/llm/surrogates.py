@@ -69,11 +69,19 @@ _NAME = r"[^\W\d_][^\W\d_]++(?:['’-][^\W\d_]++)*+"
 _UPPER = "[" + "".join(c for c in map(chr, range(0x530)) if c.isupper()) + "]"  # Latin, Greek and Cyrillic
 _LISTED = "|".join(x for n in sorted(GIVEN_F + GIVEN_M, key=len, reverse=True) for x in (n, n.upper()))
 _TITLES = "|".join(TITLES_F + TITLES_M + TITLES_N)
-_GIVEN = r"\b(?:" + _LISTED + r")(?: (?=" + _UPPER + ")" + _NAME + r"){1,2}"
+_GIVEN = r"(?=" + _UPPER + r")\b(?:" + _LISTED + r")(?: (?=" + _UPPER + ")" + _NAME + r"){1,2}"
 _CAP = _UPPER + r"[^\W\d_]++"
 _MONTH = "|".join(sorted({m for own in MONTHS for m in own}, key=len, reverse=True))
 _DATE = rf"\d{{4}}-\d\d-\d\d|\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}}|\d{{1,2}}(?:st|nd|rd|th|\.)? (?:de )?(?i:{_MONTH})\.?,? (?:de )?\d{{4}}|(?i:{_MONTH})\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}"
-HINT = re.compile(r"[@0-9]|\b(?:" + _TITLES + "|" + _LISTED + r")\b|(?i:passw|pwd|secret)")
+_DIGIT, _SECRET, _CAPITAL = re.compile("[0-9]"), re.compile(r"(?i:passw|pwd|secret|api_?key)"), re.compile(_UPPER + r"[^\W\d_]++")
+_CALLS = frozenset(x for n in TITLES_F + TITLES_M + TITLES_N + GIVEN_F + GIVEN_M for x in (n, n.upper()))
+
+
+def hinted(text: str) -> bool:
+    """Whether text may have an entity: most texts have no digit, no `@`, no secret's word and no title or listed name, which is soon seen."""
+    return "@" in text or _DIGIT.search(text) is not None or ("=" in text or ":" in text) and _SECRET.search(text) is not None or not _CALLS.isdisjoint(_CAPITAL.findall(text))
+
+
 ENTITY = re.compile(
     r"(?P<email>(?<![\w.+%-])[\w.+%-]++@[\w-]++(?:\.[\w-]++)++)"
     r"|(?P<secret>(?<![0-9A-Za-z])(?=[0-9A-Za-z_-]{0,127}[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|AKIA)[-_]?[0-9A-Za-z]{16,64})(?![0-9A-Za-z])"
@@ -376,7 +384,7 @@ def check(replaced: dict[tuple[str, str], str], titles: dict[str, str] | None =
 
 def replace_text(text: str | None, key: bytes) -> tuple[str | None, int, int, str]:
     """(text with surrogates, entities, different entities, kinds as `kind:count` in order of kind)."""
-    if not text or not HINT.search(text):
+    if not text or not hinted(text):
         return text, 0, 0, ""
     made: dict[tuple[str, str], str] = {}
     kinds: dict[str, int] = {}
