@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tests.llm import fixtures
@@ -98,7 +99,7 @@ def test_phrases_of_the_cross_parsing(monkeypatch, piece, cells):
         assert all(a.longest_match(p, 1) == max(j for j in range(len(p)) if p[1 : 1 + j] in subs) for p in ("zabra", "eein zw"))
         assert found[:, k].tolist() == [naive_phrases(p or "", subs, piece) for p in probes]
     assert letters.tolist() == [sum(c.isalpha() for c in p or "") for p in probes]
-    assert [lang for lang, *_ in model.classify(probes)][2:6] == ["und"] * 4  # null, empty, without letters, marks alone
+    assert [lang for lang, *_ in model.classify(pa.array(probes))][2:6] == ["und"] * 4  # null, empty, without letters, marks alone
 
 
 def test_a_language_is_learned_from_each_id_once(spark):

@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ SAMPLE_DOCS = 400
 LANGUAGES = 500
 #: Letters of a text that are parsed in one go, and bytes of text that are parsed side by side.
 PIECE, SLICE_BYTES = 4096, 4_000_000
-#: Cells of all tables of next states together (4 bytes each); larger alphabets are searched in sorted edges.
-CELLS = 60_000_000
+#: Cells of all tables of next states together (4 bytes each); with larger alphabets sorted edges are searched.
+CELLS = 20_000_000
 WORDS = regex.compile(r"[\p{L}\p{M}]+")
 UNDETERMINED = "und"
 OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_letters", pa.int64())])
@@ -81,25 +82,41 @@ class SuffixAutomaton:
 
 
 class NextStates:
-    """An automaton's edges by state and letter number; 0 where there is none."""
-
-    def __init__(self, automaton: SuffixAutomaton, number: dict[str, int], width: int, dense: bool) -> None:
-        self.width = width
-        keys = np.array([s * width + number[c] for s, own in enumerate(automaton.edges) for c in own], np.int64)
-        to = np.array([t for own in automaton.edges for t in own.values()], np.int32)
-        if dense:
-            self.table = np.zeros(len(automaton.edges) * width, np.int32)
+    """An automaton's edges by state and letter number; 0 where there is none.
+
+    Most states have one edge, which is kept as its letter and its end; the others have rows of a table, or, where the alphabet is
+    large, edges in order of state and letter.
+    """
+
+    def __init__(self, automaton: SuffixAutomaton, number: dict[str, int], width: int, cells: int) -> None:
+        self.width, edges = width, automaton.edges
+        many = [s for s, own in enumerate(edges) if len(own) != 1]
+        self.letter, self.end, self.row = np.full(len(edges), -1, np.int32), np.zeros(len(edges), np.int32), np.full(len(edges), -1, np.int32)
+        for s, own in enumerate(edges):
+            if len(own) == 1:
+                (c, to), = own.items()
+                self.letter[s], self.end[s] = number[c], to
+        self.row[many] = np.arange(len(many))
+        keys = np.array([k * width + number[c] for k, s in enumerate(many) for c in edges[s]], np.int64)
+        to = np.array([t for s in many for t in edges[s].values()], np.int32)
+        if len(many) * width <= cells:
+            self.table = np.zeros(len(many) * width, np.int32)
             self.table[keys] = to
         else:
             self.table, order = None, np.argsort(keys)
             self.keys, self.to = np.append(keys[order], np.int64(2**62)), np.append(to[order], np.int32(0))
 
     def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
-        key = state.astype(np.int64) * self.width + letter
+        new = np.where(self.letter[state] == letter, self.end[state], 0)
+        row = self.row[state]
+        at = np.flatnonzero(row >= 0)
+        key = row[at].astype(np.int64) * self.width + letter[at]
         if self.table is not None:
-            return self.table[key]
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.to[at], 0).astype(np.int32)
+            new[at] = self.table[key]
+        else:
+            found = np.searchsorted(self.keys, key)
+            new[at] = np.where(self.keys[found] == key, self.to[found], 0)
+        return new
 
 
 @lru_cache(1)
@@ -124,8 +141,7 @@ class Model:
         by_form[[ord(c) for c in known]] = np.arange(2, len(known) + 2)
         self.number = np.where(low > 0, by_form[low], 0).astype(np.uint16 if len(known) < 65_000 else np.int32)
         width = len(known) + 2
-        dense = width * sum(2 * len(t) for _, t in texts) <= CELLS
-        self.tables = [NextStates(SuffixAutomaton(t), number, width, dense) for _, t in texts]  # one automaton at a time
+        self.tables = [NextStates(SuffixAutomaton(t), number, width, CELLS // len(texts)) for _, t in texts]  # one automaton at a time
 
     def letters(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(letter numbers of all texts end to end, where each text starts and ends, its letters, without marks and blanks)."""
@@ -160,11 +176,11 @@ class Model:
             found[:, k] = np.bincount(owner, weights=n + (state > 0), minlength=len(texts)) if len(size) else 0
         return found, letters
 
-    def classify(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
+    def classify(self, texts: pa.Array) -> list[tuple[str, float, int]]:
         """(language, score, letters) of each text; score is 1 - phrases of the winner / phrases of the next one, ties go to the most frequent language."""
         out: list[tuple[str, float, int]] = []
         for a, b in _slices(texts):
-            found, letters = self.phrases(texts[a:b])
+            found, letters = self.phrases(texts[a:b].to_pylist())
             for row, n in zip(found, letters.tolist()):
                 if not n or not self.langs:
                     out.append((UNDETERMINED, 0.0, n))
@@ -175,10 +191,11 @@ class Model:
         return out
 
 
-def _slices(texts: list[str | None]):
+def _slices(texts: pa.Array):
+    """Row ranges of about SLICE_BYTES of text."""
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n or 0
         if size >= SLICE_BYTES:
             yield start, i + 1
             start, size = i + 1, 0
@@ -241,7 +258,7 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     def run(batches):
         model = _model(shared.value)
         for batch in batches:
-            found = model.classify(batch.column(1).to_pylist())
+            found = model.classify(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], type=OUT.types[i + 1]) for i in range(3))], schema=OUT)
 
     return spread(docs).select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_letters long")
@@ -260,7 +277,7 @@ def identified_documents(docs: DataFrame, labelled: DataFrame, min_score: float
     def run(batches):
         model = _model(shared.value)
         for batch in batches:
-            found = model.classify(batch.column(text_at).to_pylist())
+            found = model.classify(batch.column(text_at))
             told = [lang != UNDETERMINED and score > min_score and (languages is None or lang in languages) for lang, score, _ in found]
             labels = [old if old and old.strip() else new for old, (new, _, _) in zip(batch.column(lang_at).to_pylist(), found)]
             arrays = list(batch.columns)

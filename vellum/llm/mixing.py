@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,17 +116,19 @@ def draws(targets: DataFrame, shards: int = SHARDS, block: int = BLOCK, most: in
     One task sees one row a source, as a shard's draw is over all sources.
     """
 
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("src").reset_index(drop=True)
+    schema = pa.schema([("src", pa.string())] + [(c, pa.int64()) for c in ("n_blocks", "n_slots")] + [("shard", pa.int32()), ("start", pa.int64()), ("drawn", pa.int64())])
+
+    def deal(rows: pa.Table) -> pa.Table:
+        rows = rows.select(["src", "n_blocks", "n_slots"]).sort_by("src")
         seed = int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "big")
-        by = dealt(pdf["n_slots"].to_numpy(np.int64), shards, seed)
+        by = dealt(rows.column("n_slots").to_numpy(), shards, seed)
         start = np.cumsum(by, axis=0) - by
-        parts = [pdf.assign(shard=k, start=start[k], drawn=by[k]) for k in range(shards)]
-        return pd.concat(parts, ignore_index=True)
+        parts = [[*rows.columns, pa.array([k] * len(rows), pa.int32()), pa.array(start[k]), pa.array(by[k])] for k in range(shards)]
+        return pa.concat_tables([pa.Table.from_arrays(p, schema=schema) for p in parts])
 
     n_blocks = F.ceil(F.col("source_size") / block).cast("long")
     plan = targets.filter("source_size > 0").select("src", n_blocks.alias("n_blocks"), F.least(F.lit(most) * n_blocks, F.round(F.col("target") * n_blocks / F.col("source_size")).cast("long")).alias("n_slots"))
-    return plan.filter("n_slots > 0").groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: deal(pdf[["src", "n_blocks", "n_slots"]]), "src string, n_blocks long, n_slots long, shard int, start long, drawn long")
+    return plan.filter("n_slots > 0").groupBy(F.lit(0).alias("all")).applyInArrow(deal, "src string, n_blocks long, n_slots long, shard int, start long, drawn long")
 
 
 def slots(drawn: DataFrame, key: str = KEY) -> DataFrame:
