@@ -44,7 +44,9 @@ def test_kept_columns_of_any_type_and_name(spark):
     got = sharding.shard_documents(docs, shards=4, keep=keep)
     assert len(set(map(str.lower, got.columns))) == len(got.columns) and {"law_", "shard_", "size_", "tags"} <= set(got.columns)
     rows = got.collect()
-    assert len(rows) == len(fixtures.rows()) and all(r.law == "rows" and r.tags == {"k": r.lang} and r.law_[0].n_chars == r.n_chars for r in rows)
+    assert len(rows) == len(fixtures.rows()) and all(
+        r.law == "rows" and r.tags == {"k": r.lang} and r.law_[0].n_chars == r.n_chars for r in rows
+    )
     key = lambda rs: sorted((str(r.doc_id), r.text_crc32, str(r.lang), r.shard, r.slot) for r in rs)
     assert key(rows) == key(sharding.shard_documents(docs.repartition(7), shards=4, keep=keep).collect())
 
@@ -168,13 +170,17 @@ def in_order(rows):
 
 def test_merkle_against_brute_force(spark):
     rows = in_order([(i, t or "") for i, t, *_ in fixtures.rows()])
-    got = sorted(merkle.compare_with_edited(fixtures.docs(spark)).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.fingerprint))
+    got = sorted(
+        merkle.compare_with_edited(fixtures.docs(spark)).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.fingerprint)
+    )
     want = []
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
-        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), print_of(t), print_of(edited), near(t, edited), near(t, after)))
+        want.append(
+            (i, len(t), hashlib.sha256(edited.encode()).hexdigest(), print_of(t), print_of(edited), near(t, edited), near(t, after))
+        )
     want.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[3]))
     assert [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got] == [w[:5] for w in want]
     for r, w in zip(got, want):
@@ -188,11 +194,15 @@ def test_next_documents_in_clusters_and_repeats(spark, monkeypatch):
 
     monkeypatch.setattr(merkle, "STRETCH", 7)
     rng = random.Random(11)
-    ids = [rng.randrange(50) for _ in range(60)] + [10**15 + rng.randrange(40) for _ in range(60)] + [77] * 80 + [None] * 60 + [-(2**62), 2**62]
+    ids = [rng.randrange(50) for _ in range(60)] + [
+        10**15 + rng.randrange(40) for _ in range(60)
+    ] + [77] * 80 + [None] * 60 + [-(2**62), 2**62]
     rows = in_order([(i, f"text {k % 90}") for k, i in enumerate(ids)])
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = merkle.with_next(df).collect()
-    assert Counter((r.doc_id, r.text, r.next_text) for r in got) == Counter((i, t, rows[(k + 1) % len(rows)][1]) for k, (i, t) in enumerate(rows))
+    assert Counter((r.doc_id, r.text, r.next_text) for r in got) == Counter(
+        (i, t, rows[(k + 1) % len(rows)][1]) for k, (i, t) in enumerate(rows)
+    )
 
 
 def test_merkle_locates_edits(spark):
@@ -244,11 +254,18 @@ def contained(docs, items):
 
 def test_decontamination_against_brute_force(spark):
     item = " ".join(f"q{i}" for i in range(24))
-    items = [(1, item), (2, "one two"), (3, None), (4, ""), (5, "Word7, word8! word9 word10 word11 word12"), (6, " ".join(fixtures.LONG.split()[100:130])), (None, "text without an id")]
+    items = [
+        (1, item), (2, "one two"), (3, None), (4, ""), (5, "Word7, word8! word9 word10 word11 word12"),
+        (6, " ".join(fixtures.LONG.split()[100:130])), (None, "text without an id")
+    ]
     most = " ".join(item.split()[:20])
     less = " ".join(item.split()[:15])
-    docs = [(i, t) for i, t, *_ in fixtures.rows() if i is not None] + [(30, f"before {item} after"), (31, f"a {most} b"), (32, f"a {less} b"), (33, item.upper()), (34, f"{item} {item}")]
-    got = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    docs = [(i, t) for i, t, *_ in fixtures.rows() if i is not None] + [
+        (30, f"before {item} after"), (31, f"a {most} b"), (32, f"a {less} b"), (33, item.upper()), (34, f"{item} {item}")
+    ]
+    got = decontaminate.contained_items(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
     by_doc = {}
     for d, t in docs:  # equal ids are one document
         by_doc.setdefault(d, []).append(t)

@@ -52,7 +52,9 @@ def test_language_stage_takes_its_decisions(spark):
     """The stage fills labels and rejects what no language explains best, which is not a test for letters."""
     known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.lang: r.text for r in known.dropDuplicates(["lang"]).collect()}
-    extra = [(10**6 + i, t, None if i % 2 else " ") for i, t in enumerate(texts.values())] + [(10**7, "Q", None), (10**7 + 1, "123 !?", "en"), (10**7 + 2, None, None)]
+    extra = [
+        (10**6 + i, t, None if i % 2 else " ") for i, t in enumerate(texts.values())
+    ] + [(10**7, "Q", None), (10**7 + 1, "123 !?", "en"), (10**7 + 2, None, None)]
     docs = known.select("doc_id", "text", "lang").union(spark.createDataFrame(extra, "doc_id long, text string, lang string"))
     kept = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, SF)
     got = {r.doc_id: r.lang for r in kept.collect()}

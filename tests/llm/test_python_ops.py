@@ -64,7 +64,9 @@ def test_a_full_trie_changes_no_count(monkeypatch):
 def test_token_counts_of_awkward_rows(spark):
     got = sorted(((r.doc_id or -1, r.n_pretokens, r.n_tokens) for r in tokens.count_tokens(fixtures.docs(spark)).collect()))
     trie = tokens.PreTokenTrie(*tokens.unigram_scores(tokens.vocabulary_path()))
-    want = sorted((i or -1, len(WORD.findall(t or "")), sum(trie._long("▁" + w) for w in WORD.findall(t or ""))) for i, t, *_ in fixtures.rows())
+    want = sorted(
+        (i or -1, len(WORD.findall(t or "")), sum(trie._long("▁" + w) for w in WORD.findall(t or ""))) for i, t, *_ in fixtures.rows()
+    )
     assert got == want
     assert tokens.count_tokens(fixtures.empty(spark)).count() == 0
 
@@ -174,12 +176,16 @@ def test_addresses_dates_of_birth_and_passwords():
     assert kinds == "born:3,secret:1,street:3" and "In 1984 a road had 12 elms; on 3 March 1984 it rained." in new
     day, month, year, iso, german = re.search(r"Born on (\d+) (\w+) (\d{4}) \(DOB: ([\d-]+), geboren am ([\d.]+)\)", new).groups()
     y, m, d = iso.split("-")
-    assert (int(day), surrogates.MONTHS[0].index(month.lower()) + 1, year) == (int(d), int(m), y) and german == f"{d}.{m}.{y}" and iso != "1984-03-03"
+    assert (
+        int(day), surrogates.MONTHS[0].index(month.lower()) + 1, year
+    ) == (int(d), int(m), y) and german == f"{d}.{m}.{y}" and iso != "1984-03-03"
     assert re.search(r"\d\d [A-Z][a-z]{2} Street, [A-Z]\w+straße \d, Calle de [A-Z]\w+ \d\d; password=[0-9a-f]{18}\.", new)
 
 
 def test_names_of_mail_addresses():
-    new, n, _, kinds = surrogates.replace_text("Zoltan Kovacs wrote; write to zoltan.kovacs@x.org. Kovacs's dog, KOVACS. Other People stay.", KEY)
+    new, n, _, kinds = surrogates.replace_text(
+        "Zoltan Kovacs wrote; write to zoltan.kovacs@x.org. Kovacs's dog, KOVACS. Other People stay.", KEY
+    )
     assert kinds == "email:1,person:3" and "ovacs" not in new and "Zoltan" not in new and new.endswith("Other People stay.")
 
 
@@ -193,7 +199,9 @@ def test_no_two_entities_of_a_table_share_a_surrogate():
     for k in range(300):
         g = rng.choice("fm")
         entities = {
-            "email": f"user{rng.randrange(400)}@mail{rng.randrange(5)}.example.com", "ip": ".".join(str(rng.randrange(256)) for _ in range(4)),
+            "email": f"user{rng.randrange(400)}@mail{rng.randrange(5)}.example.com", "ip": ".".join(
+                str(rng.randrange(256)) for _ in range(4)
+            ),
             "phone": f"+1 ({rng.randrange(1000):03d}) 555-{rng.randrange(10000):04d}", "person": f"{rng.choice(given[g])} {rng.choice(['Ray', 'Roy', 'May', 'Fox', 'Dax', 'Pym'])}",
         }
         text = " and ".join(f"see {x} here" for x in entities.values())
@@ -210,11 +218,20 @@ def test_no_two_entities_of_a_table_share_a_surrogate():
 
 
 def test_clean_texts_are_left_alone():
-    for text in ("Version 2.0, January 2004; the GNU General Public License, version 3.", "Peter went home. In 1812 the street had 40 houses.", "4445617099674829 1111111111111111 3.1415926535897932", "a@b 1.2.3 12-34-56"):
+    for text in (
+        "Version 2.0, January 2004; the GNU General Public License, version 3.", "Peter went home. In 1812 the street had 40 houses.",
+        "4445617099674829 1111111111111111 3.1415926535897932", "a@b 1.2.3 12-34-56"
+    ):
         assert surrogates.replace_text(text, KEY)[:2] == (text, 0)
 
 
-@pytest.mark.parametrize("text", ["1" + "a" * 400_000, "1 " + "a-" * 200_000, "1 " + "a." * 200_000, "a@" * 200_000, "Mr A" + "-a" * 200_000, "12 " + "Elm " * 100_000, "12-345-" * 60_000])
+@pytest.mark.parametrize(
+    "text",
+    [
+        "1" + "a" * 400_000, "1 " + "a-" * 200_000, "1 " + "a." * 200_000, "a@" * 200_000, "Mr A" + "-a" * 200_000,
+        "12 " + "Elm " * 100_000, "12-345-" * 60_000
+    ]
+)
 def test_long_texts_take_time_by_their_length(text):
     import time
 
@@ -276,9 +293,15 @@ def made_page(rng, k):
     main = [("h1", words(4))] + [("p", words(rng.choice([2, 3, 12, 25, 40]))) for _ in range(rng.randint(2, 5))] + [("p", words(30))]
     body = "".join(f"<{t}>{x}</{t}>" for t, x in main)
     links = "<ul>" + "".join(f"<li><a href=x>{words(1)}</a></li>" for _ in range(4)) + "</ul>"
-    open_, close = [("<article>", "</article>"), ("<main>", "</main>"), ("<div id='content'>", "</div>"), ("<div class='has-sidebar'><main>", "</main></div>"), ("<div class='post-body'><section>", "</section></div>")][k % 5]
+    open_, close = [
+        ("<article>", "</article>"), ("<main>", "</main>"), ("<div id='content'>", "</div>"),
+        ("<div class='has-sidebar'><main>", "</main></div>"), ("<div class='post-body'><section>", "</section></div>")
+    ][k % 5]
     around = [f"<nav>{links}</nav>", f"<div class='ad'>{words(8)}</div>", f"<header><p>{words(6)}</p>{links}</header>"]
-    after = [f"<div id='comments'><h3>{words(2)}</h3>" + "".join(f"<p>{words(20)}</p>" for _ in range(3)) + "</div>", f"<footer><p>{words(15)}</p></footer>", f"<aside><p>{words(25)}</p>{links}</aside>", f"<form><p>{words(9)}</p></form>"]
+    after = [
+        f"<div id='comments'><h3>{words(2)}</h3>" + "".join(f"<p>{words(20)}</p>" for _ in range(3)) + "</div>",
+        f"<footer><p>{words(15)}</p></footer>", f"<aside><p>{words(25)}</p>{links}</aside>", f"<form><p>{words(9)}</p></form>"
+    ]
     return "<html><body>" + "".join(rng.sample(around, 2)) + open_ + body + close + "".join(rng.sample(after, 2)) + "</body></html>", [x for _, x in main]
 
 
@@ -313,7 +336,13 @@ def test_precision_and_recall_on_made_pages():
     assert alone > 100  # blocks that the classifier alone would have lost
 
 
-@pytest.mark.parametrize("part", ["<a ", "<div>x", "<i><div><b></i>x", '<a x=">" ', "<ul><div><li>x</li>", "<b><hr>x", "</section><div>x", "<article><p>Con.</p>", "<a href='x "])
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<a ", "<div>x", "<i><div><b></i>x", '<a x=">" ', "<ul><div><li>x</li>", "<b><hr>x", "</section><div>x", "<article><p>Con.</p>",
+        "<a href='x "
+    ]
+)
 def test_broken_pages_take_time_by_their_length(part):
     import time
 
@@ -326,9 +355,17 @@ def test_broken_pages_take_time_by_their_length(part):
 
 
 def test_pages_of_a_table(spark):
-    pages = spark.createDataFrame([(1, "u", "<article><p>Hello there</p></article>", 1), (1, "u", "<article><p>Hello there</p></article>", 1), (2, None, None, 2), (None, "v", "", 3)], "page_id long, url string, html string, text int")
+    pages = spark.createDataFrame(
+        [
+            (1, "u", "<article><p>Hello there</p></article>", 1), (1, "u", "<article><p>Hello there</p></article>", 1), (2, None, None, 2),
+            (None, "v", "", 3)
+        ],
+        "page_id long, url string, html string, text int"
+    )
     got = html_text.extract_pages(pages).collect()
-    assert Counter((r.page_id, r.url, r.text, r.n_chars) for r in got) == Counter({(1, "u", "Hello there", 11): 2, (2, None, "", 0): 1, (None, "v", "", 0): 1})
+    assert Counter((r.page_id, r.url, r.text, r.n_chars) for r in got) == Counter(
+        {(1, "u", "Hello there", 11): 2, (2, None, "", 0): 1, (None, "v", "", 0): 1}
+    )
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
@@ -371,7 +408,10 @@ def removed(rows, window=20):
 @pytest.mark.parametrize("bucket_bytes", [500, 12_000_000])
 def test_substring_dedup_against_brute_force(spark, bucket_bytes):
     passage = " ".join(f"p{i}" for i in range(33))
-    extra = [(40, f"intro words {passage} outro"), (41, passage), (42, f"x {passage} y {passage}"), (43, " ".join(passage.split()[5:25])), (44, " ".join(passage.split()[5:24])), (45, "the same few words " * 30)]
+    extra = [
+        (40, f"intro words {passage} outro"), (41, passage), (42, f"x {passage} y {passage}"), (43, " ".join(passage.split()[5:25])),
+        (44, " ".join(passage.split()[5:24])), (45, "the same few words " * 30)
+    ]
     rows = sorted([(i, t) for i, t, *_ in fixtures.rows() if i is not None and i != 13] + extra, key=lambda r: r[0])
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = substring_dedup.remove_repeats(df, bucket_bytes=bucket_bytes, part_entries=50).collect()
@@ -507,7 +547,9 @@ def test_components_with_hubs(spark, monkeypatch, broadcast):
 
     monkeypatch.setattr(common, "HOT", 4)
     monkeypatch.setattr(components, "BROADCAST_ROWS", broadcast)
-    links = [(500, i) for i in range(100, 160)] + [(700, i) for i in range(160, 200)] + [(159, 160), (900, 900), (None, 3), (800, 850), (800, 850)]
+    links = [(500, i) for i in range(100, 160)] + [(700, i) for i in range(160, 200)] + [
+        (159, 160), (900, 900), (None, 3), (800, 850), (800, 850)
+    ]
     rng = random.Random(6)
     more = [(1000 + rng.randrange(60), 1000 + rng.randrange(60)) for _ in range(40)]
     df = lambda rows: spark.createDataFrame(rows, "a long, b long")
@@ -547,4 +589,6 @@ def test_hot_keys_are_dealt(spark, monkeypatch):
 def test_parts_of_the_bands_hold_their_entries():
     starts = jaccard_join.band_parts([(14, 16, 10_000), (3, 4, 7)], 75, 1000)
     n = starts[1:] - starts[:-1]
-    assert n[3] == n[4] == n[10] == 1 and all(n[b] >= 10_000 * jaccard_join.scheme(int(jaccard_join.band_ends()[b]), 75)[1] // 1000 for b in (14, 15, 16))
+    assert n[3] == n[4] == n[10] == 1 and all(
+        n[b] >= 10_000 * jaccard_join.scheme(int(jaccard_join.band_ends()[b]), 75)[1] // 1000 for b in (14, 15, 16)
+    )

@@ -15,7 +15,9 @@ def test_later_and_earlier_mentions_of_a_person():
     assert n == 6 and kinds == "person:6"
     assert re.findall(r"(?i)\bsmith\S*", new) == ["Smithson,", "Smith-Jones", "smith"] and "john" not in new.lower()
     given, surname = re.search(r"Mr (\w+) (\w+) met", new).groups()
-    assert new == text.replace("Smith came", f"{surname} came").replace("John Smith", f"{given} {surname}").replace("JOHN SMITH", f"{given} {surname}".upper()).replace("Smith’s", f"{surname}’s").replace(" SMITH.", f" {surname.upper()}.")
+    assert new == text.replace("Smith came", f"{surname} came").replace("John Smith", f"{given} {surname}").replace(
+        "JOHN SMITH", f"{given} {surname}".upper()
+    ).replace("Smith’s", f"{surname}’s").replace(" SMITH.", f" {surname.upper()}.")
 
 
 def test_listed_given_names_without_a_title():
@@ -33,7 +35,9 @@ def test_possessives_and_mails_of_a_named_person():
     assert f"{surname}, {given}:" in new
 
 
-ARTICLE = "<h1>The head line</h1>" + "".join(f"<p>Paragraph {i} of the page goes on here, with words enough to be read as text by anyone.</p>" for i in range(3))
+ARTICLE = "<h1>The head line</h1>" + "".join(
+    f"<p>Paragraph {i} of the page goes on here, with words enough to be read as text by anyone.</p>" for i in range(3)
+)
 NAV = "<nav><ul><li><a href=x>Home</a></li><li><a href=y>About</a></li></ul></nav>"
 ASIDE = "<div class=sidebar><p>Paragraph aside of the page goes on here, with words enough to be read as text by anyone.</p></div>"
 

@@ -69,8 +69,12 @@ def small_or_not(df: DataFrame, rows: int, most_bytes: int = BROADCAST_BYTES) ->
 
     A string counts with its length, any other value with 16 bytes.
     """
-    each = [F.coalesce(F.octet_length(column(f.name)), F.lit(0)) + 16 if isinstance(f.dataType, T.StringType) else F.lit(16) for f in df.schema]
-    n, size = df.limit(rows + 1).select(sum(each[1:], each[0]).cast("long").alias("size")).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    each = [
+        F.coalesce(F.octet_length(column(f.name)), F.lit(0)) + 16 if isinstance(f.dataType, T.StringType) else F.lit(16) for f in df.schema
+    ]
+    n, size = df.limit(rows + 1).select(
+        sum(each[1:], each[0]).cast("long").alias("size")
+    ).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     fits = n <= rows and size <= most_bytes
     return (F.broadcast(df) if fits else df), fits
 
@@ -149,7 +153,10 @@ def _walk(x: Column, n: Column, key: Column, order: list[int], sign: int, mix) -
         return F.struct(F.floor(v / b).cast("long").alias("l"), F.pmod(v, b).cast("long").alias("r"))
 
     def step(acc: Column, _: Column) -> Column:
-        once = F.aggregate(F.array(*[F.lit(i) for i in order]), sides(-acc - 1), turn, lambda p: F.when(p["l"] * b + p["r"] < n, p["l"] * b + p["r"]).otherwise(-(p["l"] * b + p["r"]) - 1))
+        once = F.aggregate(
+            F.array(*[F.lit(i) for i in order]), sides(-acc - 1), turn,
+            lambda p: F.when(p["l"] * b + p["r"] < n, p["l"] * b + p["r"]).otherwise(-(p["l"] * b + p["r"]) - 1)
+        )
         return F.when(acc >= 0, acc).otherwise(once)
 
     end = lambda acc: F.when(acc >= 0, acc).otherwise(F.when(acc < 0, F.raise_error(F.lit("cycle walk too long")).cast("long")))

@@ -38,14 +38,20 @@ def extended(components: DataFrame, links: DataFrame) -> DataFrame:
     """The components of the links that made `components` (id, component) and of `links` (a, b) together."""
     between = moved(moved(links.select("a", "b"), "a", components, "id", "component"), "b", components, "id", "component")
     joined = connected_components(between)
-    known = components.union(links.select("a", F.col("a").alias("component")).union(links.select("b", "b")).join(components, F.col("a") == F.col("id"), "left_anti").distinct())
+    known = components.union(
+        links.select("a", F.col("a").alias("component")).union(links.select("b", "b")).join(
+            components, F.col("a") == F.col("id"), "left_anti"
+        ).distinct()
+    )
     return moved(known, "component", joined, "id", "component")
 
 
 def _followed(forest: DataFrame, most_rounds: int) -> DataFrame:
     """forest(id, end) with every pointer followed to its end, doubling its length each time."""
     for _ in range(most_rounds):
-        further = forest.alias("f").join(forest.select(F.col("end").alias("_to")).distinct(), F.col("f.id") == F.col("_to"), "left_semi").filter("id <> end")
+        further = forest.alias("f").join(
+            forest.select(F.col("end").alias("_to")).distinct(), F.col("f.id") == F.col("_to"), "left_semi"
+        ).filter("id <> end")
         if further.isEmpty():
             return forest
         forest = settle(moved(forest, "end", settle(further)))

@@ -59,7 +59,9 @@ def item_sets(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
 def signatures(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(hash, width, item_id): the k smallest hashes of each item, k by its size partition (one for each n)."""
     k = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-    return sets.select("item_id", F.explode(F.slice("set", F.lit(1), k.cast("int"))).alias("_s")).select("item_id", F.col("_s.hash").alias("hash"), F.col("_s.width").alias("width"))
+    return sets.select("item_id", F.explode(F.slice("set", F.lit(1), k.cast("int"))).alias("_s")).select(
+        "item_id", F.col("_s.hash").alias("hash"), F.col("_s.width").alias("width")
+    )
 
 
 def document_shingles(docs: DataFrame, widths: list[int], id_col: str, text_col: str) -> DataFrame:
@@ -72,7 +74,10 @@ def document_shingles(docs: DataFrame, widths: list[int], id_col: str, text_col:
     return out
 
 
-def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contained_items(
+    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text",
+    item_id_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
     """One row per document and benchmark item it contains: doc_id, item_id, n_shingles, n_found, containment.
 
     Null or wordless texts contain nothing and null ids, of documents and items, are reported as null; documents
@@ -84,10 +89,14 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     found = document_shingles(docs, sorted(widths), id_col, text_col).join(signs, ["hash", "width"]).select("doc_id", "item_id").distinct()
     found = settle(found)
     wanted, _ = small_or_not(settle(found.select("doc_id").distinct()), BROADCAST_ROWS)
-    text = docs.select(column(id_col).alias("_doc"), column(text_col).alias("_text")).join(wanted, F.col("_doc").eqNullSafe(F.col("doc_id")), "left_semi")
+    text = docs.select(column(id_col).alias("_doc"), column(text_col).alias("_text")).join(
+        wanted, F.col("_doc").eqNullSafe(F.col("doc_id")), "left_semi"
+    )
     # Verification counts shingles as words, not as hashes.
     doc_sets = text.select("_doc", plain_words(F.col("_text")).alias("_words"))
-    item_words = items.select(column(item_id_col).alias("item_id"), plain_words(column(item_text_col)).alias("_words")).filter(F.size("_words") > 0)
+    item_words = items.select(
+        column(item_id_col).alias("item_id"), plain_words(column(item_text_col)).alias("_words")
+    ).filter(F.size("_words") > 0)
     item_words = item_words.withColumn("width", F.least(F.size("_words"), F.lit(width)))
 
     def texts_of(frame: DataFrame, keys: list[str], w: int) -> DataFrame:
@@ -102,9 +111,13 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     sizes = wide_set.groupBy(F.col("item_id").alias("_item")).agg(F.count("*").alias("n_shingles"))
     shingles, _ = small_or_not(wide_set, BROADCAST_ROWS)
     counted = held[0].distinct().join(shingles, ["shingle", "width"]).groupBy("_doc", "item_id").agg(F.count("*").alias("n_found"))
-    pairs = counted.join(found, F.col("_doc").eqNullSafe(F.col("doc_id")) & counted["item_id"].eqNullSafe(found["item_id"]), "left_semi").join(sizes, F.col("item_id").eqNullSafe(F.col("_item")))
+    pairs = counted.join(
+        found, F.col("_doc").eqNullSafe(F.col("doc_id")) & counted["item_id"].eqNullSafe(found["item_id"]), "left_semi"
+    ).join(sizes, F.col("item_id").eqNullSafe(F.col("_item")))
     share = F.col("n_found") / F.col("n_shingles")
-    return pairs.select(F.col("_doc").alias("doc_id"), "item_id", "n_shingles", "n_found", share.alias("containment")).filter(F.col("n_found") >= F.ceil(F.col("n_shingles") * F.lit(threshold) - 1e-9))
+    return pairs.select(
+        F.col("_doc").alias("doc_id"), "item_id", "n_shingles", "n_found", share.alias("containment")
+    ).filter(F.col("n_found") >= F.ceil(F.col("n_shingles") * F.lit(threshold) - 1e-9))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:

@@ -25,13 +25,20 @@ from vellum.llm.common import column, spread
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER = frozenset("head script style noscript template textarea title select option button svg math iframe object canvas audio video datalist xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meter output progress q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br".split())
+NEVER = frozenset(
+    "head script style noscript template textarea title select option button svg math iframe object canvas audio video datalist xmp noembed noframes".split()
+)
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meter output progress q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br".split()
+)
 BOILER = frozenset("nav footer aside form menu dialog fieldset".split())
 MAIN = frozenset("article main".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening element ends open ones: for each the names it ends, up to one of the names it stays within.
-ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})
+}
 # Words in class and id attributes.
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus dock foot footer form gdpr header hidden legal login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signin signup skip skyscraper social sponsor sponsored subscribe subscription tags toolbar topbar widget".split()
@@ -57,7 +64,12 @@ SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 #: Elements that tell what a block is, by the nearest one around it.
 KINDS = HEADING | frozenset("p li td th blockquote pre".split())
-OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_blocks", pa.int64()), ("n_kept", pa.int64())])
+OUT = pa.schema(
+    [
+        ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_blocks", pa.int64()),
+        ("n_kept", pa.int64())
+    ]
+)
 
 
 class Element:
@@ -77,7 +89,9 @@ class Element:
         begins = tag in starts and not (parent and parent.part)
         #: The element that began the main part.
         self.part = self if begins else parent.part if parent else None
-        hard = tag in BOILER and tag != "form" or bool(attrs and not outer and HIDES.search(attrs)) or bool(words & {"navigation", "contentinfo", "complementary", "search", "banner"} and "role" in attrs.lower())
+        hard = tag in BOILER and tag != "form" or bool(attrs and not outer and HIDES.search(attrs)) or bool(
+            words & {"navigation", "contentinfo", "complementary", "search", "banner"} and "role" in attrs.lower()
+        )
         self.hard = hard or bool(parent and parent.hard)
         self.form = tag == "form" or bool(parent and parent.form) and not begins
         self.main = bool(parent and parent.main) or tag in MAIN or "articlebody" in words
@@ -222,7 +236,10 @@ def blocks(page: str) -> list[Block]:
                 ended, within = ENDS[tag]
                 bound = stack.last(within)
                 if (place := stack.last(ended)) > bound:
-                    stack.cut(min(own for n in ended if (own := next((x for x in stack.places.get(n, ()) if x > bound), 0))) if tag == "tr" else place)
+                    stack.cut(
+                        min(own for n in ended if (own := next((x for x in stack.places.get(n, ()) if x > bound), 0))) if tag == "tr"
+                        else place
+                    )
             elif tag == "body":
                 stack.cut(stack.last(("html",)) + 1)
             if tag in VOID:
@@ -423,6 +440,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         for batch in batches:
             found = [extract(h.as_py()) for h in batch.column(2)]
             cols = [[f[0] for f in found], [len(f[0]) for f in found], [f[1] for f in found], [f[2] for f in found]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, type=OUT.types[i + 2]) for i, c in enumerate(cols))], schema=OUT)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(c, type=OUT.types[i + 2]) for i, c in enumerate(cols))], schema=OUT
+            )
 
-    return spread(pages).select(column(id_col).cast("long").alias("page_id"), column(url_col).cast("string").alias("url"), column(html_col).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long")
+    return spread(pages).select(
+        column(id_col).cast("long").alias("page_id"), column(url_col).cast("string").alias("url"), column(html_col).alias("html")
+    ).mapInArrow(run, "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long")

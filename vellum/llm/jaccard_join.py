@@ -148,7 +148,9 @@ def signatures(features: np.ndarray, percent: int = PERCENT):
         least = sizes.min(axis=1)
         sure = n1 - min(k, (n + u) * (100 - percent) // (100 + percent)) // (k2 + 1)
         t = next((t for t in (3, 2, 1) if int((least < t).sum()) < sure), 0)
-        salt = (np.uint64(band) << np.uint64(40)) + np.arange(sums.size, dtype=np.uint64).reshape(sums.shape) * np.uint64(0x9E3779B97F4A7C15)
+        salt = (
+            np.uint64(band) << np.uint64(40)
+        ) + np.arange(sums.size, dtype=np.uint64).reshape(sums.shape) * np.uint64(0x9E3779B97F4A7C15)
         yield band, mix(sums + salt, 24)[sizes >= t]
 
 
@@ -177,9 +179,13 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Da
             for a, b in _slices(batch.column(1)):
                 sets = shingle_sets(batch.column(1)[a:b].to_pylist(), width)
                 digests = [np.array([_digest(s, k) for s in sets], np.uint64).view(np.int64) for k in (11, 12)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, digests)], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, digests)], schema=schema
+                )
 
-    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.select(
+        column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")
+    ).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
 
 
 def _payloads(keys: list[np.ndarray], parts: list[np.ndarray], records: list[bytes], schema: pa.Schema):
@@ -191,7 +197,12 @@ def _payloads(keys: list[np.ndarray], parts: list[np.ndarray], records: list[byt
     for p, s in stretches:
         mine = owner[s]
         first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-        out.append((p, key[s].tobytes(), b"".join([records[o] for o in mine[first].tolist()]), np.diff(first, append=len(mine)).astype(np.int32).tobytes()))
+        out.append(
+            (
+                p, key[s].tobytes(), b"".join([records[o] for o in mine[first].tolist()]),
+                np.diff(first, append=len(mine)).astype(np.int32).tobytes()
+            )
+        )
     return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=schema.types[i]) for i in range(4)], schema=schema)
 
 
@@ -208,7 +219,10 @@ def _prefixes(width: int, percent: int, parts: int):
                 own = {_digest(s, 11): s for s in shingle_sets(batch.column(0)[a:b].to_pylist(), width) if len(s)}
                 if own:
                     h = [mix(s[: needed(len(s), percent)[0]], 41) for s in own.values()]
-                    yield _payloads([(x & np.uint64(0xFFFFFFFF)).astype(np.uint32) for x in h], [(x >> np.uint64(40)).astype(np.int64) % parts for x in h], [d.to_bytes(8, "little") for d in own], _PAYLOAD)
+                    yield _payloads(
+                        [(x & np.uint64(0xFFFFFFFF)).astype(np.uint32) for x in h],
+                        [(x >> np.uint64(40)).astype(np.int64) % parts for x in h], [d.to_bytes(8, "little") for d in own], _PAYLOAD
+                    )
 
     return run
 
@@ -220,7 +234,9 @@ def _read(rows: pa.Table, name: str, kind) -> np.ndarray:
 def _entries(rows: pa.Table, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(different names, where each is first, keys, places in names) of the different pairs of key and name in which the key is not alone."""
     name, first, which = np.unique(names, return_index=True, return_inverse=True)
-    entry = _read(rows, "keys", np.uint32).astype(np.uint64) << np.uint64(32) | np.repeat(which.astype(np.uint64), _read(rows, "counts", np.int32))
+    entry = _read(rows, "keys", np.uint32).astype(np.uint64) << np.uint64(32) | np.repeat(
+        which.astype(np.uint64), _read(rows, "counts", np.int32)
+    )
     entry.sort()
     if len(entry):
         entry = entry[np.concatenate([[True], entry[1:] != entry[:-1]])]
@@ -294,7 +310,10 @@ def _sign(width: int, percent: int, bands: np.ndarray):
         for batch in batches:
             for a, b in _slices(batch.column(1)):
                 keys, parts, records = [], [], []
-                for i, label, s in zip(batch.column(0)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(), shingle_sets(batch.column(1)[a:b].to_pylist(), width)):
+                for i, label, s in zip(
+                    batch.column(0)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(),
+                    shingle_sets(batch.column(1)[a:b].to_pylist(), width)
+                ):
                     if i is None or not len(s):
                         continue
                     head = np.array([i, label, len(s)], np.int64).tobytes()
@@ -393,11 +412,16 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
     one = join_dealt(pairs, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_y")), "b", "a")
     # A centre of very many pairs has its text sent to several tasks.
-    both = join_dealt(one, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_x")), "a", "b", keys=pairs).select("a", "b", "_x", "_y")
+    both = join_dealt(
+        one, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_x")), "a", "b", keys=pairs
+    ).select("a", "b", "_x", "_y")
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", part_entries: int = PART_ENTRIES) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text",
+    part_entries: int = PART_ENTRIES
+) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, the smallest doc_id that links reach from it, itself included.
 
     Fewer than `width` words are one shingle of all of them; null text and text without words have none and
@@ -406,7 +430,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     table gives no rows.
     """
     sets = settle(document_sets(docs, id_col, text_col, width))
-    classes = settle(sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")))
+    classes = settle(
+        sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    )
     n = sets.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(1, int(n / 2 / part_entries))
     f, schema = _shared(parts)
@@ -415,7 +441,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     f, schema = _summed()
     shared = counted.groupBy("part").applyInArrow(f, schema)
     o = F.floor((F.col("n_shingles") * percent + 99) / 100)
-    able = settle(classes.join(shared, "d1").filter(F.col("n") >= F.greatest(F.lit(1), F.floor(o / 4))).select(F.col("rep").alias("doc_id"), "n_shingles").distinct())
+    able = settle(
+        classes.join(shared, "d1").filter(
+            F.col("n") >= F.greatest(F.lit(1), F.floor(o / 4))
+        ).select(F.col("rep").alias("doc_id"), "n_shingles").distinct()
+    )
     ends = long_array(band_ends().tolist())
     band = lambda size: F.size(F.filter(ends, lambda e: e < size))
     size, most = F.col("n_shingles"), F.greatest(F.col("n_shingles"), F.floor(F.col("n_shingles") * 100 / percent))
@@ -435,15 +465,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     found = settle(verified(star, texts, width, percent))
     component = connected_components(found)
     labels, _ = small_or_not(component, BROADCAST_ROWS)
-    labelled = texts.join(labels.select(F.col("id").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    labelled = texts.join(
+        labels.select(F.col("id").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left"
+    ).withColumn("label", F.coalesce("label", "doc_id"))
     rest = settle(met(labelled, True).join(star, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = settle(verified(rest, texts, width, percent))
         if not more.isEmpty():
             component = extended(component, more)
-    whole = classes.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    whole = classes.join(component.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id")
+    )
     out = sets.join(whole, ["n_shingles", "d1", "d2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:

@@ -203,15 +203,21 @@ def _slices(texts: pa.Array):
         yield start, len(texts)
 
 
-def training_text(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, sample_chars: int) -> tuple[tuple[str, str], ...]:
+def training_text(
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, sample_chars: int
+) -> tuple[tuple[str, str], ...]:
     """(language, text) for the model, the most frequent language first: bounded by sample_docs and sample_chars, whatever the table's size.
 
     The sample is the documents with the smallest hashes of their id, each id once; each gives an equal share of the letters, from a
     place that its hash names. Rows without an id, a text or a language (null or blank) are not learned from.
     """
-    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang")).filter("trim(lang) <> '' AND id IS NOT NULL AND text IS NOT NULL")
+    rows = docs.select(
+        column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang")
+    ).filter("trim(lang) <> '' AND id IS NOT NULL AND text IS NOT NULL")
     rows = rows.withColumn("hash", F.xxhash64("id"))
-    known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("id").alias("ids")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
+    known = rows.groupBy("lang").agg(
+        F.count("*").alias("n"), F.approx_count_distinct("id").alias("ids")
+    ).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
     if len(known) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages in {lang_col}")
     if not known:
@@ -219,9 +225,14 @@ def training_text(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
     # Ids are drawn without their texts. A bound on the hash leaves a few times sample_docs of a language's ids, so no
     # task ranks more than that, however many there are.
     spark = docs.sparkSession
-    bounds = spark.createDataFrame([(r.lang, int(min(1.0, (4 * sample_docs + 100) / max(1, r.ids)) * (2**64 - 2**12)) - 2**63) for r in known], "lang string, most long")
+    bounds = spark.createDataFrame(
+        [(r.lang, int(min(1.0, (4 * sample_docs + 100) / max(1, r.ids)) * (2**64 - 2**12)) - 2**63) for r in known],
+        "lang string, most long"
+    )
     few = rows.select("lang", "id", "hash").join(F.broadcast(bounds), "lang").filter("hash <= most").select("lang", "id", "hash").distinct()
-    drawn = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))).filter(F.col("rank") <= sample_docs)
+    drawn = few.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))
+    ).filter(F.col("rank") <= sample_docs)
     drawn = drawn.withColumn("share", F.ceil(F.lit(sample_chars) / F.count("*").over(Window.partitionBy("lang"))).cast("int"))
     picked = rows.join(F.broadcast(drawn.select("lang", "id", "rank", "share")), ["lang", "id"])
     # Twice the share has room for what is not a letter.
@@ -247,7 +258,10 @@ def _model(texts: tuple) -> Model:
     return _MODELS[key]
 
 
-def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+def identify(
+    docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS
+) -> DataFrame:
     """Per row of docs: doc_id, lang_pred, score, n_letters, learned from the rows of `labelled`.
 
     Null texts and texts without letters, and any text if nothing is labelled, are `und` with score 0.
@@ -259,12 +273,19 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
         model = _model(shared.value)
         for batch in batches:
             found = model.classify(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], type=OUT.types[i + 1]) for i in range(3))], schema=OUT)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([f[i] for f in found], type=OUT.types[i + 1]) for i in range(3))], schema=OUT
+            )
 
-    return spread(docs).select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_letters long")
+    return spread(docs).select(
+        column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")
+    ).mapInArrow(run, "doc_id long, lang_pred string, score double, n_letters long")
 
 
-def identified_documents(docs: DataFrame, labelled: DataFrame, min_score: float = 0.0, languages: tuple[str, ...] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+def identified_documents(
+    docs: DataFrame, labelled: DataFrame, min_score: float = 0.0, languages: tuple[str, ...] | None = None, id_col: str = "doc_id",
+    text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS
+) -> DataFrame:
     """The rows of docs whose language is told, with the prediction in lang where that is null or blank; other columns as they are.
 
     Rejected are texts without letters, those whose best language needs no fewer phrases than the next one (score of

@@ -87,14 +87,22 @@ def located_edits(before: DataFrame, after: DataFrame, id_col: str = "doc_id", t
     old, new = trees(before).alias("o"), trees(after).alias("n")
     same = F.col("o.doc_id").eqNullSafe(F.col("n.doc_id"))
     differ = new.join(old.select("o.doc_id", "o.root"), same & (F.col("o.root") == F.col("n.root")), "left_anti")
-    opened = differ.select("doc_id", "pieces", F.posexplode("cut").alias("nth", "section"), "digests", "cut").withColumn("digest", F.get("digests", F.col("nth")))
+    opened = differ.select(
+        "doc_id", "pieces", F.posexplode("cut").alias("nth", "section"), "digests", "cut"
+    ).withColumn("digest", F.get("digests", F.col("nth")))
     opened = opened.withColumn("first", F.aggregate(F.slice("cut", F.lit(1), F.col("nth")), F.lit(0), lambda n, g: n + F.size(g)))
-    opened = opened.select("doc_id", "digest", "section", "first", F.aggregate(F.slice("pieces", F.lit(1), F.col("first")), F.lit(0).cast("long"), lambda n, p: n + F.length(p)).alias("at"), F.slice("pieces", F.col("first") + 1, F.size("section")).alias("pieces")).alias("n")
+    opened = opened.select(
+        "doc_id", "digest", "section", "first",
+        F.aggregate(F.slice("pieces", F.lit(1), F.col("first")), F.lit(0).cast("long"), lambda n, p: n + F.length(p)).alias("at"),
+        F.slice("pieces", F.col("first") + 1, F.size("section")).alias("pieces")
+    ).alias("n")
     gone = old.select("o.doc_id", F.explode("o.digests").alias("digest")).alias("o")
     opened = opened.join(gone, same & (F.col("o.digest") == F.col("n.digest")), "left_anti")
     upto = lambda k: F.aggregate(F.slice("pieces", F.lit(1), k), F.col("at"), lambda n, p: n + F.length(p))
     each = opened.select("doc_id", "first", "at", "pieces", F.posexplode("section").alias("k", "digest"))
-    each = each.select("doc_id", (F.col("first") + F.col("k")).alias("leaf"), upto(F.col("k")).alias("start"), upto(F.col("k") + 1).alias("end"), "digest").alias("n")
+    each = each.select(
+        "doc_id", (F.col("first") + F.col("k")).alias("leaf"), upto(F.col("k")).alias("start"), upto(F.col("k") + 1).alias("end"), "digest"
+    ).alias("n")
     had = old.select("o.doc_id", F.explode("o.leaves").alias("digest")).alias("o")
     return each.join(had, same & (F.col("o.digest") == F.col("n.digest")), "left_anti").select("doc_id", "leaf", "start", "end")
 
@@ -158,9 +166,14 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null text is empty and has no leaves; rows that repeat give equal rows; an empty table gives none.
     """
-    of = docs.select(column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text")).withColumn("_leaves", leaves(F.col("text")))
+    of = docs.select(
+        column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text")
+    ).withColumn("_leaves", leaves(F.col("text")))
     of = of.withColumn("_sections", sections(F.col("_leaves")))
-    return of.select("doc_id", F.length("text").cast("long").alias("n_chars"), fingerprint(F.col("_leaves"), F.col("_sections")).alias("fingerprint"), F.size("_leaves").alias("n_leaves"), F.size("_sections").alias("n_sections"))
+    return of.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), fingerprint(F.col("_leaves"), F.col("_sections")).alias("fingerprint"),
+        F.size("_leaves").alias("n_leaves"), F.size("_sections").alias("n_sections")
+    )
 
 
 def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,7 +186,9 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = with_next(docs, id_col, text_col)
     half = F.floor(F.length("text") / 2).cast("int")
-    rows = rows.withColumn("_edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half)))
+    rows = rows.withColumn(
+        "_edited", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
+    )
     rows = rows.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),
         leaves(F.col("text")).alias("_own"), leaves(F.col("_edited")).alias("_changed"), leaves(F.col("next_text")).alias("_after"),
@@ -184,7 +199,9 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(*own).alias("fingerprint"), fingerprint(*changed).alias("edited_fingerprint"),
         likeness(*own, *changed).alias("near_edited"), likeness(*own, *after).alias("near_next"),
-        F.size(F.array_except(changed[1], own[1])).alias("edited_sections"), F.size(F.array_except(changed[0], own[0])).alias("edited_leaves"),
+        F.size(
+            F.array_except(changed[1], own[1])
+        ).alias("edited_sections"), F.size(F.array_except(changed[0], own[0])).alias("edited_leaves"),
     )
 
 
@@ -216,4 +233,7 @@ def oracle() -> str:
         cut = f"list_transform({ends}, lambda e, k: substr(md5(array_to_string(list_slice({x}, CASE WHEN k = 1 THEN 1 ELSE {ends}[k - 1] + 1 END, e), ',')), 1, {DIGITS}))"
         return cut
 
-    return ORACLE.format(own=digests("text"), changed=digests("edited"), after=digests("next_text"), up_own=up("own"), up_changed=up("changed"), up_after=up("after"))
+    return ORACLE.format(
+        own=digests("text"), changed=digests("edited"), after=digests("next_text"), up_own=up("own"), up_changed=up("changed"),
+        up_after=up("after")
+    )

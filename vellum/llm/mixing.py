@@ -47,9 +47,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     before = line.rowsBetween(Window.unboundedPreceding, -1)
     after = line.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by = by.withColumn("_level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("_limit").over(before), F.lit(0.0))) / F.sum("_weight").over(after))
+    by = by.withColumn(
+        "_level",
+        (F.sum("source_size").over(everything) - F.coalesce(F.sum("_limit").over(before), F.lit(0.0))) / F.sum("_weight").over(after)
+    )
     by = by.withColumn("_level", F.max("_level").over(everything))
-    return by.select(source_key().alias("src"), "source", "source_size", F.least("_limit", F.col("_level") * F.col("_weight")).alias("target"))
+    return by.select(
+        source_key().alias("src"), "source", "source_size", F.least("_limit", F.col("_level") * F.col("_weight")).alias("target")
+    )
 
 
 def source_key():
@@ -57,13 +62,20 @@ def source_key():
     return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
 
 
-def laid_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+def laid_out(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None
+) -> DataFrame:
     """doc_id, source, src, size, bucket and a tie breaker of every row, without the text; settled."""
     text = column(text_col)
     return settle(
-        docs.select(column(id_col).alias("doc_id"), column(source_col).cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("tie"))
+        docs.select(
+            column(id_col).alias("doc_id"), column(source_col).cast("string").alias("source"), n_words(text).alias("size"),
+            F.xxhash64(text).alias("tie")
+        )
         .withColumn("src", source_key())
-        .withColumn("bucket", hash_bits([F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("tie").cast("string")], 8) % BUCKETS)
+        .withColumn(
+            "bucket", hash_bits([F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("tie").cast("string")], 8) % BUCKETS
+        )
     )
 
 
@@ -116,7 +128,10 @@ def draws(targets: DataFrame, shards: int = SHARDS, block: int = BLOCK, most: in
     One task sees one row a source, as a shard's draw is over all sources.
     """
 
-    schema = pa.schema([("src", pa.string())] + [(c, pa.int64()) for c in ("n_blocks", "n_slots")] + [("shard", pa.int32()), ("start", pa.int64()), ("drawn", pa.int64())])
+    schema = pa.schema(
+        [("src", pa.string())] + [(c, pa.int64()) for c in ("n_blocks", "n_slots")]
+        + [("shard", pa.int32()), ("start", pa.int64()), ("drawn", pa.int64())]
+    )
 
     def deal(rows: pa.Table) -> pa.Table:
         rows = rows.select(["src", "n_blocks", "n_slots"]).sort_by("src")
@@ -127,19 +142,31 @@ def draws(targets: DataFrame, shards: int = SHARDS, block: int = BLOCK, most: in
         return pa.concat_tables([pa.Table.from_arrays(p, schema=schema) for p in parts])
 
     n_blocks = F.ceil(F.col("source_size") / block).cast("long")
-    plan = targets.filter("source_size > 0").select("src", n_blocks.alias("n_blocks"), F.least(F.lit(most) * n_blocks, F.round(F.col("target") * n_blocks / F.col("source_size")).cast("long")).alias("n_slots"))
-    return plan.filter("n_slots > 0").groupBy(F.lit(0).alias("all")).applyInArrow(deal, "src string, n_blocks long, n_slots long, shard int, start long, drawn long")
+    plan = targets.filter("source_size > 0").select(
+        "src", n_blocks.alias("n_blocks"),
+        F.least(F.lit(most) * n_blocks, F.round(F.col("target") * n_blocks / F.col("source_size")).cast("long")).alias("n_slots")
+    )
+    return plan.filter("n_slots > 0").groupBy(F.lit(0).alias("all")).applyInArrow(
+        deal, "src string, n_blocks long, n_slots long, shard int, start long, drawn long"
+    )
 
 
 def slots(drawn: DataFrame, key: str = KEY) -> DataFrame:
     """One row per slot: (src, shard, slot, block), block by the permutation of the slot's pass."""
-    pieces = drawn.filter("drawn > 0").withColumn("_from", F.explode(F.sequence("start", F.col("start") + F.col("drawn") - 1, F.lit(STRETCH).cast("long"))))
+    pieces = drawn.filter("drawn > 0").withColumn(
+        "_from", F.explode(F.sequence("start", F.col("start") + F.col("drawn") - 1, F.lit(STRETCH).cast("long")))
+    )
     # A given number of partitions: stretches are few bytes but much work, so they must not be coalesced by size.
     pieces = pieces.repartition(int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "_from")
     last = F.least(F.col("_from") + STRETCH, F.col("start") + F.col("drawn")) - 1
     every = pieces.withColumn("slot", F.explode(F.sequence(F.col("_from"), last)))
     turn = F.floor(F.col("slot") / F.col("n_blocks")).cast("string")
-    return every.select("src", "shard", "slot", feistel(F.pmod("slot", "n_blocks"), F.col("n_blocks"), F.concat_ws(":", F.lit(key), F.col("src"), turn), rounds=4, mix=fast_bits).alias("block"))
+    return every.select(
+        "src", "shard", "slot",
+        feistel(
+            F.pmod("slot", "n_blocks"), F.col("n_blocks"), F.concat_ws(":", F.lit(key), F.col("src"), turn), rounds=4, mix=fast_bits
+        ).alias("block")
+    )
 
 
 def pieces_of(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -148,14 +175,21 @@ def pieces_of(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     A document without words has one row, whose block is null and n is 0.
     """
     first, end = F.col("first"), F.col("first") + F.col("size")
-    blocks = F.when(F.col("size") > 0, F.sequence(F.floor(first / block), F.floor((end - 1) / block))).otherwise(F.array(F.lit(None).cast("long")))
+    blocks = F.when(
+        F.col("size") > 0, F.sequence(F.floor(first / block), F.floor((end - 1) / block))
+    ).otherwise(F.array(F.lit(None).cast("long")))
     lay = rows.withColumn("block", F.explode(blocks))
     start = F.greatest(F.col("block") * block, first)
     stop = F.least((F.col("block") + 1) * block, end)
-    return lay.withColumns({"from_word": F.coalesce(start - first, F.lit(0)), "n": F.when(F.col("block").isNull(), 0).otherwise(stop - start)})
+    return lay.withColumns(
+        {"from_word": F.coalesce(start - first, F.lit(0)), "n": F.when(F.col("block").isNull(), 0).otherwise(stop - start)}
+    )
 
 
-def mix_counts(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, key: str = KEY, **columns) -> DataFrame:
+def mix_counts(
+    docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, key: str = KEY,
+    **columns
+) -> DataFrame:
     """Per row: doc_id, source, size, source_size, target, taken.
 
     Null or empty text has size 0 and is never taken; rows that repeat whole are packed one after the
@@ -167,12 +201,19 @@ def mix_counts(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, most:
     times = slots(draws(targets, shards, block, most, key), key).groupBy("src", "block").agg(F.count("*").alias("times"))
     # Slots are made from a few rows, so their number is not in the plan's estimates; they must not be broadcast.
     pieces = pieces_of(offsets(rows), block).join(times.hint("merge"), ["src", "block"], "left")
-    taken = pieces.groupBy("src", "first", "bucket", "tie", "doc_id", "source", "size").agg(F.sum(F.col("n") * F.coalesce("times", F.lit(0))).alias("taken"), F.count(F.when(F.col("block").isNull(), 1)).alias("empty"))
+    taken = pieces.groupBy("src", "first", "bucket", "tie", "doc_id", "source", "size").agg(
+        F.sum(F.col("n") * F.coalesce("times", F.lit(0))).alias("taken"), F.count(F.when(F.col("block").isNull(), 1)).alias("empty")
+    )
     taken = taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.greatest("empty", F.lit(1)).cast("int"))))  # wordless rows that repeat whole
-    return taken.join(targets.select("src", "source_size", "target"), "src").select("doc_id", "source", "size", "source_size", "target", "taken")
+    return taken.join(targets.select("src", "source_size", "target"), "src").select(
+        "doc_id", "source", "size", "source_size", "target", "taken"
+    )
 
 
-def mix_documents(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+def mix_documents(
+    docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, most: int = MOST, weights: tuple[int, ...] = WEIGHTS, key: str = KEY,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None
+) -> DataFrame:
     """The mix itself: one row per slot and document piece in it.
 
     Columns: mix_shard, slot, block, doc_id, from_word, text (the piece's words joined by one space), source, and `kept`, a struct
@@ -182,7 +223,9 @@ def mix_documents(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, mos
     """
     rows = laid_out(docs, id_col, text_col, source_col)
     targets = settle(source_targets(rows, weights, most))
-    pieces = pieces_of(offsets(rows), block).filter("n > 0").groupBy("doc_id", "tie", "src", "first").agg(F.collect_list(F.struct("block", "from_word", "n")).alias("_pieces"))
+    pieces = pieces_of(offsets(rows), block).filter("n > 0").groupBy("doc_id", "tie", "src", "first").agg(
+        F.collect_list(F.struct("block", "from_word", "n")).alias("_pieces")
+    )
     text = column(text_col)
     # Texts travel as texts: as arrays of words they would take several times the room.
     kept = F.struct(*[column(c).alias(c) for c in keep or []], *([] if keep else [F.lit(None).cast("string").alias("none")]))
@@ -190,8 +233,14 @@ def mix_documents(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK, mos
     full = full.groupBy("_id", "_tie").agg(F.min("_text").alias("_text"), F.min_by("kept", F.to_json("kept")).alias("kept"))
     piece = lambda words: lambda p: F.struct(p["block"].alias("block"), p["from_word"].alias("from_word"), F.array_join(F.slice(words, (p["from_word"] + 1).cast("int"), p["n"].cast("int")), " ").alias("text"))
     # The outer transform, over one array of words, binds it, so a text is cut into words once.
-    each = F.get(F.transform(F.array(F.regexp_extract_all("_text", F.lit(f"({WORD})"))), lambda words: F.transform("_pieces", piece(words))), F.lit(0))
+    each = F.get(
+        F.transform(F.array(F.regexp_extract_all("_text", F.lit(f"({WORD})"))), lambda words: F.transform("_pieces", piece(words))),
+        F.lit(0)
+    )
     cut = full.join(pieces, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie"))).withColumn("_p", F.explode(each))
     cut = cut.select("doc_id", "src", "_p.block", "_p.from_word", "_p.text", "kept")
     mixed = cut.join(slots(draws(targets, shards, block, most, key), key).hint("merge"), ["src", "block"])
-    return mixed.select(F.col("shard").alias("mix_shard"), "slot", "block", "doc_id", "from_word", "text", F.when(F.col("src") != "", F.substring("src", 2, 2**30)).alias("source"), "kept")
+    return mixed.select(
+        F.col("shard").alias("mix_shard"), "slot", "block", "doc_id", "from_word", "text",
+        F.when(F.col("src") != "", F.substring("src", 2, 2**30)).alias("source"), "kept"
+    )

@@ -55,7 +55,9 @@ def _permuted(source: str, v: str, rounds: int, key: str) -> str:
 def sharding(shards: int, key: str) -> str:
     """Row numbers by hash bucket, the walk as a recursion, and CRC-32 by its table."""
     first = _permuted("numbered", "row", 6, key)
-    again = _permuted("(SELECT * EXCLUDE (p), p AS v FROM walk WHERE p >= n) w", "v", 6, key).replace("SELECT * EXCLUDE (l, r), ", "SELECT * EXCLUDE (l, r, v), ", 1)
+    again = _permuted(
+        "(SELECT * EXCLUDE (p), p AS v FROM walk WHERE p >= n) w", "v", 6, key
+    ).replace("SELECT * EXCLUDE (l, r), ", "SELECT * EXCLUDE (l, r, v), ", 1)
     return f"""
 WITH RECURSIVE tab AS (SELECT list_transform(range(0, 256), lambda k: list_reduce(list_prepend(k, range(0, 8)), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
 d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size,

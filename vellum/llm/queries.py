@@ -47,7 +47,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.compare_with_edited(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_sections", "edited_leaves")
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_sections",
+        "edited_leaves"
+    )
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +62,17 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_decontaminate, op3_language, op4_sharding, op5_mixing, op6_surrogates, op7_html_text, op8_substring_dedup, op9_jaccard_join, op10_merkle, pipeline)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_token_counts, op2_decontaminate, op3_language, op4_sharding, op5_mixing, op6_surrogates, op7_html_text, op8_substring_dedup,
+            op9_jaccard_join, op10_merkle, pipeline
+        )
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op2_decontaminate": oracles.DECONTAMINATE, "op4_sharding": oracles.sharding(8, sharding.KEY), "op8_substring_dedup": oracles.SUBSTRINGS, "op9_jaccard_join": oracles.JACCARD, "op10_merkle": merkle.oracle()}
+    return {
+        "op2_decontaminate": oracles.DECONTAMINATE, "op4_sharding": oracles.sharding(8, sharding.KEY),
+        "op8_substring_dedup": oracles.SUBSTRINGS, "op9_jaccard_join": oracles.JACCARD, "op10_merkle": merkle.oracle()
+    }

@@ -39,7 +39,9 @@ def hex_digits(n: int) -> int:
     return 3 if n <= 2**28 else 4
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def shard_documents(
+    docs: DataFrame, shards: int = 8, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
+) -> DataFrame:
     """Rows of docs with doc_id, size, text_crc32, law, shard, slot, row_number and the columns in `keep`.
 
     Null text: size 1, checksum that of the empty string. Rows with a null or a repeated id are spread by their
@@ -53,8 +55,12 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = KEY, id_col: st
     for c in keep or []:
         kept[c] = fresh(c, own + list(kept.values()))
     rows = docs.select(
-        column(id_col).alias("doc_id"), utf8_size(column(text_col)).alias("size"), F.crc32(F.coalesce(column(text_col), F.lit(""))).alias("text_crc32"),
-        F.xxhash64(column(text_col)).alias("_tie"), F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(kept)], F.lit(0).alias("end")).alias("_kept"),
+        column(id_col).alias("doc_id"), utf8_size(column(text_col)).alias("size"), F.crc32(
+            F.coalesce(column(text_col), F.lit(""))
+        ).alias("text_crc32"),
+        F.xxhash64(column(text_col)).alias("_tie"), F.struct(
+            *[column(c).alias(f"c{i}") for i, c in enumerate(kept)], F.lit(0).alias("end")
+        ).alias("_kept"),
     )
     digits = hex_digits(docs.count())
     bucket = hash_bits([F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_crc32").cast("string")], digits)
@@ -65,8 +71,14 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = KEY, id_col: st
         starts.append(n)
         n += counts.get(i, 0)
     # What tells rows with equal ids and texts apart: a hash of the kept columns, maps by their JSON.
-    rest = [F.col(f"_kept.c{i}") if "map<" not in docs.schema[c].dataType.simpleString() else F.to_json(F.struct(f"_kept.c{i}")) for i, c in enumerate(kept) if c != text_col]
+    rest = [
+        F.col(f"_kept.c{i}") if "map<" not in docs.schema[c].dataType.simpleString() else F.to_json(F.struct(f"_kept.c{i}")) for i,
+        c in enumerate(kept) if c != text_col
+    ]
     order = Window.partitionBy("_bucket").orderBy("doc_id", "text_crc32", "size", "_tie", F.xxhash64(F.lit(0), *rest))
     rows = rows.withColumn("row_number", F.get(long_array(starts), F.col("_bucket").cast("int")) + F.row_number().over(order) - 1)
     shard, slot = place(F.col("row_number"), n, shards, key)
-    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.alias("shard"), slot.alias("slot"), "row_number", *[F.col(f"_kept.c{i}").alias(c) for i, c in enumerate(kept.values())])
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.alias("shard"), slot.alias("slot"), "row_number",
+        *[F.col(f"_kept.c{i}").alias(c) for i, c in enumerate(kept.values())]
+    )

@@ -61,7 +61,9 @@ class Bucket:
 
     def whole(self, width: int) -> np.ndarray:
         """Places where a run of `width` words starts, in documents that have a window."""
-        return np.flatnonzero((self.left >= width) & (self.sizes[self.document] >= self.window)) if len(self.words) else np.zeros(0, np.int64)
+        return np.flatnonzero(
+            (self.left >= width) & (self.sizes[self.document] >= self.window)
+        ) if len(self.words) else np.zeros(0, np.int64)
 
     def anchors(self, width: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places, parts and 32-bit keys of the rolling runs of `width` words."""
@@ -148,7 +150,12 @@ def _shared():
 
 
 def _extend(anchor: int, window: int, parts: int, parts2: int):
-    schema = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("windows", pa.binary()), ("tails", pa.binary()), ("ids", pa.binary()), ("runs", pa.binary())])
+    schema = pa.schema(
+        [
+            ("part", pa.int32()), ("bucket", pa.int32()), ("windows", pa.binary()), ("tails", pa.binary()), ("ids", pa.binary()),
+            ("runs", pa.binary())
+        ]
+    )
 
     def run(rows: pa.Table, hits: pa.Table) -> pa.Table:
         out = []
@@ -156,7 +163,11 @@ def _extend(anchor: int, window: int, parts: int, parts2: int):
             bucket = rows.column("bucket")[0].as_py()
             b = Bucket(rows, window)
             at, part, key = b.anchors(anchor, parts)
-            wanted = np.sort(np.concatenate([_joined(np.array([p.as_py()]), unpack(h.as_py())) for p, h in zip(hits.column("part"), hits.column("hits"))]))
+            wanted = np.sort(
+                np.concatenate(
+                    [_joined(np.array([p.as_py()]), unpack(h.as_py())) for p, h in zip(hits.column("part"), hits.column("hits"))]
+                )
+            )
             mine = _joined(part, key)
             place = np.searchsorted(wanted, mine)
             place[place == len(wanted)] = 0
@@ -176,7 +187,12 @@ def _extend(anchor: int, window: int, parts: int, parts2: int):
                 for p, s in stretches:
                     own = docs[order[s]]
                     cut = np.flatnonzero(np.diff(own, prepend=own[0] - 1 if own[0] > -(2**63) else own[0] + 1))
-                    out.append((p, bucket, first_hash[first][order[s]].tobytes(), tail[first][order[s]].tobytes(), own[cut].tobytes(), np.diff(cut, append=len(own)).astype(np.int32).tobytes()))
+                    out.append(
+                        (
+                            p, bucket, first_hash[first][order[s]].tobytes(), tail[first][order[s]].tobytes(), own[cut].tobytes(),
+                            np.diff(cut, append=len(own)).astype(np.int32).tobytes()
+                        )
+                    )
         return pa.Table.from_arrays([pa.array([o[i] for o in out], type=schema.types[i]) for i in range(6)], schema=schema)
 
     return run, "part int, bucket int, windows binary, tails binary, ids binary, runs binary"
@@ -189,7 +205,12 @@ def _earlier():
     def run(rows: pa.Table) -> pa.Table:
         buckets = rows.column("bucket").to_pylist()
         windows = [np.frombuffer(w.as_py(), np.uint64) for w in rows.column("windows")]
-        ids = np.concatenate([np.repeat(np.frombuffer(i.as_py(), np.int64), np.frombuffer(r.as_py(), np.int32)) for i, r in zip(rows.column("ids"), rows.column("runs"))])
+        ids = np.concatenate(
+            [
+                np.repeat(np.frombuffer(i.as_py(), np.int64), np.frombuffer(r.as_py(), np.int32)) for i,
+                r in zip(rows.column("ids"), rows.column("runs"))
+            ]
+        )
         of = np.repeat(np.array(buckets, np.int32), [len(w) for w in windows])
         every = np.concatenate(windows)
         tails = np.frombuffer(b"".join(t.as_py() for t in rows.column("tails")), np.uint32)
@@ -208,7 +229,9 @@ def _earlier():
 
 
 def _remove(window: int, with_text: bool):
-    fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_repeats", pa.int64())]
+    fields = [
+        ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_repeats", pa.int64())
+    ]
     schema = pa.schema(fields + [("text", pa.string())] * with_text)
 
     def run(rows: pa.Table, back: pa.Table) -> pa.Table:
@@ -224,7 +247,10 @@ def _remove(window: int, with_text: bool):
             late = np.ones(len(at), bool)
             late[first_of_each(own, tail)] = False
             if len(back):
-                known = [np.frombuffer(b"".join(r.as_py() for r in back.column(c)), kind) for c, kind in (("repeated", np.uint64), ("tails", np.uint32))]
+                known = [
+                    np.frombuffer(b"".join(r.as_py() for r in back.column(c)), kind) for c,
+                    kind in (("repeated", np.uint64), ("tails", np.uint32))
+                ]
                 late |= among(own, tail, *known)
             starts = at[late]
             covered[starts] += 1
@@ -240,7 +266,12 @@ def _remove(window: int, with_text: bool):
             n = int(gone[s].sum())
             words = text.split()
             kept = b" ".join(compress(words, (~gone[s]).tolist()) if n else words)
-            out.append((None if b.nulls[k] else b.ids[k], len(words), n, hashlib.sha256(kept).hexdigest(), int(repeats[k]), kept.decode("utf-8", "surrogatepass"))[: len(schema)])
+            out.append(
+                (
+                    None if b.nulls[k] else b.ids[k], len(words), n, hashlib.sha256(kept).hexdigest(), int(repeats[k]),
+                    kept.decode("utf-8", "surrogatepass")
+                )[: len(schema)]
+            )
         return pa.Table.from_arrays([pa.array([o[i] for o in out], type=schema.types[i]) for i in range(len(schema))], schema=schema)
 
     return run, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_repeats long" + ", text string" * with_text
@@ -254,7 +285,10 @@ def bucketed(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int) ->
     return rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n)).cast("int")), size
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, bucket_bytes: int = BUCKET_BYTES, part_entries: int = PART_ENTRIES) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
+    bucket_bytes: int = BUCKET_BYTES, part_entries: int = PART_ENTRIES
+) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, n_repeats, and with_text the kept text.
 
     Removed are the words of every window of `window` words of one document whose words also stand earlier:

@@ -61,7 +61,10 @@ MONTHS = (
 )
 
 #: The alphabets that letters keep to: vowels and consonants of a script, by lower case.
-ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöüãõåæøœ", "ñçßšž", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщъьѓ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
+ALPHABETS = (
+    "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöüãõåæøœ", "ñçßšž", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщъьѓ", "αεηιουω",
+    "βγδζθκλμνξπρστφχψ"
+)
 VOWELS = frozenset(ALPHABETS[0] + ALPHABETS[2] + ALPHABETS[4] + ALPHABETS[6])
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 
@@ -99,7 +102,9 @@ ENTITY = re.compile(
 )
 #: A word that may be a name, with what may belong to it; not part of a longer word.
 MENTION = re.compile(r"(?<!\w)(?<!\w['’-])[^\W\d_]++(?:['’-][^\W\d_]++)*+(?!\w)")
-OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_entities", pa.int64()), ("n_distinct", pa.int64()), ("kinds", pa.string())])
+OUT = pa.schema(
+    [("doc_id", pa.int64()), ("text", pa.string()), ("n_entities", pa.int64()), ("n_distinct", pa.int64()), ("kinds", pa.string())]
+)
 
 
 def _mix(key: bytes, label: str, turn: int, value: int) -> int:
@@ -208,7 +213,10 @@ def _date(text: str, key: bytes) -> str | None:
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
     new = datetime.date.fromordinal(FIRST_DAY + another(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "day"))
-    put = {"d": f"{new.day:0{len(order[0])}d}", "m": months[new.month - 1] if months else f"{new.month:0{len(order[1])}d}", "y": f"{new.year:04d}"}
+    put = {
+        "d": f"{new.day:0{len(order[0])}d}", "m": months[new.month - 1] if months else f"{new.month:0{len(order[1])}d}",
+        "y": f"{new.year:04d}"
+    }
     if months:
         put["m"] = put["m"].upper() if order[1].isupper() else put["m"].capitalize() if order[1][0].isupper() else put["m"]
     # The fields stand in the order of their first places in the text.
@@ -286,7 +294,10 @@ def _names(text: str, found: list[re.Match]) -> set[str]:
         if m.lastgroup in ("person", "title"):
             name = text[m.end("title") if m["title"] else m.start() : m.end()].removeprefix(".")
             names |= {_bare(w)[0] for w in name.split()}
-    mails = {frozenset(p) for m in found if m.lastgroup == "email" and len(p := [x for x in re.split(r"[\W\d_]+", m[0].split("@")[0].lower()) if len(x) > 1]) == 2}
+    mails = {
+        frozenset(p) for m in found if m.lastgroup == "email"
+        and len(p := [x for x in re.split(r"[\W\d_]+", m[0].split("@")[0].lower()) if len(x) > 1]) == 2
+    }
     if mails:
         before = None
         for m in MENTION.finditer(text):
@@ -342,7 +353,9 @@ def surrogate(kind: str, text: str, key: bytes, title: str | None = None) -> str
         return _phone(text, key)
     if kind == "born":
         at = re.search(rf"(?:{_DATE})$", text).start()
-        return text[:at] + (_date(text[at:], key) or _digits_into(text[at:], like("".join(c for c in text[at:] if c.isdigit()), key, "no day")))
+        return text[:at] + (
+            _date(text[at:], key) or _digits_into(text[at:], like("".join(c for c in text[at:] if c.isdigit()), key, "no day"))
+        )
     if kind in ("street", "strasse"):
         return _address(text, key)
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
@@ -357,7 +370,12 @@ def surrogate(kind: str, text: str, key: bytes, title: str | None = None) -> str
     if kind == "email":
         local, _, domain = text.rpartition("@")
         name, dot, top = domain.rpartition(".")
-        parts = [cased(like(x.lower(), key, "email " + k), x) if len(x.lower()) == len(x) else like(re.sub(r"\W", "a", x.lower()), key, "email " + k) for k, x in (("local", local), ("domain", name))]
+        parts = [
+            cased(like(x.lower(), key, "email " + k), x) if len(x.lower()) == len(x) else like(
+                re.sub(r"\W", "a", x.lower()), key, "email " + k
+            ) for k,
+            x in (("local", local), ("domain", name))
+        ]
         return f"{parts[0]}@{parts[1]}{dot}{top}"
     return _digits_into(text, like("".join(c for c in text if c.isdigit()), key, kind))
 
@@ -440,6 +458,10 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
     def run(batches):
         for batch in batches:
             found = [replace_text(t.as_py(), key) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], type=OUT.types[i + 1]) for i in range(4))], schema=OUT)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([f[i] for f in found], type=OUT.types[i + 1]) for i in range(4))], schema=OUT
+            )
 
-    return spread(docs).select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, text string, n_entities long, n_distinct long, kinds string")
+    return spread(docs).select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(
+        run, "doc_id long, text string, n_entities long, n_distinct long, kinds string"
+    )

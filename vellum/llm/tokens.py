@@ -44,7 +44,9 @@ def unigram_scores(path: str) -> tuple[dict[str, float], float]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    pieces = [
+        model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))
+    ]
     total = math.log(sum(1 / (i + SHIFT) for i in range(len(pieces))))
     scores = {}
     for i, piece in enumerate(pieces):
@@ -150,6 +152,10 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
         trie = _trie(path)
         for batch in batches:
             found = [count_text(t.as_py(), trie) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], schema=OUT)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], schema=OUT
+            )
 
-    return spread(docs).select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    return spread(docs).select(
+        column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")
+    ).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
