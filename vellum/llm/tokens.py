@@ -60,6 +60,8 @@ class PreTokenTrie:
     def __init__(self, scores: dict[str, float], byte: float) -> None:
         self.scores, self.byte = scores, byte
         self.longest = max(map(len, scores), default=1)
+        #: Every end of a piece, with the piece's score if it is one; what is not here is the end of no piece, and nor is anything longer.
+        self.ends: dict[str, float | None] = {piece[i:]: None for piece in scores for i in range(len(piece))} | scores
         self.clear()
 
     def clear(self) -> None:
@@ -72,11 +74,13 @@ class PreTokenTrie:
 
         Of segmentations with equal scores the one with fewer pieces counts.
         """
-        n, get = len(text), self.scores.get
+        n, get = len(text), self.ends.get
         b = len(text[-1].encode("utf-8", "surrogatepass"))
         best, count = self.score[path[n - 1]] + b * self.byte, self.pieces[path[n - 1]] + b
         for size in range(1, min(n, self.longest) + 1):
-            s = get(text[n - size :])
+            s = get(text[n - size :], 1.0)
+            if s == 1.0:
+                break
             if s is not None:
                 at = path[n - size]
                 v = self.score[at] + s
@@ -111,12 +115,14 @@ class PreTokenTrie:
 
     def _long(self, text: str) -> int:
         """The same sums over a list for one long pre-token, in memory of its length."""
-        score, pieces, get = [0.0], [0], self.scores.get
+        score, pieces, get = [0.0], [0], self.ends.get
         for n in range(1, len(text) + 1):
             b = len(text[n - 1].encode("utf-8", "surrogatepass"))
             best, count = score[n - 1] + b * self.byte, pieces[n - 1] + b
             for size in range(1, min(n, self.longest) + 1):
-                s = get(text[n - size : n])
+                s = get(text[n - size : n], 1.0)
+                if s == 1.0:
+                    break
                 if s is not None:
                     v = score[n - size] + s
                     if v > best or v == best and pieces[n - size] + 1 < count:
