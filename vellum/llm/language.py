@@ -82,41 +82,52 @@ class SuffixAutomaton:
 
 
 class NextStates:
-    """An automaton's edges by state and letter number; 0 where there is none.
+    """The edges of several automata by state and letter number; a state is counted from its automaton's first, and 0 is no edge.
 
     Most states have one edge, which is kept as its letter and its end; the others have rows of a table, or, where the alphabet is
-    large, edges in order of state and letter.
+    large, edges in order of row and letter. All automata are stepped at once.
     """
 
-    def __init__(self, automaton: SuffixAutomaton, number: dict[str, int], width: int, cells: int) -> None:
-        self.width, edges = width, automaton.edges
-        many = [s for s, own in enumerate(edges) if len(own) != 1]
-        self.letter, self.end, self.row = np.full(len(edges), -1, np.int32), np.zeros(len(edges), np.int32), np.full(len(edges), -1, np.int32)
-        for s, own in enumerate(edges):
-            if len(own) == 1:
-                (c, to), = own.items()
-                self.letter[s], self.end[s] = number[c], to
-        self.row[many] = np.arange(len(many))
-        keys = np.array([k * width + number[c] for k, s in enumerate(many) for c in edges[s]], np.int64)
-        to = np.array([t for s in many for t in edges[s].values()], np.int32)
-        if len(many) * width <= cells:
-            self.table = np.zeros(len(many) * width, np.int32)
-            self.table[keys] = to
+    def __init__(self, texts: list[str], number: dict[str, int], width: int) -> None:
+        self.width, parts, keys, ends, starts, rows = width, [], [], [], [0], 0
+        for text in texts:  # one automaton at a time
+            edges = SuffixAutomaton(text).edges
+            many = [s for s, own in enumerate(edges) if len(own) != 1]
+            # For each state its edge's letter and, in the low 32 bits, its end; or -1 and the place of its row.
+            only = np.zeros(len(edges), np.int64)
+            for s, own in enumerate(edges):
+                if len(own) == 1:
+                    (c, to), = own.items()
+                    only[s] = number[c] << 32 | to
+            only[many] = np.arange(rows, rows + len(many)) - 2**32
+            keys.append(np.array([(rows + k) * width + number[c] for k, s in enumerate(many) for c in edges[s]], np.int64))
+            ends.append(np.array([t for s in many for t in edges[s].values()], np.int32))
+            parts.append(only)
+            starts.append(starts[-1] + len(only))
+            rows += len(many)
+        none = [np.zeros(0, np.int64)]
+        self.only, self.starts = np.concatenate(parts + none), np.array(starts[:-1], np.int64)[:, None]
+        key, end = np.concatenate(keys + none), np.concatenate(ends + [np.zeros(0, np.int32)])
+        if rows * width <= CELLS:
+            self.table = np.zeros(rows * width, np.int32)
+            self.table[key] = end
         else:
-            self.table, order = None, np.argsort(keys)
-            self.keys, self.to = np.append(keys[order], np.int64(2**62)), np.append(to[order], np.int32(0))
+            self.table, order = None, np.argsort(key)
+            self.keys, self.ends = np.append(key[order], np.int64(2**62)), np.append(end[order], np.int32(0))
 
     def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
-        new = np.where(self.letter[state] == letter, self.end[state], 0)
-        row = self.row[state]
-        at = np.flatnonzero(row >= 0)
-        key = row[at].astype(np.int64) * self.width + letter[at]
+        """The next states of (automata x texts) by a letter of each text."""
+        only = self.only[self.starts + state]
+        kind, low = only >> 32, only & 0xFFFFFFFF
+        new = np.where(kind == letter, low, 0).ravel()
+        at = np.flatnonzero(kind.ravel() < 0)
+        key = low.ravel()[at] * self.width + letter[at % len(letter)]
         if self.table is not None:
             new[at] = self.table[key]
         else:
             found = np.searchsorted(self.keys, key)
-            new[at] = np.where(self.keys[found] == key, self.to[found], 0)
-        return new
+            new[at] = np.where(self.keys[found] == key, self.ends[found], 0)
+        return new.reshape(state.shape)
 
 
 @lru_cache(1)
@@ -141,7 +152,7 @@ class Model:
         by_form[[ord(c) for c in known]] = np.arange(2, len(known) + 2)
         self.number = np.where(low > 0, by_form[low], 0).astype(np.uint16 if len(known) < 65_000 else np.int32)
         width = len(known) + 2
-        self.tables = [NextStates(SuffixAutomaton(t), number, width, CELLS // len(texts)) for _, t in texts]  # one automaton at a time
+        self.next = NextStates([t for _, t in texts], number, width)
 
     def letters(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(letter numbers of all texts end to end, where each text starts and ends, its letters, without marks and blanks)."""
@@ -167,13 +178,16 @@ class Model:
         order = np.argsort(-size, kind="stable")
         owner, start, size = owner[order], start[order], size[order]
         active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right").tolist() if len(size) else []
-        found = np.zeros((len(texts), len(self.tables)), np.int64)
-        for k, table in enumerate(self.tables):
-            state, n = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64)
-            for t, m in enumerate(active):
-                state[:m] = new = table.step(state[:m], every[start[:m] + t])
-                n[:m] += new == 0
-            found[:, k] = np.bincount(owner, weights=n + (state > 0), minlength=len(texts)) if len(size) else 0
+        state, n = np.zeros((len(self.langs), len(size)), np.int64), np.zeros((len(self.langs), len(size)), np.int32)
+        done = np.zeros(state.shape, bool)
+        for t, m in enumerate(active):
+            done[:, m : state.shape[1]] = state[:, m:] > 0  # pieces that ended before this letter
+            state = self.next.step(state[:, :m], every[start[:m] + t])
+            n[:, :m] += state == 0
+        done[:, : state.shape[1]] = state > 0
+        found = np.zeros((len(texts), len(self.langs)), np.int64)
+        for k in range(len(self.langs)):
+            found[:, k] = np.bincount(owner, weights=n[k] + done[k], minlength=len(texts)) if len(size) else 0
         return found, letters
 
     def classify(self, texts: pa.Array) -> list[tuple[str, float, int]]:
