@@ -37,12 +37,19 @@ def leaves(text: Column) -> Column:
     return F.transform(found, lambda p: F.substring(F.md5(p), 1, DIGITS))
 
 
+def _cuts(of: Column) -> tuple[Column, Column]:
+    """For each section of a column of leaf digests the number of leaves before it, and up to its end."""
+    n = F.size(of)
+    every = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    ends = F.filter(every, lambda i: (i <= n) & ((i == n) | F.get(of, i - 1).startswith(ENDS)))
+    return F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0)))), ends
+
+
 def cut_sections(of: Column) -> Column:
     """The leaf digests of each section, from a column (not an expression, which would be worked out again and again) of leaf digests."""
-    n = F.size(of)
-    ends = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == n) | F.get(of, i - 1).startswith(ENDS)))
-    before = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0))))
-    return F.when(n > 0, F.zip_with(before, ends, lambda a, b: F.slice(of, a + 1, b - a))).otherwise(F.array().cast("array<array<string>>"))
+    before, ends = _cuts(of)
+    cut = F.zip_with(before, ends, lambda a, b: F.slice(of, a + 1, b - a))
+    return F.when(F.size(of) > 0, cut).otherwise(F.array().cast("array<array<string>>"))
 
 
 def sections(of: Column) -> Column:
@@ -73,36 +80,35 @@ def located_edits(before: DataFrame, after: DataFrame, id_col: str = "doc_id", t
 
     Roots are compared first; of documents whose roots differ, sections; leaves are compared only under sections
     that the other tree has not. A document that `before` lacks, or has with no text, is new from end to end; null text is
-    empty; null ids match null ids; rows with equal ids are compared with all their namesakes; an empty table gives no rows.
+    empty; null ids match null ids; rows with equal ids are compared with all their namesakes, and rows that repeat whole are one; an
+    empty table gives no rows. No text leaves the task that reads it, only digests and lengths do.
     """
 
     def trees(docs: DataFrame) -> DataFrame:
-        of = docs.select(column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
-        of = of.withColumn("pieces", F.regexp_extract_all("text", F.lit(LEAF % PARAGRAPH), F.lit(1)))
-        of = of.select("doc_id", "pieces", F.transform("pieces", lambda p: F.substring(F.md5(p), 1, DIGITS)).alias("leaves"))
-        of = of.withColumn("cut", cut_sections(F.col("leaves")))
-        digests = F.transform("cut", lambda g: F.substring(F.md5(F.array_join(g, ",")), 1, DIGITS))
-        return of.withColumn("digests", digests).withColumn("root", F.md5(F.array_join("digests", ",")))
+        pieces = F.regexp_extract_all(F.coalesce(column(text_col), F.lit("")), F.lit(LEAF % PARAGRAPH), F.lit(1))
+        leaf = F.transform(pieces, lambda p: F.struct(F.substring(F.md5(p), 1, DIGITS).alias("digest"), F.length(p).alias("n")))
+        of = docs.select(column(id_col).alias("doc_id"), leaf.alias("leaf"))
+        of = of.select("doc_id", F.col("leaf.digest").alias("leaves"), F.col("leaf.n").alias("sizes"))
+        of = of.withColumn("digests", sections(F.col("leaves")))
+        return of.withColumn("root", F.md5(F.array_join("digests", ",")))
 
     old, new = trees(before).alias("o"), trees(after).alias("n")
     same = F.col("o.doc_id").eqNullSafe(F.col("n.doc_id"))
     differ = new.join(old.select("o.doc_id", "o.root"), same & (F.col("o.root") == F.col("n.root")), "left_anti")
-    opened = differ.select(
-        "doc_id", "pieces", F.posexplode("cut").alias("nth", "section"), "digests", "cut"
-    ).withColumn("digest", F.get("digests", F.col("nth")))
-    opened = opened.withColumn("first", F.aggregate(F.slice("cut", F.lit(1), F.col("nth")), F.lit(0), lambda n, g: n + F.size(g)))
-    opened = opened.select(
-        "doc_id", "digest", "section", "first",
-        F.aggregate(F.slice("pieces", F.lit(1), F.col("first")), F.lit(0).cast("long"), lambda n, p: n + F.length(p)).alias("at"),
-        F.slice("pieces", F.col("first") + 1, F.size("section")).alias("pieces")
-    ).alias("n")
-    gone = old.select("o.doc_id", F.explode("o.digests").alias("digest")).alias("o")
-    opened = opened.join(gone, same & (F.col("o.digest") == F.col("n.digest")), "left_anti")
-    upto = lambda k: F.aggregate(F.slice("pieces", F.lit(1), k), F.col("at"), lambda n, p: n + F.length(p))
-    each = opened.select("doc_id", "first", "at", "pieces", F.posexplode("section").alias("k", "digest"))
-    each = each.select(
-        "doc_id", (F.col("first") + F.col("k")).alias("leaf"), upto(F.col("k")).alias("start"), upto(F.col("k") + 1).alias("end"), "digest"
-    ).alias("n")
+    differ = differ.dropDuplicates(["doc_id", "root"])
+    cutting = lambda a, b: F.struct(
+        a.alias("first"), *[F.slice(F.col(c), a + 1, b - a).alias(c) for c in ("leaves", "sizes")]
+    )
+    part = F.zip_with(*_cuts(F.col("leaves")), cutting)
+    cut = differ.filter(F.size("leaves") > 0).select("doc_id", "root", "digests", F.posexplode(part).alias("nth", "part"))
+    cut = cut.select("doc_id", "root", "nth", "part", F.get("digests", F.col("nth")).alias("digest"))
+    total = F.aggregate("part.sizes", F.lit(0).cast("long"), lambda n, x: n + x)
+    line = Window.partitionBy("doc_id", "root").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("at", F.coalesce(F.sum(total).over(line), F.lit(0))).alias("n")
+    opened = cut.join(old.select("o.doc_id", F.explode("o.digests").alias("digest")).alias("o"), same & (F.col("o.digest") == F.col("n.digest")), "left_anti")
+    upto = lambda k: F.aggregate(F.slice("part.sizes", F.lit(1), k), F.col("at"), lambda n, x: n + x)
+    each = opened.select("doc_id", "part", "at", F.posexplode("part.leaves").alias("k", "digest"))
+    each = each.select("doc_id", (F.col("part.first") + F.col("k")).alias("leaf"), upto(F.col("k")).alias("start"), upto(F.col("k") + 1).alias("end"), "digest").alias("n")
     had = old.select("o.doc_id", F.explode("o.leaves").alias("digest")).alias("o")
     return each.join(had, same & (F.col("o.digest") == F.col("n.digest")), "left_anti").select("doc_id", "leaf", "start", "end")
 
