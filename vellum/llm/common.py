@@ -168,12 +168,24 @@ def long_array(values: list[int]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), T.ArrayType(T.LongType()))
 
 
+#: Rows of an Arrow batch of texts at most.
+BATCH_ROWS = 1_000
+
+
+def in_batches(rows: DataFrame) -> DataFrame:
+    """rows, with the session's Arrow batches held to BATCH_ROWS rows, so that what a worker and its executor hold of texts at a time is small."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return rows
+
+
 #: Bytes of input for each core under which a table's files are taken to be too few to keep all cores busy.
 SMALL = 4_000_000
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows, dealt over all cores if the table is so small that its files would keep few of them busy; a larger table is left as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
+    """rows, dealt over all cores if the table is so small that its files would keep few of them busy; a larger table is left as it is. In batches, see in_batches()."""
+    cores = in_batches(rows).sparkSession.sparkContext.defaultParallelism
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(cores) if size < cores * SMALL else rows

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import anti_join, column, join_dealt, long_array, settle, small_or_not
+from vellum.llm.common import anti_join, column, in_batches, join_dealt, long_array, settle, small_or_not
 from vellum.llm.components import connected_components, extended
 from vellum.llm.hashing import deal, mix, window_hashes, words_at
 
@@ -429,7 +429,7 @@ def near_duplicates(
     one document; of rows with equal ids but different texts each may take part in the others' links. An empty
     table gives no rows.
     """
-    sets = settle(document_sets(docs, id_col, text_col, width))
+    sets = settle(document_sets(in_batches(docs), id_col, text_col, width))
     classes = settle(
         sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     )

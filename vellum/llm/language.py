@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import column, spread
+from vellum.llm.common import column, in_batches, spread
 
 #: Letters of training text for each language; the automata hold at most twice as many states.
 SAMPLE_CHARS = 60_000
@@ -319,7 +319,7 @@ def identified_documents(
             arrays[lang_at] = pa.array(labels, batch.schema.types[lang_at])
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array(told, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):
