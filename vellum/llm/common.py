@@ -67,10 +67,10 @@ BROADCAST_BYTES = 32_000_000
 def small_or_not(df: DataFrame, rows: int, most_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
     """df, marked for broadcast if it has at most `rows` rows of most_bytes together; df must be cheap to read (settled).
 
-    A string counts with its length, any other value with 16 bytes.
+    A string or binary counts with its length, any other value with 16 bytes.
     """
     each = [
-        F.coalesce(F.octet_length(column(f.name)), F.lit(0)) + 16 if isinstance(f.dataType, T.StringType) else F.lit(16) for f in df.schema
+        F.coalesce(F.octet_length(column(f.name)), F.lit(0)) + 16 if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(16) for f in df.schema
     ]
     n, size = df.limit(rows + 1).select(
         sum(each[1:], each[0]).cast("long").alias("size")

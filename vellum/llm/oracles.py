@@ -69,3 +69,42 @@ numbered AS (SELECT doc_id, size, crc, row_number() OVER (ORDER BY bucket, doc_i
 walk AS ({first} UNION ALL {again})
 SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(p % {shards} AS INT) AS shard, p // {shards} AS slot, CAST(NULL AS INT) AS grown_shard FROM walk WHERE p < n
 """
+
+_SEED = "CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), {at}, 8) AS BIGINT)"
+_JOIN = "array_to_string(list_slice(w, {a}, {b}), '')"
+INFILL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, {", ".join(f"{_SEED.format(at=8 * i + 1)} AS h{i + 1}" for i in range(4))} FROM documents),
+u AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT *, {_JOIN.format(a=1, b='a')} AS pre, {_JOIN.format(a='a + 1', b='b')} AS mid, {_JOIN.format(a='b + 1', b='n')} AS suf FROM u)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+_GRAMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_FEATURES = "unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' ')))))"
+RESAMPLE = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_GRAMS} AS w FROM documents),
+b AS (SELECT {_GRAMS} AS w FROM benchmark),
+df AS (SELECT row, {_FEATURES} AS f FROM d), dc AS (SELECT row, f, count(*) AS c FROM df GROUP BY row, f),
+bf AS (SELECT {_FEATURES} AS f FROM b), bc AS (SELECT f, count(*) AS c FROM bf GROUP BY f),
+tab AS (SELECT list_transform(range(0, 256), lambda k: list_reduce(list_prepend(k, range(0, 8)), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+v AS (SELECT f, list_transform(regexp_extract_all(hex(f), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM (SELECT f FROM dc UNION SELECT f FROM bc) z),
+x AS (SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda s, y: xor(s // 256, t[(xor(s, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM v, tab),
+s AS (SELECT bucket, CAST(sum(c) AS DOUBLE) AS s FROM dc JOIN x USING (f) GROUP BY bucket), t AS (SELECT bucket, CAST(sum(c) AS DOUBLE) AS t FROM bc JOIN x USING (f) GROUP BY bucket),
+g AS (SELECT k.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * (coalesce((SELECT sum(s) FROM s), 0) + 10000) / ((coalesce(s, 0) + 1) * (coalesce((SELECT sum(t) FROM t), 0) + 10000)))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(0, 10000)) AS bucket) k LEFT JOIN s ON s.bucket = k.bucket LEFT JOIN t ON t.bucket = k.bucket),
+m AS (SELECT row, CAST(sum(c) AS BIGINT) AS n_features, CAST(sum(c * gain) AS BIGINT) AS weight FROM dc JOIN x USING (f) JOIN g USING (bucket) GROUP BY row),
+z AS (SELECT doc_id, len(w) >= 20 AS enough, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM d LEFT JOIN m ON m.row = d.row),
+r AS (SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id) AS place FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND place <= 5 * (SELECT count(*) FROM z WHERE enough) // 100 THEN place END AS rank FROM r
+"""
+
+_WHOLE = "list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))"
+TOPK = f"""
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, {_WHOLE} AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.row AS row, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.row <> c.row AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""

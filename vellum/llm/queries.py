@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, html_text, jaccard_join, language, merkle, mixing, oracles, sharding, substring_dedup, surrogates, tokens
+from vellum.llm import (
+    decontaminate, html_text, infill, jaccard_join, language, merkle, mixing, oracles, resample, sharding, substring_dedup, surrogates, tokens, topk
+)
 from vellum.llm.common import table
 
 
@@ -61,12 +64,29 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    )
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return scored.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_token_counts, op2_decontaminate, op3_language, op4_sharding, op5_mixing, op6_surrogates, op7_html_text, op8_substring_dedup,
-            op9_jaccard_join, op10_merkle, pipeline
+            op9_jaccard_join, op10_merkle, op11_infill, op12_topk, op13_resample, pipeline
         )
     }
 
@@ -74,5 +94,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op2_decontaminate": oracles.DECONTAMINATE, "op4_sharding": oracles.sharding(8, sharding.KEY),
-        "op8_substring_dedup": oracles.SUBSTRINGS, "op9_jaccard_join": oracles.JACCARD, "op10_merkle": merkle.oracle()
+        "op8_substring_dedup": oracles.SUBSTRINGS, "op9_jaccard_join": oracles.JACCARD, "op10_merkle": merkle.oracle(),
+        "op11_infill": oracles.INFILL, "op12_topk": oracles.TOPK, "op13_resample": oracles.RESAMPLE
     }
