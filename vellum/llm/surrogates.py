@@ -1,17 +1,19 @@
 """Personal data: detected entities get keyed surrogates of the same type, gender, script and format.
 
 A surrogate is made by a keyed permutation of all values of the entity's format, so it needs no table of
-the corpus and no shuffle, and it cannot collide: within a format different entities get different
-surrogates (distinctness), and an entity gets the same one in every document, in whatever case or
-punctuation it is written (coreference). The permutation P is a Feistel network over the numbers of the
-format's values; the surrogate of x is P^-1(P(x) + 1), which is never x itself. The key is the caller's: who has it
+the corpus and no shuffle: within a format different entities get different surrogates (distinctness), and
+an entity gets the same one in every document, in whatever case or punctuation it is written, a phone number with its
+country code or its trunk zero (coreference). The permutation P is a Feistel network over the numbers of the
+format's values; the surrogate of x is P^-1(P(x) + 1), which is never x itself. Two entities of a document can meet only where
+letters have no alphabet here or a title overrules a list; the later one then walks on along the cycle until it is alone (Book), so in
+such a document it differs from its surrogate in others. The key is the caller's: who has it
 can undo the replacement, so it belongs beside no output, and there is none in this file.
 
 Formats: letters stay letters of their script and case, digits digits, all else stays. In names vowels
-stay vowels; given names on the lists are replaced from the list of the same gender, others by letters
-and never by a listed name. Card numbers keep their check digit right, phone numbers their country code,
+stay vowels; given names on the lists are replaced from the list of the title's gender, or else of their own, others by letters
+and never by a listed name; the letter before an apostrophe (O'Neill) stays. Card numbers keep their check digit right, phone numbers their country code,
 addresses of the internet stay dotted quads, secrets keep their alphabet, dates of birth become days of their own
-notation. check() states the collision checks that every document's replacements must pass.
+notation. check() states the collision checks that every document's replacements pass.
 
 What is found: mail and internet addresses, phone, card (of a known issuer's range, with a right check digit), bank account and
 social security numbers, secrets (by their own form, or behind a word like `password=`), postal addresses with a street's
@@ -38,6 +40,8 @@ from pyspark.sql import DataFrame, SparkSession
 from vellum.llm.common import column, spread
 
 ROUNDS = 6
+#: Steps along a cycle that an entity takes at most to be alone.
+WALK = 1_000
 
 # Titles by gender and given names by gender.
 TITLES_F = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Madame", "Mlle", "Sra", "Señora", "Doña")
@@ -67,8 +71,9 @@ ALPHABETS = (
 )
 VOWELS = frozenset(ALPHABETS[0] + ALPHABETS[2] + ALPHABETS[4] + ALPHABETS[6])
 LATIN = "abcdefghijklmnopqrstuvwxyz"
+_KNOWN = frozenset("".join(ALPHABETS))
 
-_NAME = r"[^\W\d_][^\W\d_]++(?:['’-][^\W\d_]++)*+"
+_NAME = r"(?:[^\W\d_]['’](?=[^\W\d_]))?[^\W\d_][^\W\d_]++(?:['’-][^\W\d_]++)*+"
 _UPPER = "[" + "".join(c for c in map(chr, range(0x530)) if c.isupper()) + "]"  # Latin, Greek and Cyrillic
 _LISTED = "|".join(x for n in sorted(GIVEN_F + GIVEN_M, key=len, reverse=True) for x in (n, n.upper()))
 _TITLES = "|".join(TITLES_F + TITLES_M + TITLES_N)
@@ -191,15 +196,22 @@ def is_card(text: str) -> bool:
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+def folded(word: str) -> str:
+    """A word in lower case, its long s and its i with or without a dot as plain ones: all that a search without regard to case takes for equal."""
+    return unicodedata.normalize("NFKC", word).replace("İ", "i").replace("ı", "i").lower()
+
+
 def _date(text: str, key: bytes) -> str | None:
     """Another day in the same notation, or None if text is no day of 1900 to 2099. Of two numbers the first is the day if it can be."""
     fields = re.findall(r"[^\W\d_]+|\d+", text)
     numbers = [f for f in fields if f.isdigit()]
-    months = next((own for own in MONTHS if any(f.lower() in own for f in fields)), None)
+    months = next((own for own in MONTHS if any(folded(f) in own for f in fields)), None)
+    if months is None and len(numbers) != 3:
+        return None
     if months:
-        word = next(f for f in fields if f.lower() in months)
+        word = next(f for f in fields if folded(f) in months)
         order = [numbers[0], word, numbers[-1]]  # day, month, year
-        d, m, y = int(numbers[0]), months.index(word.lower()) + 1, int(numbers[-1])
+        d, m, y = int(numbers[0]), months.index(folded(word)) + 1, int(numbers[-1])
     elif len(numbers[0]) == 4:
         order = [numbers[2], numbers[1], numbers[0]]
         y, m, d = map(int, numbers)
@@ -220,9 +232,8 @@ def _date(text: str, key: bytes) -> str | None:
     if months:
         put["m"] = put["m"].upper() if order[1].isupper() else put["m"].capitalize() if order[1][0].isupper() else put["m"]
     # The fields stand in the order of their first places in the text.
-    kinds = sorted("dmy", key=lambda k: _field_at(text, order["dmy".index(k)], "dmy".index(k), order))
-    parts = iter(kinds)
-    return re.sub(r"\d+|\b(?:" + "|".join(months or ["$^"]) + r")\b", lambda _: put[next(parts)], text, flags=re.I)
+    kinds = iter(sorted("dmy", key=lambda k: _field_at(text, order["dmy".index(k)], "dmy".index(k), order)))
+    return re.sub(r"\d+|[^\W\d_]+", lambda f: put[next(kinds)] if f[0].isdigit() or folded(f[0]) in (months or ()) else f[0], text)
 
 
 def _field_at(text: str, field: str, k: int, order: list[str]) -> int:
@@ -258,26 +269,51 @@ def _ip(text: str, key: bytes) -> str:
     return ".".join(str(v >> s & 255) for s in (24, 16, 8, 0))
 
 
-def _phone(text: str, key: bytes) -> str:
-    country = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-    end = country.end() if country else 0
-    old = "".join(c for c in text[end:] if c.isdigit())
-    return text[:end] + _digits_into(text[end:], like(old, key, "phone"))
+# First digits of country codes of one and of two digits; all others have three.
+CODES_1 = ("1", "7")
+CODES_2 = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def _phone_parts(text: str) -> tuple[int, str]:
+    """Number of leading digits that stay (country code, trunk zeros), and the national number's digits."""
+    digits = "".join(c for c in text if c.isdigit())
+    head = 0
+    if text.startswith("+"):
+        head = 1 if digits[0] in CODES_1 else 2 if digits[:2] in CODES_2 else 3
+    while head < len(digits) - 1 and digits[head] == "0":
+        head += 1
+    return head, digits[head:]
 
 
-def _given(word: str, gender: str, key: bytes) -> str:
-    """A listed name gives the next one of its gender on a keyed cycle; another word letters of its kind, but no listed name."""
-    for names in (GIVEN_F, GIVEN_M) if gender != "m" else (GIVEN_M, GIVEN_F):
-        if word.capitalize() in names:
-            return names[another(names.index(word.capitalize()), len(names), key, "given " + names[0])].lower()
-    return _surname(word, key)
+def _phone(text: str, key: bytes) -> str:
+    """The national number is permuted in one form, with or without a country code or a trunk zero, and begins with no zero again."""
+    head, old = _phone_parts(text)
+    new = like(old, key, "phone")
+    while new[0] == "0" != old[0]:
+        new = like(new, key, "phone")
+    return _digits_into(text, "".join(c for c in text if c.isdigit())[:head] + new)
+
+
+def _listed(word: str, gender: str, key: bytes) -> str | None:
+    """A listed name gives the next one of its gender on a keyed cycle, or, under a title of the other gender, one of that; None for another word."""
+    name = word.capitalize()
+    own = next((x for x in ((GIVEN_F, GIVEN_M) if gender != "m" else (GIVEN_M, GIVEN_F)) if name in x), None)
+    if own is None:
+        return None
+    wanted = {"f": GIVEN_F, "m": GIVEN_M}.get(gender, own)
+    if name in wanted:
+        return wanted[another(wanted.index(name), len(wanted), key, "given " + wanted[0])].lower()
+    return wanted[_mix(key, "given of the other list " + word, 0, 0) % len(wanted)].lower()
 
 
 def _surname(word: str, key: bytes) -> str:
+    """Letters of the same kinds, but no listed name; the letter before an apostrophe stays."""
+    head = re.match(r"[^\W\d_]['’](?=[^\W\d_]{2})|", word)[0]
+    word = word[len(head) :]
     new = like(word, key, "name")
     while new.capitalize() in GIVEN_F or new.capitalize() in GIVEN_M:
         new = like(new, key, "name")
-    return new
+    return head + new
 
 
 def _bare(word: str) -> tuple[str, str]:
@@ -324,27 +360,71 @@ def _again(text: str, names: set[str], start: int, end: int):
         yield run[0], run[1]
 
 
-def _person(text: str, title: str, key: bytes) -> str:
-    gender = "f" if title in TITLES_F else "m" if title in TITLES_M else ""
-    head = re.match(re.escape(title) + r"\.? ", text).end() if title else 0
-    words = text[head:].split(" ")
-    out = []
-    for i, w in enumerate(words):
-        w, own = _bare(w)
-        low = unicodedata.normalize("NFC", w).lower()
-        if len(low) != len(w):
-            low = w  # a letter whose lower case is longer stays as it is
-        listed = low.capitalize() in GIVEN_F or low.capitalize() in GIVEN_M
-        new = _given(low, gender, key) if listed or i < len(words) - 1 else _surname(low, key)
-        out.append(cased(new, w) if len(new) == len(w) else new.upper() if w.isupper() and len(w) > 1 else new.capitalize())
-        out[-1] += own
-    return text[:head] + " ".join(out)
+class Book:
+    """The surrogates of one document's entities and names: equal for equal ones, and of different ones no two meet.
+
+    genders: the gender that a title gives a name (in lower case) anywhere in the document.
+    """
+
+    def __init__(self, key: bytes, genders: dict[str, str] | None = None):
+        self.key, self.genders = key, genders or {}
+        self.names: dict[str, str] = {}
+        self.owner: dict[tuple[str, str], str] = {}
+
+    def name(self, word: str, given: bool) -> str:
+        if word not in self.names:
+            listed = _listed(word, self.genders.get(word, ""), self.key)
+            new = listed if listed and (given or word.capitalize() in GIVEN_F + GIVEN_M) else _surname(word, self.key)
+            tried = 0
+            while self.owner.setdefault(("name", new), word) != word:
+                tried += 1
+                new = (_listed(new, "", self.key) or _surname(new, self.key)) if tried < WALK else _surname(word, self.key) + LATIN[tried % 26] * (tried - WALK + 1)
+            self.names[word] = new
+        return self.names[word]
+
+    def surrogate(self, kind: str, text: str, title: str | None = None) -> str:
+        if kind == "person":
+            return self.person(text, title or "")
+        old, new, tried = normal(kind, text), _surrogate(kind, text, self.key), 0
+        while self.owner.setdefault((kind, normal(kind, new)), old) != old:
+            tried += 1
+            # Once many are taken, of a format of few values, a number behind it tells them apart.
+            new = _surrogate(kind, new, self.key) if tried < WALK else f"{_surrogate(kind, text, self.key)}{tried}"
+        return new
+
+    def person(self, text: str, title: str) -> str:
+        head = re.match(re.escape(title) + r"\.? ", text).end() if title else 0
+        words = text[head:].split(" ")
+        out = []
+        for i, w in enumerate(words):
+            w, own = _bare(w)
+            low = unicodedata.normalize("NFC", w).lower()
+            if len(low) != len(w):
+                low = w  # a letter whose lower case is longer stays as it is
+            new = self.name(low, i < len(words) - 1)
+            out.append(cased(new, w) if len(new) == len(w) else new.upper() if w.isupper() and len(w) > 1 else new.capitalize())
+            out[-1] += own
+        return text[:head] + " ".join(out)
+
+
+def normal(kind: str, text: str) -> str:
+    """What is equal for the spellings of one entity."""
+    if kind in ("card", "ssn"):
+        return "".join(c for c in text if c.isdigit())
+    if kind == "phone":
+        return _phone_parts(text)[1]
+    return re.sub(r"\s", "", text).lower() if kind == "iban" else text if kind == "secret" else text.lower()
 
 
 def surrogate(kind: str, text: str, key: bytes, title: str | None = None) -> str:
-    """The surrogate of one entity; equal for equal entities, whatever their case and separators."""
-    if kind == "person":
-        return _person(text, title or "", key)
+    """The surrogate of one entity by itself; equal for equal entities, whatever their case and separators."""
+    words = text.split(" ")
+    gender = "f" if title in TITLES_F else "m" if title in TITLES_M else ""
+    genders = {_bare(words[1])[0].lower(): gender} if title and gender and len(words) > 2 else {}
+    return Book(key, genders).surrogate(kind, text, title)
+
+
+def _surrogate(kind: str, text: str, key: bytes) -> str:
     if kind == "card":
         return _card(text, key)
     if kind == "ip":
@@ -370,12 +450,11 @@ def surrogate(kind: str, text: str, key: bytes, title: str | None = None) -> str
     if kind == "email":
         local, _, domain = text.rpartition("@")
         name, dot, top = domain.rpartition(".")
-        parts = [
-            cased(like(x.lower(), key, "email " + k), x) if len(x.lower()) == len(x) else like(
-                re.sub(r"\W", "a", x.lower()), key, "email " + k
-            ) for k,
-            x in (("local", local), ("domain", name))
-        ]
+        parts = []
+        for k, x in (("local", local), ("domain", name)):
+            # Letters without an alphabet here, or whose lower case is longer, become ones of a-z.
+            low = "".join(c.lower() if len(c.lower()) == 1 and (c.lower() in _KNOWN or not c.isalpha()) else LATIN[ord(c) % 26] for c in x)
+            parts.append(cased(like(low, key, "email " + k), x))
         return f"{parts[0]}@{parts[1]}{dot}{top}"
     return _digits_into(text, like("".join(c for c in text if c.isdigit()), key, kind))
 
@@ -402,21 +481,33 @@ def check(replaced: dict[tuple[str, str], str], titles: dict[str, str] | None =
 
 def replace_text(text: str | None, key: bytes) -> tuple[str | None, int, int, str]:
     """(text with surrogates, entities, different entities, kinds as `kind:count` in order of kind)."""
+    new, made, kinds, _ = replacements(text, key)
+    return new, sum(kinds.values()), len(made), ",".join(f"{k}:{n}" for k, n in sorted(kinds.items()))
+
+
+def replacements(text: str | None, key: bytes) -> tuple[str | None, dict[tuple[str, str], str], dict[str, int], dict[str, str]]:
+    """(text with surrogates, surrogates by (kind, entity), entities by kind, titles by person in lower case)."""
     if not text or not hinted(text):
-        return text, 0, 0, ""
+        return text, {}, {}, {}
     made: dict[tuple[str, str], str] = {}
     kinds: dict[str, int] = {}
     titles: dict[str, str] = {}
 
     def put(kind: str, old: str, title: str | None = None) -> str:
         if (kind, old) not in made:
-            made[kind, old] = surrogate(kind, old, key, title)
+            made[kind, old] = book.surrogate(kind, old, title)
             titles[old.lower()] = (title or "").lower()
         kinds[kind] = kinds.get(kind, 0) + 1
         return made[kind, old]
 
     found = [m for m in ENTITY.finditer(text) if m.lastgroup != "card" or is_card(m[0])]
     names, parts, at = _names(text, found), [], 0
+    genders: dict[str, str] = {}
+    for m in found:
+        words = m[0].split(" ")
+        if m["title"] in TITLES_F + TITLES_M and len(words) > 2:
+            genders.setdefault(_bare(words[1])[0].lower(), "f" if m["title"] in TITLES_F else "m")
+    book = Book(key, genders)
 
     def between(end: int) -> None:
         """Text outside the entities, up to end."""
@@ -432,9 +523,7 @@ def replace_text(text: str | None, key: bytes) -> tuple[str | None, int, int, st
         parts.append(put(kind, m[0], m["title"]))
         at = m.end()
     between(len(text))
-    new = "".join(parts)
-    check(made, titles)
-    return new, sum(kinds.values()), len(made), ",".join(f"{k}:{n}" for k, n in sorted(kinds.items()))
+    return "".join(parts), made, kinds, titles
 
 
 def session_key(spark: SparkSession) -> bytes:
