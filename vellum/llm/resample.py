@@ -82,7 +82,8 @@ def features(texts: pa.Array, owned: pa.Array, buckets: int, width: int):
 def split_long(docs: DataFrame, width: int = WIDTH, chunk: int = CHUNK) -> DataFrame:
     """(key, doc_id, kept, text, owned) of docs(doc_id, kept, text) without null texts: the chunks of every text. kept is in the first chunk of a text alone."""
     rows = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "kept", "text")
-    schema = T.StructType([*rows.schema.fields, T.StructField("owned", T.LongType())])
+    # All may be null, as kept is beyond the first chunk.
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in rows.schema], T.StructField("owned", T.LongType())])
     names = schema.fieldNames()
 
     def run(batches):
