@@ -2,9 +2,9 @@
 
 Identical texts are grouped by the SHA-256 of their content, checked by length and a second hash when documents come back to it. Each
 distinct text is cut into tokens once, and the places where tokens end are kept as an Elias-Fano list: some two bits a token, of which
-any entry can be selected. Documents join back to the index by digest, without their texts, and each selects the two cuts that its id
-seeds. So a text crosses the network once, however many copies it has; a text of more than HOT copies is a row of a table of its own, to
-which its copies are dealt by a salt.
+any entry can be selected. Documents come back to the index by digest, without their texts, and each selects the two cuts that its id
+seeds. So a text crosses the network once, however many copies it has. An entry of the index holds the ids of its documents, HOT at most; a text of
+more copies is in a table of its own, which is joined to them.
 """
 
 from __future__ import annotations
@@ -114,44 +114,51 @@ def restored(output: Column, form: Column) -> Column:
     return F.when(form == "plain", output).when(form == "psm", psm).otherwise(spm)
 
 
-def _index(rows: DataFrame) -> DataFrame:
-    """(digest, text, size, check, ends) of each distinct text of rows."""
-    own = rows.groupBy("digest").agg(F.first("text").alias("text"))
-    return own.select(
-        F.col("digest").alias("_digest"), "text", F.octet_length("text").alias("_size"), F.xxhash64("text").alias("_check"), boundaries(F.col("text")).alias("_ends")
-    )
+def _checked(rows: DataFrame) -> DataFrame:
+    """rows whose size and check agree with those of the text that their digest led to; it is an error if two texts share a digest."""
+    same = (F.col("size") == F.octet_length("text")) & (F.col("check") == F.xxhash64("text"))
+    return rows.withColumn("text", F.when(same, F.col("text")).otherwise(F.raise_error(F.lit("two texts share a digest"))))
 
 
-def _joined(rows: DataFrame, index: DataFrame, on: Column) -> DataFrame:
-    """rows without texts, with the text and the list of their distinct text; it is an error if two texts share a digest."""
-    both = rows.join(index, on)
-    same = (F.col("size") == F.col("_size")) & (F.col("check") == F.col("_check"))
-    return both.withColumn("text", F.when(same, F.col("text")).otherwise(F.raise_error(F.lit("two texts share a digest"))))
+def _index(rows: DataFrame) -> DataFrame:
+    """(digest, text, docs, _ends) of each distinct text of rows, docs being the rows that have it."""
+    docs = F.collect_list(F.struct("doc_id", "kept", "size", "check")).alias("docs")
+    return rows.groupBy("digest").agg(F.first("text").alias("text"), docs).withColumn("_ends", boundaries(F.col("text")))
 
 
 def with_boundaries(rows: DataFrame) -> DataFrame:
-    """rows(text not null, ...) with _ends, the Elias-Fano list of their text."""
+    """rows(doc_id, text not null, kept) with _ends, the Elias-Fano list of their text.
+
+    Map tasks send each of their distinct texts once, with the ids that have it; a text of more than HOT copies
+    goes without its ids, and is joined to them.
+    """
     rows = in_batches(rows).withColumns(
         {"digest": F.unhex(F.sha2("text", 256)), "size": F.octet_length("text"), "check": F.xxhash64("text")}
     )
     hot = settle(rows.groupBy("digest").count().filter(F.col("count") > HOT).select(
         F.col("digest").alias("_hot"), F.ceil(F.col("count") / HOT).cast("int").alias("_parts")
     ))
-    if hot.isEmpty():
-        return _joined(rows.drop("text"), _index(rows), F.col("digest") == F.col("_digest"))
-    listed, _ = small_or_not(hot, 500_000)
-    cold = rows.join(listed, F.col("digest") == F.col("_hot"), "left_anti")
-    out = _joined(cold.drop("text"), _index(cold), F.col("digest") == F.col("_digest"))
+    columns = ["doc_id", "kept", "text", "_ends"]
+    cold = rows
+    if not hot.isEmpty():
+        listed, _ = small_or_not(hot, 500_000)
+        cold = rows.join(listed, F.col("digest") == F.col("_hot"), "left_anti")
+    out = _index(cold).select("text", "_ends", F.explode("docs").alias("_doc")).select("text", "_ends", "_doc.*")
+    out = _checked(out).select(*columns)
+    if cold is rows:
+        return out
     dealt = rows.join(listed, F.col("digest") == F.col("_hot"))
+    found = dealt.groupBy("digest").agg(F.first("text").alias("_text")).select(
+        F.col("digest").alias("_digest"), "_text", boundaries(F.col("_text")).alias("_ends")
+    )
     on = F.col("digest") == F.col("_digest")
-    found, small = small_or_not(settle(_index(dealt)), 100_000)
+    found, small = small_or_not(settle(found), 100_000)
     if not small:
         found = found.join(listed, F.col("_digest") == F.col("_hot")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
         found = found.drop("_hot", "_parts")
         dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int"))
         on = on & (F.col("_own") == F.col("_salt"))
-    more = _joined(dealt.drop("text"), found, on)
-    return out.select(*out.columns).unionByName(more.select(*out.columns))
+    return out.unionByName(_checked(dealt.drop("text").join(found, on).withColumnRenamed("_text", "text")).select(*columns))
 
 
 def fill_in_middle(
