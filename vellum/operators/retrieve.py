@@ -120,6 +120,25 @@ def in_graphs(triples: DataFrame, graphs: list[str]) -> DataFrame:
     return triples.filter(F.col("graph").isin(graphs))
 
 
+def write_graphs(triples: DataFrame, path: str, files: int = 8) -> None:
+    """Triples (graph, s, p, o) as Parquet, a folder for each named graph, so that readers open the folders of their graphs only.
+
+    A graph is dealt over `files` files by subject, however large it is, each in order of predicate and subject, so that readers
+    of one predicate skip row groups. A null graph has a folder of its own, which no list of graphs asks for.
+    """
+    dealt = triples.select("s", "p", "o", "graph").repartition("graph", F.pmod(F.xxhash64("s"), F.lit(files)))
+    dealt.sortWithinPartitions("graph", "p", "s").write.mode("overwrite").partitionBy("graph").parquet(path)
+
+
+def read_graphs(spark, path: str, graphs: DataFrame) -> DataFrame:
+    """The triples of the named graphs that graphs(graph) lists, once each however often it does.
+
+    The list is evaluated first and prunes the folders that are read (dynamic partition pruning), so its rows may come from any query.
+    """
+    triples = spark.read.option("recursiveFileLookup", "false").schema("s string, p string, o string, graph string").parquet(path)
+    return triples.join(graphs.select("graph").distinct(), "graph", "left_semi").select("graph", "s", "p", "o")
+
+
 def property_values(triples: DataFrame, predicates: list[str], name: str, inverse: bool = False) -> DataFrame:
     """(s, name) for any of the predicates; inverse swaps subject and object. Left-join it for an optional property."""
     s, o = ("o", "s") if inverse else ("s", "o")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vellum.functions.strings import flip_names, fragments, place_text, uri_source
 from vellum.operators import evaluate, explain, retrieve, score
+from vellum.plans.durable import shared_folder
 from vellum.plans.registry import query
 from vellum.plans.span_queries import star_sql
 
@@ -35,6 +38,23 @@ def triple_patterns(spark, sf_dir):
     return out
 
 
+@query("graph_partitions", f"""
+WITH g AS (SELECT r_name AS graph FROM region WHERE r_regionkey % 2 = 1), t AS (SELECT z.* FROM {TRIPLES} z WHERE graph IN (SELECT graph FROM g)),
+n AS (SELECT graph, s, o AS name FROM t WHERE p = 'name'), l AS (SELECT s, o AS place FROM t WHERE p IN ('lives_in', 'lived_in')), k AS (SELECT s, o AS nick FROM t WHERE p = 'nick')
+SELECT graph, s, name, place, nick FROM n LEFT JOIN l USING (s) LEFT JOIN k USING (s)
+""")
+def graph_partitions(spark, sf_dir):
+    """Triples kept a folder a graph, and properties of persons read from the graphs that a query over regions names."""
+    folder = f"{shared_folder(spark)}/graphs-{uuid.uuid4().hex}"
+    retrieve.write_graphs(star_sql(spark, sf_dir, f"SELECT * FROM {TRIPLES} z"), folder)
+    wanted = star_sql(spark, sf_dir, "SELECT r_name AS graph FROM region WHERE r_regionkey % 2 = 1")
+    t = retrieve.read_graphs(spark, folder, wanted)
+    out = t.filter("p = 'name'").select("graph", "s", F.col("o").alias("name"))
+    for predicates, name in ((["lives_in", "lived_in"], "place"), (["nick"], "nick")):
+        out = out.join(retrieve.property_values(t, predicates, name), "s", "left")
+    return out.select("graph", "s", "name", "place", "nick")
+
+
 #: Place rows as a store gives them, values joined by ` | `.
 SHAPES = """(SELECT 'kg/place/' || n_name || '/x' AS place, 'era' || (n_nationkey % 3) AS era, n_name AS english, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE 'I' || n_name END AS irish,
   CASE n_nationkey % 3 WHEN 0 THEN 'o#town | o#county | o#town' WHEN 1 THEN 'o#parish' END AS types, 'kg/place/' || r_name || '_old/x' || CASE WHEN n_nationkey % 2 = 0 THEN ' | kg/place/WORLD/x' ELSE '' END AS "parentPlace",
