@@ -108,3 +108,43 @@ def test_filters_and_groups(spark):
     assert got == {("O'Neill", "PER"): [(0, 7), (20, 27)], (" Cork ", "LOC"): [(60, 66)], ("Cork", "PER"): []}
     assert filters.document_locations(unique).first().locations == [" cork "]
     assert {(r.start, r.end) for r in spans.spans_from_lookup(unique).collect()} == {(0, 7), (20, 27), (60, 66)}
+
+
+def test_spans_are_cut_from_their_text(spark):
+    texts = spark.createDataFrame([(1, "Said O'Neill’s John Kel-ly of Córk"), (2, ""), (3, None)], "doc_id long, full string")
+    rows = [(1, "x", "PER", 0.9, 5, 7), (1, "x", "PER", 0.9, -3, 4), (1, "x", "LOC", None, 28, 99), (1, "x", "PER", 0.9, None, None), (2, "x", "PER", 0.9, 0, 3), (3, "x", "PER", 0.9, 0, 3), (4, "x", "PER", 0.9, 0, 3)]
+    got = {(r.doc_id, r.start, r.end): (r._n, r._own, r._run, r._near) for r in spans.beside(df(spark, rows), texts, margin=3).collect()}
+    full = "Said O'Neill’s John Kel-ly of Córk"
+    assert got == {
+        (1, 5, 7): (34, "O'", "Neill’s", full[2:10]), (1, -3, 4): (34, "Said", "", full[:7]), (1, 28, 99): (34, full[28:], "", full[25:]), (1, None, None): (34, "", "", full),
+        (2, 0, 3): (0, "", "", ""), (3, 0, 3): (None, None, None, None)
+    }
+
+
+def test_time_follows_the_number_of_spans(spark):
+    """One document of n short spans: twice the spans must not take four times as long."""
+    import time
+
+    from vellum.operators import tag
+
+    def seconds(n):
+        text = "John of Corke in the County of Mayo. " * n
+        rows = [(1, "John", "PER", 0.9, 37 * i, 37 * i + 3) for i in range(n)]
+        texts = spark.createDataFrame([(1, text)], "doc_id long, full string")
+        maps = spark.createDataFrame([(1, list(range(len(text))), text)], "doc_id long, char_map array<int>, raw string")
+        s, out = df(spark, rows).coalesce(1), []
+        for f in (
+            lambda: spans.clip_to_text(s, texts), lambda: spans.extend_clipped(s, texts), lambda: spans.extend_o_surnames(s, texts), lambda: tag.trim_affixes(s, texts),
+            lambda: tag.fix_labels(s, texts), lambda: spans.project_to_raw(s, maps)
+        ):
+            best = 1e9
+            for _ in range(2):
+                began = time.time()
+                assert f().count() == n
+                best = min(best, time.time() - began)
+            out.append(best)
+        return out
+
+    seconds(500)
+    for few, many in zip(seconds(4_000), seconds(16_000)):
+        assert many < 1.5 + 5 * few

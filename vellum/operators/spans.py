@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import lexicon as L
-from vellum.functions.strings import alpha_only, lit_set, slice_text
+from vellum.functions.strings import alpha_only, lit_set
 
 #: Between spans that may merge: up to three marks or blanks, or the word `oge`. A final newline is allowed for.
 GAP = r"(?iU)^(?:[\s'’.-]{0,3}|\s+oge\s+)\n?$"
@@ -18,16 +18,53 @@ SPAN = ["doc_id", "text", "label", "score", "start", "end"]
 LABELS = ("PER", "LOC")
 
 
+_BESIDE = "array<struct<n:int,own:string,run:string,near:string>>"
+
+
+def beside(spans: DataFrame, texts: DataFrame, margin: int | None = None) -> DataFrame:
+    """spans, of the documents that texts(doc_id, full) has, with what their text has at their place: _n, its length; _own, the span itself; _run, the letters,
+    apostrophes and hyphens right behind it; _near, with `margin`, the span and so many characters around it, else null.
+
+    A null place, or one outside the text, counts as the text's end, or its beginning; for _near a null place is the text's own edge. A document's spans are
+    cut from its text by one Arrow function, so a text is read once, however many spans it has.
+    """
+    others = [c for c in spans.columns if c != "doc_id"]
+    packed = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*others)).alias("_s")).join(texts.select("doc_id", "full"), "doc_id")
+
+    def run(starts: pa.Array, ends: pa.Array, full: pa.Array) -> pa.Array:
+        out = []
+        for a, b, text in zip(starts.to_pylist(), ends.to_pylist(), full):
+            text, own = text.as_py(), []
+            if text is None:
+                out.append([(None, None, None, None)] * len(a))
+                continue
+            n = len(text)
+            for x, y in zip(a, b):
+                s, e = (n if p is None else min(max(p, 0), n) for p in (x, y))
+                to = e
+                while to < n and (text[to].isalpha() or text[to] in "'’-"):
+                    to += 1
+                near = None if margin is None else text[0 if x is None else max(x - margin, 0) : n if y is None else max(y + margin, 0)]
+                own.append((n, text[s:e], text[e:to], near))
+            out.append(own)
+        names = ("n", "own", "run", "near")
+        kind = pa.list_(pa.struct([("n", pa.int32()), *[(c, pa.string()) for c in names[1:]]]))
+        return pa.array([[dict(zip(names, x)) for x in own] for own in out], kind)
+
+    run.__annotations__ = {"starts": pa.Array, "ends": pa.Array, "full": pa.Array, "return": pa.Array}
+    places = [F.col(f"_s.{c}").cast("array<int>") for c in ("start", "end")]
+    cut = packed.withColumn("_w", F.arrow_udf(run, _BESIDE)(*places, F.col("full")))
+    each = cut.select("doc_id", F.explode(F.arrays_zip("_s", "_w")).alias("_e"))
+    return each.select("doc_id", "_e._s.*", *[F.col(f"_e._w.{c}").alias(f"_{c}") for c in ("n", "own", "run", "near")])
+
+
 def clip_to_text(spans: DataFrame, texts: DataFrame) -> DataFrame:
     """Offsets held within the text (doc_id, full), empty spans dropped, text read anew and trimmed."""
-    s = spans.drop("text").join(texts.select("doc_id", "full"), "doc_id")
-    n = F.length("full")
+    s, n = beside(spans.drop("text"), texts), F.col("_n")
     s = s.withColumns(
         {"start": F.greatest(F.least("start", n), F.lit(0)), "end": F.greatest(F.least("end", n), F.lit(0))}
     ).filter("start < end")
-    return s.withColumn(
-        "text", F.regexp_replace(slice_text(F.col("full"), F.col("start"), F.col("end")), r"(?U)^\s+|\s+$", "")
-    ).select(*SPAN)
+    return s.withColumn("text", F.regexp_replace("_own", r"(?U)^\s+|\s+$", "")).select(*SPAN)
 
 
 def _reach(spans: DataFrame) -> DataFrame:
@@ -59,12 +96,10 @@ def looks_like_token(token: Column, label: Column) -> Column:
 
 def extend_clipped(spans: DataFrame, texts: DataFrame) -> DataFrame:
     """A span that ends inside a word goes on to the word's end, if it is a plausible single word then."""
-    s = spans.join(texts.select("doc_id", "full"), "doc_id")
-    rest = F.substring("full", F.col("end") + 1, F.length("full"))
-    clipped = F.col("label").isin(*LABELS) & (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") < F.length("full"))
-    clipped = clipped & slice_text(F.col("full"), F.col("end") - 1, F.col("end")).rlike(r"^\p{L}$") & rest.rlike(r"^(?:\p{L}|['’]\p{L})")
-    longer = F.col("end") + F.length(F.regexp_extract(rest, r"^[\p{L}'’-]+", 0))
-    word = slice_text(F.col("full"), F.col("start"), longer)
+    s = beside(spans, texts)
+    clipped = F.col("label").isin(*LABELS) & (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") < F.col("_n"))
+    clipped = clipped & F.right("_own", F.lit(1)).rlike(r"^\p{L}$") & F.col("_run").rlike(r"^(?:\p{L}|['’]\p{L})")
+    longer, word = F.col("end") + F.length("_run"), F.concat("_own", "_run")
     ok = clipped & looks_like_token(word, F.col("label"))
     s = s.select(
         "doc_id", F.when(ok, word).otherwise(F.col("text")).alias("text"), "label", "score", "start",
@@ -75,17 +110,18 @@ def extend_clipped(spans: DataFrame, texts: DataFrame) -> DataFrame:
 
 def extend_o_surnames(spans: DataFrame, texts: DataFrame) -> DataFrame:
     """A PER that ends with `O` or `O'` takes in the surname of the list that follows."""
-    s = spans.join(texts.select("doc_id", "full"), "doc_id")
-    own = F.regexp_replace(slice_text(F.col("full"), F.col("start"), F.col("end")), r"(?U)\s+$", "")
-    at = F.col("end") + F.when(slice_text(F.col("full"), F.col("end"), F.col("end") + 1).isin("'", "’"), 1).otherwise(0)
-    name = F.regexp_extract(F.substring("full", at + 1, F.length("full")), r"^[A-Za-z]+", 0)
+    s = beside(spans, texts)
+    own = F.regexp_replace("_own", r"(?U)\s+$", "")
+    mark = F.when(F.left("_run", F.lit(1)).isin("'", "’"), 1).otherwise(0)
+    name = F.regexp_extract(F.substring("_run", mark + 1, F.length("_run")), r"^[A-Za-z]+", 0)
     surnames = lit_set(sorted({"".join(c for c in x if "a" <= c <= "z") for x in L.SURNAMES}))
     ok = (F.col("label") == "PER") & (F.col("end") > F.col("start")) & (
-        F.col("end") <= F.length("full")
+        F.col("end") <= F.col("_n")
     ) & own.rlike(r"(?i)\bO'?$") & (name != "") & F.array_contains(surnames, alpha_only(name))
-    end = at + F.length(name)
+    more = mark + F.length(name)
+    end = F.col("end") + more
     s = s.select(
-        "doc_id", F.when(ok, slice_text(F.col("full"), F.col("start"), end)).otherwise(F.col("text")).alias("text"), "label", "score",
+        "doc_id", F.when(ok, F.concat("_own", F.left("_run", more))).otherwise(F.col("text")).alias("text"), "label", "score",
         "start", F.when(ok, end).otherwise(F.col("end")).cast("int").alias("end")
     )
     return drop_contained_later(s)
@@ -185,16 +221,29 @@ def merge_adjacent(
 
 
 def project_to_raw(spans: DataFrame, maps: DataFrame) -> DataFrame:
-    """Offsets in normalised text to offsets in raw text by maps (doc_id, char_map, raw); spans out of bounds are dropped."""
-    s = spans.drop("text").join(maps.select("doc_id", "char_map", "raw"), "doc_id")
-    n = F.size("char_map")
-    s = s.filter((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= n))
-    s = s.withColumns({"_s": F.get("char_map", F.col("start").cast("int")), "_e": F.get("char_map", (F.col("end") - 1).cast("int")) + 1})
-    s = s.filter((F.col("_s") >= 0) & (F.col("_s") < F.col("_e")) & (F.col("_e") <= F.length("raw")))
-    return s.select(
-        "doc_id", slice_text(F.col("raw"), F.col("_s"), F.col("_e")).alias("text"), "label", "score", F.col("_s").alias("start"),
-        F.col("_e").alias("end")
-    )
+    """Offsets in normalised text to offsets in raw text by maps (doc_id, char_map, raw); spans out of bounds are dropped.
+
+    A document's spans are projected by one Arrow function, so its map and text are read once.
+    """
+    others = [c for c in spans.columns if c not in ("doc_id", "text")]
+    packed = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*others)).alias("_s")).join(maps.select("doc_id", "char_map", "raw"), "doc_id")
+
+    def run(starts: pa.Array, ends: pa.Array, places: pa.Array, raw: pa.Array) -> pa.Array:
+        out = []
+        for a, b, to, text in zip(starts.to_pylist(), ends.to_pylist(), places, raw):
+            to, text, own = to.values.to_pylist() if to.is_valid else [], text.as_py() or "", []
+            for x, y in zip(a, b):
+                ok = x is not None and y is not None and 0 <= x < y <= len(to) and to[x] is not None and to[y - 1] is not None
+                s, e = (to[x], to[y - 1] + 1) if ok else (0, 0)
+                own.append({"s": s, "e": e, "t": text[s:e]} if 0 <= s < e <= len(text) else None)
+            out.append(own)
+        return pa.array(out, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("t", pa.string())])))
+
+    run.__annotations__ = {"starts": pa.Array, "ends": pa.Array, "places": pa.Array, "raw": pa.Array, "return": pa.Array}
+    at = [F.col(f"_s.{c}").cast("array<int>") for c in ("start", "end")]
+    cut = packed.withColumn("_w", F.arrow_udf(run, "array<struct<s:int,e:int,t:string>>")(*at, "char_map", "raw"))
+    each = cut.select("doc_id", F.explode(F.arrays_zip("_s", "_w")).alias("_e")).filter("_e._w IS NOT NULL")
+    return each.select("doc_id", F.col("_e._w.t").alias("text"), "_e._s.label", "_e._s.score", F.col("_e._w.s").alias("start"), F.col("_e._w.e").alias("end"))
 
 
 def spans_from_lookup(unique: DataFrame) -> DataFrame:

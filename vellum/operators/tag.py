@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import lexicon as L
-from vellum.functions.strings import found_in, lit_set, slice_text
+from vellum.functions.strings import found_in, lit_set
 from vellum.operators.chunk import chunks
 from vellum.operators.rows import keyed, named
-from vellum.operators.spans import drop_contained, folded
+from vellum.operators.spans import beside, drop_contained, folded
 
 MIN_SCORE = 0.5
 TAGGERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -117,11 +117,9 @@ def trim_affixes(spans: DataFrame, texts: DataFrame, min_score: float = MIN_SCOR
 
     texts: (doc_id, full). A span without usable offsets only has its text trimmed. One that would be left empty stays as it was.
     """
-    s = spans.filter(F.coalesce("score", F.lit(1.0)) >= min_score).join(texts.select("doc_id", "full"), "doc_id")
-    usable = F.coalesce((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("full")), F.lit(False))
-    s = s.withColumn("_usable", usable).withColumn(
-        "_old", F.when(F.col("_usable"), slice_text(F.col("full"), F.col("start"), F.col("end"))).otherwise(F.col("text"))
-    )
+    s = beside(spans.filter(F.coalesce("score", F.lit(1.0)) >= min_score), texts)
+    usable = F.coalesce((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("_n")), F.lit(False))
+    s = s.withColumn("_usable", usable).withColumn("_old", F.when(F.col("_usable"), F.col("_own")).otherwise(F.col("text")))
     trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     new = F.when(F.col("label") == "LOC", trim(F.regexp_replace("_old", LOC_PREFIX, ""))).when(
         F.col("label") == "PER", trim(F.regexp_replace(F.regexp_replace("_old", PER_PREFIX, ""), PER_SUFFIX, ""))
@@ -162,15 +160,15 @@ def correct_counties(spans: DataFrame) -> DataFrame:
 def fix_labels(spans: DataFrame, texts: DataFrame) -> DataFrame:
     """Labels corrected by the words within 40 characters: titles make PER, place words LOC unless PER, and so do place endings;
     a single capitalised word near `eldest` or `sonn to` is PER."""
-    s = spans.join(texts.select("doc_id", F.lower("full").alias("_low")), "doc_id")
-    near = slice_text(F.col("_low"), F.greatest(F.col("start") - 40, F.lit(0)), F.least(F.col("end") + 40, F.length("_low")))
+    s = beside(spans, texts, margin=40).withColumn("_near", F.lower("_near"))
+    near = F.col("_near")
     has = lambda words: F.exists(lit_set(words), lambda w: F.contains(near, F.concat(w, F.lit(" "))))
     one = F.when(has(L.PERSON_TITLES), "PER").otherwise(F.col("label"))
     two = F.when(has(L.PLACE_CUES) & (one != "PER"), "LOC").otherwise(one)
     three = F.when(F.lower("text").rlike("(son|ton|ford|ham|bury)$") & (two != "PER"), "LOC").otherwise(two)
     capital = F.col("text").rlike(r"^\p{Lu}") & ~F.contains(F.col("text"), F.lit(" "))
     four = F.when(capital & (F.contains(near, F.lit("sonn to")) | F.contains(near, F.lit("eldest"))), "PER").otherwise(three)
-    return s.withColumn("label", four).drop("_low")
+    return s.withColumn("label", four).select(*spans.columns)
 
 
 def dedupe_exact(spans: DataFrame) -> DataFrame:

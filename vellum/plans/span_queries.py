@@ -128,16 +128,19 @@ def clip_spans(spark, sf_dir):
 
 
 @query("extend_clipped", f"""
-WITH {SQL_SPANS}, c AS (SELECT s.*, s."end" - 2 AS e, d.text AS t, s.start + length(regexp_extract(substr(d.text, s.start + 1), '^[\\p{{L}}''’-]+', 0)) AS whole FROM spans s JOIN documents d USING (doc_id) WHERE NOT contains(s.text, ' ') AND length(s.text) > 4),
-x AS (SELECT *, substr(t, start + 1, whole - start) AS w FROM c),
-y AS (SELECT doc_id, label, score, start, CASE WHEN regexp_full_match(w, '[A-Za-z][A-Za-z''’-]*') AND length(regexp_replace(w, '[^\\p{{L}}]', '', 'g')) >= 3 THEN w ELSE substr(t, start + 1, e - start) END AS text FROM x)
-SELECT doc_id, text, label, score, start, CAST(start + length(text) AS INT) AS "end" FROM y
+WITH {SQL_SPANS}, c AS (SELECT s.doc_id, s.label, s.score, s.start, CASE WHEN length(s.text) > 4 THEN s."end" - 2 ELSE s."end" END AS e, d.text AS t FROM spans s JOIN documents d USING (doc_id)),
+x AS (SELECT *, substr(t, start + 1, e - start) AS own, regexp_extract(substr(t, e + 1), '^[\\p{{L}}''’-]+', 0) AS run FROM c),
+y AS (SELECT *, CASE WHEN e < length(t) AND regexp_full_match(right(own, 1), '\\p{{L}}') AND regexp_matches(run, '^(\\p{{L}}|[''’]\\p{{L}})')
+  AND regexp_full_match(own || run, CASE label WHEN 'PER' THEN '[A-Za-z][A-Za-z''’-]*' ELSE '[A-Za-z][A-Za-z''’.-]*' END) AND length(regexp_replace(own || run, '[^\\p{{L}}]', '', 'g')) >= 3 THEN own || run ELSE own END AS text FROM x),
+z AS (SELECT doc_id, text, label, score, start, CAST(start + length(text) AS INT) AS "end" FROM y),
+later AS (SELECT *, max("end") OVER (PARTITION BY doc_id, label ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM z)
+SELECT doc_id, text, label, score, start, "end" FROM later WHERE before IS NULL OR before < "end"
 """.replace("\\\\", "\\"))
 def extend_clipped(spark, sf_dir):
-    """Single words cut two letters short, made whole again."""
+    """All spans, those of five letters and more cut two letters short, and single words made whole again."""
     t = texts(spark, sf_dir)
-    cut = tagged(spark, sf_dir).filter(~F.contains(F.col("text"), F.lit(" ")) & (F.length("text") > 4))
-    cut = cut.withColumns({"end": F.col("end") - 2, "text": F.substring("text", F.lit(1), F.length("text") - 2)})
+    less = F.when(F.length("text") > 4, 2).otherwise(0)
+    cut = tagged(spark, sf_dir).withColumns({"end": F.col("end") - less, "text": F.substring("text", F.lit(1), F.length("text") - less)})
     return spans.extend_clipped(cut, t)
 
 
