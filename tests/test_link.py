@@ -269,3 +269,25 @@ def test_entry_and_registered_queries(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_keys_of_one_stem_do_not_meet_all_names(spark, monkeypatch):
+    """Names and keys that share a stem meet at the grams that tell them apart; where there are none, over a grid of cells."""
+    rows = spark.range(3_000).select("id", F.concat(F.lit("customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name"))
+    keys, names = rows.select(F.substring("name", F.lit(2), F.lit(40)).alias("_key")), rows.select("*", F.col("name").alias("_name"))
+    for hot in (10_000, 50):
+        monkeypatch.setattr(retrieve, "HOT", hot)
+        got = retrieve.by_rarest_gram(keys, names)
+        assert got.count() == 3_000 and got.filter(F.substring("name", F.lit(2), F.lit(40)) != F.col("_key")).count() == 0
+    alike = spark.range(400).select("id", F.lit("abc").alias("_name"))
+    one = spark.createDataFrame([("abc",), ("bc",), ("xyz",), ("abx",)], "_key string")
+    assert retrieve.by_rarest_gram(one.filter("length(_key) > 2"), alike).count() == 400
+    plan = retrieve.by_rarest_gram(one.filter("length(_key) > 2"), alike)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_contains_join_of_repeated_mentions(spark):
+    mentions = spark.createDataFrame([(1, "Smi"), (2, "smi"), (3, None), (4, ""), (5, "it"), (6, "Smith")], "id int, m string")
+    names = spark.createDataFrame([("John Smith", 1), ("John Smith", 2), (None, 3), ("Jones", 4)], "name string, k int")
+    pairs = [sorted((r.id, r.k) for r in retrieve.contains_join(mentions, names, "m", "name", blocked=b).collect()) for b in (False, True)]
+    assert pairs[0] == pairs[1] == [(i, k) for i in (1, 2, 5, 6) for k in (1, 2)]

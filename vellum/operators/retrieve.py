@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from vellum.functions.strings import filled, fragments, split_pipe, uri_segment, uri_source
 from vellum.operators.rows import fits
+from vellum.plans.durable import no_constraints, settle
 
 PERSON_LIMIT, PLACE_LIMIT = 30, 1000
 #: Names up to so many rows (and rows.fits() bytes) are broadcast and compared with every mention; more are found by their 3-grams.
 BROADCAST_NAMES = 50_000
+#: Names, and keys, that meet at one 3-gram in one task at most, about.
+HOT = 10_000
 
 
 def last_token(name: Column) -> Column:
@@ -25,29 +28,51 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
 
 
+def _salt(rows: DataFrame, parts: str):
+    """A number below the column `parts`, by a hash of the row."""
+    hashed = [f"`{f.name}`" for f in rows.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.pmod(F.xxhash64(*hashed), F.col(parts)).cast("int")
+
+
+def by_rarest_gram(keys: DataFrame, names: DataFrame) -> DataFrame:
+    """keys(_key) and names(_name, ...) joined where _name contains _key, for keys of three characters or more.
+
+    A name that contains a key has all its 3-grams, so they meet at the gram of the key that fewest names have; a key with a gram that no name has
+    meets nothing. Where many names or many keys meet at one gram all the same, they are dealt by salts over a grid, HOT of each in a cell.
+    """
+    grams = names.select("*", F.explode(_grams(F.col("_name"))).alias("_gram"))
+    counted = settle(grams.groupBy("_gram").agg(F.count("*").alias("_n")))  # as many rows as there are 3-grams
+    each = keys.select("_key", F.explode(_grams(F.col("_key"))).alias("_gram")).join(counted, "_gram", "left")
+    rarest = each.groupBy("_key").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_r"))
+    asked = settle(rarest.filter("_r.n > 0").select("_key", F.col("_r.g").alias("_gram")))
+    parts = lambda c: F.ceil(F.col(c) / HOT).cast("int")
+    sizes = asked.groupBy("_gram").agg(F.count("*").alias("_m")).join(counted, "_gram").select("_gram", parts("_m").alias("_kp"), parts("_n").alias("_np"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    k = asked.join(sizes, "_gram")
+    k = k.withColumn("_k", F.pmod(F.xxhash64("_key"), F.col("_kp")).cast("int")).withColumn("_c", upto("_np")).drop("_kp", "_np")
+    n = grams.join(sizes, "_gram")  # only the grams that some key meets at
+    n = n.withColumn("_c", _salt(names, "_np")).withColumn("_k", upto("_kp")).drop("_kp", "_np")
+    return k.join(n, ["_gram", "_k", "_c"]).filter(F.contains(F.col("_name"), F.col("_key"))).drop("_gram", "_k", "_c")
+
+
 def contains_join(mentions: DataFrame, names: DataFrame, key: str, name: str, blocked: bool | None = None) -> DataFrame:
     """Pairs where lower(names.name) contains lower(mentions.key).
 
-    Few names are broadcast under a size check. Many are joined on 3-grams: a name that contains the key has
-    all the key's 3-grams, so its first one by hash is enough to meet, and contains() is tested on what meets; keys of one or
-    two characters, which have no 3-gram, are compared with the broadcast of their own few different values.
+    Different keys are joined once, however many mentions have them. Few names are broadcast under a size check; of many, keys of three characters or more meet
+    those that share their rarest 3-gram, and shorter ones are compared with the broadcast of their own few different values.
     """
     m = mentions.withColumn("_key", F.lower(F.col(key))).filter(F.col("_key").isNotNull() & (F.col("_key") != ""))
     n = names.withColumn("_name", F.lower(F.col(name)))
+    keys = m.select("_key").distinct()
     if blocked is None:
         blocked = not fits(names, BROADCAST_NAMES)
     if not blocked:
-        return m.join(F.broadcast(n), F.contains(F.col("_name"), F.col("_key"))).drop("_key", "_name")
-    long_keys = m.filter(F.length("_key") >= 3).withColumn(
-        "_gram", F.array_min(F.transform(_grams(F.col("_key")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
-    )
-    met = long_keys.join(
-        n.withColumn("_gram", F.explode(_grams(F.col("_name")))), "_gram"
-    ).filter(F.contains(F.col("_name"), F.col("_key"))).drop("_gram")
-    short = m.filter(F.length("_key") < 3)
-    values = F.broadcast(short.select("_key").distinct())  # at most all strings of two characters
-    found = n.join(values, F.contains(F.col("_name"), F.col("_key"))).join(short, "_key")
-    return met.unionByName(found.select(*met.columns)).drop("_key", "_name")
+        met = keys.join(F.broadcast(n), F.contains(F.col("_name"), F.col("_key")))
+    else:
+        short = F.broadcast(keys.filter(F.length("_key") < 3))  # at most all strings of two characters
+        few = n.join(short, F.contains(F.col("_name"), F.col("_key")))
+        met = by_rarest_gram(keys.filter(F.length("_key") >= 3), n).unionByName(few)
+    return m.join(met, "_key").select(*m.columns, *names.columns).drop("_key")
 
 
 def limit_per(pairs: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
@@ -200,8 +225,6 @@ def transitive_closure(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
 
     Paths double in length each round, so most_rounds is far beyond any hierarchy; it is an error if they do not suffice.
     """
-    from vellum.plans.durable import no_constraints, settle
-
     with no_constraints(edges.sparkSession):
         pairs = settle(edges.select("child", F.col("parent").alias("ancestor")).distinct())
         for _ in range(most_rounds):

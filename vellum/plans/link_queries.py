@@ -115,6 +115,16 @@ def retrieve_blocked(spark, sf_dir):
     return retrieve.contains_join(mentions, names, "tail", "s_name", blocked=True).select("mention", "supplier")
 
 
+@query("retrieve_stem", """
+SELECT m.c_custkey AS customer, n.c_custkey AS found FROM customer m JOIN customer n ON contains(lower(n.c_name), lower(substr(m.c_name, 2)))
+""")
+def retrieve_stem(spark, sf_dir):
+    """The contains join of keys that all have one stem with names that all have it."""
+    mentions = star_sql(spark, sf_dir, "SELECT c_custkey AS customer, substr(c_name, 2) AS tail FROM customer")
+    names = star_sql(spark, sf_dir, "SELECT c_custkey AS found, c_name FROM customer")
+    return retrieve.contains_join(mentions, names, "tail", "c_name", blocked=True).select("customer", "found")
+
+
 _PERSON_ROWS = "(SELECT 'kg/person/' || c_name || '/1' AS person, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority || ', ' || o_orderstatus END AS label, 'kg/place/' || n_name || '/x' || CASE WHEN o_orderkey % 2 = 0 THEN '|kg/place/' || n_name || '/y' ELSE '' END AS residences, o_orderkey AS ord FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey)"
 
 
