@@ -240,3 +240,28 @@ def test_settled_tables_need_a_shared_folder_on_a_cluster(monkeypatch):
             durable.shared_folder(Session(master, None))
         assert durable.shared_folder(Session(master, "s3://x")) == "s3://x"
     assert durable.shared_folder(Session("local[2]", None))
+
+
+def test_first_mentions_and_requests(spark, tmp_path):
+    from vellum.operators import tag
+    from vellum.sources import documents as sources
+
+    rows = [(1, "Cork", "LOC", 0.9, 30, 34), (1, "Cork", "LOC", 0.5, 3, 7), (1, "Cork", "PER", 0.9, 50, 54), (1, "Mayo", "LOC", None, None, None), (2, "Cork", "LOC", 0.9, 9, 13), (1, "Cork", "LOC", 0.8, 3, 7)]
+    got = tag.first_mentions(spark.createDataFrame(rows, "doc_id long, text string, label string, score double, start int, end int"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[5], rows[2], rows[3], rows[4]], key=str)
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.json").write_text('{"doc_id": 7, "text": "John Kelly of Cork"}\n{"doc_id": "x"}\nno json\n')
+    docs = sources.read_requests(spark, str(tmp_path / "r"))
+    assert docs.count() == 3
+    assert {(r.doc_id, r.text) for r in tag.analyze(docs, dedupe=False).collect()} == {("7", "John Kelly"), ("7", "Cork")}
+
+
+def test_scores_by_label(spark):
+    from pyspark.sql import functions as F
+
+    from vellum.operators import score
+
+    rows = spark.createDataFrame([("PER",), ("LOC",), ("ORG",), (None,)], "label string")
+    one = lambda w: {c: F.lit(1.0) for c in w}
+    got = rows.select("label", F.round(score.score_candidates(F.col("label"), one(score.PERSON_WEIGHTS), one(score.PLACE_WEIGHTS)), 6)).collect()
+    assert {tuple(r) for r in got} == {("PER", 1.0), ("LOC", 1.0), ("ORG", 0.0), (None, 0.0)}

@@ -88,6 +88,11 @@ def residence_score(locations: Column, labels: Column, residences: Column, ances
     )
 
 
+def score_candidates(label: Column, person: dict[str, Column], place: dict[str, Column], person_weights=PERSON_WEIGHTS, place_weights=PLACE_WEIGHTS) -> Column:
+    """The score of a candidate of any label: persons and places by the features and weights of their own, 0 for another label or none."""
+    return F.when(label == "PER", weighted(person, person_weights)).when(label == "LOC", weighted(place, place_weights)).otherwise(_d(0))
+
+
 def floruit_score(earliest: Column, latest: Column, year: int | None = YEAR) -> Column:
     """Within 1, within 5 years .8, 20 years .6, else .1; missing .4, unreadable .3; .5 without a year."""
     if not year:

@@ -176,6 +176,21 @@ def dedupe_exact(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "start", "end", "label", "text").agg(F.max("score").alias("score")).select(*SPAN)
 
 
+def first_mentions(spans: DataFrame) -> DataFrame:
+    """One span of each different (text, label) of a document: the one of the least place, of those there the one of the highest score. A span without a place comes last."""
+    order = F.struct(F.coalesce("start", F.lit(2**31 - 1)), F.coalesce("end", F.lit(2**31 - 1)), -F.coalesce("score", F.lit(-1.0)))
+    first = spans.groupBy("doc_id", "text", "label").agg(F.min_by(F.struct("score", "start", "end"), order).alias("_f"))
+    return first.select("doc_id", "text", "label", "_f.score", "_f.start", "_f.end")
+
+
+def analyze_base(
+    docs: DataFrame, tagger: str = "rules", size: int = 600, overlap: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The plain engine: chunk, tag, move offsets, and keep the first span of each (text, label); no clean-up. Documents as in analyze()."""
+    texts, names = keyed(docs, id_col, text_col)
+    return named(first_mentions(keep_allowed(TAGGERS[tagger](chunks(texts, size, overlap, "doc_id", "full")))), names)
+
+
 def analyze(
     docs: DataFrame, tagger: str = "rules", dedupe: bool = True, size: int = 1200, overlap: int = 100, id_col: str = "doc_id",
     text_col: str = "text"

@@ -24,6 +24,11 @@ def _write_lines(df, path: str) -> None:
     df.select("value").repartition(df.count()).write.text(path)
 
 
+def _write_each(df, path: str) -> None:
+    """A file for each row of df(value), by the tasks that have the rows."""
+    df.write.option("maxRecordsPerFile", 1).text(path)
+
+
 @query(
     "read_texts",
     "SELECT md5(n_name || chr(10) || n_nationkey || chr(10)) AS digest, CAST(length(n_name || n_nationkey) + 2 AS INT) AS n_chars FROM nation"
@@ -55,33 +60,20 @@ def read_uploads(spark, sf_dir):
     return got.select(F.regexp_extract("doc_id", r"/k=(\d+)/", 1).cast("int").alias("k"), "kind", "visual", "error")
 
 
-_TERMS = {"prefixes": L.PREFIXES, "surnames": L.SURNAMES, "places": L.PLACE_NAMES}
-
-
-@query(
-    "read_lexicons",
-    " UNION ALL ".join(
-        f"SELECT '{k}' AS kind, lower(t) AS term, CAST(NULL AS VARCHAR) AS new FROM (SELECT unnest([{sql_list(v)}]) AS t) q" for k,
-        v in _TERMS.items()
-    ) + " UNION ALL SELECT 'pair', o, n FROM (VALUES " + ", ".join(
-        f"('{k.replace(chr(39), chr(39) * 2).lower()}', '{v.replace(chr(39), chr(39) * 2).lower()}')" for k, v in L.OVERRIDES.items()
-    ) + ") v(o, n)"
-)
+@query("read_lexicons", """
+SELECT p_brand AS kind, lower(p_name) AS term, CAST(NULL AS VARCHAR) AS new FROM part GROUP BY ALL UNION ALL SELECT 'pair', lower('Old ' || p_partkey), lower(p_name) FROM part
+""")
 def read_lexicons(spark, sf_dir):
-    """The word lists, written as JSON and read as lexicons."""
-    import json
-
+    """The parts' names as lists by brand, and pairs of words by hundreds, written as JSON objects, a file each, and read as lexicons."""
     path = _folder(spark)
-    _write_lines(
-        spark.createDataFrame([(json.dumps({k: list(v) for k, v in _TERMS.items()}, ensure_ascii=False),)], "value string"), f"{path}/lists"
-    )
-    _write_lines(spark.createDataFrame([(json.dumps(L.OVERRIDES, ensure_ascii=False),)], "value string"), f"{path}/pairs")
-    lists = sources.read_lexicon(spark, f"{path}/lists").select(
-        "kind", F.lower("term").alias("term"), F.lit(None).cast("string").alias("new")
-    )
-    return lists.unionByName(
-        sources.read_pairs(spark, f"{path}/pairs").select(F.lit("pair").alias("kind"), F.col("old").alias("term"), "new")
-    )
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    named = lambda k, v: F.to_json(F.map_from_entries(F.collect_list(F.struct(k, v)))).alias("value")
+    lists = part.select("p_brand", "p_name").distinct().groupBy("p_brand", F.pmod(F.xxhash64("p_name"), F.lit(64))).agg(F.array_sort(F.collect_list("p_name")).alias("l"))
+    _write_each(lists.select(F.to_json(F.map_from_arrays(F.array("p_brand"), F.array("l"))).alias("value")), f"{path}/lists")
+    pairs = part.groupBy(F.floor(F.col("p_partkey") / 100)).agg(named(F.concat(F.lit("Old "), "p_partkey"), F.col("p_name")))
+    _write_each(pairs.select("value"), f"{path}/pairs")
+    terms = sources.read_lexicon(spark, f"{path}/lists").select("kind", F.lower("term").alias("term"), F.lit(None).cast("string").alias("new"))
+    return terms.unionByName(sources.read_pairs(spark, f"{path}/pairs").select(F.lit("pair").alias("kind"), F.col("old").alias("term"), "new"))
 
 
 #: Gold rows as JSON lines; every seventh is blank, every fifth lacks what a gold row must have.
@@ -101,20 +93,19 @@ def read_gold(spark, sf_dir):
 
 
 @query("read_ner_gold", """
-SELECT 'f' || n_nationkey AS filename, n_nationkey AS entry, 'Here is ' || n_name AS paragraph, n_name AS text, 8 AS start, 8 + length(n_name) AS "end", 'LOC' AS label FROM nation UNION ALL SELECT 'f' || n_nationkey, n_nationkey, 'Here is ' || n_name, 'Here', 0, 4, 'PER' FROM nation
+SELECT 'f' || c_custkey AS filename, CAST(c_custkey AS INT) AS entry, 'Here is ' || c_name AS paragraph, c_name AS text, 8 AS start, 8 + length(c_name) AS "end", 'LOC' AS label FROM customer UNION ALL SELECT 'f' || c_custkey, c_custkey, 'Here is ' || c_name, 'Here', 0, 4, 'PER' FROM customer
 """)
 def read_ner_gold(spark, sf_dir):
-    """Gold paragraphs with their entities, one JSON array in a file."""
+    """Gold paragraphs with their entities, JSON arrays of a hundred in a file each."""
     path = _folder(spark)
-    n = star_sql(spark, sf_dir, "SELECT n_nationkey AS k, n_name FROM nation")
+    n = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n_name"))
     ent = lambda t, a, b, label: F.struct(t.alias("text"), a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(label).alias("label"))
     ents = F.array(ent(F.col("n_name"), F.lit(8), F.length("n_name") + 8, "LOC"), ent(F.lit("Here"), F.lit(0), F.lit(4), "PER"))
     row = F.struct(
         F.concat(F.lit("f"), "k").alias("filename"), F.col("k").cast("int").alias("entry"),
         F.concat(F.lit("Here is "), "n_name").alias("paragraph"), ents.alias("ents")
     )
-    one = n.agg(F.to_json(F.collect_list(row)).alias("value"))
-    _write_lines(one, path)
+    _write_each(n.groupBy(F.floor(F.col("k") / 100)).agg(F.to_json(F.collect_list(row)).alias("value")).select("value"), path)
     return sources.read_ner_gold(spark, path).select("filename", "entry", "paragraph", "text", "start", "end", "label")
 
 

@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from vellum.plans import eval_queries, event_queries, file_queries, graph_queries, link_queries, mention_queries, overlap_queries, relational_queries, span_queries, sql_queries, stream_queries, tagger_queries, text_queries, vector_queries  # noqa: F401
+    from vellum.plans import branch_queries, eval_queries, event_queries, file_queries, graph_queries, link_queries, mention_queries, overlap_queries, relational_queries, span_queries, sql_queries, stream_queries, tagger_queries, text_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict:

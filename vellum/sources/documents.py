@@ -61,6 +61,11 @@ def extract_tei(docs: DataFrame, id_col: str = "doc_id", content_col: str = "con
     return p.select("doc_id", tei_visual(F.col("paragraphs")).alias("visual"), "paragraphs", "pages")
 
 
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, text) of requests, a JSON object a line. A line that is none, or has no text, is a row without text."""
+    return spark.read.schema("doc_id string, text string").json(path)
+
+
 def read_gold(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
     """Gold mentions from JSON lines or a JSON array; blank lines are skipped."""
     return spark.read.schema(GOLD).option("multiLine", array).json(path).filter(
