@@ -141,21 +141,25 @@ def normalize_words(
             "kept": is_protected(F.col("tok"))
         }
     )
-    base = base.withColumn("candidates", spelling_candidates(F.col("word"), F.col("protect_e")))
     forced = look_up(L.OVERRIDES, F.col("word")) if force_overrides else F.lit(None).cast("string")
     if mode == "frequency":
         if frequencies is None:
             raise ValueError("mode='frequency' needs a table of (word, zipf)")
+        base = base.withColumn("candidates", spelling_candidates(F.col("word"), F.col("protect_e")))
         chosen = choose_by_frequency(base.select("word", "protect_e", "candidates").distinct(), frequencies)
         base = base.join(chosen, ["word", "protect_e"], "left")
     else:
-        base = base.withColumn("chosen", choose_by_rules(F.col("word"), F.col("candidates")))
+        # A word without a trace of old spelling is its own best candidate: none has less penalty, and none fewer edits.
+        plain = (old_spelling_penalty(F.col("word")) == 0) & ~F.col("word").isin(*L.OVERRIDES)
+        base = base.withColumn("chosen", F.when(plain, F.col("word")).otherwise(choose_by_rules(F.col("word"), spelling_candidates(F.col("word"), F.col("protect_e")))))
     out = F.when(F.col("kept"), F.col("tok")).otherwise(preserve_case(F.coalesce(forced, "chosen", "word"), F.col("tok")))
     return base.select("tok", out.alias("out"))
 
 
 #: Changed words that are sent to every worker at most, and their bytes; more are joined to the rows that have them.
 SENT_WORDS, SENT_BYTES = 1_000_000, 48_000_000
+#: Words whose spelling a worker keeps at most.
+KNOWN = 500_000
 _CLEAN = re.compile(f"[^{LETTERS}'-]")
 
 
@@ -164,66 +168,85 @@ def _spread(lt: int, lo: int, start: int) -> list[int]:
     return [start + min(j * (lt - 1) // max(lo - 1, 1), lt - 1) for j in range(lo)]
 
 
+#: What is not copied as it stands: words, to be looked up, and white space other than a single blank.
+_LOOKED_AT = re.compile(rf"(?P<word>{WORD})|[^\S\x1c-\x1f]{{2,}}|[^\S\x1c-\x1f ]")
+_WORD = re.compile(WORD)
+
+
+def respelled(word: str, spelling: dict[str, str], places: frozenset[str]) -> str:
+    """A word's spelling, known places with a capital."""
+    out = spelling.get(word, word)
+    return out[:1].upper() + out[1:].lower() if _CLEAN.sub("", out).lower() in places else out
+
+
 def put_together(
-    pre: str, spelling: dict[str, str], surnames: frozenset[str], places: frozenset[str], keep_double_newlines: bool
-) -> tuple[str, list[int]]:
+    pre: str, spelling: dict[str, str], surnames: frozenset[str], places: frozenset[str], keep_double_newlines: bool, known: dict[str, str] | None = None
+) -> tuple[str, array]:
     """(text, origin of each of its characters in pre) of one pre-normalised text.
 
     An `I` that the text begins with becomes `I,`. `O` joins the surname that follows it, over white space and single marks, as
     `O'`, and eats what is between. Known places get a capital. White space becomes a blank, or a newline if it has two in a row.
+    Stretches that stay as they are, are copied whole. known: what earlier texts' words have become, to be kept for texts of the same spelling.
     """
-    toks = [(m[0], m.start(), m.lastgroup) for m in TOKEN_HERE.finditer(pre)]
+    known = {} if known is None else known
     pieces: list[str] = []
-    at: list[int] = []
-    k, n = 0, len(toks)
-    while k < n:
-        tok, start, kind = toks[k]
-        k += 1
-        if kind == "word":
-            if k == 1 and tok == "I":
-                pieces.append("I,")
-                at += (start, start)
-                continue
-            if tok.lower() in ("o", "ó"):
-                j = k
-                while j < n and (toks[j][2] == "space" or toks[j][2] == "other" and not toks[j][0].isalnum()):
-                    j += 1
-                if j < n and toks[j][2] == "word":
-                    name = spelling.get(toks[j][0], toks[j][0])
-                    if _CLEAN.sub("", name).lower() in surnames:
-                        pieces.append(f"{tok}'{name}")
-                        last = len(toks[j][0]) - 1
-                        at += (start, start, *(toks[j][1] + min(i, last) for i in range(len(name))))
-                        k = j + 1
-                        continue
-            out = spelling.get(tok, tok)
-            if _CLEAN.sub("", out).lower() in places:
-                out = out[:1].upper() + out[1:].lower()
-            pieces.append(out)
-            at += _spread(len(tok), len(out), start)
-        elif kind == "space":
-            pieces.append("\n" if keep_double_newlines and "\n\n" in tok else " ")
-            at.append(start)
+    at = array("i")
+    done = 0  # characters of pre that are dealt with
+    for m in _LOOKED_AT.finditer(pre):
+        start, end = m.span()
+        if start < done:  # eaten by an O
+            continue
+        tok = m[0]
+        if m.lastgroup is None:
+            out = "\n" if keep_double_newlines and "\n\n" in tok else " "
+            origins = (start,)
         else:
-            pieces.append(tok)
-            at.extend(range(start, start + len(tok)))
+            out = known.get(tok)
+            if out is None:
+                out = known[tok] = respelled(tok, spelling, places)
+            origins = None
+            if start == 0 and tok == "I":
+                out, origins = "I,", (0, 0)
+            elif tok in ("o", "O", "ó", "Ó"):
+                j = end
+                while j < len(pre) and not pre[j].isalnum():
+                    j += 1
+                name = _WORD.match(pre, j)
+                if name:
+                    own = spelling.get(name[0], name[0])
+                    if _CLEAN.sub("", own).lower() in surnames:
+                        last = len(name[0]) - 1
+                        out, origins, end = f"{tok}'{own}", (start, start, *(j + min(i, last) for i in range(len(own)))), name.end()
+            if origins is None:
+                if out == tok:
+                    continue
+                origins = _spread(len(tok), len(out), start)
+        pieces += (pre[done:start], out)
+        at.extend(range(done, start))
+        at.extend(origins)
+        done = end
+    pieces.append(pre[done:])
+    at.extend(range(done, len(pre)))
     return "".join(pieces), at
 
 
 def _assembler(lookup, keep_double_newlines: bool):
     """An Arrow function (pre) or (pre, map of the row's own words) to struct<normalized, char_map>; lookup() gives the shared words."""
     surnames, places = frozenset(L.SURNAMES), frozenset(L.PLACE_NAMES)
+    known: dict[str, str] = {}
     kind = pa.struct([("normalized", pa.string()), ("char_map", pa.list_(pa.int32()))])
 
     def packed(out: list[str | None], sizes: array, maps: array) -> pa.Array:
         each = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(maps, pa.int32()))
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), each], ["normalized", "char_map"]).cast(kind)
 
-    def whole(texts: pa.Array, words) -> pa.Array:
+    def whole(texts: pa.Array, words, known: dict | None) -> pa.Array:
         done, out, sizes, maps = [], [], array("i", [0]), array("i")
         for t, spelling in zip(texts, words):
             t = t.as_py()
-            text, at = (None, ()) if t is None else put_together(t, spelling, surnames, places, keep_double_newlines)
+            text, at = (None, ()) if t is None else put_together(t, spelling, surnames, places, keep_double_newlines, known)
+            if known is not None and len(known) > KNOWN:
+                known.clear()
             out.append(text)
             maps.extend(at)
             sizes.append(len(maps))
@@ -234,10 +257,10 @@ def _assembler(lookup, keep_double_newlines: bool):
 
     def shared(pre: pa.Array) -> pa.Array:
         spelling = lookup()
-        return whole(pre, (spelling for _ in range(len(pre))))
+        return whole(pre, (spelling for _ in range(len(pre))), known)
 
     def own(pre: pa.Array, words: pa.Array) -> pa.Array:
-        return whole(pre, (dict(w.as_py() or ()) for w in words))
+        return whole(pre, (dict(w.as_py() or ()) for w in words), None)
 
     run = shared if lookup else own
     run.__annotations__ = {"pre": pa.Array, **({} if lookup else {"words": pa.Array}), "return": pa.Array}
