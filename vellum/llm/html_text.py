@@ -54,6 +54,15 @@ MAIN_PART, IN_MAIN = 600, 600
 #: Smoothness between neighbours, and between blocks of one container; divided by 1 + their distance in the tree.
 NEAR, KIN = 300, 200
 
+#: Items of lists and tables: without links they say nothing themselves, and go with what is around them.
+ITEMS = frozenset("li dt dd td th".split())
+# Headings of what readers write, in four languages.
+READERS = re.compile(
+    r"(?:\d+ )?(?:(?:reader |user |all |latest |recent )?(?:comments?|responses?|replies|discussion)|(?:leave|post|add|write) (?:a |your )?(?:comment|reply)|join the (?:conversation|discussion)"
+    r"|(?:leser)?kommentare?|lesermeinungen|diskussion|(?:schreibe|verfasse) einen kommentar|commentaires?|(?:laisser|poster) un commentaire|réactions|comentarios?|deja (?:un|tu) comentario|opiniones de (?:los )?lectores)"
+    r"(?: ?\(\d+\)|: ?\d+|:)?", re.I
+)
+
 OPEN = re.compile(r"</?([A-Za-z][^\s/>]*+)")
 #: Attributes up to the end of the tag: quotes count behind `=` only.
 ATTRS = re.compile(r"""((?:[^>=]++|=(?:\s*+(?:"[^"]*+"|'[^']*+'))?+)*+)>""")
@@ -259,7 +268,9 @@ def evidence(block: Block) -> int:
     if e.header:
         v += HEADER
     v += MAIN_NAME if e.names > 0 else BOILER_NAME if e.names < 0 else 0
-    v += min(LONG, LONG * words // 20) if words > 4 else SHORT
+    plain = e.kind in ITEMS and not block.link_chars
+    v += min(LONG, LONG * words // 20) if words > 4 else 0 if plain else SHORT
+    v -= BIAS if plain else 0
     v += HEAD_TAG if e.kind in HEADING else PARAGRAPH if e.kind in ("p", "blockquote", "pre") else 0
     if block.link_chars * 2 > block.chars:
         v += LINKS
@@ -280,12 +291,36 @@ def distance(a: Element, b: Element) -> int:
     return n
 
 
+def readers(found: list[Block]) -> set[int]:
+    """Blocks of what readers write under a heading that says so, and the heading: up to the next heading of its rank within the element that holds it."""
+    out: set[int] = set()
+    rank, within = 9, None
+    for i, b in enumerate(found):
+        e = b.element
+        level = int(e.kind[1]) if e.kind in HEADING else 9
+        if within is not None:
+            up = e
+            while up is not None and up.depth > within.depth:
+                up = up.parent
+            if up is not within or level <= rank:
+                within = None
+        if within is None and 1 < level < 9 and b.chars < 60 and READERS.fullmatch(b.text):
+            while e.tag not in HEADING:
+                e = e.parent
+            rank, within = level, e.parent
+        if within is not None:
+            out.add(i)
+    return out
+
+
 def graph(found: list[Block]) -> tuple[list[int], list[tuple[int, int, int]]]:
     """(evidence by node, edges (i, j, capacity)). The blocks are the first nodes, a node for each main part follows.
 
     Neighbours are joined, each block with the one before it in its container, and blocks of a main part with its node.
     """
     value, out, last, part = [evidence(b) for b in found], [], {}, {}
+    for i in readers(found):
+        value[i] += OUTSIDE
     for j, b in enumerate(found):
         if j:
             out.append((j - 1, j, NEAR // (1 + distance(found[j - 1].element, b.element))))
@@ -424,7 +459,13 @@ def extract(page: str | None) -> tuple[str, int, int]:
     found = blocks(page or "")
     if not found:
         return "", 0, 0
-    kept = [b.text for b, keep in zip(found, min_cut(*graph(found))) if keep]
+    value, pairs = graph(found)
+    labels = min_cut(value, pairs)
+    best = max(value[: len(found)])
+    if not any(labels[: len(found)]) and best > LINKS:
+        # A page of a few short blocks: the best of them is its text, if it is no boilerplate.
+        labels = min_cut([v - best for v in value], pairs)
+    kept = [b.text for b, keep in zip(found, labels) if keep]
     return "\n\n".join(kept), len(found), len(kept)
 
 
