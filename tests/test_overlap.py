@@ -62,13 +62,22 @@ def test_one_long_document_makes_no_pairs_but_its_own(spark):
         joined = overlap.overlap_join(s, s, ["doc_id"])
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
-        listed = overlap._listed(s.selectExpr("doc_id", "CAST(start AS LONG) AS _start", "CAST(end AS LONG) AS _end", "0 AS _own"), [0], [0])
+        listed = s.withColumn("_bucket", F.explode(overlap._buckets(F.col("start"), F.col("end"), overlap.width_for(8))))
         per_bucket = listed.groupBy("_bucket").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
         return joined.count(), per_bucket
     (few, small), (many, large) = met(2_000), met(8_000)
     assert (few, many) == (2_000, 8_000) and large < 4.2 * small
 
 
+def test_spans_are_listed_three_times_at_most(spark):
+    rng = random.Random(5)
+    for longest in (5, 300, 100_000):
+        rows = [(s, s + rng.choice([1, 3, longest])) for s in (rng.randrange(10_000) for _ in range(500))]
+        width = overlap.width_for(sum(e - s for s, e in rows) / len(rows))
+        assert sum((e - 1) // width - s // width + 1 for s, e in rows) <= 3 * len(rows)
+    assert overlap.width_for(None) == overlap.WIDTH
+
+
 def test_partial_scores_of_a_small_case(spark):
     gold = spark.createDataFrame([(1, 0, 5, "PER"), (1, 10, 15, "PER"), (1, 20, 25, "LOC"), (1, 0, 5, "PER")], SCHEMA)
     pred = spark.createDataFrame([(1, 0, 5, "PER"), (1, 12, 18, "PER"), (1, 20, 25, "PER"), (2, 0, 5, "LOC")], SCHEMA)
@@ -78,6 +87,23 @@ def test_partial_scores_of_a_small_case(spark):
     assert overlap.partial_scores(gold.limit(0), pred, ["doc_id"]).filter("label = 'PER'").first().recall == 0
 
 
+def test_partial_scores_by_brute_force(spark):
+    a, b = made(250, 7, 0.2), made(250, 8, 0.2)
+    sides = [{r for r in x if r[1] is not None and r[2] is not None and r[1] < r[2] and r[1] >= 0} for x in (a, b)]
+    frames = [spark.createDataFrame([r for r in x if r[1] is None or r[1] >= 0], SCHEMA) for x in (a, b)]
+    got = {r.label: tuple(r)[1:7] for r in overlap.partial_scores(*frames, ["doc_id"]).collect()}
+
+    def counts(x, y, label):
+        out = [0, 0, 0]
+        for d, s, e, lab in x:
+            if label in (None, lab):
+                near = [r for r in y if d is not None and r[0] == d and r[3] == lab and r[1] < e and s < r[2]]
+                out[0 if (d, s, e, lab) in near else 1 if near else 2] += 1
+        return tuple(out)
+
+    assert got == {label: counts(*sides, label) + counts(*sides[::-1], label) for label in ("PER", "LOC", None)}
+
+
 def test_coverage_by_brute_force(spark):
     rows = [r for r in made(200, 6) if r[0] is not None]
     got = overlap.coverage(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect()

@@ -1,9 +1,9 @@
 """Interval joins: pairs of spans that overlap, without meeting all spans of a document with one another.
 
-A span's level is the least power of STEP, times WIDTH, that is not shorter than it, so it lies in two buckets of its level at most. Two spans
-can overlap only where they share a bucket of the higher of their levels; each side is therefore listed under its buckets at its own level and at the
-higher levels that the other side has. The join is an equality of document, level and bucket, with the overlap tested exactly; of the
-buckets that a pair shares, the one where the overlap begins reports it, so no pair is made twice and none has to be made distinct.
+Places are cut into buckets of one width, and a span is listed under all buckets that it touches. The join is an equality of document and bucket, with the overlap
+tested exactly; of the buckets that a pair shares, the one where the overlap begins reports it, so no pair is made twice and none has to be made distinct.
+The width is the least of WIDTH, WIDTH * STEP, ... that is not below the spans' mean length, so spans are listed three times at most on the average, however long some
+are, and a bucket is as narrow as that allows.
 """
 
 from __future__ import annotations
@@ -14,29 +14,18 @@ from pyspark.sql import functions as F
 from vellum.operators.evaluate import share
 
 WIDTH = 64
-STEP = 8
-#: Levels: the highest one takes all spans of up to WIDTH * STEP ** LEVELS characters and more.
-LEVELS = 9
+STEP = 4
 
 
-def _level(start: Column, end: Column) -> Column:
-    out = F.lit(LEVELS)
-    for i in reversed(range(LEVELS)):
-        out = F.when(end - start <= WIDTH * STEP**i, i).otherwise(out)
-    return out
+def width_for(mean: float | None) -> int:
+    w = WIDTH
+    while w < (mean or 0):
+        w *= STEP
+    return w
 
 
-def _width(level: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(WIDTH * STEP**i).cast("long") for i in range(LEVELS + 1)]), level + 1)
-
-
-def _listed(spans: DataFrame, levels: list[int], other: list[int]) -> DataFrame:
-    """spans under (_at, _bucket): their own level and those of `other` above it; _own is their level."""
-    ups = F.array(*[F.lit(x) for x in other])
-    at = F.array_union(F.array("_own"), F.filter(ups, lambda x: x > F.col("_own")))
-    each = spans.withColumn("_at", F.explode(at)).withColumn("_w", _width(F.col("_at")))
-    first, last = F.floor(F.col("_start") / F.col("_w")), F.floor((F.col("_end") - 1) / F.col("_w"))
-    return each.withColumn("_bucket", F.explode(F.sequence(first, last))).drop("_w")
+def _buckets(start: Column, end: Column, width: int) -> Column:
+    return F.sequence(F.floor(start / width), F.floor((end - 1) / width))
 
 
 def overlap_join(
@@ -50,58 +39,79 @@ def overlap_join(
     if how not in ("inner", "left"):
         raise ValueError("how is inner or left")
 
-    def sides(rows: DataFrame, name: str) -> DataFrame:
-        out = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias(name))
-        return out.withColumns({"_start": F.col(f"{name}.{start}").cast("long"), "_end": F.col(f"{name}.{end}").cast("long")})
+    keys = [f"_k{i}" for i in range(len(by))]
+
+    def side(rows: DataFrame, tag: str) -> DataFrame:
+        """Keys, places and the other columns, each value once."""
+        rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rows.columns) if c not in (*by, start, end)]
+        return rows.select(
+            *[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)], F.col(f"`{start}`").alias(f"{tag}_s"), F.col(f"`{end}`").alias(f"{tag}_e"),
+            (F.struct(*rest) if rest else F.lit(None).cast("int")).alias(f"{tag}_c")
+        )
 
-    a, b = sides(left, "l"), sides(right, "r")
+    def again(rows: DataFrame, tag: str) -> Column:
+        """The row as a struct with the columns that it had."""
+        of = {**{c: F.col(k).cast(rows.schema[c].dataType) for c, k in zip(by, keys)}, start: F.col(f"{tag}_s"), end: F.col(f"{tag}_e")}
+        return F.struct(*[(of[c] if c in of else F.col(f"{tag}_c.c{i}")).alias(c) for i, c in enumerate(rows.columns)])
+
+    a, b = side(left, "_l"), side(right, "_r")
     if how == "left":
         a = a.withColumn("_row", F.monotonically_increasing_id())
-    usable = (F.col("_start") >= 0) & (F.col("_start") < F.col("_end"))
-    a_ok, b_ok = (x.filter(usable).withColumn("_own", _level(F.col("_start"), F.col("_end"))) for x in (a, b))
-    # Ten numbers at most; a level that a side hasn't costs the other side no row.
-    in_a, in_b = (sorted(r[0] for r in x.select("_own").distinct().collect()) for x in (a_ok, b_ok))
-    la = _listed(a_ok, in_a, in_b).select(*[F.col(f"l.{c}").alias(f"_k{i}") for i, c in enumerate(by)], *[c for c in a.columns], "_own", "_at", "_bucket")
-    lb = _listed(b_ok, in_b, in_a).select(
-        *[F.col(f"r.{c}").alias(f"_k{i}") for i, c in enumerate(by)], "r", F.col("_start").alias("_s"), F.col("_end").alias("_e"), F.col("_own").alias("_other"), "_at", "_bucket"
-    )
-    met = la.join(lb, [*[f"_k{i}" for i in range(len(by))], "_at", "_bucket"])
-    shared = F.least("_end", "_e") - F.greatest("_start", "_s")
-    begins = F.floor(F.greatest("_start", "_s") / _width(F.col("_at"))) == F.col("_bucket")
-    pairs = met.filter((F.col("_at") == F.greatest("_own", "_other")) & begins & (shared >= least))
-    found = pairs.select(*(["_row"] if how == "left" else []), "l", "r", shared.alias("n_shared"))
+    usable = lambda t: (F.col(f"{t}_s") >= 0) & (F.col(f"{t}_s") < F.col(f"{t}_e"))
+    a_ok, b_ok = (x.filter(usable(t)) for x, t in ((a, "_l"), (b, "_r")))
+    lengths = a_ok.select((F.col("_l_e") - F.col("_l_s")).alias("n")).union(b_ok.select((F.col("_r_e") - F.col("_r_s")).alias("n")))
+    width = width_for(lengths.agg(F.avg("n")).first()[0])
+    la, lb = (x.withColumn("_bucket", F.explode(_buckets(F.col(f"{t}_s"), F.col(f"{t}_e"), width))) for x, t in ((a_ok, "_l"), (b_ok, "_r")))
+    met = la.join(lb, [*keys, "_bucket"])
+    first, last = F.greatest("_l_s", "_r_s"), F.least("_l_e", "_r_e")
+    pairs = met.filter((F.floor(first / width) == F.col("_bucket")) & (last - first >= least))
+    found = pairs.select(*(["_row"] if how == "left" else []), again(left, "_l").alias("l"), again(right, "_r").alias("r"), (last - first).cast("long").alias("n_shared"))
     if how == "inner":
         return found
-    alone = a.join(found.select("_row").distinct(), "_row", "left_anti")
-    return found.drop("_row").unionByName(alone.select("l", F.lit(0).cast("long").alias("n_shared")), allowMissingColumns=True)
+    alone = a.join(found.select("_row").distinct(), "_row", "left_anti").select(again(left, "_l").alias("l"), F.lit(0).cast("long").alias("n_shared"))
+    return found.drop("_row").unionByName(alone, allowMissingColumns=True)
 
 
 def partial_scores(gold: DataFrame, predicted: DataFrame, by: list[str]) -> DataFrame:
     """Per label, and with a null label overall: spans of gold and of the prediction, how many are met exactly, in part and not at all, and scores.
 
     A span is met exactly if the other side has one of its place and label, and in part if one of its label shares a character with it. Precision and
-    recall count a span met in part as half of one. Equal spans count once.
+    recall count a span met in part as half of one. Equal spans count once; spans with a null key meet none.
+
+    Both sides go to their buckets in one exchange, as sets of different places, so a bucket holds few. A span in one bucket alone is settled there; only
+    those that lie in several come together again.
     """
-    place = [*by, "start", "end", "label"]
+    keys = [*by, "label"]
     usable = F.expr("start IS NOT NULL AND end IS NOT NULL AND label IS NOT NULL AND start < end")
-    g, p = (x.filter(usable).select(*place).distinct() for x in (gold, predicted))
-
-    def met(x: DataFrame, y: DataFrame) -> DataFrame:
-        same = F.col("r.start").eqNullSafe(F.col("l.start")) & F.col("r.end").eqNullSafe(F.col("l.end"))
-        best = overlap_join(x, y, [*by, "label"], "left").withColumn("_m", F.when(F.col("r").isNull(), 0).when(same, 2).otherwise(1))
-        return best.groupBy("l").agg(F.max("_m").alias("_m")).select("l.label", "_m")
-
-    count = lambda m: F.count_if(F.col("_m") == m)
-
-    def totals(x: DataFrame, prefix: str) -> DataFrame:
-        kinds = [("exact", 2), ("partial", 1), ("missed", 0)]
-        return x.rollup("label").agg(F.grouping("label").alias("_all"), *[count(m).alias(f"{prefix}_{n}") for n, m in kinds])
-
-    a, b = totals(met(g, p), "gold"), totals(met(p, g), "pred").withColumnRenamed("label", "_label").withColumnRenamed("_all", "_all_b")
-    both = a.join(b, F.col("label").eqNullSafe(F.col("_label")) & (F.col("_all") == F.col("_all_b")), "full_outer")
-    both = both.withColumn("label", F.coalesce("label", "_label")).fillna(0, [f"{s}_{n}" for s in ("gold", "pred") for n in ("exact", "partial", "missed")])
+    both = [x.filter(usable).select(*keys, F.col("start").cast("int"), F.col("end").cast("int"), F.lit(i).cast("byte").alias("_side")) for i, x in enumerate((gold, predicted))]
+    spans = both[0].unionByName(both[1])
+    width = width_for(spans.agg(F.avg(F.col("end") - F.col("start"))).first()[0])
+    listed = spans.withColumn("_b", _buckets(F.col("start"), F.col("end"), width)).withColumn("_whole", F.size("_b") == 1).withColumn("_bucket", F.explode("_b"))
+    span = F.struct("start", "end", "_whole")
+    met = listed.groupBy(*keys, "_bucket").agg(*[F.collect_set(F.when(F.col("_side") == i, span)).alias(f"_{i}") for i in (0, 1)])
+    named = F.lit(True)
+    for c in by:
+        named = named & F.col(c).isNotNull()
+
+    def judged(side: int) -> Column:
+        def one(x: Column) -> Column:
+            same = F.exists(f"_{1 - side}", lambda y: (y["start"] == x["start"]) & (y["end"] == x["end"]))
+            part = F.exists(f"_{1 - side}", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+            m = F.when(~named, 0).when(same, 2).when(part, 1).otherwise(0).cast("byte")
+            return F.struct(F.lit(side).cast("byte").alias("side"), x["start"].alias("start"), x["end"].alias("end"), x["_whole"].alias("whole"), m.alias("m"))
+
+        return F.transform(f"_{side}", one)
+
+    each = met.select(*keys, F.explode(F.concat(judged(0), judged(1))).alias("_x")).select(*keys, "_x.*")
+    several = each.filter(~F.col("whole")).groupBy(*keys, "side", "start", "end").agg(F.max("m").alias("m"))
+    settled = each.filter("whole").select("label", "side", "m").unionByName(several.select("label", "side", "m"))
+    counts = settled.groupBy("label").agg(
+        *[F.count_if((F.col("side") == i) & (F.col("m") == m)).alias(f"{n}_{k}") for i, n in ((0, "gold"), (1, "pred")) for k, m in (("exact", 2), ("partial", 1), ("missed", 0))]
+    )
+    names = [c for c in counts.columns if c != "label"]
+    out = counts.rollup("label").agg(*[F.sum(c).alias(c) for c in names])
     score = lambda s: share(F.col(f"{s}_exact") + F.col(f"{s}_partial") / 2, F.col(f"{s}_exact") + F.col(f"{s}_partial") + F.col(f"{s}_missed"))
-    out = both.withColumns({"precision": score("pred"), "recall": score("gold")})
+    out = out.withColumns({"precision": score("pred"), "recall": score("gold")})
     f1 = share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
     return out.withColumn("f1", f1).select(
         "label", "gold_exact", "gold_partial", F.col("gold_missed").alias("missing"), "pred_exact", "pred_partial", F.col("pred_missed").alias("spurious"), "precision", "recall", "f1"
