@@ -82,11 +82,15 @@ def retrieval_coverage(spark, sf_dir):
 
 
 _FEATURES = ("name", "hierarchy", "type_match", "historical", "neural")
-_CONFIGS = ", ".join(f"('{n}', {', '.join(repr(loc[f]) + 'e0' for f in _FEATURES)})" for n, _, loc in evaluate.sweep_configs())
+#: The configurations as they are published: of each label a feature and the weights that it is given. Those of persons leave places' weights alone.
+_CONFIGS = """SELECT config, CASE WHEN feature = 'name' THEN w ELSE 0.25e0 * f END AS w1, CASE WHEN feature = 'hierarchy' THEN w ELSE 0.25e0 * f END AS w2, 0.18e0 * f AS w3, 0.12e0 * f AS w4, 0.20e0 * f AS w5 FROM (
+  SELECT config, CASE WHEN config LIKE 'LOC%' THEN split_part(split_part(config, ' ', 2), '=', 1) ELSE '' END AS feature, CAST(split_part(config, '=', 2) AS DOUBLE) AS w, CASE WHEN config LIKE 'LOC%' THEN (1 - CAST(split_part(config, '=', 2) AS DOUBLE)) / 0.75e0 ELSE 1e0 END AS f FROM (VALUES
+  ('PER name=0.20'), ('PER name=0.25'), ('PER name=0.32'), ('PER name=0.38'), ('PER name=0.44'), ('PER era=0.10'), ('PER era=0.15'), ('PER era=0.20'), ('PER era=0.25'), ('PER era=0.30'),
+  ('LOC hierarchy=0.15'), ('LOC hierarchy=0.20'), ('LOC hierarchy=0.25'), ('LOC hierarchy=0.30'), ('LOC hierarchy=0.35'), ('LOC name=0.15'), ('LOC name=0.20'), ('LOC name=0.25'), ('LOC name=0.30'), ('LOC name=0.35')) v(config)) w"""
 
 
 @query("weight_sweep", f"""
-WITH {SQL_FEATURES}, cfg AS (SELECT * FROM (VALUES {_CONFIGS}) v(config, w1, w2, w3, w4, w5)),
+WITH {SQL_FEATURES}, cfg AS ({_CONFIGS}),
 s AS (SELECT config, doc_id, mention, place, row_number() OVER (PARTITION BY config, doc_id, mention ORDER BY round(name * w1 + hierarchy * w2 + type_match * w3 + historical * w4 + 0.5 * w5, 9) DESC, place) AS rank FROM feat, cfg),
 l AS (SELECT config, doc_id, mention, 'LOC' AS label, any_value({_GOLD}) AS gold, list(place ORDER BY rank) FILTER (WHERE rank <= 5) AS uris FROM s GROUP BY config, doc_id, mention),
 m AS (SELECT *, CASE WHEN list_contains(uris, gold) THEN 1.0 / list_position(uris, gold) ELSE 0 END AS rr, CAST(list_contains(list_slice(uris, 1, 1), gold) AS INT) AS h1, CAST(list_contains(list_slice(uris, 1, 3), gold) AS INT) AS h3 FROM l)
