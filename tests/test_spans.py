@@ -122,7 +122,7 @@ def test_spans_are_cut_from_their_text(spark):
 
 
 def test_time_follows_the_number_of_spans(spark):
-    """One document of n short spans: twice the spans must not take four times as long."""
+    """One document of n short spans: four times the spans must not take sixteen times as long. (With a copy of the text for each span the larger one took some 50 s.)"""
     import time
 
     from vellum.operators import tag
@@ -147,4 +147,4 @@ def test_time_follows_the_number_of_spans(spark):
 
     seconds(500)
     for few, many in zip(seconds(4_000), seconds(16_000)):
-        assert many < 1.5 + 5 * few
+        assert many < 10 + 5 * few

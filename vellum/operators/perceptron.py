@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ BUCKETS = 1 << 16
 #: Tokens of a sentence at most, beyond which it is cut; sentences of a step.
 LONGEST = 64
 STEP = 4
+#: Texts that are tagged side by side.
+TOGETHER = 200
 #: Documents that are learned from at most, by a hash of their id; shards; rounds.
-TRAIN_DOCS = 4_000
+TRAIN_DOCS = 1_000
 SHARDS = 4
 ROUNDS = 4
 
@@ -46,6 +49,7 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1\1", "".join(kinds))
 
 
+@lru_cache(30_000)
 def word_features(word: str) -> tuple[list[int], list[int], list[int]]:
     """Buckets of a word's features as the token itself, as the one before and as the one behind."""
     low, form = word.lower(), shape(word)
@@ -173,8 +177,8 @@ class Model:
         """The entities of each text: (text, label, score, start, end). score is the mean over its tokens of the label's share among all labels, by the
         exponents of their weights between the labels that the neighbours have."""
         out: list[list[tuple]] = [[] for _ in texts]
-        for at in range(0, len(texts), 500):
-            s = sentences(texts[at : at + 500])
+        for at in range(0, len(texts), TOGETHER):
+            s = sentences(texts[at : at + TOGETHER])
             e = self.emission(s)
             found = viterbi(e, self.move + self.barred, s.first)
             inside = np.flatnonzero(found)
