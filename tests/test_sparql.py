@@ -108,7 +108,7 @@ def test_short_pages_are_asked_on(read):
     Endpoint.cap = 4
     assert got(read()) == WANT and got(read(without=["count"], partitions="2")) == WANT
     Endpoint.cap = 0
-    with pytest.raises(Exception, match="page 0 has 0 rows of 10"):
+    with pytest.raises(Exception, match=r"page \d has 0 rows of \d+"):
         read().collect()
 
 
