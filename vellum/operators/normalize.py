@@ -159,7 +159,7 @@ def normalize_words(
 #: Changed words that are sent to every worker at most, and their bytes; more are joined to the rows that have them.
 SENT_WORDS, SENT_BYTES = 1_000_000, 48_000_000
 #: Words whose spelling a worker keeps at most.
-KNOWN = 500_000
+KNOWN = 50_000
 _CLEAN = re.compile(f"[^{LETTERS}'-]")
 
 
