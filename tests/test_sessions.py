@@ -76,3 +76,22 @@ def test_late_rows_and_rows_without_key_or_time_are_left_out(spark, tmp_path):
                           (4, BASE + timedelta(seconds=990), 1, "click", None, None), (5, BASE + timedelta(seconds=3_000), 2, "click", 1.0, None)])
     got = run(spark, tmp_path)
     assert sorted((u, n, a) for u, _, _, n, a in got) == [(1, 2, 100), (1, 2, 200)]  # the row at 40 s came behind the watermark, the one at 990 s did not
+
+
+def test_an_event_a_little_late_joins_its_open_session_or_is_left_out_when_strict(spark, tmp_path):
+    want = {False: [(1, 2, 200)], True: [(1, 1, 100)]}
+    for strict in (False, True):
+        folder = tmp_path / str(strict)
+        at = lambda s: BASE + timedelta(seconds=s)
+        for i, rows in enumerate(([(0, at(1_000), 1, "click", 1.0, None)], [(1, at(960), 1, "click", 1.0, None), (2, at(5_000), None, "click", 1.0, None), (3, at(5_000), 2, "click", 1.0, None)])):
+            put(spark, folder, rows)
+            sessions.session_stream(spark, str(folder / "in"), str(folder / "out"), str(folder / "state"), GAP, f"{DELAY} seconds", strict=strict).awaitTermination()
+        got = spark.read.parquet(str(folder / "out")).select("user_id", "n", "amount").collect()
+        assert sorted(map(tuple, got)) == want[strict]
+
+
+def test_the_stream_keeps_its_state_without_python(spark, tmp_path):
+    put(spark, tmp_path, events(40, 3))
+    stream = sessions.sessions(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), GAP, f"{DELAY} seconds")
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "session_window" in plan.lower() and "transformwithstate" not in plan.lower()
