@@ -87,3 +87,17 @@ def test_awkward_vectors(spark):
     none = rows.limit(0)
     assert vectors.search(vectors.assign(none, centres), none.select(F.col("id").alias("q"), "v"), centres).collect() == []
     assert len(vectors.fit_centres(none)) == 0
+
+
+def test_nearest_by_products_equals_the_score_of_each_pair(spark):
+    rng = np.random.default_rng(3)
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [], [0.0, 0.0, 0.0], [nan, 1.0, 2.0], [1.0, None, 2.0], [inf, 1.0, 1.0], [1e200, 1e200, 1e200], [1.0, 2.0], [1e-200, 0.0, 0.0]]
+    made = [(i, [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(60)] + [(100 + i, v) for i, v in enumerate(odd)] + [(200 + i, [1.0, 2.0, 3.0]) for i in range(20)] + [(None, [1.0, 2.0, 3.0])]
+    table = spark.createDataFrame(made, "vec_id long, embedding array<double>").repartition(3)
+    asked = table.filter("vec_id IS NOT NULL").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"))
+    pairs = asked.join(table, F.col("q") != F.col("vec_id")).withColumn("neural", F.round(score.neural_score(F.col("embedding"), F.col("vector")), 5))
+    want = score.top_k(pairs.select("q", "vec_id", "neural"), ["q"], 5, "neural", "vec_id").collect()
+    got = score.nearest(table, asked, block=20)
+    assert sorted(map(tuple, got.select("q", "vec_id", "neural", "rank").collect())) == sorted((r.q, r.vec_id, r.neural, r.rank) for r in want)
+    assert "join" not in got._jdf.queryExecution().optimizedPlan().toString().lower()  # pairs are no rows

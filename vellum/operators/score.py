@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellum.functions import lexicon as L
 from vellum.functions.strings import context, cosine, filled, lit_set, place_text, ratio, token_sort_ratio
@@ -183,23 +187,98 @@ def neural_score(a: Column, b: Column) -> Column:
     return F.when(c.isNull(), _d(0.5)).otherwise(F.least(F.greatest((c + 1) / 2, _d(0)), _d(1)))
 
 
+#: Vectors and queries that meet in one task, about, and scores that it holds at a time.
+PART, BLOCK, AT_ONCE = 10_000, 4_096, 1_000_000
+#: Scores are rounded, so what is so little behind the k-th may tie with it.
+TIE = 2e-5
+
+
+def _dense(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, with zeros behind them, and their lengths; -1 for null and for those with a null."""
+    values, at = vectors.values, vectors.offsets.to_numpy()
+    nulls = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+    whole = vectors.is_valid().to_numpy(zero_copy_only=False) & (nulls[at[1:]] == nulls[at[:-1]])
+    sizes = np.where(whole, np.diff(at), -1)
+    x, flat = np.zeros((len(sizes), dim)), values.to_numpy(zero_copy_only=False)
+    for n in np.unique(sizes[sizes > 0]):
+        own = np.flatnonzero(sizes == n)
+        x[own, :n] = flat[at[own][:, None] + np.arange(n)]
+    return x, sizes
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows summed term by term, as cosine() does."""
+    total = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        total = total + a[:, d] * b[:, d]
+    return total
+
+
+def _scores(dots: np.ndarray, norms: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """neural_score() of products and norms; alike: whole vectors of one length."""
+    s = (dots / norms + 1) / 2
+    s = np.where(np.isnan(s), 1.0, np.clip(s, 0.0, 1.0))  # to Spark NaN is greater than any number
+    return np.where(alike & (norms != 0), s, 0.5)
+
+
+def _best(ids: pa.Array, vectors: pa.Array, qs: pa.Array, asked: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's row, vector's row, score): of each query all that may be among its k best.
+
+    A matrix product tells what is surely behind the k-th; the scores of the rest are made anew, term by term. Of equal scores those of the k smallest ids stay.
+    """
+    order = pc.sort_indices(ids)
+    ids, vectors = ids.take(order), vectors.take(order)
+    dim = max(pc.max(pc.list_value_length(c)).as_py() or 0 for c in (vectors, asked))
+    (x, nx), (y, ny) = _dense(vectors, dim), _dense(asked, dim)
+    known = pc.unique(qs)
+    own_x, own_y = (pc.fill_null(pc.index_in(c, known), -1).to_numpy() for c in (ids, qs))
+    out = []
+    with np.errstate(all="ignore"):
+        lx, ly = np.sqrt(_dots(x, x)), np.sqrt(_dots(y, y))
+        step = max(1, AT_ONCE // len(x))
+        for at in range(0, len(y), step):
+            to = slice(at, at + step)
+            s = _scores(y[to] @ x.T, ly[to, None] * lx, (ny[to, None] == nx) & (nx >= 0))
+            s[own_y[to, None] == own_x] = -1
+            kth = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+            q, v = np.nonzero((s >= kth[:, None] - TIE) & (s >= 0))
+            q += at
+            s = _scores(_dots(x[v], y[q]), ly[q] * lx[v], (ny[q] == nx[v]) & (nx[v] >= 0))
+            rank = np.lexsort((v, -s, q))
+            q, v, s = q[rank], v[rank], s[rank]
+            fresh = np.flatnonzero((np.diff(q, prepend=-1) != 0) | (np.diff(s, prepend=-1) != 0))
+            first = np.arange(len(q)) - np.repeat(fresh, np.diff(fresh, append=len(q))) < k
+            out.append((q[first], order.to_numpy()[v[first]], s[first]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1_000
+    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK
 ) -> DataFrame:
     """(q, id, neural, rank): for each of queries(q, vector) the k nearest vectors but itself, ties by id.
 
-    Queries are sent to the vectors in blocks of about `block` rows, so what is broadcast has a bound, however many there are.
+    Vectors are dealt in parts of about PART rows and queries in blocks of about `block`; each part meets each block in one task, by matrix products, so what a task
+    holds has a bound, and nothing is broadcast. The pairs remain as many as they are.
     """
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for i in range(blocks):
-        own = F.broadcast(queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).select("q", F.col("vector").alias("_v")))
-        s = vectors.select(id_col, vector_col).join(own, F.col(id_col) != F.col("q")).withColumn(
-            "neural", F.round(neural_score(F.col(vector_col), F.col("_v")), 5)
-        )
-        top = top_k(s.select("q", id_col, "neural"), ["q"], k, "neural", id_col)
-        out = top if out is None else out.unionByName(top)
-    return out
+    parts, blocks = (max(1, -(-rows.count() // most)) for rows, most in ((vectors, PART), (queries, block)))
+    kinds = {"q": queries.schema["q"].dataType, "id": vectors.schema[id_col].dataType, "score": T.DoubleType()}
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = vectors.filter(F.col(id_col).isNotNull()).select(
+        dealt(id_col, parts).alias("_p"), each(blocks).alias("_b"), F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_x")
+    )
+    right = queries.filter("q IS NOT NULL").select(
+        each(parts).alias("_pq"), dealt("q", blocks).alias("_bq"), F.col("q").alias("_q"), F.col("vector").cast("array<double>").alias("_y")
+    )
+
+    def best(own: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, x, qs, y = (t.column(c).combine_chunks() for t, c in ((own, "_id"), (own, "_x"), (asked, "_q"), (asked, "_y")))
+        q, v, s = _best(ids, x, qs, y, k) if len(ids) and len(qs) else ([], [], [])
+        rows = [pa.array(n, pa.int64()) for n in (q, v)]
+        return pa.table({"q": qs.take(rows[0]), "id": ids.take(rows[1]), "score": pa.array(s, pa.float64())})
+
+    found = left.groupBy("_p", "_b").cogroup(right.groupBy("_pq", "_bq")).applyInArrow(best, T.StructType([T.StructField(c, t) for c, t in kinds.items()]))
+    return top_k(found.select("q", F.col("id").alias(id_col), F.round("score", 5).alias("neural")), ["q"], k, "neural", id_col)
 
 
 def hashed_ngrams(text: Column, size: int = 64, n: int = 3) -> Column:

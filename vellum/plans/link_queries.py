@@ -262,7 +262,7 @@ def cosine_rank(spark, sf_dir):
     """Every hundredth vector against all others; only the pair of a row with itself is left out."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"))
-    return score.nearest(v, asked, block=250).select("q", "vec_id", "neural", "rank")
+    return score.nearest(v, asked).select("q", "vec_id", "neural", "rank")
 
 
 @query("semantic_filter", """
