@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators.rows import in_batches
+
 SIZE, OVERLAP, LEAST = 1200, 100, 40
 
 
@@ -39,6 +41,6 @@ def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: st
 
     cut.__annotations__ = {"text": pd.Series, "return": pd.Series}
     each = F.pandas_udf(cut, "array<struct<off:int,chunk:string>>")
-    return docs.select(
+    return in_batches(docs).select(
         F.col(id_col).alias("doc_id"), F.posexplode(each(F.col(text_col))).alias("chunk_no", "_c")
     ).select("doc_id", "chunk_no", "_c.off", "_c.chunk")

@@ -19,7 +19,7 @@ from vellum.functions import lexicon as L
 from vellum.functions.strings import (
     AT_ONCE, LETTERS, TOKEN_HERE, WORD, clean_for_match, found_in, look_up, nfkc, preserve_case, straight_quotes,
 )
-from vellum.operators.rows import spread
+from vellum.operators.rows import in_batches, spread
 from vellum.plans.durable import settle
 
 MAX_CANDIDATES, MIN_ZIPF, OVERRIDE_BONUS = 24, 2.5, 0.25
@@ -33,7 +33,7 @@ def pre_normalize(text: Column, compose: bool = True) -> Column:
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pos, tok, start, kind), kind in word, digits, space, other. Null texts have no tokens; map only."""
-    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(found_in(TOKEN_HERE)(F.col(text_col))).alias("pos", "t"))
+    each = in_batches(docs).select(F.col(id_col).alias("doc_id"), F.posexplode(found_in(TOKEN_HERE)(F.col(text_col))).alias("pos", "t"))
     return each.select("doc_id", "pos", "t.tok", "t.start", "t.kind")
 
 
@@ -276,7 +276,7 @@ def normalize(
     Null text stays null, with an empty map. Rows are taken each for itself, whatever their ids. See put_together() for what is done beside the
     words' spelling.
     """
-    base = spread(docs).select(
+    base = in_batches(spread(docs)).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("visual"), pre_normalize(F.col(text_col), compose).alias("_pre")
     )
     changed = settle(normalize_words(distinct_words(base, "_pre"), mode, frequencies).filter("out <> tok"))
