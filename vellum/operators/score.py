@@ -291,7 +291,8 @@ def hashed_ngrams(text: Column, size: int = 64, n: int = 3) -> Column:
     )
     return F.when(
         filled(text).isNotNull(),
-        F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(at, lambda x: x == k)).cast("double"))
+        # The array of one array names the grams, so they are made once and not for each k.
+        F.transform(F.array(at), lambda a: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: (F.size(a) - F.size(F.array_remove(a, k.cast("long")))).cast("double")))[0]
     )
 
 
