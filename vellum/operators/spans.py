@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import lexicon as L
 from vellum.functions.strings import alpha_only, lit_set
+from vellum.operators.rows import dealt, in_batches
 
 #: Between spans that may merge: up to three marks or blanks, or the word `oge`. A final newline is allowed for.
 GAP = r"(?iU)^(?:[\s'’.-]{0,3}|\s+oge\s+)\n?$"
@@ -29,7 +30,7 @@ def beside(spans: DataFrame, texts: DataFrame, margin: int | None = None) -> Dat
     cut from its text by one Arrow function, so a text is read once, however many spans it has.
     """
     others = [c for c in spans.columns if c != "doc_id"]
-    packed = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*others)).alias("_s")).join(texts.select("doc_id", "full"), "doc_id")
+    packed = in_batches(spans).groupBy("doc_id").agg(F.collect_list(F.struct(*others)).alias("_s")).join(texts.select("doc_id", "full"), "doc_id")
 
     def run(starts: pa.Array, ends: pa.Array, full: pa.Array) -> pa.Array:
         out = []
@@ -69,6 +70,7 @@ def clip_to_text(spans: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _reach(spans: DataFrame) -> DataFrame:
     """spans with _before, the furthest end of those of the same document and label that start earlier, and _level, of those that start there."""
+    spans = dealt(spans, "doc_id", "label")
     line = Window.partitionBy("doc_id", "label").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
     return spans.withColumns(
         {"_before": F.max("end").over(line), "_level": F.max("end").over(Window.partitionBy("doc_id", "label", "start"))}
@@ -143,7 +145,7 @@ def folded(
     """
     names = ["start", "end", *(["text", "label"] if by_text else ["label", "text"]), "score"]
     cast = {"start": F.col("start").cast("int"), "end": F.col("end").cast("int"), "score": F.col("score").cast("double")}
-    packed = spans.groupBy("doc_id").agg(
+    packed = in_batches(spans).groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct(*[cast.get(c, F.col(c)).alias(c) for c in names]))).alias("_s")
     )
     packed = packed.join(
@@ -226,15 +228,18 @@ def project_to_raw(spans: DataFrame, maps: DataFrame) -> DataFrame:
     A document's spans are projected by one Arrow function, so its map and text are read once.
     """
     others = [c for c in spans.columns if c not in ("doc_id", "text")]
-    packed = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*others)).alias("_s")).join(maps.select("doc_id", "char_map", "raw"), "doc_id")
+    packed = in_batches(spans).groupBy("doc_id").agg(F.collect_list(F.struct(*others)).alias("_s")).join(maps.select("doc_id", "char_map", "raw"), "doc_id")
 
     def run(starts: pa.Array, ends: pa.Array, places: pa.Array, raw: pa.Array) -> pa.Array:
         out = []
         for a, b, to, text in zip(starts.to_pylist(), ends.to_pylist(), places, raw):
-            to, text, own = to.values.to_pylist() if to.is_valid else [], text.as_py() or "", []
-            for x, y in zip(a, b):
-                ok = x is not None and y is not None and 0 <= x < y <= len(to) and to[x] is not None and to[y - 1] is not None
-                s, e = (to[x], to[y - 1] + 1) if ok else (0, 0)
+            text, own = text.as_py() or "", []
+            n = len(to.values) if to.is_valid else 0
+            asked = [x is not None and y is not None and 0 <= x < y <= n for x, y in zip(a, b)]
+            ends_of = iter(to.values.take(pa.array([p for x, y, ok in zip(a, b, asked) if ok for p in (x, y - 1)], pa.int64())).to_pylist() if n else ())
+            for ok in asked:
+                s, e = (next(ends_of), next(ends_of)) if ok else (None, None)
+                s, e = (s, e + 1) if s is not None and e is not None else (0, 0)
                 own.append({"s": s, "e": e, "t": text[s:e]} if 0 <= s < e <= len(text) else None)
             out.append(own)
         return pa.array(out, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("t", pa.string())])))
