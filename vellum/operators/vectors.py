@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.operators.rows import in_batches
 from vellum.plans.durable import settle
 
 #: Vectors of a cell that centres are fitted on, on the average; bytes of centres at most, which are sent to all workers.
@@ -20,6 +21,8 @@ CENTRE_BYTES = 16_000_000
 #: Vectors of a part of a cell and queries of a block, about.
 PART = 20_000
 BLOCK = 4_096
+#: Scores that a worker holds at a time.
+AT_ONCE = 1_000_000
 #: Queries that calibrate() measures at most.
 MEASURED = 256
 
@@ -28,7 +31,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """(id, v) of the vectors with an id and a direction: not null, no null, NaN or infinite component, not all 0."""
     v = F.col(f"`{vector_col}`")
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    rows = vectors.filter(F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & ~odd & F.exists(v, lambda x: x != 0))
+    rows = in_batches(vectors).filter(F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & ~odd & F.exists(v, lambda x: x != 0))
     return rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.cast("array<double>").alias("v"))
 
 
@@ -69,9 +72,11 @@ def nearest_cells(v: Column, centres: np.ndarray, probes: int) -> Column:
         x, right = _matrix(vectors, centres.shape[1])
         out: list = [[] for _ in range(len(vectors))]
         if probes:
-            found = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
-            for i, cells in zip(right, found.astype(np.int32)):
-                out[i] = cells
+            step = max(1, AT_ONCE // len(centres))
+            for at in range(0, len(x), step):
+                found = np.argsort(-(x[at : at + step] @ centres.T), axis=1, kind="stable")[:, :probes]
+                for i, cells in zip(right[at : at + step], found.astype(np.int32)):
+                    out[i] = cells
         return pa.array(out, pa.list_(pa.int32()))
 
     return F.arrow_udf(run, "array<int>")(v)
@@ -104,9 +109,10 @@ def search(index: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 5
         y, _ = _matrix(asked.column("y").combine_chunks(), dim)
         ids, qs = vectors.column("id").to_numpy(), asked.column("q").to_numpy()
         out = []
-        for at in range(0, len(qs), 256):
-            s = y[at : at + 256] @ x.T
-            s[qs[at : at + 256, None] == ids[None, :]] = -9
+        step = max(1, AT_ONCE // len(ids))
+        for at in range(0, len(qs), step):
+            s = y[at : at + step] @ x.T
+            s[qs[at : at + step, None] == ids[None, :]] = -9
             kth = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
             # Scores are rounded and ties go by id, so what may tie with the k-th stays.
             q, i = np.nonzero((s >= np.maximum(kth, -2)[:, None] - 4e-5) & (s > -2))
