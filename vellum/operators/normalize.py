@@ -1,16 +1,20 @@
 """Spelling normalisation of historical text, with a map from every output character to its origin.
 
-Each different word of the corpus is normalised once, by expressions; the words that change are looked up
-while each text is put together again in its own row, by one Arrow function. So documents never meet: null
-and repeated ids are as good as any. One exchange, of the distinct words.
+Each text is put together again in its own row, by one Arrow function. By rules a word's spelling depends on the word
+alone, so workers spell the words that they meet and keep what they have found: one pass over the texts, no exchange. By
+frequency each different word of the corpus is spelt once, by expressions, and the words that change are looked up. So
+documents never meet: null and repeated ids are as good as any.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
+import string
+import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,117 +160,216 @@ def normalize_words(
     return base.select("tok", out.alias("out"))
 
 
-#: Changed words that are sent to every worker at most, and their bytes; more are joined to the rows that have them.
-SENT_WORDS, SENT_BYTES = 1_000_000, 48_000_000
-#: Words whose spelling a worker keeps at most.
-KNOWN = 50_000
-_CLEAN = re.compile(f"[^{LETTERS}'-]")
+def penalty(w: str) -> float:
+    """old_spelling_penalty() of one word, its terms added in the same order."""
+    p = 0.0
+    for test, x in (("vv" in w, 2.0), (w[:2] == "ff", 1.5), ("ſ" in w, 2.0), (w[:1] == "v", 0.6), (w[-1:] == "e" and len(w) > 3, 0.2)):
+        p += x if test else 0.0
+    return p
 
 
-def _spread(lt: int, lo: int, start: int) -> list[int]:
-    """Origins of lo characters, spread evenly over the token's lt."""
-    return [start + min(j * (lt - 1) // max(lo - 1, 1), lt - 1) for j in range(lo)]
+def edits(a: str, b: str) -> int:
+    """Levenshtein distance."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
 
 
-#: What is not copied as it stands: words, to be looked up, and white space other than a single blank.
-_LOOKED_AT = re.compile(rf"(?P<word>{WORD})|[^\S\x1c-\x1f]{{2,}}|[^\S\x1c-\x1f ]")
-_WORD = re.compile(WORD)
+_PROTECTED = frozenset({*L.PREFIXES, *L.SURNAMES, *L.FIRST_NAMES, *L.PLACE_NAMES})
+_LISTED = frozenset({*L.OVERRIDES, *L.PLACE_SPELLINGS})
+_SPELLABLE, _DOUBLE = re.compile(f"[{LETTERS}'-]+"), re.compile("(?:aa|ee|ii|oo|uu)$")
+_U, _V = re.compile("(?<=[a-z])u(?=[a-z])"), re.compile(f"(?<={CONSONANT})v(?={CONSONANT})")
 
 
-def respelled(word: str, spelling: dict[str, str], places: frozenset[str]) -> str:
-    """A word's spelling, known places with a capital."""
-    out = spelling.get(word, word)
-    return out[:1].upper() + out[1:].lower() if _CLEAN.sub("", out).lower() in places else out
+def candidates_of(w: str, protect_e: bool) -> list[str]:
+    """spelling_candidates() of one word."""
+    n = len(w)
+    found = [
+        w, L.OVERRIDES.get(w), L.PLACE_SPELLINGS.get(w, "").lower(), "vv" in w and w.replace("vv", "w"), "w" in w and w.replace("w", "u"), n > 2 and w[:2] == "ff" and "f" + w[2:],
+        "ſ" in w and w.replace("ſ", "s"), n > 2 and w[0] == "i" and "j" + w[1:], "oi" in w and w.replace("oi", "oj"), n > 3 and w.endswith("ie") and w[:-2] + "y", "i" in w and w.replace("i", "y"),
+        n > 3 and not protect_e and w.endswith("es") and w[:-2] + "s", n > 2 and w[0] == "v" and "u" + w[1:], "u" in w and _U.sub("v", w), "v" in w and _V.sub("u", w),
+        n > 5 and w.endswith("eing") and w[:-4] + "ing", n > 3 and not protect_e and w.endswith("e") and w[:-1], _DOUBLE.search(w) and w[:-1], "shanon" in w and w.replace("shanon", "shannon"),
+    ]
+    return list(dict.fromkeys(c for c in found if c and _SPELLABLE.fullmatch(c)))[:MAX_CANDIDATES]
+
+
+def chosen_by_rules(w: str, protect_e: bool) -> str:
+    """The candidate that choose_by_rules() takes; the word, if it has none. Edits are counted for candidates of equal penalty alone."""
+    if not (w in _LISTED or w[:1] == "v" or w[:2] == "ff" or w[-2:] in ("ie", "ee") or "vv" in w or "’" in w):
+        # At most an e at the end is a trace of old spelling: the candidate without it is the only one of no penalty, or the word the one of no edits.
+        return w if protect_e or w[-1:] != "e" or len(w) < 4 else w[:-1]
+    over = L.OVERRIDES.get(w)
+    rated = [(penalty(c) - (OVERRIDE_BONUS if c == over else 0.0), i, c) for i, c in enumerate(candidates_of(w, protect_e))]
+    if not rated:
+        return w
+    least = min(rated)[0]
+    best = [(i, c) for p, i, c in rated if p == least]
+    return best[0][1] if len(best) == 1 or best[0][1] == w else min((edits(w, c), abs(len(c) - len(w)), len(c), i, c) for i, c in best)[4]
+
+
+def spelt(tok: str) -> str:
+    """What normalize_words() makes of one token by rules, with forced overrides."""
+    low, first = tok.lower(), tok[:1]
+    if (_CLEAN.sub("", low) if "’" in low else low) in _PROTECTED:
+        return tok
+    small = first == first.lower()
+    out = L.OVERRIDES.get(low) or chosen_by_rules(low, not small)
+    if tok != low and tok == tok.upper():
+        return out.upper()
+    return out if small else out[:1].upper() + out[1:].lower()
+
 
+#: Changed words that are sent to every worker at most, and their bytes; more are joined to the rows that have them.
+SENT_WORDS, SENT_BYTES = 1_000_000, 48_000_000
+#: Pieces of texts of which a worker keeps at most what they become.
+KNOWN = 150_000
+#: Characters of a text that are taken to pieces at once, about.
+STRETCH = 1_000_000
+_CLEAN = re.compile(f"[^{LETTERS}'-]")
+#: Words, and what is between them; white space other than a single blank; the end of a word of two letters or more.
+_PIECES, _WHITE = re.compile(f"({WORD})"), re.compile(r"[^\S\x1c-\x1f]{2,}|[^\S\x1c-\x1f ]")
+_CUT = re.compile(f"(?<=[{LETTERS}]{{2}})(?![{LETTERS}'’])")
+
+
+def pre_normal(text: str, compose: bool) -> str:
+    """pre_normalize() of one text."""
+    if not text.isascii():
+        text = (unicodedata.normalize("NFKC", text) if compose else text).replace("“", '"').replace("”", '"').replace("—", "--")
+    return text.replace("`", "'")
+
+
+class Pieces(dict):
+    """What pieces of texts, words and what is between them, become; `moved` has the origins of their characters where these do not stay in their places."""
+
+    def __init__(self, spell: Callable[[str], str], keep_double_newlines: bool):
+        self.spell, self.double = spell, "\n" if keep_double_newlines else " "
+        self.moved: dict[str, np.ndarray] = {}
+
+    def __missing__(self, piece: str) -> str:
+        origins = None
+        if piece[:1] in _LETTER:
+            out = self.spell(piece)
+            low = out.lower()
+            if (_CLEAN.sub("", low) if "’" in low else low) in _PLACES:  # known places have a capital
+                out = out[:1].upper() + out[1:].lower()
+            lt, lo = len(piece), len(out)
+            if lt != lo or piece in _O:
+                origins = np.minimum(np.arange(lo) * (lt - 1) // max(lo - 1, 1), lt - 1)  # spread evenly
+        else:
+            out = _WHITE.sub(lambda m: self.double if "\n\n" in m[0] else " ", piece)
+            if len(out) != len(piece):
+                gone = np.zeros(len(piece), bool)
+                for m in _WHITE.finditer(piece):
+                    gone[m.start() + 1 : m.end()] = True
+                origins = np.flatnonzero(~gone)
+        self[piece] = out = piece if out == piece else out  # one object, where it stays
+        if origins is not None:
+            self.moved[piece] = origins.astype(np.int32)
+        return out
 
-def put_together(
-    pre: str, spelling: dict[str, str], surnames: frozenset[str], places: frozenset[str], keep_double_newlines: bool, known: dict[str, str] | None = None
-) -> tuple[str, array]:
+    def trim(self) -> None:
+        """Begin anew when there are too many, between texts."""
+        if len(self) > KNOWN:
+            self.clear()
+            self.moved.clear()
+
+
+_LETTER = frozenset("ÁÉÍÓÚáéíóú" + string.ascii_letters)
+_SURNAMES, _PLACES, _O = frozenset(L.SURNAMES), frozenset(L.PLACE_NAMES), frozenset("oOóÓ")
+
+
+def put_together(pre: str, known: Pieces) -> tuple[str, np.ndarray]:
     """(text, origin of each of its characters in pre) of one pre-normalised text.
 
     An `I` that the text begins with becomes `I,`. `O` joins the surname that follows it, over white space and single marks, as
     `O'`, and eats what is between. Known places get a capital. White space becomes a blank, or a newline if it has two in a row.
-    Stretches that stay as they are, are copied whole. known: what earlier texts' words have become, to be kept for texts of the same spelling.
+    Characters between pieces that move keep their places. A long text is taken in stretches, which end behind a word other than `O`.
     """
-    known = {} if known is None else known
-    pieces: list[str] = []
-    at = array("i")
-    done = 0  # characters of pre that are dealt with
-    for m in _LOOKED_AT.finditer(pre):
-        start, end = m.span()
-        if start < done:  # eaten by an O
-            continue
-        tok = m[0]
-        if m.lastgroup is None:
-            out = "\n" if keep_double_newlines and "\n\n" in tok else " "
-            origins = (start,)
-        else:
-            out = known.get(tok)
-            if out is None:
-                out = known[tok] = respelled(tok, spelling, places)
-            origins = None
-            if start == 0 and tok == "I":
-                out, origins = "I,", (0, 0)
-            elif tok in ("o", "O", "ó", "Ó"):
-                j = end
-                while j < len(pre) and not pre[j].isalnum():
-                    j += 1
-                name = _WORD.match(pre, j)
-                if name:
-                    own = spelling.get(name[0], name[0])
-                    if _CLEAN.sub("", own).lower() in surnames:
-                        last = len(name[0]) - 1
-                        out, origins, end = f"{tok}'{own}", (start, start, *(j + min(i, last) for i in range(len(own)))), name.end()
-            if origins is None:
-                if out == tok:
-                    continue
-                origins = _spread(len(tok), len(out), start)
-        pieces += (pre[done:start], out)
-        at.extend(range(done, start))
-        at.extend(origins)
-        done = end
-    pieces.append(pre[done:])
-    at.extend(range(done, len(pre)))
-    return "".join(pieces), at
-
-
-def _assembler(lookup, keep_double_newlines: bool):
-    """An Arrow function (pre) or (pre, map of the row's own words) to struct<normalized, char_map>; lookup() gives the shared words."""
-    surnames, places = frozenset(L.SURNAMES), frozenset(L.PLACE_NAMES)
-    known: dict[str, str] = {}
+    texts: list[str] = []
+    maps: list[np.ndarray] = []
+    at = done = 0  # characters of pre before the stretch, and that are dealt with
+    while at < len(pre):
+        cut = _CUT.search(pre, at + STRETCH) if len(pre) - at > STRETCH else None
+        stop = cut.start() if cut else len(pre)
+        pieces = _PIECES.split(pre[at:stop])
+        out, moved = list(map(known.__getitem__, pieces)), known.moved
+        places = [i for i, p in enumerate(pieces) if p in moved]
+        if at == 0 and pieces[0] == "" and len(pieces) > 1 and pieces[1] == "I":
+            out[1] = "I,"
+            places = [1, *places]
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) + at if places else ()
+        eaten = 0
+        for i in places:
+            if i < eaten:
+                continue
+            piece, end = pieces[i], int(ends[i])
+            start = end - len(piece)
+            if i == 1 and out[1] == "I,":
+                origins = np.zeros(2, np.int32)
+            elif piece in _O and i + 2 < len(pieces) and not any(map(str.isalnum, pieces[i + 1])) and _CLEAN.sub("", own := known.spell(name := pieces[i + 2])).lower() in _SURNAMES:
+                begin, end, eaten = int(ends[i + 1]) - start, int(ends[i + 2]), i + 3
+                out[i : i + 3] = f"{piece}'{own}", "", ""
+                origins = np.array([0, 0, *(begin + min(k, len(name) - 1) for k in range(len(own)))], np.int32)
+            else:
+                origins = moved[piece]
+            maps += (np.arange(done, start, dtype=np.int32), origins + np.int32(start))
+            done = end
+        texts.extend(out)
+        at = stop
+    maps.append(np.arange(done, len(pre), dtype=np.int32))
+    return "".join(texts), np.concatenate(maps)
+
+
+def _assembler(spell: Callable[[], Callable[[str], str]] | None, keep_double_newlines: bool, compose: bool | None = None):
+    """An Arrow function (text) or (text, map of the row's own words) to struct<normalized, char_map>; spell() gives the words' spelling. compose: texts are
+    yet to be pre-normalised, with composition or without."""
+    known: list[Pieces] = []
     kind = pa.struct([("normalized", pa.string()), ("char_map", pa.list_(pa.int32()))])
 
-    def packed(out: list[str | None], sizes: array, maps: array) -> pa.Array:
-        each = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(maps, pa.int32()))
+    def packed(out: list[str | None], sizes: list[int], maps: list[np.ndarray]) -> pa.Array:
+        each = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *maps])))
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), each], ["normalized", "char_map"]).cast(kind)
 
-    def whole(texts: pa.Array, words, known: dict | None) -> pa.Array:
-        done, out, sizes, maps = [], [], array("i", [0]), array("i")
-        for t, spelling in zip(texts, words):
+    def whole(texts: pa.Array, words) -> pa.Array:
+        done, out, sizes, maps, held = [], [], [0], [], 0
+        for t, pieces in zip(texts, words):
             t = t.as_py()
-            text, at = (None, ()) if t is None else put_together(t, spelling, surnames, places, keep_double_newlines, known)
-            if known is not None and len(known) > KNOWN:
-                known.clear()
+            if t is None:
+                out.append(None)
+                sizes.append(0)
+                continue
+            text, at = put_together(t if compose is None else pre_normal(t, compose), pieces)
+            pieces.trim()
             out.append(text)
-            maps.extend(at)
-            sizes.append(len(maps))
-            if len(maps) > 10 * AT_ONCE:
+            maps.append(at)
+            sizes.append(len(at))
+            held += len(at)
+            if held > 10 * AT_ONCE:
                 done.append(packed(out, sizes, maps))
-                out, sizes, maps = [], array("i", [0]), array("i")
+                out, sizes, maps, held = [], [0], [], 0
         return pa.concat_arrays([*done, packed(out, sizes, maps)])
 
     def shared(pre: pa.Array) -> pa.Array:
-        spelling = lookup()
-        return whole(pre, (spelling for _ in range(len(pre))), known)
+        if not known:
+            known.append(Pieces(spell(), keep_double_newlines))
+        return whole(pre, (known[0] for _ in range(len(pre))))
 
     def own(pre: pa.Array, words: pa.Array) -> pa.Array:
-        return whole(pre, (dict(w.as_py() or ()) for w in words), None)
+        return whole(pre, (Pieces(listed(dict(w.as_py() or ())), keep_double_newlines) for w in words))
 
-    run = shared if lookup else own
-    run.__annotations__ = {"pre": pa.Array, **({} if lookup else {"words": pa.Array}), "return": pa.Array}
+    run = shared if spell else own
+    run.__annotations__ = {"pre": pa.Array, **({} if spell else {"words": pa.Array}), "return": pa.Array}
     return F.arrow_udf(run, "struct<normalized:string,char_map:array<int>>")
 
 
+def listed(words: dict[str, str]) -> Callable[[str], str]:
+    """The spelling of words that are listed; others stay."""
+    return lambda w: words.get(w, w)
+
+
 def normalize(
     docs: DataFrame, mode: str = "heuristic", frequencies: DataFrame | None = None, compose: bool = True, keep_double_newlines: bool = True,
     id_col: str = "doc_id", text_col: str = "text"
@@ -276,16 +379,18 @@ def normalize(
     Null text stays null, with an empty map. Rows are taken each for itself, whatever their ids. See put_together() for what is done beside the
     words' spelling.
     """
-    base = in_batches(spread(docs)).select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("visual"), pre_normalize(F.col(text_col), compose).alias("_pre")
-    )
+    rows = in_batches(spread(docs)).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("visual"))
+    if mode == "heuristic":  # the rules look at nothing but the word, so each worker spells the words that it meets
+        made = rows.withColumn("_made", _assembler(lambda: spelt, keep_double_newlines, compose)("visual"))
+        return made.select("doc_id", "visual", "_made.normalized", "_made.char_map")
+    base = rows.withColumn("_pre", pre_normalize(F.col("visual"), compose))
     changed = settle(normalize_words(distinct_words(base, "_pre"), mode, frequencies).filter("out <> tok"))
     n, size = changed.limit(SENT_WORDS + 1).agg(
         F.count("*"), F.coalesce(F.sum(F.octet_length("tok") + F.octet_length("out")), F.lit(0))
     ).first()
     if n <= SENT_WORDS and size <= SENT_BYTES:
         sent = docs.sparkSession.sparkContext.broadcast({r.tok: r.out for r in changed.toLocalIterator()})
-        made = base.withColumn("_made", _assembler(lambda: sent.value, keep_double_newlines)("_pre"))
+        made = base.withColumn("_made", _assembler(lambda: listed(sent.value), keep_double_newlines)("_pre"))
     else:
         # Each row's own words travel to the changed ones and come back as a map; rows equal in id and text share it.
         key = [F.col("doc_id").alias("_id"), F.xxhash64("_pre").alias("_hash")]
