@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +36,19 @@ def chunk_offsets(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[t
 def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, chunk_no, off, chunk). Null and empty texts have no chunks."""
 
-    def cut(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [{"off": a, "chunk": t[a:b]} for a, b in chunk_offsets(t, size, overlap)] if t else [])
-
-    cut.__annotations__ = {"text": pd.Series, "return": pd.Series}
-    each = F.pandas_udf(cut, "array<struct<off:int,chunk:string>>")
+    def cut(text: pa.Array) -> pa.Array:
+        sizes, offs, found = [0], [], []
+        for t in text:
+            t = t.as_py() or ""
+            for a, b in chunk_offsets(t, size, overlap):
+                offs.append(a)
+                found.append(t[a:b])
+            sizes.append(len(offs))
+        each = pa.StructArray.from_arrays([pa.array(offs, pa.int32()), pa.array(found, pa.string())], ["off", "chunk"])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), each)
+
+    cut.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    each = F.arrow_udf(cut, "array<struct<off:int,chunk:string>>")
     return in_batches(docs).select(
         F.col(id_col).alias("doc_id"), F.posexplode(each(F.col(text_col))).alias("chunk_no", "_c")
     ).select("doc_id", "chunk_no", "_c.off", "_c.chunk")

@@ -136,12 +136,14 @@ _ARROW = pa.list_(
 
 
 def folded(
-    spans: DataFrame, texts: DataFrame | None, fold: Callable[[list[tuple], str | None], list[tuple]], by_text: bool = False
+    spans: DataFrame, texts: DataFrame | None, fold: Callable[[list[tuple], str | None], list[tuple]], by_text: bool = False,
+    where: Callable[[Column], Column] | None = None
 ) -> DataFrame:
     """The spans that fold makes of each document's, in order of (start, end, label, or text if by_text) and on.
 
     fold gets a document's spans as (start, end, label, text, score) and its text (None without texts), and is run by an Arrow function, so
-    its time follows the number of spans.
+    its time follows the number of spans. where: whether fold changes anything in a document that has such a span; the spans of others stay, and do not
+    go through Python.
     """
     names = ["start", "end", *(["text", "label"] if by_text else ["label", "text"]), "score"]
     cast = {"start": F.col("start").cast("int"), "end": F.col("end").cast("int"), "score": F.col("score").cast("double")}
@@ -168,7 +170,14 @@ def folded(
         return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), each).cast(_ARROW)
 
     run.__annotations__ = {"s": pa.Array, "full": pa.Array, "return": pa.Array}
-    made = packed.select("doc_id", F.explode(F.arrow_udf(run, _KIND)("_s", "full")).alias("e"))
+    each = F.arrow_udf(run, _KIND)
+    if where is None:
+        after = each("_s", "full")
+    else:
+        some = F.coalesce(F.exists("_s", where), F.lit(False))
+        as_is = F.transform("_s", lambda x: F.struct(*[x[f.name].alias(f.name) for f in _ARROW.value_type]))
+        after = F.when(some, each(F.when(some, F.col("_s")), F.when(some, F.col("full")))).otherwise(as_is)
+    made = packed.select("doc_id", F.explode(after).alias("e"))
     return made.select("doc_id", "e.text", "e.label", "e.score", "e.start", "e.end")
 
 
